@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, editprint, minhash, mixing, quality, rules, suffix, toxicity, warc
+from . import bpe, chat, editprint, minhash, mixing, oracles, quality, rules, suffix, toxicity, warc
 
 RANKS = "byte_bpe_50k.tiktoken"
 PREDICTED = 0.7
@@ -86,4 +86,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLES)

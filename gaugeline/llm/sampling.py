@@ -28,4 +28,5 @@ def fit_in_task(sample: DataFrame, fit: Callable[[list[bytes], list[int]], bytes
         rows = sorted(set(rows))
         yield pa.RecordBatch.from_arrays([pa.array([fit([r[2].encode("utf-8", "surrogatepass") for r in rows], [int(r[3]) for r in rows])], pa.binary())], names=["model"])
 
-    return bytes(sample.repartition(1).mapInArrow(run, "model binary").first()[0])
+    got = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return bytes(got[0]) if got else fit([], [])

@@ -22,7 +22,9 @@ import base64
 import codecs
 import hashlib
 import struct
+from itertools import batched
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -214,40 +216,50 @@ def encoder(ranks: bytes, pattern: str, keep_ids: bool):
         split = regex.compile(pattern)
         machine = Transducer(*tables)
         pieces = Pieces(machine)
-        for b in batches:
-            rows = []
-            for text in b.column(1).to_pylist():
-                text = text or ""
-                count, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
-                kept, block = [], []
-                back = codecs.getincrementaldecoder("utf-8")("surrogatepass")
-
-                def close():
-                    packed = b"".join(block)  # noqa: B023
-                    ids_hash.update(packed)  # noqa: B023
-                    ids = memoryview(packed).cast("I").tolist()
-                    text_hash.update(back.decode(b"".join(map(machine.token.__getitem__, ids))).encode("utf-8", "surrogatepass"))  # noqa: B023
-                    if keep_ids:
-                        kept.extend(ids)  # noqa: B023
-                    return len(ids)
-
-                if len(text) <= TEXT_BLOCK:
-                    block = [pieces[p] for p in split.findall(text)]
-                else:
-                    for m in split.finditer(text):
-                        block.append(pieces[m[0]])
-                        if len(block) >= BLOCK:
-                            count += close()
-                            block.clear()
-                count += close()
-                text_hash.update(back.decode(b"", True).encode("utf-8", "surrogatepass"))
-                rows.append((count, ids_hash.hexdigest(), text_hash.hexdigest(), kept))
-            cols = [b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
+
+        def one(text: str) -> tuple:
+            """(number of ids, their hash, the decoded text's hash, packed ids), a block at a time."""
+            count, ids_hash, text_hash, kept = 0, hashlib.sha256(), hashlib.sha256(), []
+            back = codecs.getincrementaldecoder("utf-8")("surrogatepass")
+            if len(text) <= TEXT_BLOCK:
+                blocks = [[pieces[p] for p in split.findall(text)]]
+            else:
+                blocks = batched((pieces[m[0]] for m in split.finditer(text)), BLOCK)
+            for block in blocks:
+                packed = b"".join(block)
+                ids_hash.update(packed)
+                ids = memoryview(packed).cast("I").tolist()
+                text_hash.update(back.decode(b"".join(map(machine.token.__getitem__, ids))).encode("utf-8", "surrogatepass"))
+                count += len(ids)
+                if keep_ids:
+                    kept.append(packed)
+            text_hash.update(back.decode(b"", True).encode("utf-8", "surrogatepass"))
+            return count, ids_hash.hexdigest(), text_hash.hexdigest(), b"".join(kept)
+
+        def record(ids, rows) -> pa.RecordBatch:
+            count, sha, back, packed = zip(*rows, strict=True)
+            cols = [ids, pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
-                cols.append(pa.array([r[3] for r in rows], pa.list_(pa.int32())))
+                ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32))))
                 names.append("ids")
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            return pa.RecordBatch.from_arrays(cols, names=names)
+
+        last, got = None, ()
+        for b in batches:
+            at, size, rows = 0, 0, []
+            for i, text in enumerate(b.column(1)):
+                text = text.as_py() or ""
+                if text != last:  # copies that follow each other are encoded once
+                    last, got = text, one(text)
+                rows.append(got)
+                size += len(text)
+                if size >= 2 * TEXT_BLOCK:
+                    yield record(b.column(0).slice(at, len(rows)), rows)
+                    at, size, rows = i + 1, 0, []
+            if rows:
+                yield record(b.column(0).slice(at, len(rows)), rows)
 
     return run
 

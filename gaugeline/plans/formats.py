@@ -66,13 +66,14 @@ def points_in_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(z, inside, "left").groupBy("event_id").agg(F.coalesce(F.min("zone"), F.lit("stub")).alias("zone"))
 
 
-@query("""WITH b AS (SELECT p_partkey AS id, CAST(p_partkey % 37 AS DOUBLE) AS x0, CAST(p_partkey % 41 AS DOUBLE) AS y0, CAST(p_partkey % 37 + p_size AS DOUBLE) AS x1, CAST(p_partkey % 41 + 5 AS DOUBLE) AS y1 FROM part WHERE p_partkey <= 150)
+@query("""WITH b AS (SELECT p_partkey AS id, CAST(p_partkey % 500 * 20 AS DOUBLE) AS x0, CAST(p_partkey // 500 * 4 AS DOUBLE) AS y0, CAST(p_partkey % 500 * 20 + p_size AS DOUBLE) AS x1, CAST(p_partkey // 500 * 4 + 5 AS DOUBLE) AS y1 FROM part)
 SELECT a.id AS a, b.id AS b, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS area FROM b a JOIN b ON a.id < b.id
 WHERE least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0) AND (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) > 0.5""")
 def plot_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    box = F.struct((k % 37).cast("double").alias("x0"), (k % 41).cast("double").alias("y0"), (k % 37 + F.col("p_size")).cast("double").alias("x1"), (k % 41 + 5).cast("double").alias("y1"))
-    p = table(spark, sf_dir, "part").where("p_partkey <= 150").select(k.alias("id"), box.alias("box"))
+    x, y = k % 500 * 20, F.floor(k / 500) * 4
+    box = F.struct(x.cast("double").alias("x0"), y.cast("double").alias("y0"), (x + F.col("p_size")).cast("double").alias("x1"), (y + 5).cast("double").alias("y1"))
+    p = table(spark, sf_dir, "part").select(k.alias("id"), box.alias("box"))
     # boxes meet in the grid cells they cover; a pair counts in the cell of its overlap's lower left corner
     cell = 10.0
     at = lambda c: F.floor(c / cell)

@@ -93,10 +93,10 @@ def overlay_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.overlay(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", "p_size"), over, "p_partkey", ["p_retailprice", "p_size"])
 
 
-@query("""WITH b AS (SELECT l_suppkey, l_linenumber AS batch, l_partkey % 50 AS label, l_discount FROM lineitem WHERE l_linenumber <= 4 AND l_suppkey <= 40), n AS (SELECT l_suppkey, count(DISTINCT batch) AS nb FROM b GROUP BY 1)
+@query("""WITH b AS (SELECT l_suppkey, l_linenumber AS batch, l_partkey % 50 AS label, l_discount FROM lineitem), n AS (SELECT l_suppkey, count(DISTINCT batch) AS nb FROM b GROUP BY 1)
 SELECT b.l_suppkey, CAST(label AS BIGINT) AS label, max(l_discount) AS best, string_agg(DISTINCT CAST(batch AS VARCHAR), ',' ORDER BY CAST(batch AS VARCHAR)) AS batches, count(DISTINCT batch) = any_value(nb) AS everywhere FROM b JOIN n ON n.l_suppkey = b.l_suppkey GROUP BY 1, 2""")
 def batch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "lineitem").where("l_linenumber <= 4 and l_suppkey <= 40").select("l_suppkey", F.col("l_linenumber").alias("batch"), (F.col("l_partkey") % 50).alias("label"), "l_discount")
+    b = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_linenumber").alias("batch"), (F.col("l_partkey") % 50).alias("label"), "l_discount")
     n = b.groupBy("l_suppkey").agg(F.count_distinct("batch").alias("nb"))
     g = b.groupBy("l_suppkey", "label").agg(F.max("l_discount").alias("best"), F.sort_array(F.collect_set("batch")).alias("s"))
     text = F.array_join(F.transform("s", lambda x: x.cast("string")), ",")

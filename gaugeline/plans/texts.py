@@ -58,12 +58,12 @@ def earliest_pattern_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where("e.at is not null").select("doc_id", F.col("e.at").cast("long").alias("pos"), "e.word", "e.span")
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE n_chars < 3000),
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 s AS (SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS seen FROM l WHERE line <> ''),
 k AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS seq, max(i) OVER (PARTITION BY doc_id) AS last FROM s WHERE seen = 1)
 SELECT doc_id, CAST(i AS BIGINT) AS start_line, CAST(coalesce(nxt, last + 1) AS BIGINT) AS end_line, concat('f', lpad(CAST(seq AS VARCHAR), 3, '0')) AS item FROM k""")
 def segments_by_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("n_chars < 3000").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).where("line <> ''")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).where("line <> ''")
     # the first of equal lines of a document starts a segment, which ends where the next starts
     first = d.groupBy("doc_id", "line").agg((F.min("i") + 1).alias("i"))
     w = Window.partitionBy("doc_id").orderBy("i")
@@ -71,18 +71,18 @@ def segments_by_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("doc_id", F.col("i").cast("long").alias("start_line"), F.coalesce(F.lead("i").over(w), last + 1).cast("long").alias("end_line"), F.format_string("f%03d", F.row_number().over(w)).alias("item"))
 
 
-@query("""WITH p AS (SELECT p_partkey, list_distinct(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda x: x <> '')) AS t, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS s FROM part WHERE p_partkey <= 300),
-q AS (SELECT p_partkey AS k, list_distinct(list_filter(string_split_regex(lower(concat(p_name, ' ', p_brand)), '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM part WHERE p_partkey <= 300)
-SELECT p.p_partkey, q.k AS match, CAST(len(list_intersect(p.t, q.t)) AS DOUBLE) / len(list_distinct(list_concat(p.t, q.t))) AS score FROM p JOIN q ON len(list_intersect(p.t, q.t)) > 0 AND CAST(len(list_intersect(p.t, q.t)) AS DOUBLE) / len(list_distinct(list_concat(p.t, q.t))) >= 0.5""")
+@query("""WITH p AS (SELECT p_name AS name, count(*) AS parts, list_distinct(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM part GROUP BY p_name),
+q AS (SELECT DISTINCT concat(p_name, ' (', p_type, ')') AS label, list_distinct(list_filter(string_split_regex(lower(concat(p_name, ' ', p_type)), '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM part)
+SELECT name, label, CAST(parts AS BIGINT) AS parts, CAST(len(list_intersect(p.t, q.t)) AS DOUBLE) / len(list_distinct(list_concat(p.t, q.t))) AS score FROM p JOIN q ON CAST(len(list_intersect(p.t, q.t)) AS DOUBLE) / len(list_distinct(list_concat(p.t, q.t))) >= 0.5""")
 def jaccard_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_partkey <= 300")
-    a = p.select("p_partkey", X.tokens(F.col("p_name")).alias("t"))
-    b = p.select(F.col("p_partkey").alias("match"), X.tokens(F.concat_ws(" ", "p_name", "p_brand")).alias("u"))
-    # pairs meet through shared tokens and are scored from counts; no pair without one is looked at
-    x, y = a.select("p_partkey", F.size("t").alias("n"), F.explode("t").alias("w")), b.select("match", F.size("u").alias("m"), F.explode("u").alias("w"))
-    both = x.join(y, "w").groupBy("p_partkey", "match", "n", "m").agg(F.count(F.lit(1)).alias("k"))
+    p = table(spark, sf_dir, "part").select("p_name", "p_type")
+    a = p.groupBy(F.col("p_name").alias("name")).agg(F.count(F.lit(1)).alias("parts")).withColumn("t", X.tokens(F.col("name")))
+    b = p.distinct().select(F.format_string("%s (%s)", "p_name", "p_type").alias("label"), X.tokens(F.concat_ws(" ", "p_name", "p_type")).alias("u"))
+    # distinct names meet through shared tokens and are scored from counts; no pair without one is looked at
+    x, y = a.select("name", "parts", F.size("t").alias("n"), F.explode("t").alias("w")), b.select("label", F.size("u").alias("m"), F.explode("u").alias("w"))
+    both = x.join(y, "w").groupBy("name", "parts", "label", "n", "m").agg(F.count(F.lit(1)).alias("k"))
     score = F.try_divide(F.col("k").cast("double"), F.col("n") + F.col("m") - F.col("k"))
-    return both.select("p_partkey", "match", score.alias("score")).where("score >= 0.5")
+    return both.select("name", "label", "parts", score.alias("score")).where("score >= 0.5")
 
 
 @query("""SELECT doc_id, a AS latin, CASE WHEN a + b = 0 THEN NULL ELSE CAST(a AS DOUBLE) / (a + b) END AS share, a + b > 0 AND CAST(a AS DOUBLE) / (a + b) >= 0.3 AND a >= 4 AS predominantly
@@ -102,10 +102,10 @@ def value_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", X.first_number(F.col("p_brand")).alias("num"), X.whole(F.col("p_retailprice")).alias("exact_price"), span["low"].alias("low"), span["high"].alias("high"), X.plot_number(label).alias("plot"))
 
 
-@query("""SELECT doc_id, trim(regexp_replace(regexp_replace(substring(text, 1, 400), '[[:space:]]+', ' ', 'g'), 'the', 'THE', 'g')) AS cleaned, regexp_replace(lower(substring(text, 1, 400)), '[^a-z0-9]', '', 'g') AS squashed FROM documents WHERE lang = 'en'""")
+@query("""SELECT doc_id, sha256(trim(replace(regexp_replace(text, '[[:space:]]+', ' ', 'g'), 'the', 'THE'))) AS cleaned, sha256(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) AS squashed FROM documents""")
 def normalise_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.substring("text", 1, 400)
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", X.replaced(X.normalised(head), [("the", "THE")]).alias("cleaned"), X.squashed(head).alias("squashed"))
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.replaced(X.normalised(text), [("the", "THE")]), 256).alias("cleaned"), F.sha2(X.squashed(text), 256).alias("squashed"))
 
 
 @query("""WITH b AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark), n AS (SELECT item_id, w, count(*) AS c FROM b GROUP BY 1, 2),
@@ -143,11 +143,11 @@ def natural_section_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("section", F.row_number().over(Window.orderBy(X.section_key(F.col("section")), "section")).cast("long").alias("place"), "n")
 
 
-@query("""SELECT o_orderkey, concat('rev', CAST(o_orderkey % 20 + 1 AS VARCHAR)) AS next_rev, concat('v', CAST(o_orderkey % 9 AS VARCHAR), '.1') AS canonical, CAST(o_orderdate AS DATE) AS session_date FROM orders WHERE o_orderkey % 20 > 0""")
+@query("""SELECT o_orderkey, concat('rev', CAST(o_orderkey % 20 + 1 AS VARCHAR)) AS next_rev, concat('v', CAST(o_orderkey % 9 AS VARCHAR), '.1') AS canonical, CAST(o_orderdate AS DATE) AS session_date FROM orders""")
 def version_and_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     text = F.concat_ws("/", F.dayofmonth("o_orderdate").cast("string"), F.month("o_orderdate").cast("string"), F.year("o_orderdate").cast("string"))
-    return table(spark, sf_dir, "orders").where(k % 20 > 0).select(
+    return table(spark, sf_dir, "orders").select(
         "o_orderkey", X.next_revision(F.concat(F.lit("rev"), (k % 20).cast("string"))).alias("next_rev"), X.canonical_version(F.concat(F.lit(" V"), (k % 9).cast("string"), F.lit(".1"))).alias("canonical"), X.iso_date(text).alias("session_date"),
     )
 

@@ -133,3 +133,48 @@ def iso_date(text: Column) -> Column:
 def appended(notes: Column, note: Column) -> Column:
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
     return F.concat_ws("\n\n", blank(notes), blank(note))
+
+
+def terse(text: Column, most: int = 120) -> Column:
+    """The first clause: up to the first sentence end, semicolon or dash, at most `most` characters."""
+    clause = F.substring_index(F.substring_index(F.substring_index(F.trim(text), ". ", 1), ";", 1), " - ", 1)
+    return F.substring(F.regexp_replace(F.trim(clause), r"\.$", ""), 1, most)
+
+
+def compound_plots(label: Column) -> Column:
+    """Plot numbers of a label such as "3+4" or "3, 4/5"; null where a part is no number."""
+    parts = F.filter(F.transform(F.split(label, r"[+,/&]"), lambda p: F.trim(p)), lambda p: p != "")
+    good = (F.size(parts) > 0) & F.forall(parts, lambda p: p.rlike(r"^\d+$"))
+    return F.when(good, F.transform(parts, lambda p: p.try_cast("int")))
+
+
+def self_evident(label: Column, known: list[str]) -> Column:
+    """All words of a label are known ones or numbers."""
+    words = F.filter(F.split(F.lower(label), r"[^\p{L}\d]+"), lambda w: w != "")
+    return (F.size(words) > 0) & F.forall(words, lambda w: w.isin(*known) | w.rlike(r"^\d+$"))
+
+
+def decision_basis(verdict: Column, n_findings: Column) -> Column:
+    return (
+        F.when((verdict == "rejected") & (n_findings > 0), "substantive").when(verdict == "rejected", "unexplained")
+        .when((verdict == "approved") & (n_findings > 0), "conditional").when(verdict == "approved", "clean").otherwise("unknown")
+    )
+
+
+def score(parts: list[tuple[Column, float]]) -> Column:
+    """Weights of the conditions that hold, summed and kept within 0 and 1."""
+    total = reduce(lambda a, b: a + b, (F.when(F.coalesce(c, F.lit(False)), w).otherwise(0.0) for c, w in parts))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))
+
+
+def without_suffixes(name: Column, suffixes: list[str]) -> Column:
+    """Suffixes taken off one after another; the original where nothing is left."""
+    short = reduce(lambda n, s: F.regexp_replace(n, r"[\s,]*" + s + r"\.?\s*$", ""), suffixes, name)
+    return F.coalesce(F.nullif(F.trim(short), F.lit("")), name)
+
+
+def percent_delta(value: Column, base: Column) -> Column:
+    """Null where the base is zero or either is not a number."""
+    good = ~F.isnan(value.cast("double")) & ~F.isnan(base.cast("double"))
+    return F.when(good, F.try_divide((value - base).cast("double"), F.nullif(base.cast("double"), F.lit(0.0))) * 100)
+

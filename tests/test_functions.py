@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from gaugeline.functions import drawing as D
 from gaugeline.functions import text as X
 from gaugeline.functions import verdicts as V
 from gaugeline.operators import fusion, merging
@@ -85,3 +86,28 @@ def test_commented_json_and_missing_overlay(spark, tmp_path):
     (tmp_path / "a.json").write_text('{\n // note\n "a": 1\n}')
     assert tables.json_documents(spark, str(tmp_path / "a.json"), "a int").first().doc.a == 1
     assert tables.overlay_or_empty(spark, str(tmp_path / "none.json"), "a int").count() == 0
+
+
+def test_more_strings(spark):
+    assert one(spark, X.terse(F.lit("Too high; see plan"))) == "Too high" and one(spark, X.terse(F.lit("x" * 200 + ". y"))) == "x" * 120
+    assert one(spark, X.compound_plots(F.lit("3+4, 5"))) == [3, 4, 5] and one(spark, X.compound_plots(F.lit("3+a"))) is None
+    assert one(spark, X.self_evident(F.lit("Plot 7"), ["plot"])) is True and one(spark, X.self_evident(F.lit(""), ["plot"])) is False
+    assert one(spark, X.decision_basis(F.lit("approved"), F.lit(2))) == "conditional"
+    assert one(spark, X.score([(F.lit(True), 0.7), (F.lit(True), 0.6), (F.lit(None).cast("boolean"), 0.5)])) == 1.0
+    assert one(spark, X.without_suffixes(F.lit("Cohen Architects Ltd."), ["Ltd", "Architects"])) == "Cohen" and one(spark, X.without_suffixes(F.lit("Ltd"), ["Ltd"])) == "Ltd"
+    assert one(spark, X.percent_delta(F.lit(3), F.lit(2))) == 50.0 and one(spark, X.percent_delta(F.lit(3), F.lit(0))) is None
+
+
+def test_drawings(spark):
+    role = lambda n: one(spark, D.layer_role(F.lit(n), {"RZ_AREA": "PLOT_BOUNDARY"}, [("park", "PARKING")], [("(?i)setback", "SETBACK_LINE")]))
+    assert [role(n) for n in ("RZ_AREA", "rz_area", "Parking-1", "my SETBACK", "x")] == ["PLOT_BOUNDARY", "PLOT_BOUNDARY", "PARKING", "SETBACK_LINE", "UNKNOWN"]
+    assert one(spark, D.dimension_kinds(F.lit(41.0), F.lit("ground/top"))) == ["GROUND_REFERENCE", "TRUE_BUILDING_TOP"]
+    assert one(spark, D.dimension_kinds(F.lit(1.0), F.lit(None).cast("string"))) == []
+    cover = lambda f: one(spark, D.page_coverage(F.array(F.lit("a"), F.lit("b")), F.array(*map(F.lit, f)).cast("array<string>")))
+    assert [cover(f) for f in (["a", "b"], ["b"], ["c"])] == ["FULL", "PARTIAL", "UNADDRESSED"]
+    assert one(spark, D.worldfile(F.lit("0.5\n0\n0\n-0.5\n100\n200\n"))).x == 100.0 and one(spark, D.worldfile(F.lit("1"))) is None
+    points = F.array(*(F.struct(F.lit(float(v)).alias("x"), F.lit(1.0).alias("y")) for v in (1, 50, 60)))
+    assert one(spark, D.outside_bounds(points, 0, 0, 10, 10)) is True
+    assert D.resolved_headers([" Status ", "ID"], {"id": ["id"], "status": ["state", "status"]}, {"id"}) == {"id": "ID", "status": " Status "}
+    with pytest.raises(ValueError, match="missing"):
+        D.resolved_headers(["x"], {"id": ["id"]}, {"id"})

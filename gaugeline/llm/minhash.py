@@ -31,6 +31,8 @@ from .graph import components
 SHINGLE = 5
 BANDS, ROWS = 32, 5
 PERMUTATIONS = BANDS * ROWS // 2
+#: Parts of the universe of shingles in which shared elements are counted.
+PARTS = 64
 
 
 def sets_of(batch_text, k: int):
@@ -83,27 +85,36 @@ def sketcher(k: int, bands: int, rows: int):
 
 
 def set_writer(k: int):
+    """Each text's set, and how many of its elements fall into each of PARTS parts of the universe."""
+
     def run(batches):
         with np.errstate(over="ignore"):
             for b in batches:
                 ids = b.column(0)
                 for i, x, begin in sets_of(b.column(1), k):
+                    n = len(begin) - 1
+                    doc = np.repeat(np.arange(n), np.diff(begin))
+                    parts = np.bincount(doc * PARTS + (x & U(PARTS - 1)).astype(np.int64), minlength=n * PARTS).astype(np.int32)
                     sets = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(x.view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([ids.slice(i, len(begin) - 1), sets], names=["id", "elements"])
+                    parts = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * PARTS), pa.array(parts))
+                    yield pa.RecordBatch.from_arrays([ids.slice(i, n), sets, parts], names=["id", "elements", "parts"])
 
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int, k: int, label: str) -> DataFrame:
-    """Of pairs(a, b), those whose full sets reach percent similarity."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi").mapInArrow(set_writer(k), "id long, elements array<long>")
-    # an id that several rows repeat is linked if any of its rows is
-    sets = staged(texts, f"{label}-sets")
-    left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
+def sets_for(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, elements, parts) of the documents in ids(doc_id), staged.  Texts are joined by a merge at every size."""
+    some = docs.hint("merge").join(ids.distinct().hint("merge"), "doc_id", "left_semi")
+    return staged(some.mapInArrow(set_writer(k), "id long, elements array<long>, parts array<int>"), "mh-sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs(a, b), those whose full sets reach percent similarity; an id that several rows repeat
+    is linked if any of its rows is."""
+    left, right = sets.select("id", "elements").toDF("a", "x"), sets.select("id", "elements").toDF("b", "y")
     both = F.size(F.array_intersect("x", "y"))
     return (
-        pairs.join(left, "a").join(right, "b")
+        pairs.hint("merge").join(left.hint("merge"), "a").join(right.hint("merge"), "b")
         .where(F.lit(100) * both >= F.lit(percent) * (F.size("x") + F.size("y") - both))
         .select("a", "b").distinct()
     )
@@ -115,19 +126,21 @@ def spanning(rows: DataFrame) -> DataFrame:
     return rows.join(mixed, "bucket", "left_semi").select(rows.columns)
 
 
-def shared_counts(rows: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, shared): how many of a set's elements any other set of these rows has.
+def shared_counts(ids: DataFrame, sets: DataFrame) -> DataFrame:
+    """(doc_id, shared, parts): how many of a set's elements any other set of these ids has, in all and by part.
 
     Elements of one set only are counted by their one owner, so nothing is joined
     back and a common element costs one row for each task."""
-    ids = rows.select("doc_id").distinct()
-    sets = staged(docs.join(ids, "doc_id", "left_semi").mapInArrow(set_writer(k), "id long, elements array<long>"), "mh-open-sets")
+    sets = sets.join(ids.distinct().withColumnRenamed("doc_id", "id"), "id", "left_semi")
     own = (
         sets.select("id", F.explode("elements").alias("e")).groupBy("e").agg(F.min("id").alias("id"), F.max("id").alias("hi"))
-        .where("id = hi").groupBy("id").count()
+        .where("id = hi").groupBy("id", F.col("e").bitwiseAND(F.lit(PARTS - 1)).alias("part")).count()
+        .groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("part", "count"))).alias("own"))
     )
-    size = sets.groupBy("id").agg(F.max(F.size("elements")).alias("n"))
-    return size.join(own, "id", "left").select(F.col("id").alias("doc_id"), (F.col("n") - F.coalesce("count", F.lit(0))).alias("shared"))
+    size = sets.groupBy("id").agg(F.max("parts").alias("parts"))
+    rest = F.transform("parts", lambda n, i: n - F.coalesce(F.try_element_at("own", i.cast("long")), F.lit(0).cast("long")))
+    out = size.join(own, "id", "left").select(F.col("id").alias("doc_id"), rest.alias("parts"))
+    return out.select("doc_id", F.aggregate("parts", F.lit(0).cast("long"), lambda x, y: x + y).alias("shared"), "parts")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -154,7 +167,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE, bands:
     star = staged(
         crowded.where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct(), "mh-star"
     )
-    edges = staged(verified(star, base, percent, k, "mh-star"), "mh-links")
+    sets = sets_for(base, star.select(F.col("a").alias("doc_id")).union(star.select("b")), k)
+    edges = staged(verified(star, sets, percent), "mh-links")
     same = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     comp = components(edges.union(same), "mh-cc1")
     # buckets that still hold several components: compare across components
@@ -162,8 +176,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE, bands:
         "bucket", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")
     )
     open_ = staged(spanning(tagged), "mh-open")
-    shared = shared_counts(open_, base, k)
-    rich = open_.join(shared, "doc_id").select("bucket", "doc_id", "n_shingles", "component", "shared")
+    shared = shared_counts(open_.select("doc_id"), sets)
+    rich = open_.join(shared, "doc_id").select("bucket", "doc_id", "n_shingles", "component", "shared", "parts")
     # a link needs an intersection of least * (n + n') / (100 + percent); no set has more than its shared elements
     least = rich.groupBy("bucket").agg(F.min("n_shingles").alias("least"))
     able = rich.join(least, "bucket").where(F.lit(100 + percent) * F.col("shared") >= F.lit(percent) * (F.col("n_shingles") + F.col("least")))
@@ -174,27 +188,30 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE, bands:
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = staged(second.join(tried, ["a", "b"], "left_anti"), "mh-star2")
     if second.limit(1).count():
-        edges = staged(edges.union(verified(second, base, percent, k, "mh-star2")), "mh-links2")
+        edges = staged(edges.union(verified(second, sets, percent)), "mh-links2")
         comp = components(edges.union(same), "mh-cc2")
         able = able.drop("component").join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
-            "bucket", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"), "shared"
+            "bucket", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"), "shared", "parts"
         )
         able = staged(spanning(able), "mh-able2")
         tried = tried.union(second)
-    # what is left: every pair of two components in a bucket, emitted in the first bucket both texts share
+    # what is left: every pair of two components in a bucket that the shared elements, part by part, still
+    # allow, emitted in the first bucket both texts share
     able = able.join(able.groupBy("doc_id").agg(F.sort_array(F.collect_set("bucket")).alias("all")), "doc_id").select(*able.columns, "all")
-    x, y = able.toDF("bucket", "a", "na", "ca", "sa", "xs"), able.toDF("bucket", "b", "nb", "cb", "sb", "ys")
+    x, y = able.toDF("bucket", "a", "na", "ca", "sa", "px", "xs"), able.toDF("bucket", "b", "nb", "cb", "sb", "py", "ys")
+    enough = lambda most: F.lit(100 + percent) * most >= F.lit(percent) * (F.col("na") + F.col("nb"))
+    bound = F.aggregate(F.zip_with("px", "py", lambda m, n: F.least(m, n)), F.lit(0).cast("long"), lambda m, n: m + n)
     cross = staged(
         x.join(y, "bucket")
         .where("a < b and ca <> cb")
-        .where(F.lit(100 + percent) * F.least("sa", "sb") >= F.lit(percent) * (F.col("na") + F.col("nb")))
+        .where(enough(F.least("sa", "sb"))).where(enough(bound))
         .where(F.element_at(F.array_intersect("xs", "ys"), 1) == F.col("bucket"))
         .select("a", "b")
         .join(tried, ["a", "b"], "left_anti"),
         "mh-cross",
     )
     if cross.limit(1).count():
-        more = staged(verified(cross, base, percent, k, "mh-cross"), "mh-more")
+        more = staged(verified(cross, sets, percent), "mh-more")
         if more.limit(1).count():
             comp = components(edges.union(same).union(more), "mh-cc3")
     out = sketch.select("doc_id", "n_shingles").join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left")

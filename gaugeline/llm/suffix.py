@@ -5,7 +5,7 @@ ANCHOR-byte string with the smallest hash (the leftmost of equals) is fixed by t
 window's bytes alone, so equal windows have equal anchors at equal offsets.  Only the
 suffixes that start at anchors are indexed (about one in (min_bytes - ANCHOR) / 2), each
 with the run of windows it anchors.  A batch's suffix array is the table of these
-suffixes ordered by the hash of their leading ANCHOR bytes, sharded by it: what is equal
+suffixes ordered by the hash of their leading ANCHOR bytes, in sorted shards: what is equal
 is adjacent, which is all that a merge-scan asks of the order.
 
 A new batch is merge-scanned within itself and against every level for suffixes with
@@ -126,7 +126,7 @@ class Family:
 
     def add(self, batch: DataFrame) -> None:
         """Scan a batch (anchor, whole, key, pos, n, lead) within itself and against the levels, then merge."""
-        array = suffix_array(batch, 1)
+        array = batch  # sorted shards, as it was staged
         mine = staged(array.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")), "sa-anchors")
         met = mine.where("c > 1").select("anchor")
         for _, level in self.levels:
@@ -138,8 +138,9 @@ class Family:
             _, other = self.levels.pop()
             size *= 2
             merged = suffix_array(array.unionByName(other), size)
-            drop_staged(array)
-            drop_staged(other)
+            for old in (array, other):
+                if old is not batch and hasattr(old, "staged_path"):
+                    drop_staged(old)
             array = merged
         self.levels.append((size, array))
 
@@ -150,20 +151,27 @@ class Family:
 
 
 def suffix_array(rows: DataFrame, size: int) -> DataFrame:
-    return staged(rows.repartition("anchor").sortWithinPartitions("anchor", "whole"), f"sa-level{size}")
+    """Sorted shards.  Rows of one beginning may lie in several, so a common one fills no task."""
+    return staged(rows.sortWithinPartitions("anchor", "whole"), f"sa-level{size}")
 
 
-def cuts(n: int, lead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, windows, block number) of a run's blocks.  Window x has its anchor lead - x bytes in;
-    a block holds the windows of one BLOCK of such offsets, so equal windows fall into equal blocks."""
-    block = (lead - np.arange(n)) // BLOCK
-    first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-    return first, np.diff(np.concatenate([first, [n]])), block[first]
+def pieces(t: np.ndarray, h: Hasher, pos: np.ndarray, least: int):
+    """(which of the runs at pos, first byte, prefix hashes) for pieces of a text, CHUNK starts at a time."""
+    part = pos // CHUNK
+    order = np.argsort(part, kind="stable")
+    for k in np.unique(part):
+        a = int(k) * CHUNK
+        yield order[part[order] == k], a, h.prefix(t[a : a + CHUNK + 2 * least])
+
+
+def run_columns(wanted: list[dict], names: tuple[str, ...]) -> tuple[np.ndarray, ...]:
+    return tuple(np.array([r[n] for r in wanted], np.int64) for n in names)
 
 
 def cut_blocks(least: int):
-    """Blocks of windows of the wanted runs: the bytes all windows of a block have in common wherever
-    its run is cut, and all the block's bytes."""
+    """Blocks of windows of the wanted runs.  Window x of a run has its anchor lead - x bytes in; a block holds
+    the windows of one BLOCK of such offsets, so equal windows fall into equal blocks.  Hashed are the bytes all
+    windows of a block have in common, wherever its run is cut, and all the block's bytes."""
 
     def run(batches):
         h = Hasher(43)
@@ -173,20 +181,23 @@ def cut_blocks(least: int):
                 data, off = column_bytes(b.column("text"))
                 cols: list[list] = [[] for _ in range(6)]
                 for i, wanted in enumerate(want):
-                    t = data[off[i] : off[i + 1]]
-                    for r in wanted:
-                        p, n, lead = r["pos"], r["n"], r["lead"]
-                        s = h.prefix(t[p : p + n + least - 1])
-                        x, m, block = cuts(n, lead)
-                        low, high = lead - block * BLOCK, lead - block * BLOCK - BLOCK + 1 + least
+                    pos, n, lead, anchor = run_columns(wanted, ("pos", "n", "lead", "anchor"))
+                    for own, base, s in pieces(data[off[i] : off[i + 1]], h, pos, least):
+                        high, count = lead[own] // BLOCK, lead[own] // BLOCK - (lead[own] - n[own] + 1) // BLOCK + 1
+                        r = np.repeat(own, count)
+                        block = np.repeat(high, count) - (np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count))
+                        x = np.maximum(0, lead[r] - block * BLOCK - BLOCK + 1)
+                        m = np.minimum(n[r] - 1, lead[r] - block * BLOCK) - x + 1
+                        at = pos[r] - base
                         tag = block.astype(np.uint64) * U(2)
-                        core = mix(h.spans(s, np.minimum(low, len(s) - 1), high) + tag + U(1))
-                        full = mix(h.spans(s, x, x + m + least - 1) + tag + (m.astype(np.uint64) << U(20)))
-                        for c, v in zip(cols, (np.full(len(x), i), np.full(len(x), r["anchor"], np.int64), core.view(np.int64), full.view(np.int64), p + x, m), strict=True):
+                        last = len(s) - 1
+                        core = mix(h.spans(s, np.minimum(at + lead[r] - block * BLOCK, last), np.clip(at + lead[r] - block * BLOCK - BLOCK + 1 + least, 0, last)) + tag + U(1))
+                        full = mix(h.spans(s, at + x, at + x + m + least - 1) + tag + (m.astype(np.uint64) << U(20)))
+                        for c, v in zip(cols, (np.full(len(r), i), anchor[r], core.view(np.int64), full.view(np.int64), pos[r] + x, m), strict=True):
                             c.append(v)
                 if cols[0]:
-                    row, k, core, full, pos, m = map(np.concatenate, cols)
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(core), pa.array(full), keys.take(pa.array(row)), pa.array(pos), pa.array(m.astype(np.int32))], names=["anchor", "core", "full", "key", "pos", "m"])
+                    row, k, core, full, place, m = map(np.concatenate, cols)
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(core), pa.array(full), keys.take(pa.array(row)), pa.array(place), pa.array(m.astype(np.int32))], names=["anchor", "core", "full", "key", "pos", "m"])
 
     return run
 
@@ -198,17 +209,18 @@ def each_window(least: int):
             for b in batches:
                 keys, want = b.column("key"), b.column("runs").to_pylist()
                 data, off = column_bytes(b.column("text"))
-                row, k, w, pos = [], [], [], []
+                cols: list[list] = [[] for _ in range(4)]
                 for i, wanted in enumerate(want):
-                    t = data[off[i] : off[i + 1]]
-                    for r in wanted:
-                        p, m = r["pos"], r["m"]
-                        row.append(np.full(m, i))
-                        k.append(np.full(m, r["anchor"], np.int64))
-                        w.append(mix(starting(h, h.prefix(t[p : p + m + least - 1]), least)).view(np.int64))
-                        pos.append(np.arange(p, p + m))
-                if row:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(k)), pa.array(np.concatenate(w)), keys.take(pa.array(np.concatenate(row))), pa.array(np.concatenate(pos))], names=["anchor", "hash", "key", "pos"])
+                    pos, m, anchor = run_columns(wanted, ("pos", "m", "anchor"))
+                    for own, base, s in pieces(data[off[i] : off[i + 1]], h, pos, least):
+                        r = np.repeat(own, m[own])
+                        p = pos[r] + np.arange(len(r)) - np.repeat(np.cumsum(m[own]) - m[own], m[own])
+                        hashes = mix(h.spans(s, p - base, p - base + least)).view(np.int64)
+                        for c, v in zip(cols, (np.full(len(r), i), anchor[r], hashes, p), strict=True):
+                            c.append(v)
+                if cols[0]:
+                    row, k, w, place = map(np.concatenate, cols)
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(w), keys.take(pa.array(row)), pa.array(place)], names=["anchor", "hash", "key", "pos"])
 
     return run
 
@@ -228,14 +240,16 @@ def find_repeats(texts: DataFrame, least: int = MIN_BYTES, batches: int = BATCHE
     text, and rows of one key count once."""
     rows = texts.where(F.octet_length("text") >= least)
     made = rows.mapInArrow(indexer(least), "anchor long, whole long, key string, pos long, n int, lead int").distinct()
-    made = staged(made.withColumn("batch", F.pmod(F.xxhash64("key"), F.lit(batches)).cast("int")), "sa-batches", "batch")
+    made = made.withColumn("batch", F.pmod(F.xxhash64("key"), F.lit(batches)).cast("int")).sortWithinPartitions("batch", "anchor", "whole")
+    made = staged(made, "sa-batches", "batch")
     family = Family()
     for i in range(batches):
         family.add(made.where(F.col("batch") == i).drop("batch"))
-    drop_staged(made)
     cand = staged(family.candidates(), "sa-candidates")
+    drop_staged(made)
     for _, level in family.levels:
-        drop_staged(level)
+        if hasattr(level, "staged_path"):
+            drop_staged(level)
     again, differ = kinds_of(cand, ["anchor"], "whole", ["n", "lead"])
     spans = [cand.join(again, ["anchor", "whole"], "left_semi").select("key", F.col("pos").alias("a"), (F.col("pos") + F.col("n") + least - 1).alias("b"))]
     want = differ.groupBy("key").agg(F.collect_list(F.struct("pos", "n", "lead", "anchor")).alias("runs"))

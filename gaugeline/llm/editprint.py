@@ -20,6 +20,7 @@ an empty result.  A single document is its own next.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .bytehash import U, mix, table
 from .common import staged
+from .graph import components
 
 #: Expected samples of a text at its level lie between TARGET and twice that.
 TARGET = 128
@@ -35,8 +37,6 @@ TARGET = 128
 CHUNK_CHARS = 1 << 20
 #: Phases after which the walk's bits repeat, kinds of characters it tells apart, characters of a segment.
 PERIOD, CLASSES, SEGMENT = 32, 1 << 10, 2048
-#: Banding of similar_pairs: bands of SAMPLED digits each.
-BANDS, SAMPLED = 16, 6
 #: Documents between two boundaries of the doc_id order.
 RANGE_ROWS = 4096
 #: Ranges at most (their bounds are literals); beyond, ranges hold more rows, which are streamed.
@@ -151,6 +151,13 @@ def fingerprints(texts: list[str], walk: Walk) -> list[str]:
     return out
 
 
+def depths(walk: Walk, level: int, n: int) -> np.ndarray:
+    """Depths of the first n steps sampled at a level."""
+    while len(steps := walk.sampled(level)) < n:
+        walk.grow(2 * len(walk.depth) + 1024)
+    return walk.depth[steps[:n]]
+
+
 def likeness(a: str, b: str, walk: Walk) -> float:
     """0 to 1 from two fingerprints alone."""
     (la, _, a), (lb, _, b) = a.partition(":"), b.partition(":")
@@ -162,11 +169,7 @@ def likeness(a: str, b: str, walk: Walk) -> float:
 
     def at(own: str, x: str) -> np.ndarray:
         d = np.frombuffer(x.encode(), np.uint8)
-        if int(own) == level:
-            return d
-        while len(steps := walk.sampled(int(own))) < len(d):
-            walk.grow(2 * len(walk.depth) + 1024)
-        return d[walk.depth[steps[: len(d)]] >= level]
+        return d if int(own) == level else d[depths(walk, int(own), len(d)) >= level]
 
     x, y = at(la, a), at(lb, b)
     n = max(len(x), len(y))
@@ -280,32 +283,117 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def similar_pairs(prints: DataFrame, least: float = 0.8) -> DataFrame:
-    """(a, b, likeness) by bit-sampled banding: each band reads SAMPLED digits at steps drawn for the
-    band, within a level; candidates meet in a band through its smallest id and are verified."""
+def share_of(least: float) -> float:
+    """The share of equal digits at which two fingerprints have the likeness least."""
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0 and at most 1")
+    return least * 15 / 16 + 1 / 16
+
+
+def block_width(least: float) -> int:
+    """Digits of a block, so that texts of likeness least differ at fewer digits than the longer one has blocks."""
+    return max(1, math.ceil(1 / (1 - share_of(least) + 1e-9)) - 1) if least < 1 else TARGET
 
-    def bands(batches):
+
+def blocks(width: int):
+    """A fingerprint's blocks at its own level and, of its nested samples, at every coarser one."""
+
+    def run(batches):
+        walk = Walk()
         for b in batches:
-            ids, keys = [], []
-            for doc, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                level, _, d = p.partition(":")
-                rng = np.random.Generator(np.random.PCG64(5))
-                for band in range(BANDS):
-                    at = rng.integers(0, TARGET // 2, SAMPLED)
-                    if doc is not None and d:
-                        ids.append(doc)
-                        keys.append(f"{level}/{band}/" + "".join(d[k % len(d)] for k in at))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string())], names=["doc_id", "bucket"])
-
-    rows = staged(prints.mapInArrow(bands, "doc_id long, bucket string"), "ep-bands")
-    centre = rows.groupBy("bucket").agg(F.min("doc_id").alias("a"))
-    pairs = rows.join(centre, "bucket").where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-
-    def verify(batches):
+            cols: list[list] = [[] for _ in range(4)]
+            for node, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own, _, d = p.partition(":")
+                own, digits = int(own), np.frombuffer(d.encode(), np.uint8)
+                depth, level = depths(walk, own, len(digits)), own
+                while len(x := digits[depth >= level]):
+                    x = x.tobytes().decode()
+                    keys = [f"{level}/{i}/{x[i : i + width]}" for i in range(0, len(x), width)]
+                    for c, v in zip(cols, ([node] * len(keys), keys, [len(x)] * len(keys), [level == own] * len(keys)), strict=True):
+                        c.extend(v)
+                    level += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.bool_()), strict=True)], names=["node", "bucket", "size", "own"])
+
+    return run
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Of pairs(a, b), those whose fingerprints reach least, with their likeness."""
+
+    def run(batches):
         walk = Walk()
         for b in batches:
             x, y = b.column("x").to_pylist(), b.column("y").to_pylist()
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array([likeness(p, q, walk) for p, q in zip(x, y, strict=True)], pa.float64())], names=["a", "b", "likeness"])
 
+    prints = nodes.select("node", "fingerprint")
     both = pairs.join(prints.toDF("a", "x"), "a").join(prints.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(verify, "a long, b long, likeness double").where(F.col("likeness") >= least)
+    return both.mapInArrow(run, "a long, b long, likeness double").where(F.col("likeness") >= least)
+
+
+def spanning(rows: DataFrame, component: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold more than one component and a text of the bucket's level."""
+    tagged = rows.join(component.toDF("node", "c"), "node", "left").select(*rows.columns, F.coalesce("c", "node").alias("component"))
+    mixed = tagged.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("own").alias("any")).where("lo <> hi and any")
+    return tagged.join(mixed.select("bucket"), "bucket", "left_semi").select(tagged.columns)
+
+
+def links_of(prints: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, links, components): each different fingerprint is a node(node, fingerprint); the links
+    (a, b, likeness) found join all nodes that any links of likeness least join.
+
+    Blocks are disjoint, and a digit that differs or is missing spoils one, so two alike texts share a block
+    at the coarser of their levels: no link is lost to the blocks.  Buckets are first tried through one
+    text, then through another drawn for each bucket; what stays open is compared across components."""
+    # staged, so that the numbers stay
+    nodes = staged(prints.select("fingerprint").distinct().withColumn("node", F.monotonically_increasing_id()), "ep-nodes")
+    rows = nodes.select("node", "fingerprint").mapInArrow(blocks(block_width(least)), "node long, bucket string, size int, own boolean")
+    rank = nodes.select("node", F.xxhash64("fingerprint").alias("rank"))
+    rows = staged(rows.withColumn("bucket", F.xxhash64("bucket")).join(rank, "node"), "ep-blocks")
+    close = F.least("m", "n") >= F.lit(share_of(least) - 1e-9) * F.greatest("m", "n")  # a missing digit differs
+    no_links = nodes.where("1 = 0").select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("likeness"))
+    links, tried, component = no_links, no_links.select("a", "b"), no_links.select("a", "b")
+    for turn, order in enumerate((F.col("rank"), F.xxhash64("rank", "bucket"), None)):
+        rows = staged(spanning(rows.drop("component"), component), f"ep-open{turn}")
+        if order is not None:
+            # a pair is compared at the coarser of its levels, so the centre is a text of the bucket's level
+            centre = rows.where("own").groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", "size", "component")).alias("c"))
+            pairs = rows.join(centre, "bucket").where("component <> c.component").select(F.col("node").alias("a"), "c.node", F.col("size").alias("m"), F.col("c.size").alias("n")).toDF("a", "b", "m", "n")
+        else:
+            x = rows.select("bucket", F.col("node").alias("a"), F.col("size").alias("m"), F.col("own").alias("mine"), F.col("component").alias("ca"))
+            y = rows.select("bucket", F.col("node").alias("b"), F.col("size").alias("n"), F.col("own").alias("theirs"), F.col("component").alias("cb"))
+            pairs = x.join(y, "bucket").where("a < b and ca <> cb and (mine or theirs)")
+        pairs = pairs.where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), f"ep-pairs{turn}")
+        if pairs.limit(1).count():
+            links = staged(links.union(verified(pairs, nodes, least)), f"ep-links{turn}")
+            component = components(links, f"ep-cc{turn}")
+            tried = tried.union(pairs)
+    return nodes, links, component
+
+
+def similar_pairs(prints: DataFrame, least: float = 0.8) -> DataFrame:
+    """(a, b, likeness): links between doc_ids that join all documents which any links of likeness least
+    join; of equal fingerprints the smallest doc_id stands for all.  A null doc_id takes no part."""
+    prints = prints.toDF("doc_id", "fingerprint").where("doc_id is not null").distinct()
+    nodes, links, _ = links_of(prints, least)
+    rep = staged(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "ep-reps")
+    same = prints.join(rep, "fingerprint").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("likeness"))
+    ids = nodes.join(rep, "fingerprint").select("node", "rep")
+    other = links.join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "likeness")
+    return same.unionByName(other).groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
+
+
+def similar_classes(prints: DataFrame, least: float = 0.8) -> DataFrame:
+    """(doc_id, class_id, n_docs, n_links), a row for each row of prints(doc_id, fingerprint), null and repeated
+    doc_ids included.  Documents joined by links of likeness least have one class_id, a hash of the class's
+    first fingerprint; n_links counts the links confirmed between its different fingerprints."""
+    prints = staged(prints.toDF("doc_id", "fingerprint"), "ep-prints")
+    nodes, links, component = links_of(prints, least)
+    own = staged(nodes.join(component.toDF("node", "c"), "node", "left").select("node", "fingerprint", F.coalesce("c", "node").alias("component")), "ep-classes")
+    n = links.join(own.select(F.col("node").alias("a"), "component"), "a").groupBy("component").agg(F.count(F.lit(1)).alias("n_links"))
+    size = prints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("docs"))
+    about = own.join(size, "fingerprint").groupBy("component").agg(F.md5(F.min("fingerprint").cast("binary")).alias("class_id"), F.sum("docs").alias("n_docs"))
+    about = about.join(n, "component", "left").select("component", "class_id", "n_docs", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    named = own.join(about, "component").select("fingerprint", "class_id", "n_docs", "n_links")
+    return prints.join(named, "fingerprint").select("doc_id", "class_id", "n_docs", "n_links")

@@ -28,6 +28,10 @@ def op3_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editprint.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op3_similar_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editprint.similar_classes(editprint.fingerprint(table(spark, sf_dir, "documents")))
+
+
 def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix.remove_repeats(docs, least=400, keep_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -79,7 +83,7 @@ def op10_reply_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     own = (
-        op1_minmax_near_duplicates, op2_entropy_mixing, op3_edit_fingerprints, op4_suffix_repeats, op5_weak_toxicity,
+        op1_minmax_near_duplicates, op2_entropy_mixing, op3_edit_fingerprints, op3_similar_classes, op4_suffix_repeats, op5_weak_toxicity,
         op6_subword_quality, op7_bpe_transducer, op8_rule_ledger, op9_warc_chunks, op10_reply_tree_chat,
     )
     return {f.__name__: f for f in own}

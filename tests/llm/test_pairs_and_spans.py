@@ -111,6 +111,47 @@ def test_shifted_text_stays_near(spark):
     assert [(r.a, r.b, r.likeness) for r in editprint.similar_pairs(editprint.fingerprint(d)).collect()] == [(1, 2, 1.0)]
 
 
+def test_similar_classes_equal_brute_force(spark):
+    rng = random.Random(11)
+    prose = lambda n: "".join(rng.choice("abcdefghij klmnop ") for _ in range(n))
+    rows, edit = [], "an inserted piece of text"
+    for size in (300, 2040, 5000):  # 2040 + 25 crosses a level border
+        for _ in range(4):
+            t = prose(size)
+            rows += [t, t[: size // 60] + edit + t[size // 60 :], t[: size // 2] + edit + t[size // 2 :], t + edit, t]
+    # a chain: the ends resemble the middle, which need not be the smallest id
+    t = prose(3000)
+    rows += ["#" * 330 + t[330:], t[:-330] + "#" * 330, t]
+    docs = [(None if i % 7 == 0 else i // 2, t) for i, t in enumerate(rows)] + [(900, ""), (901, None)]
+    prints = [r.fingerprint for r in editprint.fingerprint(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
+    walk, parent = editprint.Walk(), list(range(len(docs)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    levels = set()
+    for i in range(len(docs)):
+        for j in range(i):
+            if editprint.likeness(prints[i], prints[j], walk) >= 0.8:
+                levels.add(prints[i].split(":")[0] != prints[j].split(":")[0])
+                parent[root(i)] = root(j)
+    assert levels == {True, False}
+    want, pairs = defaultdict(list), defaultdict(set)
+    for i, (d, _) in enumerate(docs):
+        want[root(i)].append(str(d))
+        pairs[root(i)].add(prints[i])
+    table = spark.createDataFrame([(d, p) for (d, _), p in zip(docs, prints, strict=True)], "doc_id long, fingerprint string").repartition(3)
+    got = defaultdict(list)
+    for r in editprint.similar_classes(table).collect():
+        got[(r.class_id, r.n_docs, r.n_links)].append(str(r.doc_id))
+    told = sorted((sorted(members), n_docs) for (_, n_docs, _), members in got.items())
+    assert told == sorted((sorted(members), len(members)) for members in want.values())
+    least = sorted(len(p) - 1 for p in pairs.values())
+    assert all(n >= k for n, k in zip(sorted(n for _, _, n in got), least, strict=True))
+
+
 def test_empty_tables(none):
     assert minhash.near_duplicates(none).count() == 0
     assert suffix.remove_repeats(none).count() == 0

@@ -29,3 +29,15 @@ def test_pipeline(spark):
     good = labels.where("quality = 1 and toxic = 0").count()
     assert sizes[0] > 0.7 * good and sizes[1] <= sizes[0] and sizes[2] <= sizes[1] and sizes[3] == sizes[4]
     assert docs.where("n_tokens <> size(ids)").count() == 0
+
+
+def test_near_dedup_of_repeated_and_null_ids(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(100))
+    rows = [(1, text("a")), (1, text("a")), (None, text("b")), (None, text("b")), (2, text("c")), (3, text("c")), (3, text("d")), (None, text("d") + " more"), (None, None), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = queries.chat.staged(corpus_pipeline.drop_near_duplicates(spark, docs, ""), "test-kept")
+    want = [(1, text("a")), (None, text("b")), (2, text("c")), (3, text("d")), (None, None)]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+    # no copy is left that the next stage would remove whole
+    left = corpus_pipeline.cut_repeats(spark, kept, "").collect()
+    assert sorted(((r.doc_id, r.text) for r in left if r.text), key=str) == sorted(want[:4], key=str)

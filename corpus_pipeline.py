@@ -16,8 +16,8 @@ from gaugeline.llm.queries import RANKS, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document goes if its quality score is lower.
 LEAST_QUALITY = 0.5
-#: Similarity in percent, and bytes of a repeated passage (50 words of five letters have 300).
-NEAR, PASSAGE = 80, 256
+#: Similarity in percent; a repeated passage has so many bytes, or, if its words are short, so many words.
+NEAR, PASSAGE, PASSAGE_WORDS = 80, 256, 51
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated passages from the texts; a document of which no word is left goes."""
-    cut = suffix.remove_repeats(docs.select(*COLUMNS), PASSAGE).select(
+    cut = suffix.remove_repeats(docs.select(*COLUMNS), PASSAGE, words=PASSAGE_WORDS).select(
         "doc_id", F.col("kept_text").alias("text"), "lang", "source", F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"), "n_removed"
     )
     return cut.where((F.col("n_removed") == 0) | (mixing.words(F.col("text")) > 0)).select(*COLUMNS)

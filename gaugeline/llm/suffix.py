@@ -265,6 +265,50 @@ def find_repeats(texts: DataFrame, least: int = MIN_BYTES, batches: int = BATCHE
     return staged(reduce(DataFrame.unionByName, spans), "sa-spans")
 
 
+def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the words between ASCII white space."""
+    inside = np.concatenate([[False], ~((data == 0x20) | ((data >= 0x09) & (data <= 0x0D))), [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    return edge[::2], edge[1::2]
+
+
+def word_windows(words: int, least: int):
+    """Windows of so many whole words that have under least bytes, which windows of least bytes miss."""
+
+    def run(batches):
+        for b in batches:
+            keys = b.column(0).to_pylist()
+            data, off = column_bytes(b.column(1))
+            rows: list[tuple] = []
+            for i, key in enumerate(keys):
+                text = data[off[i] : off[i + 1]]
+                begin, end = word_bounds(text)
+                n = max(0, len(begin) - words + 1)
+                begin, end = begin[:n], end[words - 1 :]
+                for at in np.flatnonzero(end - begin < least):
+                    x, y = int(begin[at]), int(end[at])
+                    rows.append((hashlib.blake2b(text[x:y].tobytes(), digest_size=16).digest(), key, x, y))
+                    if len(rows) >= 100_000:
+                        yield entries(rows)
+                        rows = []
+            yield entries(rows)
+
+    def entries(rows):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.string(), pa.int64(), pa.int64()))], names=["hash", "key", "a", "b"]
+        )
+
+    return run
+
+
+def find_short_repeats(texts: DataFrame, words: int, least: int) -> DataFrame:
+    """(key, a, b) of the repeated windows of so many words that have under least bytes."""
+    made = staged(texts.mapInArrow(word_windows(words, least), "hash binary, key string, a long, b long").distinct(), "sa-word-windows")
+    place = F.struct("key", "a")
+    again = made.groupBy("hash").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("hash")
+    return made.join(again, "hash", "left_semi").select("key", "a", "b")
+
+
 def merged_spans(spans: list[dict], n: int) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted((s["a"], s["b"]) for s in spans):
@@ -275,14 +319,17 @@ def merged_spans(spans: list[dict], n: int) -> list[tuple[int, int]]:
     return [(a, min(b, n)) for a, b in out]
 
 
-def cutter(least: int, keep_text: bool):
+def cutter(least: int, keep_text: bool, words: int | None = None):
+    def whole(data: bytes) -> bool:
+        return len(data) >= least or (words is not None and len(word_bounds(np.frombuffer(data, np.uint8))[0]) >= words)
+
     def run(batches):
         for b in batches:
             rows = []
             for text, spans, copies in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), b.column("copies").to_pylist(), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 n = len(data)
-                cut = [(0, n)] if copies and n >= least else merged_spans(spans or [], n)
+                cut = [(0, n)] if copies and whole(data) else merged_spans(spans or [], n)
                 at, kept, digest = 0, [], hashlib.sha256()
                 for a, e in [*cut, (n, n)]:
                     kept.append(data[at:a])
@@ -301,18 +348,22 @@ def cutter(least: int, keep_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, least: int = MIN_BYTES, batches: int = BATCHES, keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = MIN_BYTES, batches: int = BATCHES, keep_text: bool = True, words: int | None = None) -> DataFrame:
     """The columns of docs but text (rows may have no column of the names added), with n_bytes, n_removed,
-    n_spans, kept_sha256, kept_text, spans: every byte of a least-byte string that also starts elsewhere goes."""
+    n_spans, kept_sha256, kept_text, spans: every byte of a least-byte string that also starts elsewhere goes.
+    With words, every byte of a repeated passage of so many words goes too, however few bytes it has."""
     if least < ANCHOR + BLOCK:
         raise ValueError(f"least must be {ANCHOR + BLOCK} or more")
     rest = [c for c in docs.columns if c != "text"]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.struct(*rest).alias("row"), text.alias("text"), F.substring(F.sha2(text, 256), 1, 32).alias("key"))
     copies = base.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.lit(True).alias("copies"))
-    spans = find_repeats(base.select("key", "text"), least, batches).groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    spans = find_repeats(base.select("key", "text"), least, batches)
+    if words is not None:
+        spans = spans.unionByName(find_short_repeats(base.select("key", "text"), words, least))
+    spans = spans.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     about = staged(spans.join(copies, "key", "full_outer"), "sa-about")
     rows = base.join(about, "key", "left").select("row", "text", "spans", F.coalesce("copies", F.lit(False)).alias("copies"))
     made = T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, spans array<struct<a long, b long>>")
-    cut = rows.mapInArrow(cutter(least, keep_text), T.StructType([rows.schema["row"], *made.fields]))
+    cut = rows.mapInArrow(cutter(least, keep_text, words), T.StructType([rows.schema["row"], *made.fields]))
     return cut.select("row.*", *made.names)

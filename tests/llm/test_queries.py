@@ -41,3 +41,13 @@ def test_near_dedup_of_repeated_and_null_ids(spark):
     # no copy is left that the next stage would remove whole
     left = corpus_pipeline.cut_repeats(spark, kept, "").collect()
     assert sorted(((r.doc_id, r.text) for r in left if r.text), key=str) == sorted(want[:4], key=str)
+
+
+def test_passages_of_short_words_are_cut(spark):
+    passage = " ".join("aé"[i * i % 7 % 2] + "bcdfgh"[i % 5] for i in range(51))
+    assert len(passage.encode()) < corpus_pipeline.PASSAGE
+    phrase = " ".join(passage.split()[1:])
+    texts = [f"one {passage} uno", f"two\n{passage}\tdue", f"three {phrase} tre", f"four {phrase} quattro", f"five {phrase}x cinque"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    assert got == {0: "one  uno", 1: "two\n\tdue"} | {i: texts[i] for i in (2, 3, 4)}

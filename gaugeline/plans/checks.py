@@ -76,4 +76,5 @@ def variant_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def job_lifecycle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.run_available(spark, sf_dir, "events.parquet")
+    """All windows, those too that a stream (jobs.run_available) still holds open at its end."""
+    return jobs.lifecycle(table(spark, sf_dir, "events"))

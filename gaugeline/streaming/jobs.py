@@ -14,6 +14,8 @@ def lifecycle(events: DataFrame, late: str = "1 day", width: str = "1 day") -> D
     e = events.withColumn("ts", F.col("ts").cast("timestamp"))
     if e.isStreaming:
         e = e.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    else:
+        e = e.dropDuplicates(["event_id"])
     return e.groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 

@@ -43,6 +43,21 @@ def test_stream_matches_batch(spark, sf):
     assert stream and all(batch[k] == v for k, v in stream.items())
 
 
+def test_lifecycle_has_the_last_windows(spark, sf):
+    from pyspark.sql import functions as F
+
+    from gaugeline.streaming.jobs import run_available
+
+    rows = QUERIES["job_lifecycle_stream"](spark, sf).collect()
+    got = {(r.start, r.event_type): (r.n, round(r.total, 6)) for r in rows}
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    assert sum(n for n, _ in got.values()) == events.where("ts is not null").select("event_id").distinct().count()
+    last = events.agg(F.date_trunc("day", F.max(F.col("ts").cast("timestamp")))).first()[0]
+    assert max(start for start, _ in got) == last
+    stream = {(r.start, r.event_type): (r.n, round(r.total, 6)) for r in run_available(spark, sf, "events.parquet").collect()}
+    assert stream and all(got[k] == v for k, v in stream.items())
+
+
 def test_entry_without_training_data_operators(spark):
     import __spark_entry__ as e
 

@@ -14,10 +14,13 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, one of our own."""
+    """The folder in spark.checkpoint.dir; where it is unset and the session runs on this machine alone, one
+    of our own.  A cluster must name one: a folder of one machine is not seen by the others."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="gaugeline-"))
         spark.sparkContext.setCheckpointDir(_own[0])

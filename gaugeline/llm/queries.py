@@ -34,7 +34,7 @@ def op3_similar_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffix.remove_repeats(docs, least=400, keep_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix.remove_repeats(docs, least=400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept_text").alias("text"))
 
 
 def scored(module, label: str, folds: int, out: int, spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,23 @@
 """Mixing sources to target weights by entropy balancing.
 
-Document rates exp(lambda_source) minimise the relative entropy to "take every
-document once" under the constraints that each source's expected words meet its
-target.  The convex dual is solved by damped Newton steps, each a grouped sum over
-the documents' (source, size) cells.  Rates are rounded into copies: the whole
-part for every document, and one more for the documents first in a hash order of
-doc_id until the source's remainder is used up, found by prefix sums over hash
-bins, so no source is ever gathered in one task.
+A document of so many words is taken at a rate.  The rates of a source minimise the
+relative entropy sum(r log r - r + 1) to "take every document once", under the
+constraints that its expected words meet the target and that no rate is over CAP: so
+r = min(CAP, exp(lambda * words / mean words)), tilted exponentially by the document's
+words.  The convex dual in lambda, one number a source, has no closed form; it is solved
+by Newton steps kept inside a bracket, each a grouped sum over the documents' (source,
+size) cells.
+
+Rates are rounded into copies: the whole part for every document, and one more for some
+of each cell.  How many is settled from the longest documents to the shortest, the error
+being carried on, so that a source's words miss their target by little more than half its
+shortest document; which ones, by a hash order of doc_id, found by hash bins, so that no
+cell of documents is ever gathered in one task.
 
 Defined results: null or wordless text has size 0 and is taken 0 words; a null
-source is a source of its own, last in order; rows that repeat a doc_id share a
-place in the hash order and are rounded by their text's hash; a source without
-words has target 0.  Extra columns are ignored; an empty table gives an empty result.
+source is a source of its own, last in order; rows that repeat a doc_id are told apart
+by their text's hash, and equal rows are interchangeable; a source without words has
+target 0.  Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,14 +25,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_side, staged
+from .common import BROADCAST_ROWS, small_side, staged
 
 WEIGHTS = (3, 1, 2)
 #: Of all sizes, to be taken; and of a document's or source's size, at most.
 SHARE, CAP = 1.5, 2
 #: Documents that a hash bin holds on average.
 BIN_ROWS = 4096
-TOLERANCE, MAX_STEPS = 1e-12, 60
+TOLERANCE, MAX_STEPS = 1e-12, 200
+#: Multipliers and rates are rounded to these units, so that sums taken in another order change nothing.
+LAMBDA_DIGITS, UNIT = 9, 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -56,22 +64,42 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int =
     return t.select("source", "source_size", F.least(full, F.coalesce(F.col("at") * F.col("w"), full)).alias("target"))
 
 
-def balance(cells: DataFrame, goals: DataFrame) -> DataFrame:
-    """(source, rate): Newton on the dual sum(n * size * exp(lambda)) - lambda * target."""
-    lam = staged(goals.where("source_size > 0").select("source", "target", F.lit(0.0).alias("lam")), "mix-lambda")
+def rate(cap: float) -> Column:
+    """From lam, size, mean; the exponent is held where exp is finite and above any cap."""
+    return F.least(F.lit(float(cap)), F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(500.0))))
+
+
+def balance(cells: DataFrame, goals: DataFrame, cap: float = CAP) -> DataFrame:
+    """(g, lam) for cells(g, size, n) and goals(g, target, source_size, docs): the root of the dual's gradient,
+    sum(n * size * rate) = target, for every source with words and a target between 0 and its cap."""
+    some = goals.where((F.col("source_size") > 0) & (F.col("target") > 0) & (F.col("target") < cap * F.col("source_size") * (1 - 1e-12)))
+    none = F.lit(None).cast("double")
+    state = staged(some.select("g", "target", (F.col("source_size") / F.col("docs")).alias("mean"), F.lit(0.0).alias("lam"), none.alias("lo"), none.alias("hi")), "mix-lambda")
+    few = state.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    mass = F.col("n") * F.col("size")
     for step in range(MAX_STEPS):
-        expected = cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("mass"))
-        moved = lam.join(expected, lam["source"].eqNullSafe(expected["source"])).select(
-            lam["source"], "target", "lam", (F.col("mass") * F.exp("lam")).alias("now")
-        )
-        # gradient now - target, Hessian now; a step is held to 2 either way
-        delta = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), (F.col("target") - F.col("now")) / F.col("now")))
-        moved = staged(moved.select("source", "target", (F.col("lam") + delta).alias("lam"), F.abs(delta).alias("moved")), f"mix-lambda{step}")
+        at = cells.join(F.broadcast(state) if few else state, "g")
+        slope = F.when(rate(cap) < cap, mass * F.col("size") / F.col("mean") * rate(cap)).otherwise(0.0)
+        sums = at.groupBy("g", "target", "mean", "lam", "lo", "hi").agg(F.sum(mass * rate(cap)).alias("now"), F.sum(slope).alias("slope"))
+        lo, hi = F.when(F.col("now") < F.col("target"), F.col("lam")).otherwise(F.col("lo")), F.when(F.col("now") > F.col("target"), F.col("lam")).otherwise(F.col("hi"))
+        sums = sums.withColumns({"lo": lo, "hi": hi})
+        # Newton on the logarithm of the expected words; where it leaves the bracket, halve or widen that
+        newton = F.col("lam") + F.try_divide(F.log(F.col("target") / F.col("now")) * F.col("now"), F.col("slope"))
+        inside = (F.col("lo").isNull() | (newton > F.col("lo"))) & (F.col("hi").isNull() | (newton < F.col("hi")))
+        wide = 1 + F.abs("lam")
+        other = F.when(F.col("lo").isNull(), F.col("lam") - wide).when(F.col("hi").isNull(), F.col("lam") + wide).otherwise((F.col("lo") + F.col("hi")) / 2)
+        new = F.when(F.col("now") == F.col("target"), F.col("lam")).when(F.coalesce(inside, F.lit(False)), newton).otherwise(other)
+        moved = staged(sums.select("g", "target", "mean", new.alias("lam"), "lo", "hi", (F.abs(new - F.col("lam")) / wide).alias("moved")), f"mix-lambda{step}")
         worst = moved.agg(F.max("moved")).first()[0]
-        lam = moved.drop("moved")
+        state = moved.drop("moved")
         if worst is None or worst <= TOLERANCE:
             break
-    return lam.select("source", F.exp("lam").alias("rate"))
+    return state.select("g", F.round("lam", LAMBDA_DIGITS).alias("lam"))
+
+
+def group(source: Column) -> Column:
+    """A source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit(""))
 
 
 def tie() -> Column:
@@ -79,36 +107,59 @@ def tie() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def planned(cells: DataFrame, goals: DataFrame, cap: int = CAP) -> DataFrame:
+    """(g, size, n, base, extra): of each cell's n documents all are taken base times, and extra of them once more."""
+    lam = balance(cells, goals, cap)
+    about = goals.select("g", "target", (F.col("source_size") / F.col("docs")).alias("mean")).join(lam, "g", "left")
+    fixed = F.when(F.col("target") > 0, F.lit(float(cap))).otherwise(0.0)
+    units = F.when(F.col("size") == 0, 0).otherwise(F.round(F.coalesce(rate(cap), fixed) * UNIT)).cast("long")
+    c = cells.join(small_side(about), "g").select("g", "size", "n", units.alias("units"))
+    return c.select("g", "size", "n", "units").groupBy("g").applyInPandas(rounded, "g string, size long, n long, base long, extra long")
+
+
+def rounded(cells):
+    """From the longest documents to the shortest, extras bring the words taken so far next to the words expected so
+    far; a cell whose rate is whole takes none.  A source has a cell for each different size."""
+    cells = cells.sort_values("size", ascending=False)
+    want, took, extra = 0, 0, []
+    for size, n, units in zip(cells["size"].tolist(), cells["n"].tolist(), cells["units"].tolist(), strict=True):
+        k = 0
+        if size and units % UNIT:
+            want += n * (units % UNIT) * size
+            k = min(n, max(0, (2 * (want - took) + size * UNIT) // (2 * size * UNIT)))
+            took += k * size * UNIT
+        extra.append(k)
+    return cells.assign(base=cells["units"] // UNIT, extra=extra)[["g", "size", "n", "base", "extra"]]
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, key: bool = False) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken[, tie]) for docs(doc_id, text, source)."""
     d = staged(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text").cast("string")).alias("size"), F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix")).alias("u"), tie().alias("tie")),
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text").cast("string")).alias("size"),
+            F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix")).alias("u"), tie().alias("tie"),
+        ).withColumn("g", group(F.col("source"))),
         "mix-docs",
     )
-    cells = staged(d.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-cells")
-    goals = staged(targets(cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("n")), weights, share, cap)
-                   .join(cells.groupBy(F.col("source").alias("s")).agg(F.sum("n").alias("n")), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "mix-goals")
-    rates = balance(cells, goals)
-    base = F.floor(F.col("rate") + F.lit(1e-9))
-    g = goals.join(rates.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select(
-        "source", "source_size", "target", F.coalesce(base, F.lit(0)).cast("long").alias("base"),
-        (F.coalesce("rate", F.lit(0.0)) * F.col("source_size") - F.coalesce(base, F.lit(0)) * F.col("source_size")).alias("rest"),
-        F.greatest(F.lit(1), F.ceil(F.col("n") / BIN_ROWS)).cast("long").alias("bins"),
-    )
-    g = small_side(staged(g, "mix-plan"))
-    d = d.join(g.withColumnRenamed("source", "s"), d["source"].eqNullSafe(F.col("s"))).drop("s")
+    cells = staged(d.groupBy("g", "source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-cells")
+    sources = cells.groupBy("g", "source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("docs"))
+    goals = staged(targets(sources, weights, share, cap).withColumn("g", group(F.col("source"))).join(sources.select("g", "docs"), "g"), "mix-goals")
+    cells = cells.select("g", "size", "n")
+    plan = staged(planned(cells, goals, cap).join(goals.select("g", "source_size", "target"), "g").withColumn("bins", F.ceil(F.col("n") / BIN_ROWS)), "mix-plan")
+    d = d.join(small_side(plan), ["g", "size"])
     d = d.withColumn("bin", F.floor((F.col("u") / F.lit(2.0**64) + 0.5) * F.col("bins")).cast("long"))
-    # words before each bin, then before each document within the bin where the remainder runs out
-    bins = d.groupBy("source", "bin").agg(F.sum("size").alias("words"))
-    before = F.sum("words").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
-    bins = small_side(staged(bins.select(F.col("source").alias("s"), F.col("bin").alias("b"), F.coalesce(before, F.lit(0)).alias("start"), "words"), "mix-bins"))
-    d = d.join(bins, d["source"].eqNullSafe(F.col("s")) & (d["bin"] == F.col("b"))).drop("s", "b")
-    edge = (F.col("start") <= F.col("rest")) & (F.col("start") + F.col("words") > F.col("rest"))
-    inside = Window.partitionBy("source", "bin").orderBy("u", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    at = d.where(edge).withColumn("start", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    extra = F.when(F.col("start") + F.col("size") / 2.0 <= F.col("rest"), 1).otherwise(0)
     out = [F.col(c) for c in ("doc_id", "source", "size", "source_size", "target", *["tie"] * key)]
-    rows = at.select(*out, (F.col("base") + extra).alias("copies")).unionByName(
-        d.where(~edge).select(*out, (F.col("base") + F.when(F.col("start") <= F.col("rest"), 1).otherwise(0)).alias("copies"))
+    open_ = (F.col("extra") > 0) & (F.col("extra") < F.col("n"))
+    alike = d.where(~open_).select(*out, (F.col("base") + (F.col("extra") > 0).cast("int")).alias("copies"))
+    # documents before each bin of the cells of several bins, then within the bin in which the extras run out
+    several = d.where(open_ & (F.col("bins") > 1)).groupBy("g", "size", "bin").agg(F.count(F.lit(1)).alias("in_bin"))
+    before = F.sum("in_bin").over(Window.partitionBy("g", "size").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+    bins = small_side(staged(several.select("g", "size", "bin", F.coalesce(before, F.lit(0)).alias("start"), "in_bin"), "mix-bins"))
+    some = d.where(open_).join(bins, ["g", "size", "bin"], "left").withColumns({"start": F.coalesce("start", F.lit(0)), "in_bin": F.coalesce("in_bin", "n")})
+    edge = (F.col("start") < F.col("extra")) & (F.col("start") + F.col("in_bin") > F.col("extra"))
+    rank = F.row_number().over(Window.partitionBy("g", "size", "bin").orderBy("u", "doc_id", "tie"))
+    rows = (
+        alike.unionByName(some.where(~edge).select(*out, (F.col("base") + (F.col("start") < F.col("extra")).cast("int")).alias("copies")))
+        .unionByName(some.where(edge).withColumn("r", F.col("start") + rank).select(*out, (F.col("base") + (F.col("r") <= F.col("extra")).cast("int")).alias("copies")))
     )
-    return rows.withColumn("copies", F.least("copies", F.lit(cap)).cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
+    return rows.withColumn("copies", F.col("copies").cast("long")).withColumn("taken", F.col("copies") * F.col("size"))

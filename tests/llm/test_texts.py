@@ -129,6 +129,43 @@ def test_mixing(docs, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_rates_are_tilted_by_each_documents_words(spark):
+    import math
+
+    sizes = {"sa": [(1, 7), (10, 300), (40, 120), (900, 3)], "sb": [(3, 5), (50, 50), (700, 9)], "s": [(20, 4)], "sc": [(5, 2)], "sd": [(0, 9)]}
+    part = {"sa": 1.7, "sb": 0.4, "s": 1.2, "sc": 2.0, "sd": 0.0}
+    cells = spark.createDataFrame([(g, s, n) for g, c in sizes.items() for s, n in c], "g string, size long, n long")
+    total = {g: sum(s * n for s, n in c) for g, c in sizes.items()}
+    docs = {g: sum(n for _, n in c) for g, c in sizes.items()}
+    goals = spark.createDataFrame([(g, part[g] * total[g], total[g], docs[g]) for g in sizes], "g string, target double, source_size long, docs long")
+    got = {r.g: r.lam for r in mixing.balance(cells, goals).collect()}
+    assert set(got) == {"sa", "sb", "s"}  # the others are at their cap or have no words
+    for g, lam in got.items():
+        rate = lambda s, x, g=g: min(2, math.exp(min(500, x * s * docs[g] / total[g])))
+        lo, hi = -300.0, 300.0
+        for _ in range(200):  # the same dual by bisection
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(n * s * rate(s, mid) for s, n in sizes[g]) < part[g] * total[g] else (lo, mid)
+        assert abs(lam - lo) < 1e-8
+        assert len(sizes[g]) == 1 or len({rate(s, lam) for s, _ in sizes[g]}) > 1
+    plan = mixing.planned(cells, goals).collect()
+    for g in sizes:
+        took = sum(r["size"] * (r.n * r.base + r.extra) for r in plan if r.g == g)
+        assert abs(took - part[g] * total[g]) <= max(s for s, _ in sizes[g]) / 2 and all(0 <= r.extra <= r.n for r in plan)
+
+
+def test_mixing_of_ties_and_many_bins(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BIN_ROWS", 8)
+    rows = [(i // 2, "a b c", "s") for i in range(300)] + [(None, "a b c", "s"), (1000, "x " * 400, "s"), (1001, "y", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r["size"] for r in got)
+    for s in "st":
+        assert abs(sum(r.taken for r in got if r.source == s) - next(r.target for r in got if r.source == s)) <= 3
+    again = mixing.mix(df.coalesce(1)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
 def test_targets_stop_at_the_cap(spark):
     rows = [("a", 1000), ("b", 10), ("c", 500), ("", 30), (None, 0), ("é", 5)]
     got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(rows, "source string, source_size long")).collect()}

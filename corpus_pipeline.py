@@ -45,12 +45,14 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    key = ["doc_id", "source", "tie"]
-    copies = mixing.mix(docs, key=True).dropDuplicates(key).select(*key, "copies").toDF("d", "s", "t", "copies")
-    own = docs.select(*COLUMNS).withColumn("tie", mixing.tie())
-    same = own["doc_id"].eqNullSafe(copies["d"]) & own["source"].eqNullSafe(copies["s"]) & (own["tie"] == copies["t"])
-    return own.join(copies, same).where("copies > 0").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(*COLUMNS)
+    """Each document as often as the mix takes it.  Rows of one doc_id, source and text are one document, whose
+    copies are those of all its rows."""
+    flat = lambda c, tag: F.coalesce(F.concat(F.lit(tag), F.col(c).cast("string")), F.lit("-"))
+    key = F.concat(flat("doc_id", "d"), F.lit("/"), F.col("tie").cast("string"), F.lit("/"), flat("source", "s")).alias("key")
+    copies = mixing.mix(docs, key=True).select(key, "copies").groupBy("key").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    own = docs.select(*COLUMNS, mixing.tie().alias("tie")).select(*COLUMNS, key).groupBy("key").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    taken = own.join(copies, "key").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    return taken.select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

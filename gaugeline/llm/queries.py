@@ -39,10 +39,10 @@ def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored(module, label: str, folds: int, out: int, spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
-    held = F.crc32(F.col("doc_id").cast("string")) % folds == out
-    model = module.fit(docs, labels.where(~held).select("doc_id", F.col(label).alias("label")))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == out, F.lit(False))
+    model = module.fit(docs.where(~held), labels.where(~held).select("doc_id", F.col(label).alias("label")))
     return module.score(docs, model).select(
-        "doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= PREDICTED).cast("int").alias("predicted")
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= PREDICTED).cast("int").alias("predicted")
     )
 
 

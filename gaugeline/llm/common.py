@@ -27,15 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
-def stage_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+def stage_path(spark: SparkSession, label: str, folder: str | None = None) -> str:
+    return f"{(folder or shared_dir(spark)).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def staged(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts lineage
-    and survives the loss of executors."""
+def staged(df: DataFrame, label: str, partition_by: str | None = None, folder: str | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder (or the one given) and read it again: cuts
+    lineage and survives the loss of executors."""
     spark = df.sparkSession
-    path = stage_path(spark, label)
+    path = stage_path(spark, label, folder)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -54,3 +54,13 @@ def drop_staged(df: DataFrame) -> None:
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def newest(spark: SparkSession, folder: str, prefix: str) -> tuple[int, str | None]:
+    """(number, path) of the finished table in folder named prefix and a number that has the largest; (0, None) without."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in store.listStatus(top)] if store.exists(top) else []
+    found = [int(n.removeprefix(prefix)) for n in names if n.startswith(prefix) and store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
+    best = max(found, default=0)
+    return best, f"{folder.rstrip('/')}/{prefix}{best}" if best else None

@@ -1,27 +1,34 @@
-"""Removal of long repeated byte strings by a logarithmic family of suffix indexes.
+"""Removal of long repeated byte strings by a logarithmic family of suffix arrays.
 
 A window of min_bytes bytes repeats if it also starts anywhere else, in any text.  Its
 ANCHOR-byte string with the smallest hash (the leftmost of equals) is fixed by the
 window's bytes alone, so equal windows have equal anchors at equal offsets.  Only the
 suffixes that start at anchors are indexed (about one in (min_bytes - ANCHOR) / 2), each
-with the run of windows it anchors.  A batch's suffix array is the table of these
-suffixes ordered by the hash of their leading ANCHOR bytes, in sorted shards: what is equal
-is adjacent, which is all that a merge-scan asks of the order.
-
-A new batch is merge-scanned within itself and against every level for suffixes with
-equal beginnings; then levels of equal size merge, as carries in a binary counter, so a
-suffix is rewritten a logarithmic number of times.  Suffixes met in a scan are resolved
-exactly: equal runs repeat whole; runs that differ are cut into blocks of windows, judged
-by the bytes that all windows of a block share and by all its bytes; the windows of
-blocks that stay open are compared one by one.  All counts are grouped sums; a group's
-members never meet in one task.
+with the run of windows it anchors.
+
+A suffix array is the table of these suffixes in the order of their bytes: by the first 16,
+then by the name (a hash) of the first ANCHOR, as prefix doubling names longer prefixes,
+then by the run's content and the place.  It is range-partitioned, so that suffixes of
+one beginning may lie in several partitions and a common one fills none; neighbours are
+compared within a partition, and the edges of partitions, two rows each, among each other.
+
+A new batch is sorted and merge-scanned against every level: neighbours that share ANCHOR
+bytes or more are met.  Levels of equal size merge with it, as carries in a binary counter,
+and a merge is a scan of its parts, so a suffix is rewritten a logarithmic number of times.
+Levels stay in a folder with numbered manifests; a later run opens it and adds its batch.
+
+Neighbours met are resolved exactly: runs equal as wholes repeat whole; runs of one anchor
+that differ are cut into blocks of windows, judged by the bytes that all windows of a block
+share and by all its bytes; the windows of blocks that stay open are compared one by one.
+Blocks and windows are ordered and scanned like suffixes, so no group's members have to
+meet in one task.
 
 Copies: each distinct text is indexed once, under a hash of its bytes; a text of at least
 min_bytes bytes that occurs twice repeats whole.
 
 Defined results: null counts as empty; texts under min_bytes bytes have no such string;
-rows that repeat a doc_id are texts like any other; extra columns are ignored; an
-empty table gives an empty result.
+rows that repeat a doc_id are texts like any other; columns of docs whose names are those
+of added ones are replaced, other extra columns stay; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,17 +38,23 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytehash import CHUNK, U, Hasher, column_bytes, mix
-from .common import drop_staged, staged
+from .common import drop_staged, newest, stage_path, staged
 
 MIN_BYTES = 400
 ANCHOR = 64
 BLOCK = 16
 BATCHES = 4
+#: Bytes of a text between whose starts spans are merged at a time.
+REACH = 1 << 16
+SUFFIX = "b0 long, b1 long, anchor long, whole long, k1 long, k2 long, pos long, n int, lead int"
+ORDER = ("b0", "b1", "anchor", "whole", "k1", "k2", "pos")
+PLACE = ("k1", "k2", "pos")
+FLAGS = ("again", "differs", "edge")
 
 
 def sliding_min_at(x: np.ndarray, w: int) -> np.ndarray:
@@ -89,70 +102,225 @@ def starting(h: Hasher, s: np.ndarray, k: int) -> np.ndarray:
     return (s[k:] - s[:n]) * h.ipw[:n]
 
 
+def heads(d: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The 16 bytes from each place as two numbers that order like the bytes."""
+    x = np.ascontiguousarray(d[at[:, None] + np.arange(16)]).view(">u8").astype(np.uint64)
+    return (x ^ U(1 << 63)).view(np.int64)
+
+
 def indexer(least: int):
     def run(batches):
         h = Hasher(43)
         with np.errstate(over="ignore"):
             for b in batches:
-                keys = b.column(0)
-                data, off = column_bytes(b.column(1))
+                data, off = column_bytes(b.column("text"))
                 out, size = [], 0
                 for i, p, d, _ in segments(data, off, least):
                     first, count, at, k, c = runs_of(h, d, least)
-                    out.append((np.full(len(first), i), k, c, first + p, count, at - first))
+                    x = heads(d, at)
+                    out.append((np.full(len(first), i), x[:, 0], x[:, 1], k.view(np.int64), c.view(np.int64), first + p, count, at - first))
                     size += len(first)
                     if size > 100_000:
-                        yield entries(keys, out)
+                        yield entries(b, out)
                         out, size = [], 0
                 if out:
-                    yield entries(keys, out)
+                    yield entries(b, out)
 
-    def entries(keys, out):
-        row, k, c, p, n, lead = (np.concatenate(x) for x in zip(*out, strict=True))
+    def entries(b, out):
+        row, b0, b1, k, c, p, n, lead = (np.concatenate(x) for x in zip(*out, strict=True))
+        row = pa.array(row)
         return pa.RecordBatch.from_arrays(
-            [pa.array(k.view(np.int64)), pa.array(c.view(np.int64)), keys.take(pa.array(row)), pa.array(p), pa.array(n.astype(np.int32)), pa.array(lead.astype(np.int32))],
-            names=["anchor", "whole", "key", "pos", "n", "lead"],
+            [pa.array(b0), pa.array(b1), pa.array(k), pa.array(c), b.column("k1").take(row), b.column("k2").take(row), pa.array(p), pa.array(n.astype(np.int32)), pa.array(lead.astype(np.int32))],
+            names=["b0", "b1", "anchor", "whole", "k1", "k2", "pos", "n", "lead"],
         )
 
     return run
 
 
-class Family:
-    """The levels, each (size in batches, suffix table), largest first, and what scans have met."""
+def neighbours(group: tuple[str, ...], kind: str, every: bool):
+    """Over sorted rows: again, the row's group and kind are also those of a neighbour at another place; differs, a
+    neighbour of its group is of another kind; edge, the partition's first or last row.  Repeated rows go; without
+    every, so do rows with no flag."""
+
+    def run(batches):
+        held, before = None, None
+        for b in batches:
+            t = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks()
+            cols = {c: t.column(c).to_numpy() for c in {*group, kind, *PLACE}}
+            new = np.ones(len(t), bool)
+            new[1:] = np.any([cols[c][1:] != cols[c][:-1] for c in (kind, *PLACE)], axis=0)
+            if not new.all():
+                t, cols = t.filter(pa.array(new)), {c: v[new] for c, v in cols.items()}
+            if not len(t):
+                continue
+            if len(t) > 1:
+                yield from told(t.slice(0, len(t) - 1), cols, before, None)
+                before = {c: v[-2] for c, v in cols.items()}
+            held = t.slice(len(t) - 1).combine_chunks().to_batches()[0]
+        if held is not None:
+            t = pa.Table.from_batches([held])
+            yield from told(t, {c: t.column(c).to_numpy() for c in {*group, kind, *PLACE}}, before, True)
+
+    def told(t, cols, before, last):
+        """cols may hold one row more than t, its next; before is the row before it, last says that none follows."""
+        n = len(t)
+        near, same = np.zeros(n + 1, bool), np.zeros(n + 1, bool)  # of rows i - 1 and i
+        if before is not None:
+            near[0] = all(cols[c][0] == before[c] for c in group)
+            same[0] = near[0] and cols[kind][0] == before[kind]
+        m = len(cols[kind])
+        if m > 1:
+            near[1:m] = np.all([cols[c][1:] == cols[c][:-1] for c in group], axis=0)
+            same[1:m] = near[1:m] & (cols[kind][1:] == cols[kind][:-1])
+        again, differs, edge = same[:-1] | same[1:], (near & ~same)[:-1] | (near & ~same)[1:], np.zeros(n, bool)
+        edge[0], edge[-1] = edge[0] or before is None, edge[-1] or bool(last)
+        for name, flag in zip(FLAGS, (again, differs, edge), strict=True):
+            t = t.append_column(name, pa.array(flag))
+        yield from (t if every else t.filter(pa.array(again | differs | edge))).to_batches()
 
-    def __init__(self):
+    return run
+
+
+def scan(rows: DataFrame, order: tuple[str, ...], group: tuple[str, ...], kind: str, label: str, every: bool = False, folder: str | None = None) -> DataFrame:
+    """rows, in order, with the flags of neighbours(); staged."""
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(f, T.BooleanType()) for f in FLAGS)])
+    found = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(neighbours(group, kind, every), schema)
+    return staged(found, label, folder=folder)
+
+
+def settled(scanned: DataFrame, group: tuple[str, ...], kind: str) -> DataFrame:
+    """The rows with a flag again or differs, after the edges of partitions have been compared.  There are two edges
+    a partition at most, so they are broadcast."""
+    edges = scanned.where("edge").select(*group, kind, *PLACE).distinct()
+    mixed = edges.groupBy(*group).agg((F.min(kind) != F.max(kind)).alias("mixed"))
+    twice = edges.groupBy(*group, kind).agg((F.count(F.lit(1)) > 1).alias("twice"))
+    found = twice.join(mixed, list(group)).where("mixed or twice")
+    flagged = scanned.where("again or differs or edge").join(F.broadcast(found), [*group, kind], "left")
+    flag = lambda f, by: (F.col(f) | (F.col("edge") & F.coalesce(by, F.lit(False)))).alias(f)
+    rest = [c for c in scanned.columns if c not in FLAGS]
+    return flagged.select(*rest, flag("again", "twice"), flag("differs", "mixed")).where("again or differs")
+
+
+def shared(new: DataFrame, level: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+    """(anchor) of the suffixes of a level and of a new batch that are neighbours, by a merge-scan of both."""
+
+    def run(batches):
+        held = None  # the last group so far: (anchor, in the batch, in the level), and whether it's the first
+        for b in batches:
+            a, n = b.column("anchor").to_numpy(), b.column("new").to_numpy(zero_copy_only=False)
+            if not len(a):
+                continue
+            first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+            x, y = np.maximum.reduceat(n, first), np.maximum.reduceat(~n, first)
+            anchor, edge = a[first], np.zeros(len(first), bool)
+            if held is None:
+                edge[0] = True
+            elif held[0] == anchor[0]:
+                x[0], y[0], edge[0] = x[0] | held[1], y[0] | held[2], held[3]
+            else:
+                yield some([held])
+            keep = (x & y | edge)[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(v[:-1][keep]) for v in (anchor, x, y)], names=["anchor", "x", "y"])
+            held = (anchor[-1], x[-1], y[-1], edge[-1])
+        if held is not None:
+            yield some([(*held[:3], True)])
+
+    def some(rows):
+        rows = [r for r in rows if r[1] and r[2] or r[3]]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([bool(r[i]) for r in rows], pa.bool_()) for i in (1, 2))], names=["anchor", "x", "y"])
+
+    salt = F.xxhash64(*PLACE).bitwiseAND(F.lit(255)).alias("salt")
+    narrow = lambda d, new_: d.select("b0", "b1", "anchor", salt, F.lit(new_).alias("new"))
+    order = ("b0", "b1", "anchor", "salt")
+    both = narrow(new, True).unionByName(narrow(level, False)).repartitionByRange(*order).sortWithinPartitions(*order)
+    met = both.select("anchor", "new").mapInArrow(run, "anchor long, x boolean, y boolean")
+    return staged(met.groupBy("anchor").agg(F.max("x").alias("x"), F.max("y").alias("y")).where("x and y").select("anchor"), label, folder=folder)
+
+
+SAME, KIND = ("b0", "b1", "anchor"), "whole"
+
+
+class Family:
+    """The levels, each (size in batches, suffix array), largest first, and the anchors met by scans of a batch
+    against a level that it didn't merge with.  With a folder all this lasts, texts included: opening it again goes
+    on where the last finished add ended; one writer at a time."""
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, least: int = MIN_BYTES):
+        if least < ANCHOR + BLOCK:
+            raise ValueError(f"least must be {ANCHOR + BLOCK} or more")
+        self.spark, self.folder, self.least = spark, folder, least
         self.levels: list[tuple[int, DataFrame]] = []
         self.met: list[DataFrame] = []
-
-    def add(self, batch: DataFrame) -> None:
-        """Scan a batch (anchor, whole, key, pos, n, lead) within itself and against the levels, then merge."""
-        array = batch  # sorted shards, as it was staged
-        mine = staged(array.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")), "sa-anchors")
-        met = mine.where("c > 1").select("anchor")
-        for _, level in self.levels:
-            met = met.unionByName(mine.select("anchor").join(level.select("anchor"), "anchor", "left_semi"))
-        self.met.append(staged(met.distinct(), "sa-met"))
-        drop_staged(mine)
-        size = 1
+        self.texts: list[DataFrame] = []
+        self.version, path = newest(spark, folder, "manifest-") if folder else (0, None)
+        for r in sorted(spark.read.parquet(path).collect(), key=lambda r: r.nth) if path else []:  # one row a level or batch
+            if r.least != least:
+                raise ValueError(f"the family in {folder} is for windows of {r.least} bytes")
+            df = spark.read.parquet(r.path)
+            df.staged_path = r.path
+            if r.kind == "level":
+                self.levels.append((r.size, df))
+            else:
+                (self.met if r.kind == "met" else self.texts).append(df)
+
+    def merge(self, batch: DataFrame) -> list[DataFrame]:
+        """Sort a batch of suffixes; scan it against levels of other sizes, merge it with those of equal size.  The
+        levels it replaces, which the caller drops."""
+        size, old = 1, []
         while self.levels and self.levels[-1][0] == size:
-            _, other = self.levels.pop()
+            old.append(self.levels.pop()[1])
             size *= 2
-            merged = suffix_array(array.unionByName(other), size)
-            for old in (array, other):
-                if old is not batch and hasattr(old, "staged_path"):
-                    drop_staged(old)
-            array = merged
-        self.levels.append((size, array))
+        self.met += [shared(batch, level, f"sa-met{n}", self.folder) for n, level in self.levels]
+        array = reduce(DataFrame.unionByName, [batch, *(x.drop(*FLAGS) for x in old)])
+        self.levels.append((size, scan(array, ORDER, SAME, KIND, f"sa-level{size}", True, self.folder)))
+        return old
+
+    def candidates(self, anchors: DataFrame | None = None) -> DataFrame:
+        """Suffixes, with flags again and differs, that have a neighbour of the same beginning in any level; with
+        anchors(anchor), only those that begin so."""
+        if len(self.levels) == 1 and anchors is None:
+            return settled(self.levels[0][1], SAME, KIND)
+        rows = []
+        met = reduce(DataFrame.unionByName, self.met).distinct() if self.met else None
+        for _, level in self.levels:
+            if anchors is not None:
+                level = level.join(anchors, "anchor", "left_semi")
+            rows.append(level.where("again or differs or edge"))
+            if met is not None:
+                rows.append(level.join(met, "anchor", "left_semi"))
+        every = reduce(DataFrame.unionByName, rows).drop(*FLAGS).select(*ORDER, "n", "lead")
+        return settled(scan(every, ORDER, SAME, KIND, "sa-across"), SAME, KIND)
+
+    def add(self, texts: DataFrame) -> DataFrame:
+        """Add a batch texts(text) to the folder; the spans (k1, k2, a, b), maximal, of the bytes of its texts that
+        repeat within it or in texts added before."""
+        if not self.folder:
+            raise ValueError("a family that lasts needs a folder")
+        kept = texts.select(*text_key("text"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") >= self.least)
+        kept = staged(kept.groupBy("k1", "k2").agg(F.first("text").alias("text")), "texts", folder=self.folder)
+        batch = staged(kept.mapInArrow(indexer(self.least), SUFFIX), "sa-batch")
+        self.texts.append(kept)
+        old = self.merge(batch)
+        self.save()
+        for level in old:
+            drop_staged(level)
+        before = reduce(DataFrame.unionByName, self.texts[:-1]).select("k1", "k2") if len(self.texts) > 1 else kept.select("k1", "k2").where("1 = 0")
+        again = kept.join(before, ["k1", "k2"], "left_semi").select("k1", "k2", F.lit(0).cast("long").alias("a"), F.octet_length("text").cast("long").alias("b"))
+        found = resolved(self.candidates(batch.select("anchor").distinct()), reduce(DataFrame.unionByName, self.texts), self.least)
+        return merged(found.join(kept.select("k1", "k2"), ["k1", "k2"], "left_semi").unionByName(again)).select("k1", "k2", F.explode("spans").alias("s")).select("k1", "k2", "s.a", "s.b")
 
-    def candidates(self) -> DataFrame:
-        """Suffixes whose beginning was met again in some scan."""
-        every = reduce(DataFrame.unionByName, (level for _, level in self.levels))
-        return every.join(reduce(DataFrame.unionByName, self.met).distinct(), "anchor", "left_semi")
+    def save(self) -> None:
+        """A new manifest; until it is whole, the one before holds."""
+        self.version += 1
+        rows = [("level", n, df.staged_path) for n, df in self.levels] + [("met", 0, df.staged_path) for df in self.met] + [("texts", 0, df.staged_path) for df in self.texts]
+        rows = [(i, *r, self.least) for i, r in enumerate(rows)]
+        self.spark.createDataFrame(rows, "nth int, kind string, size int, path string, least int").coalesce(1).write.parquet(f"{self.folder.rstrip('/')}/manifest-{self.version}")
 
 
-def suffix_array(rows: DataFrame, size: int) -> DataFrame:
-    """Sorted shards.  Rows of one beginning may lie in several, so a common one fills no task."""
-    return staged(rows.sortWithinPartitions("anchor", "whole"), f"sa-level{size}")
+def text_key(text: str) -> list:
+    """120 bits of a text's SHA-256 as two numbers."""
+    sha = F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)
+    return [F.conv(F.substring(sha, at, 15), 16, 10).cast("long").alias(k) for k, at in (("k1", 1), ("k2", 16))]
 
 
 def pieces(t: np.ndarray, h: Hasher, pos: np.ndarray, least: int):
@@ -177,7 +345,7 @@ def cut_blocks(least: int):
         h = Hasher(43)
         with np.errstate(over="ignore"):
             for b in batches:
-                keys, want = b.column("key"), b.column("runs").to_pylist()
+                want = b.column("runs").to_pylist()
                 data, off = column_bytes(b.column("text"))
                 cols: list[list] = [[] for _ in range(6)]
                 for i, wanted in enumerate(want):
@@ -197,7 +365,11 @@ def cut_blocks(least: int):
                             c.append(v)
                 if cols[0]:
                     row, k, core, full, place, m = map(np.concatenate, cols)
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(core), pa.array(full), keys.take(pa.array(row)), pa.array(place), pa.array(m.astype(np.int32))], names=["anchor", "core", "full", "key", "pos", "m"])
+                    row = pa.array(row)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(k), pa.array(core), pa.array(full), b.column("k1").take(row), b.column("k2").take(row), pa.array(place), pa.array(m.astype(np.int32))],
+                        names=["anchor", "core", "full", *PLACE, "m"],
+                    )
 
     return run
 
@@ -207,7 +379,7 @@ def each_window(least: int):
         h = Hasher(43)
         with np.errstate(over="ignore"):
             for b in batches:
-                keys, want = b.column("key"), b.column("runs").to_pylist()
+                want = b.column("runs").to_pylist()
                 data, off = column_bytes(b.column("text"))
                 cols: list[list] = [[] for _ in range(4)]
                 for i, wanted in enumerate(want):
@@ -220,49 +392,47 @@ def each_window(least: int):
                             c.append(v)
                 if cols[0]:
                     row, k, w, place = map(np.concatenate, cols)
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(w), keys.take(pa.array(row)), pa.array(place)], names=["anchor", "hash", "key", "pos"])
+                    row = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(w), b.column("k1").take(row), b.column("k2").take(row), pa.array(place)], names=["anchor", "hash", *PLACE])
 
     return run
 
 
-def kinds_of(rows: DataFrame, group: list[str], kind: str, rest: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(kinds that occur at two places or more, one row of each kind of the groups that hold several kinds)."""
-    place = F.struct("key", "pos")
-    kinds = staged(
-        rows.groupBy(*group, kind).agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.min(F.struct("key", "pos", *rest)).alias("one")), f"sa-{kind}"
-    )
-    several = kinds.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*group)
-    return kinds.where("lo <> hi").select(*group, kind), kinds.join(several, group, "left_semi").select(*group, "one.*")
+def resolved(cand: DataFrame, texts: DataFrame, least: int) -> DataFrame:
+    """(k1, k2, a, b): byte ranges of the windows of candidates that repeat, not merged; texts(k1, k2, text) may repeat."""
+    cand = staged(cand, "sa-candidates")
+    span = lambda d, n: d.where("again").select("k1", "k2", F.col("pos").alias("a"), (F.col("pos") + n + (least - 1)).cast("long").alias("b"))
+    spans = [span(cand, F.col("n"))]
+    want = cand.where("differs").groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "n", "lead", "anchor")).alias("runs"))
+    own = texts.groupBy("k1", "k2").agg(F.first("text").alias("text"))  # copies are combined before the shuffle
+    source = staged(own.join(want, ["k1", "k2"]).select("k1", "k2", "runs", "text"), "sa-open-texts")
+    made = staged(source.mapInArrow(cut_blocks(least), "anchor long, core long, full long, k1 long, k2 long, pos long, m int"), "sa-blocks")
+    blocks = staged(settled(scan(made, ("anchor", "core", "full", *PLACE), ("anchor", "core"), "full", "sa-block-scan"), ("anchor", "core"), "full"), "sa-open-blocks")
+    drop_staged(made)
+    spans.append(span(blocks, F.col("m")))
+    ask = blocks.where("differs").groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "m", "anchor")).alias("runs"))
+    made = staged(source.select("k1", "k2", "text").join(ask, ["k1", "k2"]).mapInArrow(each_window(least), "anchor long, hash long, k1 long, k2 long, pos long"), "sa-windows")
+    spans.append(span(settled(scan(made, ("anchor", "hash", *PLACE), ("anchor",), "hash", "sa-window-scan"), ("anchor",), "hash"), F.lit(1)))
+    found = staged(reduce(DataFrame.unionByName, spans), "sa-spans")
+    drop_staged(made)
+    return found
 
 
 def find_repeats(texts: DataFrame, least: int = MIN_BYTES, batches: int = BATCHES) -> DataFrame:
-    """(key, a, b): byte ranges of repeated windows in texts(key, text), not merged; key is a hash of the
-    text, and rows of one key count once."""
+    """(k1, k2, a, b): byte ranges of repeated windows in texts(k1, k2, text), not merged; the key is a hash of the
+    text, and rows of one key count once.  The texts are dealt into batches, added one by one."""
     rows = texts.where(F.octet_length("text") >= least)
-    made = rows.mapInArrow(indexer(least), "anchor long, whole long, key string, pos long, n int, lead int").distinct()
-    made = made.withColumn("batch", F.pmod(F.xxhash64("key"), F.lit(batches)).cast("int")).sortWithinPartitions("batch", "anchor", "whole")
+    made = rows.mapInArrow(indexer(least), SUFFIX).withColumn("batch", F.pmod("k1", F.lit(batches)).cast("int"))
     made = staged(made, "sa-batches", "batch")
-    family = Family()
+    family = Family(texts.sparkSession, None, least)
     for i in range(batches):
-        family.add(made.where(F.col("batch") == i).drop("batch"))
-    cand = staged(family.candidates(), "sa-candidates")
+        for old in family.merge(made.where(F.col("batch") == i).drop("batch")):
+            drop_staged(old)
     drop_staged(made)
+    found = resolved(family.candidates(), rows, least)
     for _, level in family.levels:
-        if hasattr(level, "staged_path"):
-            drop_staged(level)
-    again, differ = kinds_of(cand, ["anchor"], "whole", ["n", "lead"])
-    spans = [cand.join(again, ["anchor", "whole"], "left_semi").select("key", F.col("pos").alias("a"), (F.col("pos") + F.col("n") + least - 1).alias("b"))]
-    want = differ.groupBy("key").agg(F.collect_list(F.struct("pos", "n", "lead", "anchor")).alias("runs"))
-    source = staged(rows.join(want, "key").dropDuplicates(["key"]).select("key", "runs", "text"), "sa-open-texts")
-    blocks = staged(source.mapInArrow(cut_blocks(least), "anchor long, core long, full long, key string, pos long, m int"), "sa-blocks")
-    again, differ = kinds_of(blocks, ["anchor", "core"], "full", ["m"])
-    spans.append(blocks.join(again, ["anchor", "core", "full"], "left_semi").select("key", F.col("pos").alias("a"), (F.col("pos") + F.col("m") + least - 1).alias("b")))
-    ask = differ.groupBy("key").agg(F.collect_list(F.struct("pos", "m", "anchor")).alias("runs"))
-    windows = staged(source.select("key", "text").join(ask, "key").mapInArrow(each_window(least), "anchor long, hash long, key string, pos long"), "sa-windows")
-    place = F.struct("key", "pos")
-    again = windows.groupBy("anchor", "hash").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("anchor", "hash")
-    spans.append(windows.join(again, ["anchor", "hash"], "left_semi").select("key", F.col("pos").alias("a"), (F.col("pos") + least).alias("b")))
-    return staged(reduce(DataFrame.unionByName, spans), "sa-spans")
+        drop_staged(level)
+    return found
 
 
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,8 +447,8 @@ def word_windows(words: int, least: int):
 
     def run(batches):
         for b in batches:
-            keys = b.column(0).to_pylist()
-            data, off = column_bytes(b.column(1))
+            keys = zip(b.column("k1").to_pylist(), b.column("k2").to_pylist(), strict=True)
+            data, off = column_bytes(b.column("text"))
             rows: list[tuple] = []
             for i, key in enumerate(keys):
                 text = data[off[i] : off[i + 1]]
@@ -287,7 +457,7 @@ def word_windows(words: int, least: int):
                 begin, end = begin[:n], end[words - 1 :]
                 for at in np.flatnonzero(end - begin < least):
                     x, y = int(begin[at]), int(end[at])
-                    rows.append((hashlib.blake2b(text[x:y].tobytes(), digest_size=16).digest(), key, x, y))
+                    rows.append((hashlib.blake2b(text[x:y].tobytes(), digest_size=16).digest(), *key, x, y))
                     if len(rows) >= 100_000:
                         yield entries(rows)
                         rows = []
@@ -295,28 +465,42 @@ def word_windows(words: int, least: int):
 
     def entries(rows):
         return pa.RecordBatch.from_arrays(
-            [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.string(), pa.int64(), pa.int64()))], names=["hash", "key", "a", "b"]
+            [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), *[pa.int64()] * 4))], names=["hash", "k1", "k2", "a", "b"]
         )
 
     return run
 
 
 def find_short_repeats(texts: DataFrame, words: int, least: int) -> DataFrame:
-    """(key, a, b) of the repeated windows of so many words that have under least bytes."""
-    made = staged(texts.mapInArrow(word_windows(words, least), "hash binary, key string, a long, b long").distinct(), "sa-word-windows")
-    place = F.struct("key", "a")
+    """(k1, k2, a, b) of the repeated windows of so many words that have under least bytes."""
+    made = staged(texts.mapInArrow(word_windows(words, least), "hash binary, k1 long, k2 long, a long, b long").distinct(), "sa-word-windows")
+    place = F.struct("k1", "k2", "a")
     again = made.groupBy("hash").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("hash")
-    return made.join(again, "hash", "left_semi").select("key", "a", "b")
+    return made.join(again, "hash", "left_semi").select("k1", "k2", "a", "b")
+
 
+def merged(spans: DataFrame) -> DataFrame:
+    """(k1, k2, spans): the maximal spans of each text, sorted; merged within stretches of a text first."""
+
+    def join(batches):
+        for b in batches:
+            rows = [[{"a": x, "b": y} for x, y in merged_spans(s)] for s in b.column("spans").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), pa.array(rows, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))], names=["k1", "k2", "spans"])
 
-def merged_spans(spans: list[dict], n: int) -> list[tuple[int, int]]:
+    schema = "k1 long, k2 long, spans array<struct<a long, b long>>"
+    each = F.collect_set(F.struct("a", "b")).alias("spans")
+    near = spans.groupBy("k1", "k2", F.floor(F.col("a") / REACH).alias("stretch")).agg(each).select("k1", "k2", "spans").mapInArrow(join, schema)
+    return near.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans")).mapInArrow(join, schema)
+
+
+def merged_spans(spans: list[dict]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted((s["a"], s["b"]) for s in spans):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
             out.append([a, b])
-    return [(a, min(b, n)) for a, b in out]
+    return [(a, b) for a, b in out]
 
 
 def cutter(least: int, keep_text: bool, words: int | None = None):
@@ -329,7 +513,7 @@ def cutter(least: int, keep_text: bool, words: int | None = None):
             for text, spans, copies in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), b.column("copies").to_pylist(), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 n = len(data)
-                cut = [(0, n)] if copies and whole(data) else merged_spans(spans or [], n)
+                cut = [(0, n)] if copies and whole(data) else [(s["a"], s["b"]) for s in spans or []]
                 at, kept, digest = 0, [], hashlib.sha256()
                 for a, e in [*cut, (n, n)]:
                     kept.append(data[at:a])
@@ -349,21 +533,18 @@ def cutter(least: int, keep_text: bool, words: int | None = None):
 
 
 def remove_repeats(docs: DataFrame, least: int = MIN_BYTES, batches: int = BATCHES, keep_text: bool = True, words: int | None = None) -> DataFrame:
-    """The columns of docs but text (rows may have no column of the names added), with n_bytes, n_removed,
-    n_spans, kept_sha256, kept_text, spans: every byte of a least-byte string that also starts elsewhere goes.
-    With words, every byte of a repeated passage of so many words goes too, however few bytes it has."""
-    if least < ANCHOR + BLOCK:
-        raise ValueError(f"least must be {ANCHOR + BLOCK} or more")
-    rest = [c for c in docs.columns if c != "text"]
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.struct(*rest).alias("row"), text.alias("text"), F.substring(F.sha2(text, 256), 1, 32).alias("key"))
-    copies = base.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.lit(True).alias("copies"))
-    spans = find_repeats(base.select("key", "text"), least, batches)
-    if words is not None:
-        spans = spans.unionByName(find_short_repeats(base.select("key", "text"), words, least))
-    spans = spans.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    about = staged(spans.join(copies, "key", "full_outer"), "sa-about")
-    rows = base.join(about, "key", "left").select("row", "text", "spans", F.coalesce("copies", F.lit(False)).alias("copies"))
+    """The columns of docs but text, with n_bytes, n_removed, n_spans, kept_sha256, kept_text, spans (in place of
+    columns of those names): every byte of a least-byte string that also starts elsewhere goes.  With words, every
+    byte of a repeated passage of so many words goes too, however few bytes it has."""
     made = T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, spans array<struct<a long, b long>>")
+    rest = [c for c in docs.columns if c != "text" and c not in made.names]
+    base = docs.select((F.struct(*rest) if rest else F.struct(F.lit(0).alias("none"))).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *text_key("text"))
+    texts = base.select("k1", "k2", "text")
+    copies = base.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k1", "k2", F.lit(True).alias("copies"))
+    spans = find_repeats(texts, least, batches)
+    if words is not None:
+        spans = spans.unionByName(find_short_repeats(texts, words, least))
+    about = staged(merged(spans).join(copies, ["k1", "k2"], "full_outer"), "sa-about")
+    rows = base.join(about, ["k1", "k2"], "left").select("row", "text", "spans", F.coalesce("copies", F.lit(False)).alias("copies"))
     cut = rows.mapInArrow(cutter(least, keep_text, words), T.StructType([rows.schema["row"], *made.fields]))
-    return cut.select("row.*", *made.names)
+    return cut.select(*(f"row.{c}" for c in rest), *made.names)

@@ -43,16 +43,24 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
-def test_repeats(docs, texts):
-    least = 400
-    raw = [(t or "").encode() for _, t in texts]
+def brute_repeats(raw, least):
+    """For each text a mask of the bytes in strings that also start elsewhere."""
     seen = Counter(t[p : p + least] for t in raw for p in range(len(t) - least + 1))
-    want = []
-    for (d, _), t in zip(texts, raw, strict=True):
+    hits = []
+    for t in raw:
         hit = bytearray(len(t))
         for p in range(len(t) - least + 1):
             if seen[t[p : p + least]] > 1:
                 hit[p : p + least] = b"\1" * least
+        hits.append(bytes(hit))
+    return hits
+
+
+def test_repeats(docs, texts):
+    least = 400
+    raw = [(t or "").encode() for _, t in texts]
+    want = []
+    for (d, _), t, hit in zip(texts, raw, brute_repeats(raw, least), strict=True):
         spans = sum(1 for i in range(len(t)) if hit[i] and not (i and hit[i - 1]))
         want.append((str(d), len(t), sum(hit), spans, hashlib.sha256(bytes(c for c, h in zip(t, hit, strict=True) if not h)).hexdigest()))
     got = suffix.remove_repeats(docs, least).collect()
@@ -60,6 +68,57 @@ def test_repeats(docs, texts):
     assert "key" in got[0].asDict() and sum(w[2] for w in want) > 0
 
 
+def test_repeats_over_many_partitions_and_clashing_columns(spark, docs):
+    want = sorted(map(str, suffix.remove_repeats(docs.select("doc_id", "text"), 96, 4).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", 37)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    clash = docs.select("doc_id", "text", *(docs.n_chars.alias(c) for c in ("k1", "row", "copies", "spans", "n_bytes", "pos", "anchor")))
+    try:
+        got = suffix.remove_repeats(clash, 96, 3)
+        assert got.columns.count("spans") == 1 and {"k1", "row", "copies", "pos", "anchor"} <= set(got.columns)
+        got = sorted(map(str, got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "spans").collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == want
+
+
+def test_a_family_in_a_folder_takes_batches_in_several_runs(spark, tmp_path):
+    rng = random.Random(21)
+    prose = lambda n: "".join(rng.choice("abcdefgh ijklé") for _ in range(n))
+    common = [prose(900) for _ in range(3)]
+    batches = []
+    for i in range(5):
+        rows = [prose(rng.randint(0, 300)) + (common[rng.randrange(3)][rng.randint(0, 300) :] if rng.random() < 0.6 else "") + prose(rng.randint(0, 300)) for _ in range(12)]
+        batches.append(rows + ([batches[i - 1][3]] if i else []) + ["", prose(10)])
+    folder, before, met = f"file://{tmp_path}/family", [], 0
+    for i, rows in enumerate(batches):
+        family = suffix.Family(spark, folder, 200)  # opened anew each time
+        assert [n for n, _ in family.levels] == [1 << k for k in range(3, -1, -1) if i >> k & 1]
+        got = defaultdict(set)
+        ids = {r.k1: r.text for r in spark.createDataFrame([(t,) for t in rows], "text string").select(*suffix.text_key("text"), "text").collect()}
+        for r in family.add(spark.createDataFrame([(t,) for t in rows], "text string").repartition(3)).collect():
+            got[ids[r.k1]].add((r.a, r.b))
+        new = sorted(set(rows))
+        raw = [t.encode() for t in [*new, *before]]
+        for t, hit in zip(new, brute_repeats(raw, 200), strict=False):
+            edges = [k for k in range(len(hit) + 1) if (hit[k - 1] if k else 0) != (hit[k] if k < len(hit) else 0)]
+            assert got.pop(t, set()) == set(zip(edges[::2], edges[1::2], strict=True))
+            met += len(edges)
+        assert not got
+        before += [t for t in rows if t not in before]
+    assert met > 20
+    family = suffix.Family(spark, folder, 200)
+    assert [n for n, _ in family.levels] == [4, 1]
+    with pytest.raises(ValueError):
+        suffix.Family(spark, folder, 300)
+    # a level is in the order of the suffixes' bytes, as far as the 16 that its rows hold
+    texts = {(r.k1, r.k2): r.text.encode() for b in family.texts for r in b.collect()}
+    for r in family.levels[0][1].collect():
+        own = texts[r.k1, r.k2][r.pos + r.lead :][:16]
+        assert [int.from_bytes(own[:8]) - 2**63, int.from_bytes(own[8:]) - 2**63] == [r.b0, r.b1]
+
+
 def test_few_batches_and_one_batch_agree(docs):
     rows = lambda n: sorted(map(str, suffix.remove_repeats(docs, 96, n).drop("spans").collect()))
     assert rows(1) == rows(3)

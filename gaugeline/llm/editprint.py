@@ -11,10 +11,13 @@ one's, so texts of different lengths compare at the coarser level.
 fingerprint = "<level>:<hex digits>"; likeness = share of equal digits at the common
 sample steps, corrected for chance (1/16) and cut at 0.
 
+Alike texts are found by bit-sampled bands over the whole fingerprint, at its own level and
+the next coarser one, and every link is confirmed on the fingerprints.
+
 Defined results: null counts as empty; two empty texts have likeness 1, an empty
-and another 0; rows that repeat a doc_id follow in the order of their texts; a null
-doc_id comes first in the order.  Extra columns are ignored; an empty table gives
-an empty result.  A single document is its own next.
+and another 0; rows that repeat a doc_id follow in the order of their texts' hashes, rows
+equal in both in any order; a null doc_id comes first in the order.  Extra columns are
+ignored; an empty table gives an empty result.  A single document is its own next.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .adjacent import scan, settled
 from .bytehash import U, mix, table
 from .common import staged
 from .graph import components
@@ -37,10 +41,8 @@ TARGET = 128
 CHUNK_CHARS = 1 << 20
 #: Phases after which the walk's bits repeat, kinds of characters it tells apart, characters of a segment.
 PERIOD, CLASSES, SEGMENT = 32, 1 << 10, 2048
-#: Documents between two boundaries of the doc_id order.
-RANGE_ROWS = 4096
-#: Ranges at most (their bounds are literals); beyond, ranges hold more rows, which are streamed.
-MAX_RANGES = 1000
+#: Chance that two texts of just the likeness asked for share no band.
+MISS = 1e-5
 
 
 class Walk:
@@ -184,84 +186,77 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k] if k else text
 
 
+PRINTS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def printed(rows: list[tuple], following: str, walk: Walk) -> list[list]:
+    """Columns of PRINTS for rows (doc_id, text) in their order, and the text that follows the last."""
+    texts = [r[1] for r in rows]
+    other = [edited(a, b) for a, b in zip(texts, [*texts[1:], following], strict=True)]
+    prints = fingerprints([*texts, following, *other], walk)
+    mine, theirs = prints[: len(texts) + 1], prints[len(texts) + 1 :]
+    return [
+        [r[0] for r in rows], [len(x) for x in texts], [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in other], mine[:-1], theirs,
+        [likeness(a, b, walk) for a, b in zip(mine, theirs, strict=False)], [likeness(a, b, walk) for a, b in zip(mine, mine[1:], strict=False)],
+    ]
+
+
+KINDS = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+NAMES = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def pair_prints(batches):
-    """Rows sorted by (range, doc_id); a head row only lends its text to the row before it."""
-    walk = Walk()
-    held: list[tuple] = []
+    """PRINTS of a partition's sorted rows (doc_id, text), and its edges: the text of its first row (kind "head") and
+    its last row (kind "open"), whose next document is another partition's head."""
+    from pyspark import TaskContext
+
+    walk, part = Walk(), TaskContext.get().partitionId()
+
+    def record(cols, kind=None, texts=None):
+        n = len(cols[0])
+        arrays = [pa.array(c, t) for c, t in zip(cols, KINDS, strict=True)]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array([part] * n, pa.int32()), pa.array([kind] * n, pa.string()), pa.array(texts or [None] * n, pa.string())], names=[*NAMES, "part", "kind", "text"])
+
+    def edge(kind, doc, text):
+        return record([[doc], [len(text)], *[[None]] * 5], kind, [text])
 
-    def flush(rows, following):
-        texts = [r[2] for r in rows]
-        nxt = [*texts[1:], following]
-        other = [edited(a, b) for a, b in zip(texts, nxt, strict=True)]
-        prints = fingerprints([*texts, following, *other], walk)
-        n = len(texts)
-        mine, theirs = prints[: n + 1], prints[n + 1 :]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([r[1] for r in rows], pa.int64()),
-                pa.array([len(x) for x in texts], pa.int64()),
-                pa.array([hashlib.sha256(x.encode()).hexdigest() for x in other], pa.string()),
-                pa.array(mine[:n], pa.string()),
-                pa.array(theirs, pa.string()),
-                pa.array([likeness(a, b, walk) for a, b in zip(mine, theirs, strict=False)], pa.float64()),
-                pa.array([likeness(mine[i], mine[i + 1], walk) for i in range(n)], pa.float64()),
-            ],
-            names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-        )
-
-    size = 0
+    held: list[tuple] = []
+    size, first = 0, True
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            part, doc, text, head = row
-            if held and part != held[-1][0]:
-                raise AssertionError("a range ends without its head row")
-            if head:
-                if held:
-                    yield flush(held, text)
-                held, size = [], 0
-                continue
-            if held and size > CHUNK_CHARS:
-                yield flush(held, text)
+        for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            if first:
+                yield edge("head", doc, text)
+                first = False
+            if size > CHUNK_CHARS:
+                yield record(printed(held, text, walk))
                 held, size = [], 0
-            held.append(row)
+            held.append((doc, text))
             size += len(text)
+    if len(held) > 1:
+        yield record(printed(held[:-1], held[-1][1], walk))
+    if held:
+        yield edge("open", *held[-1])
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """Rows (part, doc_id, text, head), sorted within partitions: ranges of doc_id, each closed by a
-    copy of the first document of the next range (of the first range, after the last)."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = d.count()
-    parts = max(1, min(MAX_RANGES, -(-n // RANGE_ROWS)))
-    cuts = []
-    if parts > 1:
-        got = d.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0]
-        cuts = sorted(set(got or []))
-    ids = d.select("doc_id").withColumn("part", part_of(cuts))
-    first = ids.groupBy("part").agg(F.min("doc_id").alias("doc_id"), F.max(F.col("doc_id").isNull().cast("int")).alias("has_null"))
-    first = first.select("part", F.when(F.col("has_null") == 0, F.col("doc_id")).alias("doc_id"))
-    around = Window.orderBy("part")
-    to = F.coalesce(F.lag("part").over(around), F.max("part").over(Window.partitionBy()))
-    heads = F.broadcast(first.select(F.col("doc_id").alias("h"), to.alias("to")))  # MAX_RANGES rows at most
-    lent = d.join(heads, d["doc_id"].eqNullSafe(F.col("h"))).groupBy("to").agg(F.min("text").alias("text"))
-    lent = lent.select(F.col("to").alias("part"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("head"))
-    rows = d.select(part_of(cuts).alias("part"), "doc_id", "text", F.lit(False).alias("head")).unionByName(lent)
-    return rows.repartition(parts, "part").sortWithinPartitions("part", "head", F.col("doc_id").asc_nulls_first(), "text")
-
-
-def part_of(cuts: list[int]):
-    """The number of cuts at or below doc_id; a null doc_id is below all."""
-    if not cuts:
-        return F.lit(0)
-    doc = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= doc))
+def last_prints(batches):
+    """PRINTS of single rows (doc_id, text, following)."""
+    walk = Walk()
+    for b in batches:
+        for doc, text, following in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "following")), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(printed([(doc, text)], following, walk), KINDS, strict=True)], names=NAMES)
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
-    return with_next(docs).mapInArrow(
-        pair_prints,
-        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
-    )
+    """PRINTS of docs(doc_id, text).  Documents are range-partitioned by doc_id; each partition's last row meets the
+    head of the next partition that has rows, the last one's the first's, in a join of one row a partition."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    found = staged(d.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pair_prints, f"{PRINTS}, part int, kind string, text string"), "ep-edits")
+    heads = found.where("kind = 'head'").select("part", F.col("text").alias("following"))
+    following = F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy()))
+    to = heads.select("part").withColumn("next", following)  # one row a partition
+    last = found.where("kind = 'open'").select("part", "doc_id", "text").join(to, "part").join(heads.withColumnRenamed("part", "next"), "next")
+    return found.where("kind is null").select(*NAMES).unionByName(last.select("doc_id", "text", "following").mapInArrow(last_prints, PRINTS))
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
@@ -290,29 +285,52 @@ def share_of(least: float) -> float:
     return least * 15 / 16 + 1 / 16
 
 
-def block_width(least: float) -> int:
-    """Digits of a block, so that texts of likeness least differ at fewer digits than the longer one has blocks."""
-    return max(1, math.ceil(1 / (1 - share_of(least) + 1e-9)) - 1) if least < 1 else TARGET
+def banding(n: int, least: float) -> tuple[int, int]:
+    """(bands, digits of each): so many digits that different texts rarely share a band by chance at this number of
+    texts, and then so many bands that alike ones miss all with a chance of MISS."""
+    digits = max(5, 1 + math.ceil(math.log(max(n, 1), 16)))
+    share = share_of(min(least, 0.999))
+    # the sampled digits are different ones, of some 128
+    met = math.prod((share * TARGET - i) / (TARGET - i) for i in range(digits))
+    return max(1, math.ceil(math.log(MISS) / math.log(1 - met))), digits
 
 
-def blocks(width: int):
-    """A fingerprint's blocks at its own level and, of its nested samples, at every coarser one."""
+def banded(bands: int, digits: int):
+    """The bands of a fingerprint at its own level and, of its nested samples, the next coarser one.
+
+    A band has a random order of all sample places and takes the first digits of it that the fingerprint has: alike
+    texts of different lengths take the same unless one falls on a place that only the longer has.  Fingerprints
+    of fewer than 2 * digits take half their digits."""
+    order = table(79, bands)
+
+    def places(m: int, band_places: dict[int, np.ndarray]) -> np.ndarray:
+        if m not in band_places:
+            rank = mix(order[:, None] * (np.arange(m, dtype=np.uint64)[None, :] + U(1)))
+            band_places[m] = np.argsort(rank, axis=1, kind="stable")[:, : max(1, min(digits, m // 2))]
+        return band_places[m]
 
     def run(batches):
-        walk = Walk()
-        for b in batches:
-            cols: list[list] = [[] for _ in range(4)]
-            for node, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own, _, d = p.partition(":")
-                own, digits = int(own), np.frombuffer(d.encode(), np.uint8)
-                depth, level = depths(walk, own, len(digits)), own
-                while len(x := digits[depth >= level]):
-                    x = x.tobytes().decode()
-                    keys = [f"{level}/{i}/{x[i : i + width]}" for i in range(0, len(x), width)]
-                    for c, v in zip(cols, ([node] * len(keys), keys, [len(x)] * len(keys), [level == own] * len(keys)), strict=True):
-                        c.extend(v)
-                    level += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.bool_()), strict=True)], names=["node", "bucket", "size", "own"])
+        walk, kept = Walk(), {}
+        value = np.zeros(256, np.uint64)
+        value[list(b"0123456789abcdef")] = np.arange(16)
+        with np.errstate(over="ignore"):
+            for b in batches:
+                rows: dict[tuple[int, int], tuple[list, list]] = {}
+                for node, p in zip(b.column("node").to_pylist(), b.column("fingerprint").to_pylist(), strict=True):
+                    own, _, d = p.partition(":")
+                    own, d = int(own), value[np.frombuffer(d.encode(), np.uint8)]
+                    for level, x in ((own, d), (own + 1, d[depths(walk, own, len(d)) > own])):
+                        if len(x):
+                            for c, v in zip(rows.setdefault((level, len(x)), ([], [])), (node, x), strict=True):
+                                c.append(v)
+                for (level, m), (nodes, x) in rows.items():
+                    at = places(m, kept)
+                    key = np.zeros((len(nodes), bands), np.uint64)
+                    took = np.stack(x)
+                    for k in range(at.shape[1]):
+                        key = mix(key + took[:, at[:, k]] + U(k + 1))
+                    key = mix(key ^ (order + U(level)) * U(0x9FB21C651E98DF25))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), bands))], names=["bucket", "node"])
 
     return run
 
@@ -332,38 +350,35 @@ def verified(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
 
 def spanning(rows: DataFrame, component: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold more than one component and a text of the bucket's level."""
-    tagged = rows.join(component.toDF("node", "c"), "node", "left").select(*rows.columns, F.coalesce("c", "node").alias("component"))
-    mixed = tagged.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("own").alias("any")).where("lo <> hi and any")
+    """Rows (bucket, node, rank, component) of the buckets that hold more than one component."""
+    tagged = rows.join(component.toDF("node", "c"), "node", "left").select("bucket", "node", "rank", F.coalesce("c", "node").alias("component"))
+    mixed = tagged.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     return tagged.join(mixed.select("bucket"), "bucket", "left_semi").select(tagged.columns)
 
 
 def links_of(prints: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, links, components): each different fingerprint is a node(node, fingerprint); the links
-    (a, b, likeness) found join all nodes that any links of likeness least join.
+    (a, b, likeness) found join all nodes that links of likeness least between texts sharing a band join.
 
-    Blocks are disjoint, and a digit that differs or is missing spoils one, so two alike texts share a block
-    at the coarser of their levels: no link is lost to the blocks.  Buckets are first tried through one
-    text, then through another drawn for each bucket; what stays open is compared across components."""
+    Buckets are first tried through one text, then through another drawn for each bucket; what stays open is
+    compared across components."""
     # staged, so that the numbers stay
     nodes = staged(prints.select("fingerprint").distinct().withColumn("node", F.monotonically_increasing_id()), "ep-nodes")
-    rows = nodes.select("node", "fingerprint").mapInArrow(blocks(block_width(least)), "node long, bucket string, size int, own boolean")
-    rank = nodes.select("node", F.xxhash64("fingerprint").alias("rank"))
-    rows = staged(rows.withColumn("bucket", F.xxhash64("bucket")).join(rank, "node"), "ep-blocks")
-    close = F.least("m", "n") >= F.lit(share_of(least) - 1e-9) * F.greatest("m", "n")  # a missing digit differs
+    bands = nodes.select("node", "fingerprint").mapInArrow(banded(*banding(nodes.count(), least)), "bucket long, node long")
+    group, place = ("bucket",), ("node",)
+    shared = settled(scan(bands, ("bucket", "node"), group, "node", place, "ep-bands"), group, "node", place).select("bucket", "node")
+    rows = staged(shared.join(nodes.select("node", F.xxhash64("fingerprint").alias("rank")), "node"), "ep-shared")
     no_links = nodes.where("1 = 0").select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("likeness"))
     links, tried, component = no_links, no_links.select("a", "b"), no_links.select("a", "b")
     for turn, order in enumerate((F.col("rank"), F.xxhash64("rank", "bucket"), None)):
-        rows = staged(spanning(rows.drop("component"), component), f"ep-open{turn}")
+        rows = staged(spanning(rows, component), f"ep-open{turn}")
         if order is not None:
-            # a pair is compared at the coarser of its levels, so the centre is a text of the bucket's level
-            centre = rows.where("own").groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", "size", "component")).alias("c"))
-            pairs = rows.join(centre, "bucket").where("component <> c.component").select(F.col("node").alias("a"), "c.node", F.col("size").alias("m"), F.col("c.size").alias("n")).toDF("a", "b", "m", "n")
+            centre = rows.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", "component")).alias("c"))
+            pairs = rows.join(centre, "bucket").where("component <> c.component").select(F.col("node").alias("a"), F.col("c.node").alias("b"))
         else:
-            x = rows.select("bucket", F.col("node").alias("a"), F.col("size").alias("m"), F.col("own").alias("mine"), F.col("component").alias("ca"))
-            y = rows.select("bucket", F.col("node").alias("b"), F.col("size").alias("n"), F.col("own").alias("theirs"), F.col("component").alias("cb"))
-            pairs = x.join(y, "bucket").where("a < b and ca <> cb and (mine or theirs)")
-        pairs = pairs.where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            x, y = (rows.select("bucket", F.col("node").alias(n), F.col("component").alias(f"c{n}")) for n in "ab")
+            pairs = x.join(y, "bucket").where("a < b and ca <> cb")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), f"ep-pairs{turn}")
         if pairs.limit(1).count():
             links = staged(links.union(verified(pairs, nodes, least)), f"ep-links{turn}")

@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .adjacent import FLAGS, scan, settled
 from .bytehash import CHUNK, U, Hasher, column_bytes, mix
 from .common import drop_staged, newest, stage_path, staged
 
@@ -54,7 +55,6 @@ REACH = 1 << 16
 SUFFIX = "b0 long, b1 long, anchor long, whole long, k1 long, k2 long, pos long, n int, lead int"
 ORDER = ("b0", "b1", "anchor", "whole", "k1", "k2", "pos")
 PLACE = ("k1", "k2", "pos")
-FLAGS = ("again", "differs", "edge")
 
 
 def sliding_min_at(x: np.ndarray, w: int) -> np.ndarray:
@@ -137,70 +137,6 @@ def indexer(least: int):
     return run
 
 
-def neighbours(group: tuple[str, ...], kind: str, every: bool):
-    """Over sorted rows: again, the row's group and kind are also those of a neighbour at another place; differs, a
-    neighbour of its group is of another kind; edge, the partition's first or last row.  Repeated rows go; without
-    every, so do rows with no flag."""
-
-    def run(batches):
-        held, before = None, None
-        for b in batches:
-            t = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks()
-            cols = {c: t.column(c).to_numpy() for c in {*group, kind, *PLACE}}
-            new = np.ones(len(t), bool)
-            new[1:] = np.any([cols[c][1:] != cols[c][:-1] for c in (kind, *PLACE)], axis=0)
-            if not new.all():
-                t, cols = t.filter(pa.array(new)), {c: v[new] for c, v in cols.items()}
-            if not len(t):
-                continue
-            if len(t) > 1:
-                yield from told(t.slice(0, len(t) - 1), cols, before, None)
-                before = {c: v[-2] for c, v in cols.items()}
-            held = t.slice(len(t) - 1).combine_chunks().to_batches()[0]
-        if held is not None:
-            t = pa.Table.from_batches([held])
-            yield from told(t, {c: t.column(c).to_numpy() for c in {*group, kind, *PLACE}}, before, True)
-
-    def told(t, cols, before, last):
-        """cols may hold one row more than t, its next; before is the row before it, last says that none follows."""
-        n = len(t)
-        near, same = np.zeros(n + 1, bool), np.zeros(n + 1, bool)  # of rows i - 1 and i
-        if before is not None:
-            near[0] = all(cols[c][0] == before[c] for c in group)
-            same[0] = near[0] and cols[kind][0] == before[kind]
-        m = len(cols[kind])
-        if m > 1:
-            near[1:m] = np.all([cols[c][1:] == cols[c][:-1] for c in group], axis=0)
-            same[1:m] = near[1:m] & (cols[kind][1:] == cols[kind][:-1])
-        again, differs, edge = same[:-1] | same[1:], (near & ~same)[:-1] | (near & ~same)[1:], np.zeros(n, bool)
-        edge[0], edge[-1] = edge[0] or before is None, edge[-1] or bool(last)
-        for name, flag in zip(FLAGS, (again, differs, edge), strict=True):
-            t = t.append_column(name, pa.array(flag))
-        yield from (t if every else t.filter(pa.array(again | differs | edge))).to_batches()
-
-    return run
-
-
-def scan(rows: DataFrame, order: tuple[str, ...], group: tuple[str, ...], kind: str, label: str, every: bool = False, folder: str | None = None) -> DataFrame:
-    """rows, in order, with the flags of neighbours(); staged."""
-    schema = T.StructType([*rows.schema.fields, *(T.StructField(f, T.BooleanType()) for f in FLAGS)])
-    found = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(neighbours(group, kind, every), schema)
-    return staged(found, label, folder=folder)
-
-
-def settled(scanned: DataFrame, group: tuple[str, ...], kind: str) -> DataFrame:
-    """The rows with a flag again or differs, after the edges of partitions have been compared.  There are two edges
-    a partition at most, so they are broadcast."""
-    edges = scanned.where("edge").select(*group, kind, *PLACE).distinct()
-    mixed = edges.groupBy(*group).agg((F.min(kind) != F.max(kind)).alias("mixed"))
-    twice = edges.groupBy(*group, kind).agg((F.count(F.lit(1)) > 1).alias("twice"))
-    found = twice.join(mixed, list(group)).where("mixed or twice")
-    flagged = scanned.where("again or differs or edge").join(F.broadcast(found), [*group, kind], "left")
-    flag = lambda f, by: (F.col(f) | (F.col("edge") & F.coalesce(by, F.lit(False)))).alias(f)
-    rest = [c for c in scanned.columns if c not in FLAGS]
-    return flagged.select(*rest, flag("again", "twice"), flag("differs", "mixed")).where("again or differs")
-
-
 def shared(new: DataFrame, level: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     """(anchor) of the suffixes of a level and of a new batch that are neighbours, by a merge-scan of both."""
 
@@ -272,14 +208,14 @@ class Family:
             size *= 2
         self.met += [shared(batch, level, f"sa-met{n}", self.folder) for n, level in self.levels]
         array = reduce(DataFrame.unionByName, [batch, *(x.drop(*FLAGS) for x in old)])
-        self.levels.append((size, scan(array, ORDER, SAME, KIND, f"sa-level{size}", True, self.folder)))
+        self.levels.append((size, scan(array, ORDER, SAME, KIND, PLACE, f"sa-level{size}", True, self.folder)))
         return old
 
     def candidates(self, anchors: DataFrame | None = None) -> DataFrame:
         """Suffixes, with flags again and differs, that have a neighbour of the same beginning in any level; with
         anchors(anchor), only those that begin so."""
         if len(self.levels) == 1 and anchors is None:
-            return settled(self.levels[0][1], SAME, KIND)
+            return settled(self.levels[0][1], SAME, KIND, PLACE)
         rows = []
         met = reduce(DataFrame.unionByName, self.met).distinct() if self.met else None
         for _, level in self.levels:
@@ -289,7 +225,7 @@ class Family:
             if met is not None:
                 rows.append(level.join(met, "anchor", "left_semi"))
         every = reduce(DataFrame.unionByName, rows).drop(*FLAGS).select(*ORDER, "n", "lead")
-        return settled(scan(every, ORDER, SAME, KIND, "sa-across"), SAME, KIND)
+        return settled(scan(every, ORDER, SAME, KIND, PLACE, "sa-across"), SAME, KIND, PLACE)
 
     def add(self, texts: DataFrame) -> DataFrame:
         """Add a batch texts(text) to the folder; the spans (k1, k2, a, b), maximal, of the bytes of its texts that
@@ -407,12 +343,12 @@ def resolved(cand: DataFrame, texts: DataFrame, least: int) -> DataFrame:
     own = texts.groupBy("k1", "k2").agg(F.first("text").alias("text"))  # copies are combined before the shuffle
     source = staged(own.join(want, ["k1", "k2"]).select("k1", "k2", "runs", "text"), "sa-open-texts")
     made = staged(source.mapInArrow(cut_blocks(least), "anchor long, core long, full long, k1 long, k2 long, pos long, m int"), "sa-blocks")
-    blocks = staged(settled(scan(made, ("anchor", "core", "full", *PLACE), ("anchor", "core"), "full", "sa-block-scan"), ("anchor", "core"), "full"), "sa-open-blocks")
+    blocks = staged(settled(scan(made, ("anchor", "core", "full", *PLACE), ("anchor", "core"), "full", PLACE, "sa-block-scan"), ("anchor", "core"), "full", PLACE), "sa-open-blocks")
     drop_staged(made)
     spans.append(span(blocks, F.col("m")))
     ask = blocks.where("differs").groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "m", "anchor")).alias("runs"))
     made = staged(source.select("k1", "k2", "text").join(ask, ["k1", "k2"]).mapInArrow(each_window(least), "anchor long, hash long, k1 long, k2 long, pos long"), "sa-windows")
-    spans.append(span(settled(scan(made, ("anchor", "hash", *PLACE), ("anchor",), "hash", "sa-window-scan"), ("anchor",), "hash"), F.lit(1)))
+    spans.append(span(settled(scan(made, ("anchor", "hash", *PLACE), ("anchor",), "hash", PLACE, "sa-window-scan"), ("anchor",), "hash", PLACE), F.lit(1)))
     found = staged(reduce(DataFrame.unionByName, spans), "sa-spans")
     drop_staged(made)
     return found

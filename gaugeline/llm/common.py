@@ -43,10 +43,10 @@ def staged(df: DataFrame, label: str, partition_by: str | None = None, folder: s
     return out
 
 
-def small_side(df: DataFrame) -> DataFrame:
+def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting; else leave the join to AQE, which
     shuffles and splits skewed keys."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def drop_staged(df: DataFrame) -> None:

@@ -1,9 +1,9 @@
 """WARC archives as chunked record tables.
 
-Payloads travel as rows (record, chunk number, bytes) of at most CHUNK bytes, so no
-task holds a copy of a whole oversized record: the writer streams chunk rows into
-gzip members (one a record) and the reader streams them out again, each chunk row
-carrying the size and SHA-1 of the payload so far.  Archives are written under
+A payload is one value of its page's row; from there on it travels as rows (record, chunk
+number, bytes) of at most CHUNK bytes, so neither writer nor reader holds a whole oversized
+record: the writer streams chunk rows into gzip members (one a record) and the reader
+streams them out again, each chunk row carrying the size and SHA-1 of the payload so far.  Archives are written under
 temporary names in the shared folder and renamed when whole, so a repeated task
 replaces its own file.
 
@@ -27,24 +27,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_path, staged
+from .common import small_side, stage_path, staged
 
 CHUNK = 256 << 10
+#: Revisits, of some 70 bytes each, up to which they are broadcast.
+REVISITS = 200_000
 DATE = "2020-01-01T00:00:00Z"
 URN = "urn:gaugeline:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+def verdicts(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """(page_id, sha1, best) of the revisits: pages(page_id, sha1, size) whose payload the larger page_id best has too."""
+    many = pages.where(F.col("size") >= min_bytes).groupBy("sha1").agg(F.max("page_id").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1 and best is not null")
+    return pages.join(many, "sha1").where(~F.col("page_id").eqNullSafe(F.col("best"))).select("page_id", "sha1", "best").distinct()
+
+
 def records(pages: DataFrame, min_bytes: int = 0, chunk: int = CHUNK) -> DataFrame:
-    """Chunk rows (page_id, url, record_type, refers_to, sha1, size, chunk_no, chunk)."""
+    """Chunk rows (page_id, url, record_type, refers_to, sha1, size, chunk_no, chunk).
+
+    Digests alone are grouped; of the revisits, up to REVISITS are broadcast, so payloads stay where they were read.
+    More revisits meet their pages by (page_id, digest), of which no value is common."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("body"))
     p = p.select("page_id", "url", "body", F.sha1("body").alias("sha1"), F.octet_length("body").cast("long").alias("size"))
-    first = p.groupBy("sha1").agg(F.max("page_id").alias("best"))
-    p = p.join(first, "sha1")
-    # without the best's id, as when all are null, each is a response
-    again = (F.col("size") >= min_bytes) & F.coalesce(~F.col("page_id").eqNullSafe(F.col("best")), F.lit(False))
+    found = small_side(staged(verdicts(p.select("page_id", "sha1", "size"), min_bytes).toDF("id", "digest", "best"), "warc-revisits"), REVISITS)
+    p = p.join(found, (p["sha1"] == found["digest"]) & p["page_id"].eqNullSafe(found["id"]), "left")
+    again = F.col("best").isNotNull()
     p = p.select(
-        "page_id", "url", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("best")).alias("refers_to"), "sha1", "size",
+        "page_id", "url", F.when(again, "revisit").otherwise("response").alias("record_type"), F.col("best").alias("refers_to"), "sha1", "size",
         F.when(again, F.lit(b"")).otherwise(F.col("body")).alias("body"),
     )
     last = F.greatest(F.lit(0), F.floor((F.octet_length("body") - 1) / chunk)).cast("int")

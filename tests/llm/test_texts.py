@@ -173,7 +173,7 @@ def test_targets_stop_at_the_cap(spark):
     assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-9 for s in want)
 
 
-def test_archives(spark, tmp_path):
+def test_archives(spark, tmp_path, monkeypatch):
     body = ["<p>same</p>", "ü" * 700_000, "", None, "<p>same</p>", "own", "<p>same</p>"]
     pages = spark.createDataFrame([(i, f"http://x/{i}\r\nEvil: 1", h) for i, h in enumerate(body)] + [(None, None, "own"), (6, "u", "<p>same</p>")], "page_id long, url string, html string")
     got = warc.round_trip(pages).collect()
@@ -181,6 +181,12 @@ def test_archives(spark, tmp_path):
     best = {h: max((p for p, x in rows if x == h and p is not None), default=None) for _, h in rows}
     want = [(str(p), len(h.encode()), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(), "response" if best[h] == p else "revisit", None if best[h] == p else best[h]) for p, h in rows]
     assert sorted(map(str, ((str(r[0]), *r[1:]) for r in got))) == sorted(map(str, want))
+    clash = pages.selectExpr("*", "1 as sha1", "'x' as body", "2 as size", "'b' as best", "0 as id", "'d' as digest")
+    assert sorted(map(str, warc.round_trip(clash).collect())) == sorted(map(str, got))
+    monkeypatch.setattr(warc, "REVISITS", 0)  # too many to broadcast
+    assert sorted(map(str, warc.round_trip(pages).collect())) == sorted(map(str, got))
+    large = {(r.page_id, r.record_type) for r in warc.round_trip(pages, min_bytes=5).collect()}
+    assert {(2, "response"), (3, "response"), (0, "revisit"), (5, "response")} <= large and (None, "response") in large
     manifest = warc.write_archives(pages, f"file://{tmp_path}/w", chunk=100_000)
     chunks = warc.read_archives(manifest, chunk=100_000).where("page_id = 1").orderBy("chunk_no").collect()
     assert b"".join(r.chunk for r in chunks).decode() == body[1] and max(len(r.chunk) for r in chunks) <= 100_000 and len(chunks) > 13

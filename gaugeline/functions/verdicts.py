@@ -133,6 +133,28 @@ def parking(spaces: Column, units: Column, required: Column | None = None) -> Co
     return F.when(ratio.isNull(), outcome("not_submitted", "DOCUMENT_NOT_PROVIDED")).when(ratio >= need, outcome("pass", "NONE")).otherwise(outcome("fail", "UNDERRUN"))
 
 
+def parking_short(spaces: Column, units: Column, required: float = PARKING_RATIO) -> Column:
+    """Spaces that lack for the ratio, rounded; null without units."""
+    return F.when(units > 0, F.greatest(F.lit(0), F.round(units * F.lit(required) - spaces).cast("long")))
+
+
+def split_tiers(count: Column, total: Column, open_: Column, tiers: list[Column]) -> Column:
+    """A share against the sum of its tiers' least percents; an open count is a lower bound and asks for review."""
+    need = sum((F.coalesce(t, F.lit(0.0)) for t in tiers), F.lit(0.0))
+    share = F.try_divide(count.cast("double"), total) * 100
+    return (
+        F.when(need == 0, outcome("not_applicable", "NONE")).when(share.isNull(), outcome("not_submitted", "DOCUMENT_NOT_PROVIDED")).when(open_, outcome("requires_review", "NONE"))
+        .when(share >= need, outcome("pass", "NONE")).otherwise(outcome("fail", "UNDERRUN"))
+    )
+
+
+def isolated(judged: Column, broken: Column, seed: Column) -> Column:
+    """An evaluator's outcome with a fingerprint of its fault: a row whose values it can't work on becomes an engine
+    error, and no other row is touched."""
+    struct = lambda o, f: F.struct(*(o[n].alias(n) for n in ("verdict", "failure_mode", "confidence")), f.alias("fingerprint"))
+    return F.when(broken, struct(outcome("unevaluable", "engine_error"), fingerprint(seed))).otherwise(struct(judged, F.lit(None).cast("string")))
+
+
 def fingerprint(seed: Column) -> Column:
     """First 16 hex digits of SHA-256."""
     return F.substring(F.sha2(seed, 256), 1, 16)

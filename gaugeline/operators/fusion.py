@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 #: Indicator of the evidence -> verdict; anything else asks for review.
 INDICATORS = (("compliant", "pass"), ("non_compliant", "fail"), ("requires_review", "requires_review"), ("missing", "not_submitted"), ("deferred_to_dwg", "requires_review"))
 
+#: Wordings of notes that doubt their own pass.
+HEDGING_MARKERS = [
+    "ראשונית",
+    "לא ניתן לאמת",
+    "דורש טבלת",
+    "אינו כולל",
+    "נדרשת השלמה",
+    "לא קיימת בהגשה",
+    "preliminary",
+    "cannot be verified",
+]
+
 
 def mapped(value: Column, pairs, other: str) -> Column:
     table = F.create_map(*[F.lit(x) for p in pairs for x in p])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,17 +23,19 @@ NUMERIC = [
     ("N8", "no_such_value", "<=", 1.0, None, None, None, None),
 ]
 NUMERIC_DDL = "rule_id string, parameter string, op string, threshold double, threshold_text string, lo double, hi double, tol double"
+NUMERIC_STRUCT = NUMERIC_DDL.replace(" ", ": ").replace(",: ", ", ")
 NUMERIC_NAMES = "rule_id, parameter, op, threshold, threshold_text, lo, hi, tol"
 
 
 def supplier_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(entity, parameter, actual): long facts of each supplier, from one aggregation."""
+    """(entity, facts): each supplier's values by parameter, from one aggregation."""
     li = table(spark, sf_dir, "lineitem")
     wide = li.groupBy(F.col("l_suppkey").alias("entity")).agg(
         F.sum("l_quantity").alias("total_quantity"), F.count(F.lit(1)).cast("double").alias("line_count"), F.max("l_discount").alias("max_discount"),
         F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity"))).alias("returned_quantity"),
     )
-    return wide.unpivot(["entity"], ["total_quantity", "line_count", "max_discount", "returned_quantity"], "parameter", "actual")
+    names = ("total_quantity", "line_count", "max_discount", "returned_quantity")
+    return wide.select("entity", F.create_map(*(x for n in names for x in (F.lit(n), F.col(n)))).alias("facts"))
 
 
 FACTS_SQL = """facts AS (
@@ -43,12 +47,11 @@ entities AS (SELECT DISTINCT l_suppkey AS entity FROM lineitem)"""
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = F.broadcast(inline(spark, NUMERIC, NUMERIC_DDL))  # eight rows, given above
-    facts = supplier_facts(spark, sf_dir)
+    """A row for each entity and rule: the rules, given above, are unfolded beside the facts and look their value up,
+    so the aggregation is the only shuffle.  A rule whose value is absent gives a row too."""
     c = F.col
-    # rules travel to the facts; a rule whose value is absent still gives a row for each entity
-    entities = facts.select("entity").distinct()
-    every = entities.join(rules).join(facts, ["entity", "parameter"], "left")
+    rules = F.from_json(F.lit(json.dumps([dict(zip(NUMERIC_NAMES.split(", "), r, strict=True)) for r in NUMERIC])), f"array<struct<{NUMERIC_STRUCT}>>")
+    every = supplier_facts(spark, sf_dir).select("entity", "facts", F.explode(rules).alias("r")).select("entity", "r.*", F.try_element_at("facts", c("r.parameter")).alias("actual"))
     return every.withColumn("o", V.numeric(c("actual"), c("op"), c("threshold"), c("threshold_text"), c("lo"), c("hi"), c("tol")))
 
 

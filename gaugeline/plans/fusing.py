@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeline.functions import text as X
 from gaugeline.operators import fusion
+from gaugeline.operators import quality_checks as Q
 from gaugeline.plans.registry import query
 from gaugeline.sources.tables import inline, table, values_sql
 
@@ -47,32 +49,62 @@ def critic_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("p_partkey").join(best, "p_partkey", "left").select("p_partkey", "b.l_orderkey", "b.l_linenumber")
 
 
-MARKERS = ["roughly", "appears", "unclear"]
-
-
-@query("""WITH b AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'pass' WHEN 'O' THEN 'fail' ELSE 'requires_review' END AS verdict,
-   CASE o_orderkey % 7 WHEN 0 THEN 'appears fine' WHEN 1 THEN 'measured' ELSE NULL END AS notes, CAST(floor(o_totalprice / 1000) AS BIGINT) AS sub, 150 AS lim,
+NOTES = [f"as measured, {m} on sheet 2" for m in fusion.HEDGING_MARKERS] + ["measured", None]
+FUSED_SQL = f"""b AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'pass' WHEN 'O' THEN 'fail' ELSE 'requires_review' END AS verdict,
+   n.note AS notes, o_custkey, l.l_orderkey AS evidence_id, o_totalprice, CAST(floor(o_totalprice / 1000) AS BIGINT) AS sub, 150 AS lim,
    q IS NOT NULL AND o_orderkey % 5 <> 0 AS matched, CASE WHEN o_orderkey % 11 = 0 THEN 'disagree' ELSE 'agree' END AS critic, o_orderkey % 13 = 0 AS deferred,
    CASE CAST(q AS BIGINT) % 4 WHEN 0 THEN 'compliant' WHEN 1 THEN 'non_compliant' WHEN 2 THEN 'missing' ELSE 'odd' END AS indicator, CASE WHEN o_orderkey % 3 = 0 THEN 'high' ELSE 'low' END AS confidence
-  FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey),
-f AS (SELECT *, verdict = 'pass' AND (coalesce(notes, '') LIKE '%roughly%' OR coalesce(notes, '') LIKE '%appears%' OR coalesce(notes, '') LIKE '%unclear%') AS hedged, verdict = 'pass' AND sub <= lim AS sure,
+  FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey
+  LEFT JOIN {values_sql([(i, x) for i, x in enumerate(NOTES)], "i, note").replace(" AS t(", " AS n(")} ON n.i = o_orderkey % 19),
+f AS (SELECT *, verdict = 'pass' AND ({' OR '.join(f"coalesce(notes, '') LIKE '%{m}%'" for m in fusion.HEDGING_MARKERS)}) AS hedged, verdict = 'pass' AND sub <= lim AS sure,
    CASE indicator WHEN 'compliant' THEN 'pass' WHEN 'non_compliant' THEN 'fail' WHEN 'missing' THEN 'not_submitted' ELSE 'requires_review' END AS ev FROM b),
 s AS (SELECT *, CASE WHEN NOT matched AND hedged THEN 1 WHEN NOT matched THEN 0 WHEN hedged THEN 2 WHEN critic = 'disagree' AND sure THEN 3 WHEN critic = 'disagree' THEN 4 WHEN deferred THEN 5
-   WHEN confidence = 'high' AND ev <> verdict AND sure THEN 6 WHEN confidence = 'high' AND ev <> verdict THEN 7 ELSE 8 END AS st FROM f)
-SELECT o_orderkey, CASE WHEN st IN (1, 2, 4) THEN 'requires_review' WHEN st = 7 THEN ev ELSE verdict END AS final_verdict,
+   WHEN confidence = 'high' AND ev <> verdict AND sure THEN 6 WHEN confidence = 'high' AND ev <> verdict THEN 7 ELSE 8 END AS st FROM f),
+fused AS (SELECT *, CASE WHEN st IN (1, 2, 4) THEN 'requires_review' WHEN st = 7 THEN ev ELSE verdict END AS final_verdict,
  CASE WHEN st IN (1, 2) THEN 'hedged_reasoning_escalation' WHEN st = 4 THEN 'm3_critic_disagreement' WHEN st = 7 THEN 'm2_finding' WHEN st = 5 THEN 'dwg_deferred_annotation' WHEN st IN (3, 6) THEN 'm2_provenance_suppressed' END AS override_source,
- st IN (3, 6) AS sidecar, st IN (2, 5, 6, 8) AS annotated FROM s""")
-def fusion_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+ st IN (3, 6) AS sidecar, st IN (2, 5, 6, 8) AS annotated FROM s)"""
+
+
+def fused_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").cast("long").alias("q"))
     o = table(spark, sf_dir, "orders").join(q, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     k = F.col("o_orderkey")
     verdict = F.when(F.col("o_orderstatus") == "F", "pass").when(F.col("o_orderstatus") == "O", "fail").otherwise("requires_review")
-    notes = F.when(k % 7 == 0, "appears fine").when(k % 7 == 1, "measured")
+    notes = F.try_element_at(F.array(*map(F.lit, NOTES)), (k % 19 + 1).cast("int"))
     r = F.col("q") % 4
     rows = o.select(
-        "o_orderkey", verdict.alias("verdict"), fusion.hedged(verdict, notes, MARKERS).alias("hedged"), (F.col("q").isNotNull() & (k % 5 != 0)).alias("matched"),
+        "o_orderkey", "o_custkey", "o_totalprice", notes.alias("notes"), F.col("l_orderkey").alias("evidence_id"), verdict.alias("verdict"), fusion.hedged(verdict, notes, fusion.HEDGING_MARKERS).alias("hedged"), (F.col("q").isNotNull() & (k % 5 != 0)).alias("matched"),
         F.when(k % 11 == 0, "disagree").otherwise("agree").alias("critic"), (k % 13 == 0).alias("deferred"),
         fusion.numeric_pass(verdict, F.floor(F.col("o_totalprice") / 1000).cast("string"), F.lit("150")).alias("sure_pass"),
         F.when(r == 0, "compliant").when(r == 1, "non_compliant").when(r == 2, "missing").otherwise("odd").alias("indicator"), F.when(k % 3 == 0, "high").otherwise("low").alias("confidence"),
     )
-    return fusion.fuse(rows).select("o_orderkey", "final_verdict", "override_source", "sidecar", "annotated")
+    return fusion.fuse(rows)
+
+
+@query(f"WITH {FUSED_SQL} SELECT o_orderkey, final_verdict, override_source, sidecar, annotated FROM fused")
+def fusion_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fused_rows(spark, sf_dir).select("o_orderkey", "final_verdict", "override_source", "sidecar", "annotated")
+
+
+@query(f"""WITH {FUSED_SQL} SELECT 'before' AS part, verdict AS value, CAST(count(*) AS BIGINT) AS n FROM fused GROUP BY 2 UNION ALL SELECT 'after', final_verdict, count(*) FROM fused GROUP BY 2
+UNION ALL SELECT 'source', override_source, count(*) FROM fused WHERE override_source IS NOT NULL GROUP BY 2 UNION ALL SELECT 'new', final_verdict, count(*) FROM fused WHERE final_verdict = 'fail' AND verdict <> 'fail' GROUP BY 2""")
+def fusion_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How fusion changed a run, from one pass: verdicts before and after, sources of overrides, failures that are new."""
+    f, c = fused_rows(spark, sf_dir), F.col
+    new = F.when((c("final_verdict") == "fail") & (c("verdict") != "fail"), "fail")
+    parts = {"before": c("verdict"), "after": c("final_verdict"), "source": c("override_source"), "new": new}
+    facts = F.array(*(F.struct(F.lit(k).alias("part"), v.alias("value")) for k, v in parts.items()))
+    return f.select(F.explode(facts).alias("x")).select("x.*").where("value is not null").groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {FUSED_SQL}, h AS (SELECT sum(CAST(concat('0x', substring(md5(concat(CAST(o_orderkey AS VARCHAR), verdict)), 1, 8)) AS BIGINT)) AS engine, sum(CASE WHEN evidence_id IS NOT NULL THEN CAST(concat('0x', coalesce(substring(md5(CAST(evidence_id AS VARCHAR)), 1, 8), '0')) AS BIGINT) END) AS evidence FROM b)
+SELECT 'finding' AS kind, o_orderkey, final_verdict AS verdict, CASE WHEN override_source IS NOT NULL THEN concat(coalesce(notes || chr(10) || chr(10), ''), override_source) ELSE notes END AS notes, CAST(engine AS BIGINT) AS engine_digest, CAST(evidence AS BIGINT) AS evidence_digest FROM fused, h
+UNION ALL SELECT 'sidecar', o_orderkey, ev, concat('beside ', verdict), CAST(engine AS BIGINT), CAST(evidence AS BIGINT) FROM fused, h WHERE sidecar""")
+def fused_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fused rows with their notes, the sidecar rows beside them, and on every row the digests of both inputs."""
+    f, c = fused_rows(spark, sf_dir), F.col
+    engine, evidence = Q.digest(f, [c("o_orderkey").cast("string"), c("verdict")]), Q.digest(f.where("evidence_id is not null"), [c("evidence_id").cast("string")])
+    notes = F.when(c("override_source").isNotNull(), X.appended(c("notes"), c("override_source"))).otherwise(c("notes"))
+    rows = f.select(F.lit("finding").alias("kind"), "o_orderkey", c("final_verdict").alias("verdict"), notes.alias("notes")).unionByName(
+        f.where("sidecar").select(F.lit("sidecar").alias("kind"), "o_orderkey", fusion.indicator_verdict(c("indicator")).alias("verdict"), F.concat(F.lit("beside "), c("verdict")).alias("notes")))
+    return rows.join(F.broadcast(engine.withColumnRenamed("digest", "engine_digest"))).join(F.broadcast(evidence.withColumnRenamed("digest", "evidence_digest")))  # one row each

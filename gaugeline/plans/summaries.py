@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gaugeline.functions import verdicts as V
 from gaugeline.operators import rollup
 from gaugeline.operators.dedup import first_by, ranked
 from gaugeline.plans.evaluation import JUDGED_SQL, judged
@@ -23,6 +24,47 @@ def run_summary_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.unpivot(["entities_failing"], list(rollup.VERDICTS), "verdict", "n").select("verdict", "n", "entities_failing")
 
 
+MODES, CONFIDENCES = ("engine_error", "missing_data", "ambiguous_rule", "extraction_failure", "none"), ("high", "medium", "low")
+AXES = [("verdict", v) for v in rollup.VERDICTS] + [("failure_mode", m) for m in MODES] + [("confidence", c) for c in CONFIDENCES]
+
+
+@query(f"""WITH {JUDGED_SQL}, v AS (SELECT entity, verdict, failure_mode, CASE WHEN verdict IN ('pass_with_note', 'fail_borderline') THEN 'medium' ELSE 'high' END AS confidence,
+  CASE WHEN failure_mode <> 'none' THEN substring(sha256(concat(rule_id, '|', failure_mode)), 1, 16) END AS fingerprint FROM verdicts)
+SELECT e.axis, e.value, CAST(count(v.entity) AS BIGINT) AS n FROM {values_sql(AXES, "axis, value").replace(" AS t(", " AS e(")}
+LEFT JOIN v ON CASE e.axis WHEN 'verdict' THEN v.verdict WHEN 'failure_mode' THEN v.failure_mode ELSE v.confidence END = e.value GROUP BY 1, 2
+UNION ALL SELECT 'cluster', fingerprint, count(*) FROM v WHERE fingerprint IS NOT NULL GROUP BY 2 UNION ALL SELECT 'parcels', 'evaluated', count(DISTINCT entity) FROM v
+UNION ALL SELECT 'parcels', 'with_failures', count(DISTINCT entity) FROM v WHERE verdict IN ('fail', 'fail_borderline') UNION ALL SELECT 'total', 'violations', count(*) FROM v""")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(axis, value, n): a run's counts by verdict, failure mode and confidence, every value of each there, its
+    clusters of equal faults, its parcels and their failures."""
+    c, o = F.col, F.col("o")
+    v = judged(spark, sf_dir).select(
+        "entity", o["verdict"].alias("verdict"), o["failure_mode"].alias("failure_mode"), F.when(o["verdict"].isin("pass_with_note", "fail_borderline"), "medium").otherwise("high").alias("confidence"),
+        F.when(o["failure_mode"] != "none", V.fingerprint(F.concat_ws("|", "rule_id", o["failure_mode"]))).alias("fingerprint"),
+    )
+    # one shuffle by entity carries all enumerations; the clusters are of few different faults
+    each = v.groupBy("entity").agg(*(F.count_if(c(a) == x).alias(f"{a}/{x}") for a, x in AXES), F.count(F.lit(1)).alias("total/violations"))
+    failed = sum(c(f"verdict/{x}") for x in rollup.FAILURES) > 0
+    names = [f"{a}/{x}" for a, x in AXES] + ["total/violations"]
+    wide = each.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names), F.count(F.lit(1)).alias("parcels/evaluated"), F.count_if(failed).alias("parcels/with_failures"))
+    long = wide.unpivot([], wide.columns, "name", "n").select(F.split_part("name", F.lit("/"), F.lit(1)).alias("axis"), F.split_part("name", F.lit("/"), F.lit(2)).alias("value"), "n")
+    return long.unionByName(v.where("fingerprint is not null").groupBy(c("fingerprint").alias("value")).agg(F.count(F.lit(1)).alias("n")).withColumn("axis", F.lit("cluster")))
+
+
+DISPLAY = ("fail", "fail_borderline", "requires_review", "unevaluable", "pass_with_note", "pass", "not_applicable")
+
+
+@query(f"""WITH {JUDGED_SQL} SELECT e.place, e.verdict, CAST(count(v.entity) AS BIGINT) AS n, CAST(count(v.entity) FILTER (WHERE v.verdict IN ('fail', 'fail_borderline')) AS BIGINT) AS failures,
+ CAST(count(v.entity) FILTER (WHERE v.failure_mode = 'ambiguous_rule') AS BIGINT) AS ambiguous FROM {values_sql([(i, v) for i, v in enumerate(DISPLAY)], "place, verdict").replace(" AS t(", " AS e(")} LEFT JOIN verdicts v ON v.verdict = e.verdict GROUP BY 1, 2""")
+def opinion_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts in the order in which an opinion shows them, with what of each is a failure or for want of a clear rule."""
+    v, c = judged(spark, sf_dir).select("o.verdict", "o.failure_mode"), F.col
+    got = v.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.count_if(c("failure_mode") == "ambiguous_rule").alias("ambiguous"))
+    order = F.broadcast(inline(spark, list(enumerate(DISPLAY)), "place int, verdict string"))  # seven rows
+    some = order.join(got, "verdict", "left").na.fill(0, ["n", "ambiguous"])
+    return some.select("place", "verdict", "n", F.when(c("verdict").isin(*rollup.FAILURES), c("n")).otherwise(0).alias("failures"), "ambiguous")
+
+
 @query(f"""WITH {JUDGED_SQL} SELECT entity, {', '.join(f"CAST(count(*) FILTER (WHERE verdict = '{v}') AS BIGINT) AS {v}" for v in rollup.VERDICTS)} FROM verdicts GROUP BY entity""")
 def verdict_pivot_by_parcel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.pivoted(judged(spark, sf_dir).select("entity", "o.verdict"), "entity", "verdict", rollup.VERDICTS)

@@ -48,6 +48,22 @@ def replaced(text: Column, pairs: list[tuple[str, str]]) -> Column:
     return reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), pairs, text)
 
 
+def replacements(text: Column, pairs: list[tuple[str, str]]) -> Column:
+    """How often replaced() replaces something: each pair's hits in the text as the pairs before it left it."""
+    hits, left = F.lit(0).cast("long"), text
+    for old, new in pairs:
+        cut = F.length(left) - F.length(F.replace(left, F.lit(old), F.lit("")))
+        hits, left = hits + (cut / len(old)).cast("long"), F.replace(left, F.lit(old), F.lit(new))
+    return hits
+
+
+def by_method(df, keys: list[str], methods: tuple[str, ...], handlers: dict[str, Column]):
+    """(keys, method, verdict): every method's handler on every row; a method must have one."""
+    if lost := set(methods) - set(handlers):
+        raise ValueError(f"no handler for {sorted(lost)}")
+    return df.select(*keys, *(handlers[m].alias(m) for m in methods)).unpivot(keys, list(methods), "method", "verdict")
+
+
 def tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != ""))
 

@@ -19,6 +19,11 @@ def area(ring: Column) -> Column:
     return F.abs(twice) / 2
 
 
+def valid(ring: Column) -> Column:
+    """Three vertices and some area at least."""
+    return F.coalesce((F.size(ring) >= 3) & (area(ring) > 0), F.lit(False))
+
+
 def contains(ring: Column, x: Column, y: Column) -> Column:
     """Ray casting; points on an edge may fall either way."""
     def crosses(e):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +41,34 @@ def archive_then_replace(rows: DataFrame, path: str, stamp: str) -> str:
     out = f"{path.rstrip('/')}/{stamp}"
     rows.write.mode("errorifexists").parquet(out)
     return out
+
+
+def replace_whole(rows: DataFrame, path: str) -> None:
+    """Replace the table at path: the new one is written beside it, the old one moved away, the new one moved in.
+    A reader finds the old or the new table, or between the moves none; never a part."""
+    spark = rows.sparkSession
+    top = spark._jvm.org.apache.hadoop.fs.Path
+    store = top(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    new, old = f"{path}.new-{uuid.uuid4().hex[:8]}", f"{path}.old-{uuid.uuid4().hex[:8]}"
+    rows.write.parquet(new)
+    had = store.exists(top(path))
+    if had:
+        store.rename(top(path), top(old))
+    store.rename(top(new), top(path))
+    if had:
+        store.delete(top(old), True)
+
+
+def evaluate_run(rows: DataFrame, verdicts: str, log: str, run: str, at: str) -> DataFrame:
+    """One run from open to close: logged as running, its rows appended, summarised by verdict, logged as complete; a
+    run that fails is logged as failed before its error goes on."""
+    spark = rows.sparkSession
+    log_run(spark, log, run, "running", at)
+    try:
+        append_verdicts(rows.withColumn("engine_run_id", F.lit(run)), verdicts)
+        summary = read_run(spark, verdicts, run).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+    except Exception:
+        log_run(spark, log, run, "failed", at)
+        raise
+    log_run(spark, log, run, "complete", at)
+    return summary

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from gaugeline.operators import geometry as G
 from gaugeline.operators import quality_checks as Q
-from gaugeline.operators.tree import ancestor_chains
+from gaugeline.operators.tree import ancestor_chains, with_parents
 from gaugeline.plans.registry import query
-from gaugeline.sources.tables import inline, table
+from gaugeline.sources.tables import table
 from gaugeline.streaming import jobs
 
 
@@ -55,26 +55,77 @@ def dq_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query("""WITH RECURSIVE n AS (SELECT p_partkey AS id, CASE WHEN p_partkey = 0 THEN NULL WHEN p_partkey % 101 = 1 THEN p_partkey + 10000000 ELSE p_partkey // 3 END AS parent, CASE WHEN p_partkey % 13 <> 0 THEN p_name END AS title FROM part),
+a AS (SELECT id, parent, title FROM n UNION ALL SELECT DISTINCT parent, CAST(NULL AS BIGINT), 'section' FROM n WHERE parent NOT IN (SELECT id FROM n)),
+c AS (SELECT id, [coalesce(title, '-')] AS chain FROM a WHERE parent IS NULL UNION ALL SELECT a.id, list_append(c.chain, coalesce(a.title, '-')) FROM a JOIN c ON a.parent = c.id)
+SELECT id, array_to_string(chain, ' > ') AS chain, CAST(len(chain) AS BIGINT) AS depth FROM c""")
+def clause_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title chains of a deeper tree in which some parents are missing and some titles are null."""
+    k = F.col("p_partkey")
+    parent = F.when(k % 101 == 1, k + 10000000).when(k > 0, F.floor(k / 3).cast("long"))
+    nodes = with_parents(table(spark, sf_dir, "part").select(k.alias("id"), parent.alias("parent"), F.when(k % 13 != 0, F.col("p_name")).alias("title")), "section")
+    return ancestor_chains(nodes).select("id", F.array_join("chain", " > ", "-").alias("chain"), F.size("chain").cast("long").alias("depth"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size * 3 AS DOUBLE) ELSE p_size * 3 / 2.0 END AS area, CASE WHEN p_partkey % 2 = 0 THEN p_size > 10.5 ELSE 10.5 / p_size + 0.5 / 3 < 1 END AS has_point, p_partkey % 5 = 0 AS closed,
+ CAST(100 - p_size AS DOUBLE) AS distance, round(3.13654849 * p_size * p_size, 1) AS circle_area, p_partkey % 11 <> 0 AS valid FROM part""")
 def polygon_area_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rings = [(1, [(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 3.0)]), (2, [(10.0, 0.0), (12.0, 0.0), (11.0, 2.0)])]
-    r = inline(spark, rings, "id int, ring array<struct<x: double, y: double>>")
-    other = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in [(20.0, 0.0), (21.0, 0.0), (21.0, 1.0)]))
-    ring = F.col("ring")
-    return r.select(
-        "id", G.area(ring).alias("area"), G.contains(ring, F.lit(1.0), F.lit(1.0)).alias("has_point"), G.closed(ring).alias("closed"), G.distance(ring, other).alias("distance"),
-        F.round(G.area(G.circle(F.lit(0.0), F.lit(0.0), F.lit(1.0))), 6).alias("circle_area"),
+    """Areas, containment, closing vertices, distances and circles of rings from each part's size; rings of no area are not valid."""
+    k, w = F.col("p_partkey"), F.col("p_size").cast("double")
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    zero, three = F.lit(0.0), F.lit(3.0)
+    ring = F.when(k % 2 == 0, F.array(point(zero, zero), point(w, zero), point(w, three), point(zero, three))).otherwise(F.array(point(zero, zero), point(w, zero), point(zero, three)))
+    loop = F.when(k % 5 == 0, F.concat(ring, F.array(point(zero, F.lit(0.0005))))).otherwise(ring)
+    flat = F.when(k % 11 == 0, F.array(point(zero, zero), point(w, zero), point(w * 2, zero))).otherwise(ring)
+    other = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in [(100.0, 0.0), (101.0, 0.0), (101.0, 1.0), (100.0, 1.0)]))
+    p = table(spark, sf_dir, "part").select("p_partkey", ring.alias("ring"), loop.alias("loop"), flat.alias("flat"), w.alias("w"))
+    r = F.col("ring")
+    return p.select(
+        "p_partkey", G.area(r).alias("area"), G.contains(r, F.lit(10.5), F.lit(0.5)).alias("has_point"), G.closed(F.col("loop")).alias("closed"), G.distance(r, other).alias("distance"),
+        F.round(G.area(G.circle(F.lit(0.0), F.lit(0.0), F.col("w"))), 1).alias("circle_area"), G.valid(F.col("flat")).alias("valid"),
+    )
+
+
+DRAWN_SQL = """d AS (SELECT p_partkey, p_brand, 20.0 + p_size % 10 AS pw, 20.0 AS ph, 1.0 + p_size % 7 AS x0, 2.0 + p_partkey % 3 AS y0, 4.0 + p_size % 9 AS bw, 5.0 + p_partkey % 8 AS bh,
+  CASE WHEN p_partkey % 5 <> 0 THEN 10.0 + p_size % 6 END AS cap, CASE WHEN p_partkey % 4 <> 0 THEN 2.0 + p_partkey % 4 END AS setback FROM part)"""
+
+
+@query(f"""WITH {DRAWN_SQL}, g AS (SELECT p_brand, sum(bw * bh) AS footprint, sum(pw * ph) AS plot, min(setback) AS required, min(least(x0, pw - x0 - bw)) AS actual, count(*) AS n, min_by(cap, p_partkey) FILTER (WHERE cap IS NOT NULL) AS cap,
+  sum(greatest(least(x0 + bw, 30.0) - greatest(x0, 8.0), 0) * greatest(least(y0 + bh, 30.0) - greatest(y0, 9.0), 0)) AS shared, arg_max(p_partkey, bw * bh * 1000000.0 - p_partkey) AS largest FROM d GROUP BY 1)
+SELECT p_brand, CASE WHEN cap IS NULL THEN 'not_applicable' WHEN footprint / plot * 100 <= cap + 0.5 THEN 'pass' ELSE 'fail' END AS coverage, CASE WHEN required IS NULL THEN 'not_applicable' WHEN actual + 0.05 >= required THEN 'pass' ELSE 'fail' END AS setback,
+ shared, CASE WHEN shared > 0.5 THEN 'fail' ELSE 'pass' END AS public_space, CASE WHEN n >= 80 THEN 'pass' ELSE 'fail' END AS parking, largest FROM g""")
+def drawing_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drawings by group: covered share against the first cap given, the smallest setback against the nearest boundary,
+    the area built on public space, a count of spaces, and the largest footprint."""
+    c, k, size = F.col, F.col("p_partkey"), F.col("p_size")
+    pw, x0, y0, bw, bh = 20.0 + size % 10, 1.0 + size % 7, 2.0 + k % 3, 4.0 + size % 9, 5.0 + k % 8
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    ring = F.array(point(x0, y0), point(x0 + bw, y0), point(x0 + bw, y0 + bh), point(x0, y0 + bh))
+    sides = [F.array(point(x, F.lit(0.0)), point(x, F.lit(20.0))) for x in (F.lit(0.0), pw)]
+    plot = F.array(point(F.lit(0.0), F.lit(0.0)), point(pw, F.lit(0.0)), point(pw, F.lit(20.0)), point(F.lit(0.0), F.lit(20.0)))
+    d = table(spark, sf_dir, "part").select("p_partkey", "p_brand", ring.alias("ring"), plot.alias("plot"), F.array(*sides).alias("sides"), F.when(k % 5 != 0, 10.0 + size % 6).alias("cap"), F.when(k % 4 != 0, 2.0 + k % 4).alias("setback"))
+    box = lambda r: F.struct(F.element_at(r, 1)["x"].alias("x0"), F.element_at(r, 1)["y"].alias("y0"), F.element_at(r, 3)["x"].alias("x1"), F.element_at(r, 3)["y"].alias("y1"))
+    public = F.struct(F.lit(8.0).alias("x0"), F.lit(9.0).alias("y0"), F.lit(30.0).alias("x1"), F.lit(30.0).alias("y1"))
+    d = d.select("p_partkey", "p_brand", "cap", "setback", G.area(c("ring")).alias("area"), G.area(c("plot")).alias("plot"), F.array_min(F.transform("sides", lambda s: G.distance(c("ring"), s))).alias("gap"), G.box_overlap(box(c("ring")), public).alias("shared"))
+    g = d.groupBy("p_brand").agg(
+        F.sum("area").alias("footprint"), F.sum("plot").alias("plot"), F.min("setback").alias("required"), F.min("gap").alias("actual"), F.count(F.lit(1)).alias("n"),
+        F.min(F.when(c("cap").isNotNull(), F.struct("p_partkey", "cap")))["cap"].alias("cap"), F.sum("shared").alias("shared"), F.max(F.struct("area", (-k).alias("m")))["m"].alias("largest"),
+    )
+    verdict = lambda missing, good: F.when(missing, "not_applicable").when(good, "pass").otherwise("fail")
+    return g.select(
+        "p_brand", verdict(c("cap").isNull(), F.try_divide("footprint", "plot") * 100 <= c("cap") + 0.5).alias("coverage"), verdict(c("required").isNull(), c("actual") + 0.05 >= c("required")).alias("setback"),
+        "shared", verdict(F.lit(False), c("shared") <= 0.5).alias("public_space"), verdict(F.lit(False), c("n") >= 80).alias("parking"), (-c("largest")).alias("largest"),
     )
 
 
-@query()
+@query("""SELECT event_id, CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS absent, true AS present FROM events""")
 def variant_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.try_parse_json("props")
     e = table(spark, sf_dir, "events").select("event_id", F.try_variant_get(v, "$.k", "long").alias("k"), F.try_variant_get(v, "$.absent.deep", "string").alias("absent"))
     return e.withColumn("present", F.col("k").isNotNull())
 
 
-@query()
+@query("""SELECT date_trunc('day', ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM (SELECT DISTINCT ON (event_id) * FROM events) e GROUP BY 1, 2""")
 def job_lifecycle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All windows, those too that a stream (jobs.run_available) still holds open at its end."""
     return jobs.lifecycle(table(spark, sf_dir, "events"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline.operators import merging as M
-from gaugeline.operators.dedup import ranked
+from gaugeline.operators.dedup import numbered, ranked
 from gaugeline.plans.registry import query
 from gaugeline.sources.tables import preferred, table
 
@@ -79,11 +79,8 @@ def union_four_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
         row(o.where("o_totalprice > 400000"), 1, key, "fail").unionByName(row(li.where("l_quantity = 50 and l_discount = 0.1"), 2, F.col("l_orderkey") * 10 + F.col("l_linenumber"), "pass"))
         .unionByName(row(o.where("o_orderstatus = 'P' and o_orderpriority = '1-URGENT'"), 1, key, "requires_review")).unionByName(row(o.where("o_totalprice < 2000"), 2, key, "odd"))
     )
-    # places run within a section after the sections before it, so no task sorts all rows
-    within = Window.partitionBy("section").orderBy(ranked(F.col("verdict"), ["fail", "requires_review", "pass"]), "item")
-    size = every.groupBy("section").agg(F.count(F.lit(1)).alias("n"))
-    start = size.select("section", F.coalesce(F.sum("n").over(Window.orderBy("section").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return every.withColumn("r", F.row_number().over(within)).join(F.broadcast(start), "section").select("section", "item", "verdict", (F.col("r") + F.col("before")).alias("place"))
+    order = [F.col("section"), ranked(F.col("verdict"), ["fail", "requires_review", "pass"]), F.col("item")]
+    return numbered(every, order).select("section", "item", "verdict", "place")
 
 
 @query("""SELECT p_partkey, coalesce(q.m, p_retailprice) AS p_retailprice, coalesce(q.z, p_size) AS p_size FROM part LEFT JOIN (SELECT l_partkey, max(l_extendedprice) AS m, CASE WHEN l_partkey % 2 = 0 THEN 7 END AS z FROM lineitem WHERE l_quantity > 45 GROUP BY l_partkey) q ON q.l_partkey = p_partkey""")

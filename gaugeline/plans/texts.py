@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.functions import text as X
 from gaugeline.plans.registry import query
-from gaugeline.sources.tables import inline, page_numbers, table, values_sql
+from gaugeline.sources.tables import page_numbers, table, values_sql
 
 TERMS = [("fire", "the and"), ("fire", "idiot"), ("trees", "und die"), ("trees", "les des"), ("water", "zzzz")]
 
@@ -152,13 +152,112 @@ def version_and_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+LABEL_SQL = "concat('סע:יף ', CAST(p_partkey AS VARCHAR), 'מ א.ב ', CASE WHEN p_partkey % 3 = 0 THEN 'תכ.נית' ELSE 'תכ  נית' END, ' a:b')"
+
+
+@query(rf"""SELECT p_partkey, regexp_replace({LABEL_SQL}, '([\x{{0590}}-\x{{05FF}}])[:.]([\x{{0590}}-\x{{05FF}}])', '\1\2', 'g') AS cleaned, regexp_replace(regexp_replace({LABEL_SQL}, '(\pL)([0-9])', '\1 \2', 'g'), '([0-9])(\pL)', '\1 \2', 'g') AS spaced,
+ p_partkey % 3 = 0 OR true AS loose, replace(replace({LABEL_SQL}, 'א.ב', 'AB'), '§', 'סעיף') AS replaced, CAST(1 AS BIGINT) AS hits FROM part""")
 def hebrew_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = inline(spark, [("סעיף: א:ב 3מ", "תכ.נית"), ("abc:def", "12x")], "a string, b string")
-    return rows.select(X.strip_between_hebrew(F.col("a")).alias("a"), X.strip_between_hebrew(F.col("b")).alias("b"), X.space_at_digit_borders(F.col("a")).alias("spaced"), F.col("b").rlike(X.loose_pattern("תכנית")).alias("loose"))
+    """Labels with stray marks between Hebrew letters, digits without spaces, and letters pulled apart."""
+    k = F.col("p_partkey")
+    label = F.concat(F.lit("סע:יף "), k.cast("string"), F.lit("מ א.ב "), F.when(k % 3 == 0, "תכ.נית").otherwise("תכ  נית"), F.lit(" a:b"))
+    p = table(spark, sf_dir, "part").select("p_partkey", label.alias("label"))
+    pairs = [("א.ב", "AB"), ("§", "סעיף")]
+    return p.select(
+        "p_partkey", X.strip_between_hebrew(F.col("label")).alias("cleaned"), X.space_at_digit_borders(F.col("label")).alias("spaced"), F.col("label").rlike(X.loose_pattern("תכנית")).alias("loose"),
+        X.replaced(F.col("label"), pairs).alias("replaced"), X.replacements(F.col("label"), pairs).alias("hits"),
+    )
 
 
-@query()
+@query("""WITH s AS (SELECT o_orderkey, o_orderkey % 9 + 1 AS n, o_orderkey % 4 + 1 AS a, o_orderkey % 4 + 1 + o_orderkey % 3 AS b, o_orderkey % 6 + 1 AS c FROM orders)
+SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN array_to_string(range(1, n + 1), ',') WHEN 1 THEN NULL WHEN 2 THEN CASE WHEN b <= n AND c <= n THEN array_to_string(list_sort(list_distinct(list_concat(range(a, b + 1), [c]))), ',') END
+  ELSE CASE WHEN c <= n THEN CAST(c AS VARCHAR) END END AS pages FROM s""")
 def page_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = inline(spark, [("1,3-5,4", 9), ("all", 3), ("7-20", 9), ("x", 3)], "spec string, n int")
-    return rows.select("spec", page_numbers(F.col("spec"), F.col("n")).alias("pages"))
+    k = F.col("o_orderkey")
+    a, c = k % 4 + 1, k % 6 + 1
+    text = lambda x: x.cast("string")
+    spec = F.when(k % 5 == 0, " All ").when(k % 5 == 1, F.concat(text(a), F.lit("-x"))).when(k % 5 == 2, F.concat(text(a), F.lit("-"), text(a + k % 3), F.lit(", "), text(c))).otherwise(text(c))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", spec.alias("spec"), (k % 9 + 1).alias("n"))
+    pages = F.transform(page_numbers(F.col("spec"), F.col("n")), lambda x: x.cast("string"))
+    return o.select("o_orderkey", F.array_join(pages, ",").alias("pages"))
+
+
+PAGE_TERMS = ("the", "and", "der", "les", "que")
+#: Check methods in the order of the format rules; each has a handler over a document's pages.
+METHODS = (
+    "pdf_metadata", "text_extraction", "regex_pattern", "table_detection", "pdf_image_detection", "page_structure_analysis", "manual_review", "pixel_color_sample", "regex_on_plan_pages", "footer_image_count",
+)
+
+
+def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, pages): a conversation's turns as the pages of a document, in order."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", F.coalesce("text", F.lit("")).alias("text"), "role").alias("p"))
+    return c.groupBy("conv_id").agg(F.array_sort(F.collect_list("p")).alias("pages"))
+
+
+PAGED_SQL = """t AS (SELECT conv_id, list(struct_pack(turn := turn, text := coalesce(text, ''), role := role) ORDER BY turn) AS pages FROM conversations GROUP BY 1)"""
+FOUND_SQL = "list_filter([" + ", ".join(f"'{t}'" for t in PAGE_TERMS) + "], lambda x: contains({0}, x))"
+
+
+@query(f"""WITH {PAGED_SQL}, l AS (SELECT *, list_filter(list_transform(flatten(list_transform(pages, lambda p: string_split(p.text, chr(10)))), lambda x: trim(x)), lambda x: length(x) >= 10) AS lines, array_to_string(list_transform(pages, lambda p: p.text), chr(10)) AS all_text,
+  list_distinct(list_filter(list_transform(string_split_regex(pages[1].text, '[|·•\n\r\t.]'), lambda x: trim(x)), lambda x: length(x) >= 4 AND NOT regexp_full_match(x, '[0-9]+'))) AS tokens FROM t),
+m AS (SELECT *, list_sort(list_transform(tokens, lambda x: struct_pack(n := -len(list_filter(pages, lambda p: contains(p.text, x))), l := -length(x), token := x)))[1] AS best FROM l)
+SELECT conv_id, CAST(len(lines) AS BIGINT) AS blocks, CASE WHEN len(lines) > 0 THEN CAST(len(list_filter(lines, lambda x: regexp_matches(regexp_extract(x, '[A-Za-zÀ-ÿ]'), '[A-Z]'))) AS DOUBLE) / len(lines) END AS block_ratio, CAST(len({FOUND_SQL.format("all_text")}) AS BIGINT) AS distinct_terms,
+ CAST(list_min(list_transform(list_filter(pages, lambda p: len({FOUND_SQL.format("p.text")}) >= 2), lambda p: p.turn)) AS BIGINT) AS same_page, len({FOUND_SQL.format("all_text")}) = {len(PAGE_TERMS)} AS all_terms, best.token AS token, CAST(-best.n AS BIGINT) AS token_pages,
+ CAST(list_sum(list_transform(pages, lambda p: len(regexp_extract_all(p.text, '[a-z]+tion')))) AS BIGINT) AS matches, CAST(len(list_filter(pages, lambda p: regexp_matches(p.text, '[a-z]+tion'))) AS BIGINT) AS hit_pages FROM m""")
+def text_extraction_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six text rules over a document's pages: share of lines that begin in a script, distinct terms, terms on one
+    page, all terms, the first page's token on most pages, and counts of a pattern and of the pages it hits."""
+    c = F.col
+    found = lambda text: F.filter(F.array(*map(F.lit, PAGE_TERMS)), lambda t: F.contains(text, t))
+    texts = F.transform("pages", lambda p: p["text"])
+    lines = F.filter(F.transform(F.flatten(F.transform(texts, lambda t: F.split(t, "\n"))), lambda x: F.trim(x)), lambda x: F.length(x) >= 10)
+    tokens = F.array_distinct(F.filter(F.transform(F.split(F.element_at(texts, 1), r"[|·•\n\r\t.]"), lambda x: F.trim(x)), lambda x: (F.length(x) >= 4) & ~x.rlike("^[0-9]+$")))
+    d = paged(spark, sf_dir).select("conv_id", "pages", texts.alias("texts"), lines.alias("lines"), F.array_join(texts, "\n").alias("text"), tokens.alias("tokens"))
+    best = F.array_min(F.transform("tokens", lambda t: F.struct((-F.size(F.filter(c("texts"), lambda p: F.contains(p, t)))).alias("n"), (-F.length(t)).alias("l"), t.alias("token"))))
+    upper = F.size(F.filter("lines", lambda x: F.regexp_extract(x, "[A-Za-zÀ-ÿ]", 0).rlike("[A-Z]")))
+    first = F.array_min(F.transform(F.filter("pages", lambda p: F.size(found(p["text"])) >= 2), lambda p: p["turn"]))
+    counts = F.transform("texts", lambda t: F.regexp_count(t, F.lit("[a-z]+tion")))
+    return d.select(
+        "conv_id", F.size("lines").cast("long").alias("blocks"), F.try_divide(upper.cast("double"), F.size("lines")).alias("block_ratio"), F.size(found(c("text"))).cast("long").alias("distinct_terms"), first.cast("long").alias("same_page"),
+        (F.size(found(c("text"))) == len(PAGE_TERMS)).alias("all_terms"), best["token"].alias("token"), (-best["n"]).cast("long").alias("token_pages"),
+        F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x).alias("matches"), F.size(F.filter(counts, lambda x: x > 0)).cast("long").alias("hit_pages"),
+    )
+
+
+METHOD_SQL = {
+    "pdf_metadata": "len(pages) >= 2", "text_extraction": "contains(pages[1].text, 'the')", "regex_pattern": "len(list_filter(pages, lambda p: regexp_matches(p.text, '[0-9]+'))) >= 1", "table_detection": "len(list_filter(pages, lambda p: contains(p.text, ' | '))) > 0",
+    "pdf_image_detection": "len(list_filter(pages, lambda p: p.role = 'assistant')) * 2 >= len(pages)", "page_structure_analysis": "len(list_filter(pages, lambda p: len(string_split(p.text, ' ')) < 50)) > 0",
+    "regex_on_plan_pages": "len(list_filter(pages, lambda p: p.role = 'assistant' AND len(regexp_extract_all(p.text, 'th')) < 2)) = 0", "footer_image_count": "len(list_filter(pages[2:], lambda p: len(regexp_extract_all(p.text, '[.]')) < 1)) = 0",
+}
+
+
+@query(f"""WITH {PAGED_SQL} """ + " UNION ALL ".join(f"SELECT conv_id, '{m}' AS method, " + (f"CASE WHEN {METHOD_SQL[m]} THEN 'pass' ELSE 'fail' END" if m in METHOD_SQL else "'requires_review'" if m == "manual_review" else "'unevaluable'") + " AS verdict FROM t" for m in METHODS))
+def format_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every format rule by its method's handler, in one pass over the pages; images are no input, so pixels can't be judged."""
+    c, pages = F.col, F.col("pages")
+    some = lambda f: F.size(F.filter(pages, f))
+    ok = lambda x: F.when(x, "pass").otherwise("fail")
+    handlers = {
+        "pdf_metadata": ok(F.size(pages) >= 2), "text_extraction": ok(F.contains(F.element_at(pages, 1)["text"], F.lit("the"))), "regex_pattern": ok(some(lambda p: p["text"].rlike("[0-9]+")) >= 1),
+        "table_detection": ok(some(lambda p: F.contains(p["text"], F.lit(" | "))) > 0), "pdf_image_detection": ok(some(lambda p: p["role"] == "assistant") * 2 >= F.size(pages)),
+        "page_structure_analysis": ok(some(lambda p: F.size(F.split(p["text"], " ")) < 50) > 0), "manual_review": F.lit("requires_review"), "pixel_color_sample": F.lit("unevaluable"),
+        "regex_on_plan_pages": ok(some(lambda p: (p["role"] == "assistant") & (F.regexp_count(p["text"], F.lit("th")) < 2)) == 0),
+        "footer_image_count": ok(F.size(F.filter(F.slice(pages, F.lit(2), F.size(pages)), lambda p: F.regexp_count(p["text"], F.lit("[.]")) < 1)) == 0),
+    }
+    return X.by_method(paged(spark, sf_dir), ["conv_id"], METHODS, handlers)
+
+
+BASES = [("plan", r"(?:plan|Der) ([a-zß-ÿ]+)"), ("law", r"([A-Z][a-z]+) the "), ("custom", r"^([^ ]+)")]
+
+
+@query("""SELECT doc_id, CASE WHEN b1 <> '' THEN 'plan' WHEN b2 <> '' THEN 'law' WHEN b3 <> '' THEN 'custom' END AS basis, coalesce(nullif(b1, ''), nullif(b2, ''), nullif(b3, '')) AS named, CAST(len(items) AS BIGINT) AS findings, list_min(items) AS first_item, score, score < 0.7 AS low FROM (
+ SELECT doc_id, regexp_extract(text, '(?:plan|Der) ([a-zß-ÿ]+)', 1) AS b1, regexp_extract(text, '([A-Z][a-z]+) the ', 1) AS b2, regexp_extract(text, '^([^ ]+)', 1) AS b3, regexp_extract_all(text, '[a-z]+ ([a-z]+tion)[.]', 1) AS items,
+  (CASE WHEN n_chars > 500 THEN 0.4 ELSE 0.0 END) + (CASE WHEN lang = 'en' THEN 0.35 ELSE 0.0 END) + (CASE WHEN contains(text, chr(10)) THEN 0.25 ELSE 0.0 END) AS score FROM documents) t""")
+def protocol_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each protocol's rule basis by ordered patterns, its listed findings, and an additive confidence; low ones are marked."""
+    c, text = F.col, F.col("text")
+    items = F.regexp_extract_all(text, F.lit(r"[a-z]+ ([a-z]+tion)[.]"), F.lit(1))
+    sure = X.score([(c("n_chars") > 500, 0.4), (c("lang") == "en", 0.35), (F.contains(text, F.lit("\n")), 0.25)])
+    d = table(spark, sf_dir, "documents").select("doc_id", X.first_class(text, BASES, None).alias("basis"), X.first_match(text, [p for _, p in BASES]).alias("named"), items.alias("items"), sure.alias("score"))
+    return d.select("doc_id", "basis", "named", F.size("items").cast("long").alias("findings"), F.array_min("items").alias("first_item"), "score", (c("score") < 0.7).alias("low"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeline.functions.drawing import resolved_headers
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table; filters and column choice reach its scan."""
@@ -53,6 +55,14 @@ def overlay_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path) if there else spark.createDataFrame([], schema)
 
 
+def responses(spark: SparkSession, path: str, wanted: dict[str, list[str]], key: str, critical: set[str]) -> DataFrame:
+    """Rows of a CSV table whose columns may stand in any order under any of their spellings; rows without a key go."""
+    raw = spark.read.option("header", True).csv(path)
+    found = resolved_headers(raw.columns, wanted, critical | {key})
+    rows = raw.select(*(F.col(f"`{c}`").alias(n) for n, c in found.items()), *(F.lit(None).cast("string").alias(n) for n in wanted if n not in found))
+    return rows.where(F.trim(F.coalesce(key, F.lit(""))) != "").select(*wanted)
+
+
 def page_numbers(spec: Column, n_pages: Column) -> Column:
     """Sorted distinct page numbers of a spec like "1,3-5" or "all"; null when any part is malformed or out of range."""
     parts = F.transform(F.split(spec, ","), lambda p: F.trim(p))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeline.sources.staging import shared_dir
+
 
 def lifecycle(events: DataFrame, late: str = "1 day", width: str = "1 day") -> DataFrame:
     """(start, event_type, n, total) of a stream or table of events(event_id, ts, event_type, value); each event counts once."""
@@ -16,14 +17,14 @@ def lifecycle(events: DataFrame, late: str = "1 day", width: str = "1 day") -> D
         e = e.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
     else:
         e = e.dropDuplicates(["event_id"])
-    return e.groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+    return e.groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
 def run_available(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """Read the files that are there as a stream, once, into a Parquet sink; its rows.  Windows still open at the end stay in state."""
     schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    base = shared_dir(spark)
     out, state = (f"{base}/jobs-{kind}-{uuid.uuid4().hex[:8]}" for kind in ("out", "state"))
     made = lifecycle(stream)
     made.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()

@@ -13,21 +13,38 @@ def test_matches_oracle(spark, sf, name):
     assert not differences(QUERIES[name](spark, sf), ORACLES[name], sf)
 
 
-def test_hebrew_cleanup(spark, sf):
-    rows = QUERIES["hebrew_cleanup"](spark, sf).collect()
+def test_hebrew_cleanup(spark):
+    from gaugeline.functions import text as X
+
+    rows = spark.createDataFrame([("סעיף: א:ב 3מ", "תכ.נית"), ("abc:def", "12x")], "a string, b string")
+    rows = rows.select(X.strip_between_hebrew(rows.a).alias("a"), X.strip_between_hebrew(rows.b).alias("b"), X.space_at_digit_borders(rows.a).alias("spaced"), rows.b.rlike(X.loose_pattern("תכנית")).alias("loose"), X.replacements(rows.a, [("a", "bb"), ("b", "")]).alias("hits")).collect()
     assert [r.a for r in rows] == ["סעיף: אב 3מ", "abc:def"]
     assert rows[0].b == "תכנית" and rows[0].loose and rows[0].spaced.endswith("3 מ") and not rows[1].loose
+    assert [r.hits for r in rows] == [0, 4]  # one a, then the three b there are by then
+
 
+def test_page_specs(spark):
+    from gaugeline.sources.tables import page_numbers
 
-def test_page_specs(spark, sf):
-    got = {r.spec: r.pages for r in QUERIES["page_specs"](spark, sf).collect()}
+    rows = spark.createDataFrame([("1,3-5,4", 9), ("all", 3), ("7-20", 9), ("x", 3)], "spec string, n int")
+    got = {r.spec: r.pages for r in rows.select("spec", page_numbers(rows.spec, rows.n).alias("pages")).collect()}
     assert got == {"1,3-5,4": [1, 3, 4, 5], "all": [1, 2, 3], "7-20": None, "x": None}
 
 
-def test_polygons(spark, sf):
-    a, b = sorted(QUERIES["polygon_area_contains"](spark, sf).collect())
+def test_polygons(spark):
+    from pyspark.sql import functions as F
+
+    from gaugeline.operators import geometry as G
+
+    rings = [(1, [(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 3.0)]), (2, [(10.0, 0.0), (12.0, 0.0), (11.0, 2.0)]), (3, [(0.0, 0.0), (1.0, 1.0)])]
+    r = spark.createDataFrame(rings, "id int, ring array<struct<x: double, y: double>>")
+    other = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in [(20.0, 0.0), (21.0, 0.0), (21.0, 1.0)]))
+    got = r.select("id", G.area(r.ring).alias("area"), G.contains(r.ring, F.lit(1.0), F.lit(1.0)).alias("has_point"), G.closed(r.ring).alias("closed"), G.distance(r.ring, other).alias("distance"), G.valid(r.ring).alias("valid")).collect()
+    a, b, c = sorted(got)
     assert (a.area, b.area, a.has_point, b.has_point, a.closed) == (12.0, 2.0, True, False, False)
-    assert a.distance == 16.0 and b.distance == 8.0 and abs(a.circle_area - 3.136548) < 1e-6
+    assert a.distance == 16.0 and b.distance == 8.0 and (a.valid, b.valid, c.valid) == (True, True, False)
+    circle = spark.range(1).select(G.area(G.circle(F.lit(0.0), F.lit(0.0), F.lit(1.0))).alias("a")).first().a
+    assert abs(circle - 3.136548) < 1e-6
 
 
 def test_variant_paths(spark, sf):
@@ -35,6 +52,61 @@ def test_variant_paths(spark, sf):
     assert rows and all(r.absent is None for r in rows)
 
 
+def test_chains_of_any_depth_null_titles_and_cycles(spark):
+    from gaugeline.operators.tree import ancestor_chains, with_parents
+
+    rows = [(i, i - 1 if i else None, None if i % 7 == 0 else f"t{i}") for i in range(200)] + [(300, 301, "a"), (301, 302, "b"), (302, 300, "c"), (303, 301, "d"), (400, 999, "lost"), (500, 500, "own")]
+    nodes = spark.createDataFrame(rows, "id int, parent int, title string").repartition(3)
+    up = {r[0]: r for r in rows}
+
+    def chain(i):
+        seen, out = set(), []
+        while i in up and i not in seen:
+            seen.add(i)
+            out.append(up[i][2])
+            i = up[i][1]
+        return out[::-1]
+
+    assert {r.id: r.chain for r in ancestor_chains(nodes).collect()} == {r[0]: chain(r[0]) for r in rows}
+    assert ancestor_chains(nodes.where("1 = 0")).count() == 0
+    got = {r.id: (r.parent, r.title) for r in with_parents(nodes, "section").collect()}
+    assert got[999] == (None, "section") and len(got) == len(rows) + 1
+
+
+def test_numbers_run_over_range_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from gaugeline.operators.dedup import numbered
+
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), F.lit("x").alias("v")).repartition(7)
+    assert all(r.place == r.k + 1 for r in numbered(df, [F.col("k")]).collect())
+    assert numbered(df.where("1 = 0"), [F.col("k")]).count() == 0
+
+
+def test_one_fault_leaves_other_rows(spark):
+    from pyspark.sql import functions as F
+
+    from gaugeline.functions import verdicts as V
+
+    rows = spark.createDataFrame([(1, "5"), (2, "five"), (3, None)], "id int, raw string").withColumn("x", F.col("raw").try_cast("double"))
+    judged = F.when(F.col("x").isNull(), V.outcome("unevaluable", "missing_data")).otherwise(V.outcome("pass"))
+    o = V.isolated(judged, F.col("raw").isNotNull() & F.col("x").isNull(), F.concat(F.lit("R1|"), F.col("raw")))
+    got = {r.id: tuple(r.o) for r in rows.select("id", o.alias("o")).collect()}
+    assert got[1] == ("pass", "none", "high", None) and got[3] == ("unevaluable", "missing_data", "high", None)
+    assert got[2][:3] == ("unevaluable", "engine_error", "high") and len(got[2][3]) == 16
+
+
+def test_a_method_needs_a_handler(spark):
+    from pyspark.sql import functions as F
+
+    from gaugeline.functions import text as X
+
+    df = spark.range(2)
+    assert X.by_method(df, ["id"], ("a", "b"), {"a": F.lit("x"), "b": F.lit("y")}).count() == 4
+    with pytest.raises(ValueError):
+        X.by_method(df, ["id"], ("a", "b"), {"a": F.lit("x")})
+
+
 def test_stream_matches_batch(spark, sf):
     from gaugeline.streaming.jobs import lifecycle
 

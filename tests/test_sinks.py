@@ -61,3 +61,31 @@ def test_last_wins_and_comparison(spark):
     assert sorted((r.k, r.v) for r in last_wins(rows, ["k"], "seq").collect()) == [("a", "y"), ("b", "z")]
     cases = spark.createDataFrame([("fail", "pass", True), ("fail", "fail", True), ("fail", "fail", False), ("pass", None, True), ("pass", "pass", False)], "b string, a string, r boolean")
     assert [r[0] for r in cases.select(compared(F.col("b"), F.col("a"), F.col("r"))).collect()] == ["fixed", "needs fix", "unchanged", "unclear", "unchanged"]
+
+
+def test_a_run_from_open_to_close(spark, tmp_path):
+    import pytest
+
+    ddl = "parcel_id string, rule_id string, verdict string, failure_mode string, confidence string"
+    rows = spark.createDataFrame([("p1", "r1", "pass", None, None), ("p1", "r2", "fail", None, "low"), ("p2", "r1", "pass", None, None)], ddl)
+    verdicts, log = str(tmp_path / "v"), str(tmp_path / "l")
+    got = {r.verdict: r.n for r in sinks.evaluate_run(rows, verdicts, log, "one", "1").collect()}
+    assert got == {"pass": 2, "fail": 1}
+    with pytest.raises(Exception, match="nonsense"):
+        sinks.evaluate_run(rows.withColumn("verdict", F.raise_error(F.lit("nonsense"))), verdicts, log, "two", "2")
+    assert {r.engine_run_id: r.status for r in sinks.latest_state(spark, log).collect()} == {"one": "complete", "two": "failed"}
+
+
+def test_a_table_is_replaced_whole(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    for n in (3, 5):
+        sinks.replace_whole(spark.range(n), path)
+        assert spark.read.parquet(path).count() == n
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_responses_find_their_columns(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("Note, STATUS,Row Id\nfine,ok,7\n,bad, \nx,,9\n")
+    wanted = {"id": ["row id", "id"], "status": ["status"], "note": ["note", "remark"], "who": ["who"]}
+    got = [tuple(r) for r in tables.responses(spark, str(tmp_path / "r.csv"), wanted, "id", {"status"}).collect()]
+    assert got == [("7", "ok", "fine", None), ("9", None, "x", None)]

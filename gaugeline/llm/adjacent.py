@@ -1,4 +1,4 @@
-"""Neighbours in a sorted table.
+"""Neighbours in a sorted table, and groups of one in blocks.
 
 A table is range-partitioned by an order that ends in the rows' places, so rows of one group may lie in several
 partitions and a common group fills none.  Within a partition rows are compared with their neighbours as they stream
@@ -80,3 +80,42 @@ def settled(scanned: DataFrame, group: tuple[str, ...], kind: str, place: tuple[
     flag = lambda f, by: (F.col(f) | (F.col("edge") & F.coalesce(by, F.lit(False)))).alias(f)
     rest = [c for c in scanned.columns if c not in FLAGS]
     return flagged.select(*rest, flag("again", "twice"), flag("differs", "mixed")).where("again or differs")
+
+
+def in_blocks(rows: DataFrame, key: str, item: str, size: int) -> DataFrame:
+    """rows with lo, hi, mine, dealt and sorted so that each (key, lo, hi) is one stretch of a partition: a group is cut
+    into blocks of some `size` items, and each block meets itself (lo = hi) and every other.  No task need hold
+    more than two blocks, and no pair is a row: n items become n * n / size rows."""
+    n = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / size).alias("blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = rows.join(n, key).withColumn("mine", F.pmod(F.xxhash64(item), F.col("blocks"))).select(*rows.columns, "mine", other.alias("other"))
+    dealt = dealt.select(*rows.columns, "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+    return dealt.repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi", item)
+
+
+def stretches(batches, key: str):
+    """(table, where its (key, lo, hi) groups begin, and its end) of whole groups, from rows in the order of in_blocks()."""
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks()
+        if not len(t):
+            continue
+        cols = np.stack([t.column(c).to_numpy() for c in (key, "lo", "hi")])
+        first = np.flatnonzero(np.concatenate([[True], (cols[:, 1:] != cols[:, :-1]).any(0)]))
+        if first[-1]:
+            yield t.slice(0, first[-1]).combine_chunks(), first
+        held = t.slice(first[-1]).combine_chunks().to_batches()[0]
+    if held is not None:
+        yield pa.Table.from_batches([held]), np.array([0, len(held)])
+
+
+def pairs_within(t, begin: np.ndarray, part: str, step: int = 20_000):
+    """Row numbers (x, y) of pairs of a stretch's rows whose parts differ; blocks that meet pair only across."""
+    parts, mine = t.column(part).to_numpy(), t.column("mine").to_numpy()
+    meet = t.column("lo").to_numpy() != t.column("hi").to_numpy()
+    end = np.repeat(begin[1:], np.diff(begin))
+    for far in range(1, int(np.diff(begin).max())):
+        x = np.flatnonzero(np.arange(len(t)) + far < end)
+        x = x[(parts[x] != parts[x + far]) & (~meet[x] | (mine[x] != mine[x + far]))]
+        for k in range(0, len(x), step):
+            yield x[k : k + step], x[k : k + step] + far

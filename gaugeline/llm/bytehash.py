@@ -15,7 +15,7 @@ MASK = (1 << 64) - 1
 P = 0x9E3779B97F4A7C15
 P_INV = pow(P, -1, 1 << 64)
 #: Bytes hashed at a time; a longer text is a chunk of its own.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: Texts in a chunk; shingle hashes keep 52 bits so that a chunk's text number fits above.
 CHUNK_ROWS = 4096
 U = np.uint64

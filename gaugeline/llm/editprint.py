@@ -30,19 +30,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .adjacent import scan, settled
+from .adjacent import in_blocks, pairs_within, scan, settled, stretches
 from .bytehash import U, mix, table
 from .common import staged
-from .graph import components
+from .graph import absorb
 
 #: Expected samples of a text at its level lie between TARGET and twice that.
 TARGET = 128
 #: Characters walked at a time, both texts of each row.
 CHUNK_CHARS = 1 << 20
 #: Phases after which the walk's bits repeat, kinds of characters it tells apart, characters of a segment.
-PERIOD, CLASSES, SEGMENT = 32, 1 << 10, 2048
+PERIOD, CLASSES, SEGMENT = 64, 1 << 10, 2048
 #: Chance that two texts of just the likeness asked for share no band.
 MISS = 1e-5
+#: Texts of a bucket that are compared with so many others at a time.
+BLOCK = 2000
 
 
 class Walk:
@@ -50,7 +52,8 @@ class Walk:
     there, and for every step its depth (sampled at levels up to it) and digit hash."""
 
     def __init__(self):
-        bits = (table(71, CLASSES)[:, None] >> (np.arange(PERIOD, dtype=np.uint64) + U(17))[None, :]) & U(1)
+        some = table(71, CLASSES * -(-PERIOD // 32)).reshape(CLASSES, -1, 1)
+        bits = ((some >> (np.arange(32, dtype=np.uint64) + U(17))) & U(1)).reshape(CLASSES, -1)[:, :PERIOD].copy()
         bits[:, 0] |= U(1) - bits.max(1)
         stay = np.zeros((CLASSES, PERIOD), np.uint8)
         for phase in range(PERIOD):
@@ -321,7 +324,7 @@ def banded(bands: int, digits: int):
                     own, d = int(own), value[np.frombuffer(d.encode(), np.uint8)]
                     for level, x in ((own, d), (own + 1, d[depths(walk, own, len(d)) > own])):
                         if len(x):
-                            for c, v in zip(rows.setdefault((level, len(x)), ([], [])), (node, x), strict=True):
+                            for c, v in zip(rows.setdefault((level, len(x)), ([], [])), (2 * node + (level > own), x), strict=True):
                                 c.append(v)
                 for (level, m), (nodes, x) in rows.items():
                     at = places(m, kept)
@@ -330,7 +333,38 @@ def banded(bands: int, digits: int):
                     for k in range(at.shape[1]):
                         key = mix(key + took[:, at[:, k]] + U(k + 1))
                     key = mix(key ^ (order + U(level)) * U(0x9FB21C651E98DF25))
-                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), bands))], names=["bucket", "node"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), bands))], names=["bucket", "entry"])
+
+    return run
+
+
+def alike(least: float):
+    """Links (a, b, likeness) between texts of different components, from rows (bucket, lo, hi, mine, entry, component,
+    fingerprint) sorted by bucket, lo, hi: a block of a bucket, or two that meet.  Texts are compared at the bucket's
+    level, where it is the own level of one of them."""
+
+    def run(batches):
+        walk = Walk()
+        for t, begin in stretches(batches, "bucket"):
+            entry, rows = t.column("entry").to_numpy(), []
+            for e, p in zip(entry.tolist(), t.column("fingerprint").to_pylist(), strict=True):
+                own, _, d = p.partition(":")
+                d = np.frombuffer(d.encode(), np.uint8)
+                rows.append(d[depths(walk, int(own), len(d)) > int(own)] if e & 1 else d)
+            size = np.array([len(r) for r in rows])
+            digits = np.zeros((len(rows), size.max()), np.uint8)
+            for i, r in enumerate(rows):
+                digits[i, : len(r)] = r
+            for x, y in pairs_within(t, begin, "component"):
+                most = np.maximum(size[x], size[y])
+                ok = ~((entry[x] & entry[y] & 1).astype(bool)) & (np.minimum(size[x], size[y]) >= (share_of(least) - 1e-9) * most)
+                x, y, most = x[ok], y[ok], most[ok]
+                same = (digits[x] == digits[y]).sum(1) - (digits.shape[1] - most)  # beyond both texts all is equal
+                like = (same / most - 1 / 16) / (15 / 16)
+                hit = like >= least
+                if hit.any():
+                    a, b = entry[x][hit] >> 1, entry[y][hit] >> 1
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(like[hit])], names=["a", "b", "likeness"])
 
     return run
 
@@ -350,46 +384,53 @@ def verified(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
 
 def spanning(rows: DataFrame, component: DataFrame) -> DataFrame:
-    """Rows (bucket, node, rank, component) of the buckets that hold more than one component."""
-    tagged = rows.join(component.toDF("node", "c"), "node", "left").select("bucket", "node", "rank", F.coalesce("c", "node").alias("component"))
+    """Rows (bucket, entry, node, rank, component) of the buckets that hold more than one component."""
+    tagged = rows.join(component.toDF("node", "c"), "node", "left").select("bucket", "entry", "node", "rank", F.coalesce("c", "node").alias("component"))
     mixed = tagged.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     return tagged.join(mixed.select("bucket"), "bucket", "left_semi").select(tagged.columns)
 
 
+def left_open(rows: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """All links of least between texts of different components in a bucket, compared in blocks."""
+    with_prints = rows.join(nodes.select("node", "fingerprint"), "node").select("bucket", "entry", "component", "fingerprint")
+    found = in_blocks(with_prints, "bucket", "entry", BLOCK).mapInArrow(alike(least), "a long, b long, likeness double")
+    return found.groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
+
+
 def links_of(prints: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, links, components): each different fingerprint is a node(node, fingerprint); the links
     (a, b, likeness) found join all nodes that links of likeness least between texts sharing a band join.
 
     Buckets are first tried through one text, then through another drawn for each bucket; what stays open is
-    compared across components."""
+    compared across components, in blocks."""
     # staged, so that the numbers stay
     nodes = staged(prints.select("fingerprint").distinct().withColumn("node", F.monotonically_increasing_id()), "ep-nodes")
-    bands = nodes.select("node", "fingerprint").mapInArrow(banded(*banding(nodes.count(), least)), "bucket long, node long")
-    group, place = ("bucket",), ("node",)
-    shared = settled(scan(bands, ("bucket", "node"), group, "node", place, "ep-bands"), group, "node", place).select("bucket", "node")
+    bands = nodes.select("node", "fingerprint").mapInArrow(banded(*banding(nodes.count(), least)), "bucket long, entry long")
+    group, place = ("bucket",), ("entry",)
+    shared = settled(scan(bands, ("bucket", "entry"), group, "entry", place, "ep-bands"), group, "entry", place)
+    shared = shared.select("bucket", "entry", F.shiftright("entry", 1).alias("node"))
     rows = staged(shared.join(nodes.select("node", F.xxhash64("fingerprint").alias("rank")), "node"), "ep-shared")
     no_links = nodes.where("1 = 0").select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("likeness"))
-    links, tried, component = no_links, no_links.select("a", "b"), no_links.select("a", "b")
-    for turn, order in enumerate((F.col("rank"), F.xxhash64("rank", "bucket"), None)):
+    links, tried, component = no_links, no_links.select("a", "b"), no_links.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    for turn, order in enumerate((F.col("rank"), F.xxhash64("rank", "bucket"))):
         rows = staged(spanning(rows, component), f"ep-open{turn}")
-        if order is not None:
-            centre = rows.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", "component")).alias("c"))
-            pairs = rows.join(centre, "bucket").where("component <> c.component").select(F.col("node").alias("a"), F.col("c.node").alias("b"))
-        else:
-            x, y = (rows.select("bucket", F.col("node").alias(n), F.col("component").alias(f"c{n}")) for n in "ab")
-            pairs = x.join(y, "bucket").where("a < b and ca <> cb")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        centre = rows.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", "component")).alias("c"))
+        pairs = rows.join(centre, "bucket").where("component <> c.component").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
         pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), f"ep-pairs{turn}")
         if pairs.limit(1).count():
-            links = staged(links.union(verified(pairs, nodes, least)), f"ep-links{turn}")
-            component = components(links, f"ep-cc{turn}")
+            new = staged(verified(pairs, nodes, least), f"ep-links{turn}")
+            links, component = links.union(new), absorb(component, new.select("a", "b"), f"ep-cc{turn}")
             tried = tried.union(pairs)
+    more = staged(left_open(spanning(rows, component), nodes, least), "ep-more")
+    if more.limit(1).count():
+        links = links.union(more)
+        component = absorb(component, more.select("a", "b"), "ep-cc")
     return nodes, links, component
 
 
 def similar_pairs(prints: DataFrame, least: float = 0.8) -> DataFrame:
-    """(a, b, likeness): links between doc_ids that join all documents which any links of likeness least
-    join; of equal fingerprints the smallest doc_id stands for all.  A null doc_id takes no part."""
+    """(a, b, likeness): links between doc_ids that join all documents which links of likeness least between
+    texts sharing a band join; of equal fingerprints the smallest doc_id stands for all.  A null doc_id takes no part."""
     prints = prints.toDF("doc_id", "fingerprint").where("doc_id is not null").distinct()
     nodes, links, _ = links_of(prints, least)
     rep = staged(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "ep-reps")

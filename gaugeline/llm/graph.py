@@ -35,3 +35,14 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
         cur = new.select("id", "component")
         if not changed:
             return cur
+
+
+def absorb(component: DataFrame, links: DataFrame, label: str) -> DataFrame:
+    """(id, component) after more links(a, b) between ids, of which those without a row are components of their own.
+    Only the components that links join are worked on again."""
+    name = component.toDF("n", "c")
+    ends = links.join(name.toDF("a", "ca"), "a", "left").join(name.toDF("b", "cb"), "b", "left")
+    joined = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct(), label)
+    fresh = links.select(F.col("a").alias("id")).union(links.select("b")).distinct().join(component.select("id"), "id", "left_anti")
+    every = component.unionByName(fresh.withColumn("component", F.col("id")))
+    return staged(every.join(joined.toDF("component", "top"), "component", "left").select("id", F.coalesce("top", "component").alias("component")), f"{label}-all")

@@ -9,7 +9,9 @@ link is confirmed on the full sets.
 Texts with equal sets collapse to one class first.  In a bucket only links to its
 centre are tried; buckets that still span several components are then compared
 across components, so no link between different sets is lost to the star while a
-group of copies costs its size, not its square.
+group of copies costs its size, not its square.  That comparison goes by blocks of a
+bucket's texts, with two exact bounds on what an intersection can be; a pair becomes a row
+only if it passes both.
 
 Defined results: null or wordless text has an empty set and no link (component is
 itself, kept).  Rows that repeat a doc_id count as one document for links.  A null
@@ -24,15 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .adjacent import in_blocks, pairs_within, stretches
 from .bytehash import U, Hasher, chunks, column_bytes, lower_ascii, mix, shingle_sets, table, word_hashes
 from .common import staged
-from .graph import components
+from .graph import absorb, components
 
 SHINGLE = 5
 BANDS, ROWS = 32, 5
 PERMUTATIONS = BANDS * ROWS // 2
 #: Parts of the universe of shingles in which shared elements are counted.
 PARTS = 64
+#: Texts of a bucket that are compared with so many others at a time.
+BLOCK = 2000
 
 
 def sets_of(batch_text, k: int):
@@ -143,6 +148,26 @@ def shared_counts(ids: DataFrame, sets: DataFrame) -> DataFrame:
     return out.select("doc_id", F.aggregate("parts", F.lit(0).cast("long"), lambda x, y: x + y).alias("shared"), "parts")
 
 
+def allowed(percent: int):
+    """Pairs (a, b) of a bucket's sets whose shared elements leave room for the intersection that a link needs:
+    (100 + percent) * intersection >= percent * (n + n'), bounded by the smaller share in all and by parts."""
+
+    def run(batches):
+        for t, begin in stretches(batches, "bucket"):
+            ids, n, shared = (t.column(c).to_numpy() for c in ("doc_id", "n_shingles", "shared"))
+            parts = np.asarray(t.column("parts").combine_chunks().flatten(), np.int64).reshape(len(t), PARTS)
+            for x, y in pairs_within(t, begin, "component"):
+                need = percent * (n[x] + n[y])
+                ok = (100 + percent) * np.minimum(shared[x], shared[y]) >= need
+                x, y, need = x[ok], y[ok], need[ok]
+                ok = (100 + percent) * np.minimum(parts[x], parts[y]).sum(1) >= need
+                x, y = x[ok], y[ok]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], names=["a", "b"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for docs(doc_id, text): links are pairs of
     texts with 100 * intersection >= percent * union of their k-word shingle sets."""
@@ -188,32 +213,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE, bands:
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = staged(second.join(tried, ["a", "b"], "left_anti"), "mh-star2")
     if second.limit(1).count():
-        edges = staged(edges.union(verified(second, sets, percent)), "mh-links2")
-        comp = components(edges.union(same), "mh-cc2")
+        comp = absorb(comp, staged(verified(second, sets, percent), "mh-links2"), "mh-cc2")
         able = able.drop("component").join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
             "bucket", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"), "shared", "parts"
         )
         able = staged(spanning(able), "mh-able2")
         tried = tried.union(second)
-    # what is left: every pair of two components in a bucket that the shared elements, part by part, still
-    # allow, emitted in the first bucket both texts share
-    able = able.join(able.groupBy("doc_id").agg(F.sort_array(F.collect_set("bucket")).alias("all")), "doc_id").select(*able.columns, "all")
-    x, y = able.toDF("bucket", "a", "na", "ca", "sa", "px", "xs"), able.toDF("bucket", "b", "nb", "cb", "sb", "py", "ys")
-    enough = lambda most: F.lit(100 + percent) * most >= F.lit(percent) * (F.col("na") + F.col("nb"))
-    bound = F.aggregate(F.zip_with("px", "py", lambda m, n: F.least(m, n)), F.lit(0).cast("long"), lambda m, n: m + n)
-    cross = staged(
-        x.join(y, "bucket")
-        .where("a < b and ca <> cb")
-        .where(enough(F.least("sa", "sb"))).where(enough(bound))
-        .where(F.element_at(F.array_intersect("xs", "ys"), 1) == F.col("bucket"))
-        .select("a", "b")
-        .join(tried, ["a", "b"], "left_anti"),
-        "mh-cross",
-    )
+    # what is left: pairs of two components in a bucket that the shared elements, part by part, still allow
+    left = in_blocks(able, "bucket", "doc_id", BLOCK).mapInArrow(allowed(percent), "a long, b long").distinct()
+    cross = staged(left.join(tried, ["a", "b"], "left_anti"), "mh-cross")
     if cross.limit(1).count():
-        more = staged(verified(cross, sets, percent), "mh-more")
-        if more.limit(1).count():
-            comp = components(edges.union(same).union(more), "mh-cc3")
+        comp = absorb(comp, staged(verified(cross, sets, percent), "mh-more"), "mh-cc3")
     out = sketch.select("doc_id", "n_shingles").join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),

@@ -31,7 +31,9 @@ m AS (SELECT d.doc_id, coalesce(uw.n, 0) AS n, coalesce(uw.chars, 0) AS chars, c
   FROM d LEFT JOIN uw ON uw.doc_id = d.doc_id LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN ln ON ln.doc_id = d.doc_id)
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(chars AS BIGINT) AS word_chars, CAST(sym AS BIGINT) AS n_symbols, CAST(dup AS BIGINT) AS n_dup_lines, CAST(rep AS BIGINT) AS n_repeat_words,
  n < 20 OR 100 * rep > 30 * n AS base_failed,
- NOT (n < 20 OR 100 * rep > 30 * n OR chars < 2 * n OR chars > 20 * n OR 10 * sym > n OR 100 * dup > 30 * ln OR 10 * up > 5 * let OR 10 * marked > 3 * n) AS kept FROM m"""
+ NOT (n < 20 OR 100 * rep > 30 * n OR chars < 2 * n OR chars > 20 * n OR 10 * sym > n OR 100 * dup > 30 * ln OR 10 * up > 5 * let OR 10 * marked > 3 * n) AS kept,
+ CAST(CASE WHEN n < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * rep > 30 * n THEN 2 ELSE 0 END + CASE WHEN chars < 2 * n THEN 4 ELSE 0 END + CASE WHEN chars > 20 * n THEN 8 ELSE 0 END + CASE WHEN 10 * sym > n THEN 16 ELSE 0 END
+  + CASE WHEN 100 * dup > 30 * ln THEN 32 ELSE 0 END + CASE WHEN 10 * up > 5 * let THEN 64 ELSE 0 END + CASE WHEN 10 * marked > 3 * n THEN 128 ELSE 0 END AS BIGINT) AS failed, 2 AS policy FROM m"""
 
 
 def escaped(x: str) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, editprint, minhash, mixing, oracles, quality, rules, suffix, toxicity, warc
+from .common import staged
 
 RANKS = "byte_bpe_50k.tiktoken"
 PREDICTED = 0.7
@@ -59,8 +60,8 @@ def op7_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    led = rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")))
-    return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    led = staged(rules.ledger(table(spark, sf_dir, "documents")), "rule-ledger")  # policies read it, not the texts
+    return rules.apply_policy(led).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed", "policy")
 
 
 def op9_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

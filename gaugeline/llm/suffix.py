@@ -34,6 +34,7 @@ of added ones are replaced, other extra columns stay; an empty table gives an em
 from __future__ import annotations
 
 import hashlib
+import struct
 from functools import reduce
 
 import numpy as np
@@ -393,7 +394,7 @@ def word_windows(words: int, least: int):
                 begin, end = begin[:n], end[words - 1 :]
                 for at in np.flatnonzero(end - begin < least):
                     x, y = int(begin[at]), int(end[at])
-                    rows.append((hashlib.blake2b(text[x:y].tobytes(), digest_size=16).digest(), *key, x, y))
+                    rows.append((*struct.unpack("<qq", hashlib.blake2b(text[x:y].tobytes(), digest_size=16).digest()), *key, x, y))
                     if len(rows) >= 100_000:
                         yield entries(rows)
                         rows = []
@@ -401,7 +402,7 @@ def word_windows(words: int, least: int):
 
     def entries(rows):
         return pa.RecordBatch.from_arrays(
-            [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), *[pa.int64()] * 4))], names=["hash", "k1", "k2", "a", "b"]
+            [pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int64()] * 6)], names=["h1", "h2", *PLACE, "b"]
         )
 
     return run
@@ -409,10 +410,9 @@ def word_windows(words: int, least: int):
 
 def find_short_repeats(texts: DataFrame, words: int, least: int) -> DataFrame:
     """(k1, k2, a, b) of the repeated windows of so many words that have under least bytes."""
-    made = staged(texts.mapInArrow(word_windows(words, least), "hash binary, k1 long, k2 long, a long, b long").distinct(), "sa-word-windows")
-    place = F.struct("k1", "k2", "a")
-    again = made.groupBy("hash").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("hash")
-    return made.join(again, "hash", "left_semi").select("k1", "k2", "a", "b")
+    made = staged(texts.mapInArrow(word_windows(words, least), "h1 long, h2 long, k1 long, k2 long, pos long, b long"), "sa-word-windows")
+    found = settled(scan(made, ("h1", "h2", *PLACE), ("h1",), "h2", PLACE, "sa-word-scan"), ("h1",), "h2", PLACE)
+    return found.where("again").select("k1", "k2", F.col("pos").alias("a"), "b")
 
 
 def merged(spans: DataFrame) -> DataFrame:

@@ -37,6 +37,30 @@ def test_near_duplicates(docs, texts, percent):
     assert [tuple(r) for r in got if r.doc_id is None] == [(None, 1, None, True)]
 
 
+def test_near_duplicates_that_no_star_links(spark, monkeypatch):
+    """Families in which only some pairs reach the threshold, compared in tiny blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", 2)
+    rng = random.Random(17)
+    rows = []
+    for family in range(6):
+        base = [f"f{family}w{i}" for i in range(120)]
+        for k in range(9):
+            w = base[:]
+            for at in rng.sample(range(120), rng.randint(1, 4)):
+                w[at] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = {d: shingles(t) for d, t in rows}
+    label = {d: d for d in sets}
+    for _ in rows:
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 80).collect()}
+    assert got == label and 6 < len(set(label.values())) < len(rows)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.id: r.component for r in components(edges).collect()}
@@ -119,6 +143,15 @@ def test_a_family_in_a_folder_takes_batches_in_several_runs(spark, tmp_path):
         assert [int.from_bytes(own[:8]) - 2**63, int.from_bytes(own[8:]) - 2**63] == [r.b0, r.b1]
 
 
+def test_links_are_absorbed(spark):
+    from gaugeline.llm.graph import absorb
+
+    comp = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (9, 9)], "id long, component long")
+    links = spark.createDataFrame([(2, 6), (7, 9), (8, 10), (1, 2)], "a long, b long")
+    assert {r.id: r.component for r in absorb(comp, links, "t").collect()} == {1: 1, 2: 1, 5: 1, 6: 1, 9: 7, 7: 7, 8: 8, 10: 8}
+    assert {r.id: r.component for r in absorb(comp, links.where("1 = 0"), "t").collect()} == {1: 1, 2: 1, 5: 5, 6: 5, 9: 9}
+
+
 def test_few_batches_and_one_batch_agree(docs):
     rows = lambda n: sorted(map(str, suffix.remove_repeats(docs, 96, n).drop("spans").collect()))
     assert rows(1) == rows(3)
@@ -211,6 +244,43 @@ def test_similar_classes_equal_brute_force(spark):
     assert all(n >= k for n, k in zip(sorted(n for _, _, n in got), least, strict=True))
 
 
+@pytest.mark.parametrize("block", [2000, 3])
+def test_blocks_find_all_links_with_their_likeness(spark, monkeypatch, block):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(editprint, "BLOCK", block)
+    rng = random.Random(12)
+    prose = lambda n: "".join(rng.choice("abcdefghij klmnop ") for _ in range(n))
+    texts = [prose(5), prose(40)]
+    for size in (12, 90, 1000, 2040, 2070):
+        t = prose(size)
+        texts += [t, *(t[:k] + prose(rng.randint(1, 9)) + t[k:] for k in rng.sample(range(size), 6))]
+    walk = editprint.Walk()
+    prints = sorted(set(editprint.fingerprints(texts, walk)))
+    nodes = spark.createDataFrame(list(enumerate(prints)), "node long, fingerprint string").repartition(3).cache()
+    rows = nodes.mapInArrow(editprint.banded(*editprint.banding(len(prints), 0.8)), "bucket long, entry long").select("bucket", "entry", F.shiftright("entry", 1).alias("node"))
+    rows = rows.withColumns({"rank": F.lit(0), "component": F.col("node")})
+    got = {(r.a, r.b): r.likeness for r in editprint.left_open(rows, nodes, 0.8).collect()}
+    every = {(i, j): editprint.likeness(prints[i], prints[j], walk) for j in range(len(prints)) for i in range(j)}
+    want = {k: v for k, v in every.items() if v >= 0.8}
+    assert len(want) > 20 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    # a component is not compared within itself
+    assert not editprint.left_open(rows.withColumn("component", F.lit(1)), nodes, 0.8).count()
+
+
+def test_recall_of_bands_against_brute_force(spark, sf):
+    """Bands alone, over real texts: at least 0.9 of the pairs of likeness 0.8 share one."""
+    walk = editprint.Walk()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    prints = sorted({r.fingerprint for r in editprint.fingerprint(docs).collect()})
+    near = [(i, j) for j in range(len(prints)) for i in range(j) if abs(int(prints[i].split(":")[0]) - int(prints[j].split(":")[0])) < 2 and editprint.likeness(prints[i], prints[j], walk) >= 0.8]
+    nodes = spark.createDataFrame(list(enumerate(prints)), "node long, fingerprint string")
+    buckets = defaultdict(set)
+    for r in nodes.mapInArrow(editprint.banded(*editprint.banding(len(prints), 0.8)), "bucket long, entry long").collect():
+        buckets[r.entry >> 1].add(r.bucket)
+    assert len(near) > 5 and sum(bool(buckets[i] & buckets[j]) for i, j in near) >= 0.9 * len(near)
+
+
 def test_empty_tables(none):
     assert minhash.near_duplicates(none).count() == 0
     assert suffix.remove_repeats(none).count() == 0

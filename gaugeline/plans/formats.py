@@ -9,6 +9,7 @@ from gaugeline.functions import verdicts as V
 from gaugeline.operators import geometry as G
 from gaugeline.operators import pages as P
 from gaugeline.operators.dedup import first_by
+from gaugeline.operators.matching import blocks_to_polygons
 from gaugeline.plans.registry import query
 from gaugeline.sources.tables import inline, table, values_sql
 
@@ -116,3 +117,14 @@ def regulatory_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = c.where("c_mktsegment <> 'BUILDING'").select("c_custkey", "c_acctbal", F.col("c_name").alias("parcel"), F.when(bal < 0, "not_submitted").when(bal > 5000, "pass").otherwise("fail").alias("verdict"))
     gate = spark.range(1).select(F.lit(None).cast("long").alias("c_custkey"), F.lit(None).cast("double").alias("c_acctbal"), F.lit(None).cast("string").alias("parcel"), F.lit("not_applicable").alias("verdict"))
     return rows.unionByName(gate)
+
+
+@query()
+def block_polygon_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as block inserts, parts as polygons of a nation's drawing.  The order decides, so no SQL says it."""
+    c, k = F.col, F.col("p_partkey")
+    inserts = table(spark, sf_dir, "supplier").select(c("s_nationkey").cast("long").alias("drawing"), c("s_suppkey").alias("insert"), (c("s_suppkey") % 90 + 0.5).alias("x"), (c("s_suppkey") % 40 + 0.25).alias("y"))
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x, y, w = k % 83, k % 37, c("p_size") % 9 + 1
+    ring = F.array(point(x, y), point(x + w, y), point(x + w, y + 3), point(x, y + 3))
+    return blocks_to_polygons(inserts, table(spark, sf_dir, "part").select((k % 25).alias("drawing"), k.alias("polygon"), ring.alias("ring")))

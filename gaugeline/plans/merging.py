@@ -154,3 +154,28 @@ def full_outer_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("key"), F.lit(True).alias("x"))
     b = table(spark, sf_dir, "orders").where("o_totalprice > 100000").select(F.col("o_custkey").alias("key"), F.lit(True).alias("y")).distinct()
     return a.join(b, "key", "full").select("key", F.col("x").isNotNull().alias("in_schema"), F.col("y").isNotNull().alias("in_layer"))
+
+
+@query("""WITH v AS (SELECT 'format' AS part, concat('F', CAST(p_partkey % 5 AS VARCHAR)) AS rule_code, CAST(NULL AS BIGINT) AS parcel, CASE WHEN p_size > 40 THEN 'fail' ELSE 'pass' END AS verdict, p_partkey AS id FROM part
+ UNION ALL SELECT 'content', concat('C', CAST(o_orderkey % 7 AS VARCHAR)), o_custkey, CASE WHEN o_totalprice > 300000 THEN 'fail' WHEN o_orderstatus = 'P' THEN 'requires_review' ELSE 'pass' END, o_orderkey FROM orders
+ UNION ALL SELECT 'discipline', concat('D', CAST(conv_id % 3 AS VARCHAR)), NULL, CASE WHEN length(text) > 100 THEN 'pass' ELSE 'requires_review' END, conv_id * 1000 + turn FROM conversations
+ UNION ALL SELECT 'cad', concat('K', CAST(s_suppkey % 2 AS VARCHAR)), s_suppkey, CASE WHEN s_acctbal < 0 THEN 'fail' ELSE 'pass' END, s_suppkey FROM supplier),
+f AS (SELECT rule_code, verdict AS said FROM (SELECT concat(CASE event_id % 4 WHEN 0 THEN 'F' WHEN 1 THEN 'C' WHEN 2 THEN 'D' ELSE 'X' END, CAST(event_id % 6 AS VARCHAR)) AS rule_code, CASE WHEN value > 50 THEN 'pass' ELSE 'fail' END AS verdict, event_id FROM events WHERE event_type = 'click') e
+ QUALIFY row_number() OVER (PARTITION BY rule_code ORDER BY event_id DESC) = 1)
+SELECT v.part, v.rule_code, v.parcel, v.id, coalesce(f.said, v.verdict) AS verdict, f.said IS NOT NULL AND f.said <> v.verdict AS overridden FROM v LEFT JOIN f ON f.rule_code = v.rule_code""")
+def full_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A submission's verdicts of all four parts in one shape, with the last feedback on a rule in place of its verdict."""
+    c = F.col
+    none = F.lit(None).cast("long")
+    rows = lambda df, part, letter, code, parcel, verdict, ident: df.select(F.lit(part).alias("part"), F.concat(F.lit(letter), code.cast("string")).alias("rule_code"), parcel.alias("parcel"), verdict.alias("verdict"), ident.alias("id"))
+    k, o, s = c("p_partkey"), c("o_orderkey"), c("s_suppkey")
+    every = (
+        rows(table(spark, sf_dir, "part"), "format", "F", k % 5, none, F.when(c("p_size") > 40, "fail").otherwise("pass"), k)
+        .unionByName(rows(table(spark, sf_dir, "orders"), "content", "C", o % 7, c("o_custkey"), F.when(c("o_totalprice") > 300000, "fail").when(c("o_orderstatus") == "P", "requires_review").otherwise("pass"), o))
+        .unionByName(rows(table(spark, sf_dir, "conversations"), "discipline", "D", c("conv_id") % 3, none, F.when(F.length("text") > 100, "pass").otherwise("requires_review"), c("conv_id") * 1000 + c("turn")))
+        .unionByName(rows(table(spark, sf_dir, "supplier"), "cad", "K", s % 2, s, F.when(c("s_acctbal") < 0, "fail").otherwise("pass"), s))
+    )
+    e = c("event_id")
+    code = F.concat(F.when(e % 4 == 0, "F").when(e % 4 == 1, "C").when(e % 4 == 2, "D").otherwise("X"), (e % 6).cast("string"))
+    said = table(spark, sf_dir, "events").where("event_type = 'click'").groupBy(code.alias("rule_code")).agg(F.max_by(F.when(c("value") > 50, "pass").otherwise("fail"), e).alias("said"))
+    return every.join(said, "rule_code", "left").select("part", "rule_code", "parcel", "id", F.coalesce("said", "verdict").alias("verdict"), F.coalesce(c("said") != c("verdict"), F.lit(False)).alias("overridden"))

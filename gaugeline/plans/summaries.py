@@ -193,3 +193,15 @@ def severity_and_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(
         F.min(F.when(d > 0.08, 0).when(d > 0.05, 1).otherwise(2)).alias("worst"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("total"))
     return g.withColumn("delta_pct", F.try_divide(F.col("total") - 22000000, F.lit(22000000.0)) * 100)
+
+
+@query(f"""WITH {JUDGED_SQL}, r AS (SELECT entity, verdict, failure_mode, CASE WHEN failure_mode <> 'none' THEN failure_mode ELSE rule_id END AS block, rule_id FROM verdicts),
+b AS (SELECT entity, verdict, block, min(rule_id) AS rule_id, count(*) AS n FROM r GROUP BY 1, 2, 3)
+SELECT entity, verdict, block, CAST(n AS BIGINT) AS n, CAST(row_number() OVER (PARTITION BY entity ORDER BY CASE verdict {' '.join(f"WHEN '{v}' THEN {i}" for i, v in enumerate(DISPLAY))} ELSE 99 END, rule_id) AS BIGINT) AS place FROM b""")
+def parcel_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a report shows of each parcel: rows of one fault as one block with a count, in the order of display."""
+    c, o = F.col, F.col("o")
+    r = judged(spark, sf_dir).select("entity", o["verdict"].alias("verdict"), F.when(o["failure_mode"] != "none", o["failure_mode"]).otherwise(c("rule_id")).alias("block"), "rule_id")
+    b = r.groupBy("entity", "verdict", "block").agg(F.min("rule_id").alias("rule_id"), F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("entity").orderBy(ranked(c("verdict"), list(DISPLAY)), "rule_id"))
+    return b.select("entity", "verdict", "block", "n", place.cast("long").alias("place"))

@@ -73,6 +73,22 @@ def test_chains_of_any_depth_null_titles_and_cycles(spark):
     assert got[999] == (None, "section") and len(got) == len(rows) + 1
 
 
+def test_blocks_take_polygons_in_order(spark):
+    from gaugeline.operators.matching import blocks_to_polygons
+
+    box = lambda x, y, w=2.0: [(x, y), (x + w, y), (x + w, y + w), (x, y + w)]
+    pols = spark.createDataFrame([(1, 10, box(0.0, 0.0)), (1, 11, box(0.0, 0.0, 4.0)), (1, 12, box(10.0, 10.0)), (2, 13, box(0.0, 0.0)), (3, 14, box(0.0, 0.0))], "drawing long, polygon long, ring array<struct<x double, y double>>")
+    ins = spark.createDataFrame([(1, 3, 9.0, 9.0), (1, 1, 1.0, 1.0), (1, 2, 1.5, 1.5), (1, 4, 1.0, 1.0), (2, 5, 50.0, 50.0), (2, 6, 1.0, 1.0), (9, 7, 0.0, 0.0)], "drawing long, insert long, x double, y double")
+    got = sorted(tuple(r) for r in blocks_to_polygons(ins, pols).collect())
+    # the first box that holds it, then the next free one; the nearest free one; nothing left
+    assert got == [(1, 1, 10, True), (1, 2, 11, True), (1, 3, 12, False), (2, 5, 13, False)]
+
+
+def test_block_match_of_the_tables(spark, sf):
+    rows = QUERIES["block_polygon_match"](spark, sf).collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/supplier.parquet").count() and len({r.polygon for r in rows}) == len(rows)
+
+
 def test_numbers_run_over_range_partitions(spark):
     from pyspark.sql import functions as F
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -158,9 +156,3 @@ def isolated(judged: Column, broken: Column, seed: Column) -> Column:
 def fingerprint(seed: Column) -> Column:
     """First 16 hex digits of SHA-256."""
     return F.substring(F.sha2(seed, 256), 1, 16)
-
-
-#: Rule type -> evaluator, for callers that look one up by name.
-EVALUATORS: dict[str, Callable[..., Column]] = {
-    "numeric": numeric, "document_presence": presence, "procedural": procedural, "geometric": geometric, "qualitative": qualitative,
-}

@@ -78,11 +78,19 @@ def jaccard_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_name", "p_type")
     a = p.groupBy(F.col("p_name").alias("name")).agg(F.count(F.lit(1)).alias("parts")).withColumn("t", X.tokens(F.col("name")))
     b = p.distinct().select(F.format_string("%s (%s)", "p_name", "p_type").alias("label"), X.tokens(F.concat_ws(" ", "p_name", "p_type")).alias("u"))
-    # distinct names meet through shared tokens and are scored from counts; no pair without one is looked at
-    x, y = a.select("name", "parts", F.size("t").alias("n"), F.explode("t").alias("w")), b.select("label", F.size("u").alias("m"), F.explode("u").alias("w"))
-    both = x.join(y, "w").groupBy("name", "parts", "label", "n", "m").agg(F.count(F.lit(1)).alias("k"))
-    score = F.try_divide(F.col("k").cast("double"), F.col("n") + F.col("m") - F.col("k"))
-    return both.select("name", "label", "parts", score.alias("score")).where("score >= 0.5")
+    a, b = a.select("name", "parts", "t"), b.select("label", "u")
+    # common words would pair nearly all names: each set's words are put in order of rarity, and of n words only the
+    # first n - ceil(least * n) + 1 are looked at, one of which any pair that is alike enough shares
+    words = a.select(F.explode("t").alias("w")).unionByName(b.select(F.explode("u").alias("w"))).groupBy("w").agg(F.count(F.lit(1)).alias("f"))
+
+    def rare(d, key, tokens):
+        n = F.size("o")
+        each = d.select(key, F.explode(tokens).alias("w")).join(words, "w").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("o"))
+        return each.select(key, F.explode(F.slice("o", F.lit(1), n - F.ceil(n * F.lit(0.5)).cast("int") + 1)).alias("x")).select(key, "x.w")
+
+    pairs = rare(a, "name", "t").join(rare(b, "label", "u"), "w").select("name", "label").distinct()
+    both = pairs.join(a, "name").join(b, "label")
+    return both.select("name", "label", "parts", X.jaccard(F.col("t"), F.col("u")).alias("score")).where("score >= 0.5")
 
 
 @query("""SELECT doc_id, a AS latin, CASE WHEN a + b = 0 THEN NULL ELSE CAST(a AS DOUBLE) / (a + b) END AS share, a + b > 0 AND CAST(a AS DOUBLE) / (a + b) >= 0.3 AND a >= 4 AS predominantly

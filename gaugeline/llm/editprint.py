@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .adjacent import in_blocks, pairs_within, scan, settled, stretches
+from .adjacent import in_blocks, pairs_within, stretches
 from .bytehash import U, mix, table
-from .common import staged
-from .graph import absorb
+from .common import small_side, staged
+from .graph import absorb, components
 
 #: Expected samples of a text at its level lie between TARGET and twice that.
 TARGET = 128
@@ -45,6 +45,8 @@ PERIOD, CLASSES, SEGMENT = 64, 1 << 10, 2048
 MISS = 1e-5
 #: Texts of a bucket that are compared with so many others at a time.
 BLOCK = 2000
+#: Rows of 16 bytes up to which texts' components, and open buckets, are broadcast.
+COMPONENTS = 500_000
 
 
 class Walk:
@@ -383,11 +385,33 @@ def verified(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, likeness double").where(F.col("likeness") >= least)
 
 
+def bucket_runs(batches):
+    """Of rows (bucket, entry) in this order, those of buckets with several entries, each with the first of them that
+    its partition holds.  Runs that a batch of rows cuts stay in any case."""
+    last, lead = None, 0
+    for b in batches:
+        bucket, entry = b.column("bucket").to_numpy(), b.column("entry").to_numpy()
+        if not len(bucket):
+            continue
+        new = np.concatenate([[last is None or bucket[0] != last], bucket[1:] != bucket[:-1]])
+        firsts = np.concatenate([[] if new[0] else [lead], entry[new]]).astype(np.int64)
+        run = np.cumsum(new) - int(new[0])
+        keep = (np.bincount(run)[run] > 1) | (run == run[0]) | (run == run[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[keep]), pa.array(entry[keep]), pa.array(firsts[run][keep])], names=["bucket", "entry", "first"])
+        last, lead = bucket[-1], firsts[-1]
+
+
 def spanning(rows: DataFrame, component: DataFrame) -> DataFrame:
-    """Rows (bucket, entry, node, rank, component) of the buckets that hold more than one component."""
-    tagged = rows.join(component.toDF("node", "c"), "node", "left").select("bucket", "entry", "node", "rank", F.coalesce("c", "node").alias("component"))
+    """Rows (bucket, entry, node, component) of the buckets that hold more than one component."""
+    name = small_side(component.toDF("node", "c"), COMPONENTS)
+    tagged = rows.join(name, "node", "left").select("bucket", "entry", "node", F.coalesce("c", "node").alias("component"))
     mixed = tagged.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    return tagged.join(mixed.select("bucket"), "bucket", "left_semi").select(tagged.columns)
+    return tagged.join(small_side(staged(mixed.select("bucket"), "ep-mixed"), COMPONENTS), "bucket", "left_semi").select(tagged.columns)
+
+
+def both_ways(pairs: DataFrame) -> DataFrame:
+    """Different pairs (a, b) of different nodes, the smaller first."""
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def left_open(rows: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -401,26 +425,22 @@ def links_of(prints: DataFrame, least: float) -> tuple[DataFrame, DataFrame, Dat
     """(nodes, links, components): each different fingerprint is a node(node, fingerprint); the links
     (a, b, likeness) found join all nodes that links of likeness least between texts sharing a band join.
 
-    Buckets are first tried through one text, then through another drawn for each bucket; what stays open is
+    Buckets are first tried through their first text, then through one drawn for each bucket; what stays open is
     compared across components, in blocks."""
     # staged, so that the numbers stay
     nodes = staged(prints.select("fingerprint").distinct().withColumn("node", F.monotonically_increasing_id()), "ep-nodes")
     bands = nodes.select("node", "fingerprint").mapInArrow(banded(*banding(nodes.count(), least)), "bucket long, entry long")
-    group, place = ("bucket",), ("entry",)
-    shared = settled(scan(bands, ("bucket", "entry"), group, "entry", place, "ep-bands"), group, "entry", place)
-    shared = shared.select("bucket", "entry", F.shiftright("entry", 1).alias("node"))
-    rows = staged(shared.join(nodes.select("node", F.xxhash64("fingerprint").alias("rank")), "node"), "ep-shared")
-    no_links = nodes.where("1 = 0").select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("likeness"))
-    links, tried, component = no_links, no_links.select("a", "b"), no_links.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    for turn, order in enumerate((F.col("rank"), F.xxhash64("rank", "bucket"))):
-        rows = staged(spanning(rows, component), f"ep-open{turn}")
-        centre = rows.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", "component")).alias("c"))
-        pairs = rows.join(centre, "bucket").where("component <> c.component").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
-        pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), f"ep-pairs{turn}")
-        if pairs.limit(1).count():
-            new = staged(verified(pairs, nodes, least), f"ep-links{turn}")
-            links, component = links.union(new), absorb(component, new.select("a", "b"), f"ep-cc{turn}")
-            tried = tried.union(pairs)
+    node = lambda c: F.shiftright(c, 1)
+    order = ("bucket", "entry")
+    rows = staged(bands.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(bucket_runs, "bucket long, entry long, first long"), "ep-bands")
+    pairs = staged(both_ways(rows.select(node("entry").alias("a"), node("first").alias("b"))), "ep-pairs0")
+    links = staged(verified(pairs, nodes, least), "ep-links0")
+    component = components(links.select("a", "b"), "ep-cc0")
+    rows = staged(spanning(rows.select("bucket", "entry", node("entry").alias("node")), component), "ep-open")
+    centre = rows.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", "bucket").alias("o"), "node", "component")).alias("c"))
+    more = both_ways(rows.join(centre, "bucket").where("component <> c.component").select(F.col("node").alias("a"), F.col("c.node").alias("b")))
+    more = staged(verified(staged(more.join(pairs, ["a", "b"], "left_anti"), "ep-pairs1"), nodes, least), "ep-links1")
+    links, component = links.union(more), absorb(component, more.select("a", "b"), "ep-cc1")
     more = staged(left_open(spanning(rows, component), nodes, least), "ep-more")
     if more.limit(1).count():
         links = links.union(more)

@@ -57,13 +57,16 @@ def paths(nodes: DataFrame) -> DataFrame:
     jump = staged(link.where("parent is not null").select("tree", "node", F.col("parent").alias("to")), "chat-jumps")
     reach, rounds = 1, 0
     while True:
-        further = met.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + reach).alias("up"))
-        further = staged(further, f"chat-further{rounds}")
+        none = F.lit(None).cast("long")
+        further = met.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + reach).alias("up"), none.alias("to"), F.lit(True).alias("is_path"))
+        above = jump.select("tree", F.col("node").alias("to"), F.col("to").alias("top"))
+        jump = jump.join(above, ["tree", "to"]).select("tree", none.alias("leaf"), "node", none.alias("up"), F.col("top").alias("to"), F.lit(False).alias("is_path"))
+        made = staged(further.unionByName(jump), f"chat-round{rounds}")  # one write a round
+        further = made.where("is_path").select("tree", "leaf", "node", "up")
         if not further.limit(1).count():
             return met
         met = met.unionByName(further)
-        above = jump.select("tree", F.col("node").alias("to"), F.col("to").alias("top"))
-        jump = staged(jump.join(above, ["tree", "to"]).select("tree", "node", F.col("top").alias("to")), f"chat-jumps{rounds}")
+        jump = made.where("not is_path").select("tree", "node", "to")
         reach, rounds = 2 * reach, rounds + 1
 
 

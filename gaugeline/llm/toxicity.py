@@ -89,7 +89,7 @@ def presence(h: Hasher, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         got = [((doc + at) << BITS) | f for doc, f in word_features(h, np.frombuffer(b"".join(part), np.uint8), off)]
         keys.append(np.unique(np.concatenate(got)))
     key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-    return key >> BITS, key & ((1 << BITS) - 1)
+    return (key >> BITS).astype(np.int32), (key & ((1 << BITS) - 1)).astype(np.int32)
 
 
 def mine(doc: np.ndarray, f: np.ndarray, y: np.ndarray, fixed: list[int]) -> tuple[list[int], np.ndarray]:

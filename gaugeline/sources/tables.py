@@ -42,10 +42,14 @@ def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return raw.select("file_name", F.from_json("value", schema).alias("doc"))
 
 
+def unfolded(docs: DataFrame, skip_by: str = "manual-") -> DataFrame:
+    """Cases of documents, one a row; documents written by a skip_by extractor are left out."""
+    return docs.where(~F.startswith(F.coalesce("extracted_by", F.lit("")), F.lit(skip_by))).withColumn("case", F.explode("cases"))
+
+
 def findings(spark: SparkSession, pattern: str, schema: str, skip_by: str = "manual-") -> DataFrame:
     """Findings of many case files, tagged with the file; files written by a skip_by extractor are left out."""
-    docs = spark.read.schema(schema).option("multiLine", True).json(pattern).select("*", F.col("_metadata.file_name").alias("file_name"))
-    return docs.where(~F.startswith(F.coalesce("extracted_by", F.lit("")), F.lit(skip_by))).withColumn("case", F.explode("cases"))
+    return unfolded(spark.read.schema(schema).option("multiLine", True).json(pattern).select("*", F.col("_metadata.file_name").alias("file_name")), skip_by)
 
 
 def overlay_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -1,6 +1,11 @@
 """A corpus pipeline of five operators: quality, near-duplicates, repeated passages, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on everything its predecessor kept.
+
+Defined results of all stages: columns beyond those of documents are dropped, whatever their names; a null text counts
+as empty; a null doc_id or source is a value like any other; an empty table gives an empty table.  Rows that are equal in
+all columns are one document after near-dedup, and rows that repeat a doc_id are told apart by their texts.  A document
+without words is scored like any other, is no copy of another, is taken 0 words of and so drops out in the mix.
 """
 
 from __future__ import annotations

@@ -230,7 +230,7 @@ class Family:
 
     def add(self, texts: DataFrame) -> DataFrame:
         """Add a batch texts(text) to the folder; the spans (k1, k2, a, b), maximal, of the bytes of its texts that
-        repeat within it or in texts added before."""
+        repeat within it or in texts added before.  Equal texts of a batch count once; one added before repeats whole."""
         if not self.folder:
             raise ValueError("a family that lasts needs a folder")
         kept = texts.select(*text_key("text"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") >= self.least)

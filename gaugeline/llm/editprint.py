@@ -42,7 +42,9 @@ CHUNK_CHARS = 1 << 20
 #: Phases after which the walk's bits repeat, kinds of characters it tells apart, characters of a segment.
 PERIOD, CLASSES, SEGMENT = 64, 1 << 10, 2048
 #: Chance that two texts of just the likeness asked for share no band.
-MISS = 1e-5
+MISS = 1e-4
+#: A digit of two unlike texts of one language is equal about once in so many times: by chance, or for a common character.
+UNLIKE = 7.5
 #: Texts of a bucket that are compared with so many others at a time.
 BLOCK = 2000
 #: Rows of 16 bytes up to which texts' components, and open buckets, are broadcast.
@@ -293,7 +295,7 @@ def share_of(least: float) -> float:
 def banding(n: int, least: float) -> tuple[int, int]:
     """(bands, digits of each): so many digits that different texts rarely share a band by chance at this number of
     texts, and then so many bands that alike ones miss all with a chance of MISS."""
-    digits = max(5, 1 + math.ceil(math.log(max(n, 1), 16)))
+    digits = max(5, 1 + math.ceil(math.log(max(n, 1), UNLIKE)))
     share = share_of(min(least, 0.999))
     # the sampled digits are different ones, of some 128
     met = math.prod((share * TARGET - i) / (TARGET - i) for i in range(digits))

@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeline.operators.dedup import numbered
+
 from .common import BROADCAST_ROWS, small_side, staged
 
 WEIGHTS = (3, 1, 2)
@@ -45,23 +47,18 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int =
     """(source, source_size, target) from (source, source_size): shares by weight in code-point order,
     stopped at cap times the size, the excess reshared by weight.
 
-    That fixpoint is min(cap * size, level * weight): in the order of cap/weight the level is set by
-    the first source that stays below its cap.  One row per source."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")).cast("double")
-    t = sizes.select("source", "source_size", w.alias("w"))
-    by = Window.orderBy(F.col("source_size") * cap / F.col("w"), F.col("source").asc_nulls_last())
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    t = t.select(
-        "*", (F.sum("source_size").over(Window.partitionBy()) * share).alias("total"),
-        F.coalesce(F.sum(F.col("source_size") * cap).over(before), F.lit(0)).alias("capped"),
-        F.sum("w").over(by.rowsBetween(0, Window.unboundedFollowing)).alias("open"),
-    )
-    t = t.select("*", ((F.col("total") - F.col("capped")) / F.col("open")).alias("level"))
-    fits = F.col("level") * F.col("w") <= F.col("source_size") * cap
-    t = t.select("*", F.min(F.when(fits, F.struct("capped", "level"))).over(Window.partitionBy())["level"].alias("at"))
-    full = F.col("source_size") * F.lit(float(cap))
-    return t.select("source", "source_size", F.least(full, F.coalesce(F.col("at") * F.col("w"), full)).alias("target"))
+    A target is min(cap * size, level * weight).  The level rises with each round that stops more sources; a round is
+    one sum over the sources, which are numbered by range partitions, so no task holds them all."""
+    order = F.struct(F.col("source").isNull().alias("last"), F.coalesce("source", F.lit("")).alias("name"))
+    t = numbered(sizes.select("source", "source_size", order.alias("order")), [F.col("order")])
+    w = F.element_at(F.array(*map(F.lit, weights)), ((F.col("place") - 1) % len(weights) + 1).cast("int")).cast("double")
+    t = staged(t.select("source", "source_size", w.alias("w"), (F.col("source_size") * cap).alias("most")), "mix-sources")
+    level, before = 0.0, -1.0
+    while level != before:
+        full = F.lit(level) * F.col("w") > F.col("most")
+        got = t.agg((F.sum("source_size") * share).alias("total"), F.sum(F.when(full, F.col("most")).otherwise(0)).alias("full"), F.sum(F.when(~full, F.col("w"))).alias("open")).first()
+        before, level = level, (got["total"] - got["full"]) / got["open"] if got["open"] else level
+    return t.select("source", "source_size", F.least(F.col("most").cast("double"), F.lit(level) * F.col("w")).alias("target"))
 
 
 def rate(cap: float) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,10 +82,7 @@ def page_numbers(spec: Column, n_pages: Column) -> Column:
 
 def preferred(sources: list[DataFrame], key: str) -> DataFrame:
     """One row a key from the first source that has it; sources share columns."""
-    from functools import reduce
-
-    from pyspark.sql import Window
-
     ranked = reduce(DataFrame.unionByName, (d.withColumn("_rank", F.lit(i)) for i, d in enumerate(sources)))
-    first = F.row_number().over(Window.partitionBy(key).orderBy("_rank"))
-    return ranked.withColumn("_n", first).where("_n = 1").drop("_n").withColumnRenamed("_rank", "source_rank")
+    rest = [c for c in sources[0].columns if c != key]
+    best = ranked.groupBy(key).agg(F.min_by(F.struct(*rest), "_rank").alias("_best"), F.min("_rank").alias("source_rank"))
+    return best.select(key, *(F.col("_best")[c].alias(c) for c in rest), "source_rank")

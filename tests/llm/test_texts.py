@@ -212,3 +212,28 @@ def test_branches_are_ranked(spark):
     )
     got = {(r.tree, r.branch): [t.text for t in r.t] for r in chat.format_branches(chat.best_branches(nodes, 2)).select("tree", "branch", chat.parse(F.col("formatted")).alias("t")).collect()}
     assert got == {("t", 1): ["q", "good", "thanks"], ("t", 2): ["q", "bad", "hm"], ("u", 1): ["alone"]}
+
+
+def test_random_trees_against_brute_force(spark):
+    import random
+
+    rng = random.Random(51)
+    rows = []
+    for tree in range(9):
+        deep = tree % 3 == 0
+        for node in range(1, 2 + 12 * tree):
+            parent = None if node == 1 else (node - 1 if deep and rng.random() < 0.8 else rng.randint(1, node - 1))
+            rows.append((f"t{tree}", node, parent, rng.choice(["user", "assistant"]), rng.choice(["", "a</s>", f"x{node}"]), float(rng.randint(0, 3))))
+    nodes = spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double").repartition(3)
+    got = {(r.tree, r.branch): [tuple(t) for t in r.t] for r in chat.format_branches(chat.best_branches(nodes, 3)).select("tree", "branch", chat.parse(F.col("formatted")).alias("t")).collect()}
+    want = {}
+    for tree in {r[0] for r in rows}:
+        own = {r[1]: r for r in rows if r[0] == tree}
+        leaves = set(own) - {r[2] for r in own.values()}
+
+        def way(n):
+            return [*(way(own[n][2]) if own[n][2] else []), own[n]]
+
+        ranked = sorted(leaves, key=lambda n: (-sum(r[5] for r in way(n)), n))
+        want |= {(tree, i + 1): [(r[3], r[4]) for r in way(n)] for i, n in enumerate(ranked[:3])}
+    assert got == want and max(map(len, want.values())) > 16

@@ -382,7 +382,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
             x, y = b.column("x").to_pylist(), b.column("y").to_pylist()
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array([likeness(p, q, walk) for p, q in zip(x, y, strict=True)], pa.float64())], names=["a", "b", "likeness"])
 
-    prints = nodes.select("node", "fingerprint")
+    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    prints = nodes.select("node", "fingerprint").join(small_side(staged(ids, "ep-ids"), COMPONENTS), "node", "left_semi")
     both = pairs.join(prints.toDF("a", "x"), "a").join(prints.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return both.mapInArrow(run, "a long, b long, likeness double").where(F.col("likeness") >= least)
 
@@ -424,13 +425,14 @@ def left_open(rows: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
 
 def links_of(prints: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, links, components): each different fingerprint is a node(node, fingerprint); the links
+    """(nodes, links, components): each different fingerprint is a node(node, f, fingerprint, docs); the links
     (a, b, likeness) found join all nodes that links of likeness least between texts sharing a band join.
 
     Buckets are first tried through their first text, then through one drawn for each bucket; what stays open is
     compared across components, in blocks."""
     # staged, so that the numbers stay
-    nodes = staged(prints.select("fingerprint").distinct().withColumn("node", F.monotonically_increasing_id()), "ep-nodes")
+    nodes = prints.groupBy("f").agg(F.first("fingerprint").alias("fingerprint"), F.count(F.lit(1)).alias("docs"))
+    nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "ep-nodes")
     bands = nodes.select("node", "fingerprint").mapInArrow(banded(*banding(nodes.count(), least)), "bucket long, entry long")
     node = lambda c: F.shiftright(c, 1)
     order = ("bucket", "entry")
@@ -453,25 +455,30 @@ def links_of(prints: DataFrame, least: float) -> tuple[DataFrame, DataFrame, Dat
 def similar_pairs(prints: DataFrame, least: float = 0.8) -> DataFrame:
     """(a, b, likeness): links between doc_ids that join all documents which links of likeness least between
     texts sharing a band join; of equal fingerprints the smallest doc_id stands for all.  A null doc_id takes no part."""
-    prints = prints.toDF("doc_id", "fingerprint").where("doc_id is not null").distinct()
+    prints = staged(hashed(prints).where("doc_id is not null").distinct(), "ep-prints")
     nodes, links, _ = links_of(prints, least)
-    rep = staged(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "ep-reps")
-    same = prints.join(rep, "fingerprint").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("likeness"))
-    ids = nodes.join(rep, "fingerprint").select("node", "rep")
+    rep = staged(prints.groupBy("f").agg(F.min("doc_id").alias("rep")), "ep-reps")
+    same = prints.join(rep, "f").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("likeness"))
+    ids = nodes.select("node", "f").join(rep, "f").select("node", "rep")
     other = links.join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "likeness")
     return same.unionByName(other).groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
 
 
+def hashed(prints: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint, f): f, a fingerprint's MD5, is what joins carry in its place."""
+    return prints.toDF("doc_id", "fingerprint").withColumn("f", F.md5(F.col("fingerprint").cast("binary")))
+
+
 def similar_classes(prints: DataFrame, least: float = 0.8) -> DataFrame:
     """(doc_id, class_id, n_docs, n_links), a row for each row of prints(doc_id, fingerprint), null and repeated
-    doc_ids included.  Documents joined by links of likeness least have one class_id, a hash of the class's
-    first fingerprint; n_links counts the links confirmed between its different fingerprints."""
-    prints = staged(prints.toDF("doc_id", "fingerprint"), "ep-prints")
+    doc_ids included.  Documents joined by links of likeness least between texts that share a band have one class_id,
+    the least hash of the class's fingerprints; n_links counts the links confirmed between its different fingerprints."""
+    prints = staged(hashed(prints), "ep-prints")
     nodes, links, component = links_of(prints, least)
-    own = staged(nodes.join(component.toDF("node", "c"), "node", "left").select("node", "fingerprint", F.coalesce("c", "node").alias("component")), "ep-classes")
+    own = nodes.select("node", "f", "docs").join(component.toDF("node", "c"), "node", "left")
+    own = staged(own.select("node", "f", "docs", F.coalesce("c", "node").alias("component")), "ep-classes")
     n = links.join(own.select(F.col("node").alias("a"), "component"), "a").groupBy("component").agg(F.count(F.lit(1)).alias("n_links"))
-    size = prints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("docs"))
-    about = own.join(size, "fingerprint").groupBy("component").agg(F.md5(F.min("fingerprint").cast("binary")).alias("class_id"), F.sum("docs").alias("n_docs"))
+    about = own.groupBy("component").agg(F.min("f").alias("class_id"), F.sum("docs").alias("n_docs"))
     about = about.join(n, "component", "left").select("component", "class_id", "n_docs", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    named = own.join(about, "component").select("fingerprint", "class_id", "n_docs", "n_links")
-    return prints.join(named, "fingerprint").select("doc_id", "class_id", "n_docs", "n_links")
+    named = own.join(about, "component").select("f", "class_id", "n_docs", "n_links")
+    return prints.select("doc_id", "f").join(named, "f").select("doc_id", "class_id", "n_docs", "n_links")

@@ -45,8 +45,8 @@ PERIOD, CLASSES, SEGMENT = 64, 1 << 10, 2048
 MISS = 1e-4
 #: A digit of two unlike texts of one language is equal about once in so many times: by chance, or for a common character.
 UNLIKE = 7.5
-#: Texts of a bucket that are compared with so many others at a time.
-BLOCK = 2000
+#: Texts of a bucket that are compared with so many others at a time; centres that each text is tried with before.
+BLOCK, TURNS = 2000, 4
 #: Rows of 16 bytes up to which texts' components, and open buckets, are broadcast.
 COMPONENTS = 500_000
 
@@ -428,8 +428,8 @@ def links_of(prints: DataFrame, least: float) -> tuple[DataFrame, DataFrame, Dat
     """(nodes, links, components): each different fingerprint is a node(node, f, fingerprint, docs); the links
     (a, b, likeness) found join all nodes that links of likeness least between texts sharing a band join.
 
-    Buckets are first tried through their first text, then through one drawn for each bucket; what stays open is
-    compared across components, in blocks."""
+    Each text is first tried with one centre, the first text of its buckets, then TURNS - 1 times with one drawn in a
+    bucket that is still open; what stays open is compared across components, in blocks."""
     # staged, so that the numbers stay
     nodes = prints.groupBy("f").agg(F.first("fingerprint").alias("fingerprint"), F.count(F.lit(1)).alias("docs"))
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "ep-nodes")
@@ -437,14 +437,17 @@ def links_of(prints: DataFrame, least: float) -> tuple[DataFrame, DataFrame, Dat
     node = lambda c: F.shiftright(c, 1)
     order = ("bucket", "entry")
     rows = staged(bands.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(bucket_runs, "bucket long, entry long, first long"), "ep-bands")
-    pairs = staged(both_ways(rows.select(node("entry").alias("a"), node("first").alias("b"))), "ep-pairs0")
-    links = staged(verified(pairs, nodes, least), "ep-links0")
+    first = rows.groupBy(node("entry").alias("a")).agg(F.min(node("first")).alias("b"))
+    links = staged(verified(staged(both_ways(first), "ep-pairs0"), nodes, least), "ep-links0")
     component = components(links.select("a", "b"), "ep-cc0")
-    rows = staged(spanning(rows.select("bucket", "entry", node("entry").alias("node")), component), "ep-open")
-    centre = rows.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", "bucket").alias("o"), "node", "component")).alias("c"))
-    more = both_ways(rows.join(centre, "bucket").where("component <> c.component").select(F.col("node").alias("a"), F.col("c.node").alias("b")))
-    more = staged(verified(staged(more.join(pairs, ["a", "b"], "left_anti"), "ep-pairs1"), nodes, least), "ep-links1")
-    links, component = links.union(more), absorb(component, more.select("a", "b"), "ep-cc1")
+    rows = rows.select("bucket", "entry", node("entry").alias("node"))
+    for turn in range(1, TURNS):
+        rows = staged(spanning(rows, component), f"ep-open{turn}")
+        drawn = F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("o"), "node", "component")
+        centre = rows.groupBy("bucket").agg(F.min(drawn).alias("c"))
+        tried = rows.join(centre, "bucket").where("component <> c.component").groupBy(F.col("node").alias("a")).agg(F.min("c.node").alias("b"))
+        more = staged(verified(staged(both_ways(tried), f"ep-pairs{turn}"), nodes, least), f"ep-links{turn}")
+        links, component = links.union(more), absorb(component, more.select("a", "b"), f"ep-cc{turn}")
     more = staged(left_open(spanning(rows, component), nodes, least), "ep-more")
     if more.limit(1).count():
         links = links.union(more)

@@ -53,6 +53,8 @@ BLOCK = 16
 BATCHES = 4
 #: Bytes of a text between whose starts spans are merged at a time.
 REACH = 1 << 16
+#: Texts cut at a time.
+CUT_ROWS = 512
 SUFFIX = "b0 long, b1 long, anchor long, whole long, k1 long, k2 long, pos long, n int, lead int"
 ORDER = ("b0", "b1", "anchor", "whole", "k1", "k2", "pos")
 PLACE = ("k1", "k2", "pos")
@@ -444,26 +446,30 @@ def cutter(least: int, keep_text: bool, words: int | None = None):
         return len(data) >= least or (words is not None and len(word_bounds(np.frombuffer(data, np.uint8))[0]) >= words)
 
     def run(batches):
-        for b in batches:
-            rows = []
-            for text, spans, copies in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), b.column("copies").to_pylist(), strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                n = len(data)
-                cut = [(0, n)] if copies and whole(data) else [(s["a"], s["b"]) for s in spans or []]
-                at, kept, digest = 0, [], hashlib.sha256()
-                for a, e in [*cut, (n, n)]:
-                    kept.append(data[at:a])
-                    digest.update(kept[-1])
-                    at = e
-                # a character half removed goes as a whole
-                text = b"".join(kept).decode("utf-8", "ignore") if keep_text else None
-                rows.append((n, sum(e - a for a, e in cut), len(cut), digest.hexdigest(), text, [{"a": a, "b": e} for a, e in cut]))
-            n, removed, count, sha, text, spans = (list(x) for x in zip(*rows, strict=True)) if rows else ([],) * 6
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-3], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.string()),
-                 pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))],
-                names=[*b.schema.names[:-3], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "spans"],
-            )
+        for every in batches:
+            for b in (every.slice(at, CUT_ROWS) for at in range(0, every.num_rows, CUT_ROWS)):  # few texts are held as strings
+                yield cut_texts(b)
+
+    def cut_texts(b):
+        rows = []
+        for text, spans, copies in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), b.column("copies").to_pylist(), strict=True):
+            data = text.encode("utf-8", "surrogatepass")
+            n = len(data)
+            cut = [(0, n)] if copies and whole(data) else [(s["a"], s["b"]) for s in spans or []]
+            at, kept, digest = 0, [], hashlib.sha256()
+            for a, e in [*cut, (n, n)]:
+                kept.append(data[at:a])
+                digest.update(kept[-1])
+                at = e
+            # a character half removed goes as a whole
+            text = b"".join(kept).decode("utf-8", "ignore") if keep_text else None
+            rows.append((n, sum(e - a for a, e in cut), len(cut), digest.hexdigest(), text, [{"a": a, "b": e} for a, e in cut]))
+        n, removed, count, sha, text, spans = (list(x) for x in zip(*rows, strict=True)) if rows else ([],) * 6
+        return pa.RecordBatch.from_arrays(
+            [*b.columns[:-3], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.string()),
+             pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))],
+            names=[*b.schema.names[:-3], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "spans"],
+        )
 
     return run
 

@@ -343,7 +343,7 @@ def banded(bands: int, digits: int):
 
 
 def alike(least: float):
-    """Links (a, b, likeness) between texts of different components, from rows (bucket, lo, hi, mine, entry, component,
+    """Links (a, b, likeness) that join all components which any links of least join, from rows (bucket, lo, hi, mine, entry, component,
     fingerprint) sorted by bucket, lo, hi: a block of a bucket, or two that meet.  Texts are compared at the bucket's
     level, where it is the own level of one of them."""
 
@@ -359,16 +359,22 @@ def alike(least: float):
             digits = np.zeros((len(rows), size.max()), np.uint8)
             for i, r in enumerate(rows):
                 digits[i, : len(r)] = r
+            # components that a link joins are one from then on: no task returns more links than it has components
+            _, label = np.unique(t.column("component").to_numpy(), return_inverse=True)
             for x, y in pairs_within(t, begin, "component"):
                 most = np.maximum(size[x], size[y])
-                ok = ~((entry[x] & entry[y] & 1).astype(bool)) & (np.minimum(size[x], size[y]) >= (share_of(least) - 1e-9) * most)
+                ok = (label[x] != label[y]) & ~((entry[x] & entry[y] & 1).astype(bool)) & (np.minimum(size[x], size[y]) >= (share_of(least) - 1e-9) * most)
                 x, y, most = x[ok], y[ok], most[ok]
                 same = (digits[x] == digits[y]).sum(1) - (digits.shape[1] - most)  # beyond both texts all is equal
                 like = (same / most - 1 / 16) / (15 / 16)
-                hit = like >= least
-                if hit.any():
-                    a, b = entry[x][hit] >> 1, entry[y][hit] >> 1
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(like[hit])], names=["a", "b", "likeness"])
+                found = []
+                for k in np.flatnonzero(like >= least).tolist():
+                    p, q = label[x[k]], label[y[k]]
+                    if p != q:
+                        label[label == q] = p
+                        found.append((*sorted((int(entry[x[k]]) >> 1, int(entry[y[k]]) >> 1)), float(like[k])))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["a", "b", "likeness"])
 
     return run
 
@@ -418,7 +424,8 @@ def both_ways(pairs: DataFrame) -> DataFrame:
 
 
 def left_open(rows: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """All links of least between texts of different components in a bucket, compared in blocks."""
+    """Links of least between texts of different components in a bucket, compared in blocks: all that join components
+    which no other link found joins."""
     with_prints = rows.join(nodes.select("node", "fingerprint"), "node").select("bucket", "entry", "component", "fingerprint")
     found = in_blocks(with_prints, "bucket", "entry", BLOCK).mapInArrow(alike(least), "a long, b long, likeness double")
     return found.groupBy("a", "b").agg(F.max("likeness").alias("likeness"))

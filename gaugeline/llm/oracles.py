@@ -48,4 +48,30 @@ g AS (SELECT conv_id, count(*) AS n, string_agg(concat(role, chr(10), text, chr(
   sum(length({escaped("role")}) + length(role) - length(replace(role, ']', '')) + length({escaped("text")}) + 6) + 3 AS chars FROM t GROUP BY conv_id)
 SELECT conv_id, CAST(n AS BIGINT) AS n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM g"""
 
-ORACLES = {"op1_minmax_near_duplicates": OP1, "op8_rule_ledger": OP8, "op10_reply_tree_chat": OP10}
+#: CRC-32 of a decimal number, bit by bit.
+CRC = """list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+ lambda r, b: list_reduce([xor(r, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384)))"""
+
+OP12 = f"""
+WITH own AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+cs AS (SELECT c, n, xor({CRC}, 4294967295) % 4 AS h, c - c % 20 AS b FROM (SELECT c, count(*) AS n FROM own GROUP BY c) t),
+made AS (SELECT cs.c, o.p, o.role, o.text FROM cs JOIN own o ON o.c = cs.b AND o.p <= cs.h UNION ALL SELECT cs.c, o.p - cs.h + least(cs.h, coalesce(base.n, 0)), o.role, o.text FROM cs JOIN own o ON o.c = cs.c AND o.p > cs.h LEFT JOIN cs base ON base.c = cs.b),
+pre AS (SELECT c, p AS d, len(regexp_extract_all(text, '{WORD}')) AS w, list(sha256(concat(length(role), ':', role, text))) OVER (PARTITION BY c ORDER BY p) AS x FROM made),
+every AS (SELECT c, d, w, sha256(array_to_string(x, ',')) AS k, CASE WHEN d > 1 THEN sha256(array_to_string(x[:-2], ',')) ELSE '' END AS up FROM pre UNION ALL SELECT c, 0, 0, '', NULL FROM cs),
+lens AS (SELECT c, max(d) AS d FROM every GROUP BY c),
+nodes AS (SELECT d, k, min(c) AS c, count(*) AS n, max(w) AS w, max(up) AS up FROM every GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, up AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1, 2),
+sums AS (SELECT e.d, e.k, sum((m.n - 1) * m.w) AS saved, count(*) FILTER (WHERE kids.n IS NULL) AS leaves FROM nodes m JOIN every e ON e.c = m.c AND e.d <= m.d LEFT JOIN kids ON kids.d = m.d AND kids.k = m.k GROUP BY 1, 2),
+tails AS (SELECT e.d, e.k, sha256(string_agg(CAST(e.c AS VARCHAR), ',' ORDER BY e.c)) AS s FROM every e JOIN lens ON lens.c = e.c AND lens.d = e.d GROUP BY 1, 2)
+SELECT m.c AS conv_id, CAST(m.d AS BIGINT) AS depth, up.c AS parent_conv_id, CAST(m.n AS BIGINT) AS n_convs, CAST(coalesce(kids.n, 0) AS BIGINT) AS n_children, CAST(sums.leaves AS BIGINT) AS n_leaves, CAST(sums.saved AS BIGINT) AS saved_tokens, coalesce(tails.s, sha256('')) AS ends_sha256
+FROM nodes m JOIN sums ON sums.d = m.d AND sums.k = m.k LEFT JOIN nodes up ON up.d = m.d - 1 AND up.k = m.up LEFT JOIN kids ON kids.d = m.d AND kids.k = m.k LEFT JOIN tails ON tails.d = m.d AND tails.k = m.k"""
+
+OP13 = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id),
+p AS (SELECT a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS r FROM s WHERE same) t WHERE r <= 5),
+n AS (SELECT p.a, p.b AS p, s.b AS n, p.score AS ps, s.score AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS r FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT a AS anchor_id, p AS positive_id, CAST(r AS INTEGER) AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE r <= 10"""
+
+ORACLES = {"op1_minmax_near_duplicates": OP1, "op8_rule_ledger": OP8, "op10_reply_tree_chat": OP10, "op12_peeled_prefix_trie": OP12, "op13_bit_sliced_negatives": OP13}

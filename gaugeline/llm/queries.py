@@ -1,4 +1,4 @@
-"""The contract queries of the ten operators: thin digests of what the operators return."""
+"""The contract queries of the thirteen operators: thin digests of what the operators return."""
 
 from __future__ import annotations
 
@@ -6,10 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, editprint, minhash, mixing, oracles, quality, rules, suffix, toxicity, warc
+from . import bpe, chat, editprint, hardneg, minhash, mixing, oracles, quality, rules, suffix, toxicity, trie, warc, wordbpe
 from .common import staged
 
-RANKS = "byte_bpe_50k.tiktoken"
+RANKS, WORDS = "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
 PREDICTED = 0.7
 
 
@@ -82,10 +82,24 @@ def op10_reply_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordbpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
+
+
+def op12_peeled_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_bit_sliced_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict:
     own = (
         op1_minmax_near_duplicates, op2_entropy_mixing, op3_edit_fingerprints, op3_similar_classes, op4_suffix_repeats, op5_weak_toxicity,
         op6_subword_quality, op7_bpe_transducer, op8_rule_ledger, op9_warc_chunks, op10_reply_tree_chat,
+        op11_rank_array_bpe, op12_peeled_prefix_trie, op13_bit_sliced_negatives,
     )
     return {f.__name__: f for f in own}
 

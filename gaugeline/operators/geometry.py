@@ -8,15 +8,72 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _edges(ring: Column) -> Column:
-    n = F.size(ring)
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.element_at(ring, i).alias("a"), F.element_at(ring, (i % n + 1).cast("int")).alias("b")))
+RING = "array<struct<x:double,y:double>>"
+
+
+def turned(ring: Column) -> Column:
+    """The ring begun at its second vertex."""
+    return F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+
+
+def edges(ring: Column) -> Column:
+    return F.zip_with(ring, turned(ring), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+
+def signed_area(ring: Column) -> Column:
+    """Shoelace area, negative for a clockwise ring; from the first vertex, so that far coordinates lose no digits."""
+    o = F.try_element_at(ring, F.lit(1))
+    cross = lambda e: (e["a"]["x"] - o["x"]) * (e["b"]["y"] - o["y"]) - (e["b"]["x"] - o["x"]) * (e["a"]["y"] - o["y"])
+    return F.aggregate(edges(ring), F.lit(0.0), lambda s, e: s + cross(e)) / 2
+
+
+def anticlockwise(ring: Column) -> Column:
+    return F.when(signed_area(ring) < 0, F.reverse(ring)).otherwise(ring)
+
+
+def half_plane(ring: Column, side) -> Column:
+    """The part of a ring where side(x, y), linear, is not negative (by Sutherland and Hodgman, one border)."""
+
+    def step(a, b):
+        s, t = side(a["x"], a["y"]), side(b["x"], b["y"])
+        u = F.try_divide(s, s - t)
+        met = F.struct((a["x"] + (b["x"] - a["x"]) * u).alias("x"), (a["y"] + (b["y"] - a["y"]) * u).alias("y"))
+        return F.array(F.when((s < 0) & (t > 0) | (s > 0) & (t < 0), met), F.when(t >= 0, b))
+
+    return F.filter(F.flatten(F.zip_with(ring, turned(ring), step)), lambda v: v.isNotNull())
+
+
+def within_box(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """The part of a ring within an upright box.  The ring stands in the expression once, its borders in a list."""
+    border = lambda ux, uy, c: F.struct(F.lit(ux).alias("ux"), F.lit(uy).alias("uy"), c.alias("c"))
+    sides = F.array(border(1.0, 0.0, -x0), border(-1.0, 0.0, x1), border(0.0, 1.0, -y0), border(0.0, -1.0, y1))
+    return F.aggregate(sides, ring.cast(RING), lambda part, h: half_plane(part, lambda x, y: h["ux"] * x + h["uy"] * y + h["c"]).cast(RING))
+
+
+def clipped(ring: Column, convex: Column) -> Column:
+    """The part of a ring within a convex anticlockwise one, one border after the other."""
+    inside = lambda e: lambda x, y: (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) - (e["b"]["y"] - e["a"]["y"]) * (x - e["a"]["x"])
+    return F.aggregate(edges(convex), ring.cast(RING), lambda part, e: half_plane(part, inside(e)).cast(RING))
+
+
+def fan(ring: Column) -> Column:
+    """A ring's triangles from its first vertex, with the sign of their turn: their signed sum is the ring, convex or not."""
+    o = F.try_element_at(ring, F.lit(1))
+    made = F.transform(edges(ring), lambda e: F.array(o, e["a"], e["b"]))
+    return F.filter(F.transform(made, lambda t: F.struct(F.signum(signed_area(t)).alias("sign"), anticlockwise(t).alias("ring"))), lambda t: t["sign"] != 0)
+
+
+def intersection_area(a: Column, b: Column) -> Column:
+    """Area that two simple rings share, convex or not: triangle by triangle of their fans, each pair by its signs.
+    Of null rings null; of rings without area 0."""
+    pair = lambda t, u: t["sign"] * u["sign"] * area(clipped(t["ring"], u["ring"]))
+    whole = F.aggregate(fan(a), F.lit(0.0), lambda s, t: s + F.aggregate(fan(b), F.lit(0.0), lambda r, u: r + F.coalesce(pair(t, u), F.lit(0.0))))
+    return F.abs(whole * F.signum(signed_area(a)) * F.signum(signed_area(b)))
 
 
 def area(ring: Column) -> Column:
     """Shoelace area."""
-    twice = F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])
-    return F.abs(twice) / 2
+    return F.abs(signed_area(ring))
 
 
 def valid(ring: Column) -> Column:
@@ -32,7 +89,7 @@ def contains(ring: Column, x: Column, y: Column) -> Column:
         at = (b["x"] - a["x"]) * F.try_divide(y - a["y"], b["y"] - a["y"]) + a["x"]
         return (spans & (x < at)).cast("int")
 
-    return F.aggregate(_edges(ring), F.lit(0), lambda s, e: s + F.coalesce(crosses(e), F.lit(0))) % 2 == 1
+    return F.aggregate(edges(ring), F.lit(0), lambda s, e: s + F.coalesce(crosses(e), F.lit(0))) % 2 == 1
 
 
 def closed(ring: Column, gap: float = 0.001) -> Column:
@@ -54,7 +111,7 @@ def segment_distance(px: Column, py: Column, e: Column) -> Column:
 
 def distance(a: Column, b: Column) -> Column:
     """Between two disjoint rings: the least vertex-to-edge distance either way."""
-    one = lambda p, q: F.array_min(F.transform(p, lambda v: F.array_min(F.transform(_edges(q), lambda e: segment_distance(v["x"], v["y"], e)))))
+    one = lambda p, q: F.array_min(F.transform(p, lambda v: F.array_min(F.transform(edges(q), lambda e: segment_distance(v["x"], v["y"], e)))))
     return F.least(one(a, b), one(b, a))
 
 

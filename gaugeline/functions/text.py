@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HEBREW = "\\u0590-\\u05FF"
+#: White space of all scripts, for a pattern's class.
+SPACE = "\\x09-\\x0d\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 
 
 def strip_between_hebrew(text: Column) -> Column:
@@ -28,19 +30,20 @@ def space_at_digit_borders(text: Column) -> Column:
 
 def normalised(text: Column) -> Column:
     """Straight quotes, single spaces, no ends."""
-    straight = F.translate(text, "“”„’‘׳״", "\"\"\"'''\"")
+    straight = F.translate(text, "“”„’‘׳״″", "\"\"\"'''\"\"")
     return F.trim(F.regexp_replace(straight, r"\s+", " "))
 
 
 def without_qualifiers(text: Column) -> Column:
-    """No parentheses, no tail after a dash or a comma."""
-    text = F.regexp_replace(text, r"\([^)]*\)", " ")
-    text = F.substring_index(F.substring_index(text, " - ", 1), ",", 1)
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """No parentheses, no tail after a hyphen or dash between spaces, or after a comma."""
+    text = F.trim(F.regexp_replace(F.regexp_replace(text, r"\([^)]*\)", " "), f"[{SPACE}]+", " "))
+    text = F.regexp_replace(text, f"[{SPACE}]+[-\u2013\u2014][{SPACE}]+.*$", "")
+    return F.trim(F.substring_index(text, ",", 1))
 
 
 def squashed(text: Column) -> Column:
-    return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
+    """Letters of any script, without separators; null where nothing is left, so that it matches nothing."""
+    return F.nullif(F.regexp_replace(text, f"[{SPACE},/().\\-\u2013\u2014]+", ""), F.lit(""))
 
 
 def replaced(text: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -65,7 +68,8 @@ def by_method(df, keys: list[str], methods: tuple[str, ...], handlers: dict[str,
 
 
 def tokens(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != ""))
+    """Words of any script, cut at separators only."""
+    return F.array_distinct(F.filter(F.split(text, f"[{SPACE},/()]+"), lambda t: t != ""))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -146,11 +146,27 @@ def split_tiers(count: Column, total: Column, open_: Column, tiers: list[Column]
     )
 
 
-def isolated(judged: Column, broken: Column, seed: Column) -> Column:
-    """An evaluator's outcome with a fingerprint of its fault: a row whose values it can't work on becomes an engine
-    error, and no other row is touched."""
-    struct = lambda o, f: F.struct(*(o[n].alias(n) for n in ("verdict", "failure_mode", "confidence")), f.alias("fingerprint"))
-    return F.when(broken, struct(outcome("unevaluable", "engine_error"), fingerprint(seed))).otherwise(struct(judged, F.lit(None).cast("string")))
+def attempt(judged: Column, faults: list[tuple[Column, str, Column]]) -> Column:
+    """An evaluator's outcome, or the first of its faults (condition, kind, message) that holds: then an engine error,
+    with a seed of kind and message.  No other row is touched."""
+    parts = lambda o, seed: F.struct(*(o[n].alias(n) for n in ("verdict", "failure_mode", "confidence")), seed.cast("string").alias("seed"))
+    error = outcome("unevaluable", "engine_error")
+    out = F.when(F.lit(False), parts(error, F.lit(None)))
+    for holds, kind, message in faults:
+        out = out.when(holds, parts(error, F.concat(F.lit(f"engine_error:{kind}:"), F.substring(message, 1, 200))))
+    return out.otherwise(parts(judged, F.lit(None)))
+
+
+def dispatch_attempts(rule_type: Column, attempts: dict[str, Column]) -> Column:
+    """struct(verdict, failure_mode, confidence, fingerprint): each row's attempt by its type; a type without one is an
+    ambiguous rule.  Like faults have one fingerprint."""
+    fields = lambda o: F.struct(o["verdict"].alias("verdict"), o["failure_mode"].alias("failure_mode"), o["confidence"].alias("confidence"), fingerprint(o["seed"]).alias("fingerprint"))
+    lost = outcome("unevaluable", "ambiguous_rule")
+    no_one = F.struct(*(lost[n].alias(n) for n in ("verdict", "failure_mode", "confidence")), fingerprint(F.concat(F.lit("dispatch:no_evaluator:"), rule_type)).alias("fingerprint"))
+    out = F.when(F.lit(False), no_one)
+    for name, tried in attempts.items():
+        out = out.when(rule_type == name, fields(tried))
+    return out.otherwise(no_one)
 
 
 def fingerprint(seed: Column) -> Column:

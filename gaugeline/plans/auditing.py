@@ -81,43 +81,75 @@ def row_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""WITH r AS (SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN 'n/a' WHEN c_custkey % 9 = 1 THEN NULL ELSE CAST(c_acctbal AS VARCHAR) END AS raw FROM customer), v AS (SELECT *, TRY_CAST(raw AS DOUBLE) AS x FROM r)
-SELECT c_custkey, CASE WHEN raw IS NULL OR x IS NULL THEN 'unevaluable' WHEN x >= 100 THEN 'pass' ELSE 'fail' END AS verdict, CASE WHEN raw IS NULL THEN 'missing_data' WHEN x IS NULL THEN 'engine_error' ELSE 'none' END AS failure_mode,
- CASE WHEN raw IS NOT NULL AND x IS NULL THEN substring(sha256('B1|numeric|not a number'), 1, 16) END AS fingerprint FROM v""")
+#: Rules of one run, of which some can't be judged: by their type, or on some rows by the values there.
+FAULTY = [("F1", "numeric", ">=", 100.0), ("F2", "numeric", "~", 100.0), ("F3", "ratio", "<=", 900.0), ("F4", "spatial", None, None), ("F5", "presence", None, None)]
+
+
+@query(f"""WITH r AS (SELECT c_custkey, rule_id, rule_type, op, threshold, c_acctbal, CASE WHEN c_custkey % 9 = 0 THEN 'n/a' WHEN c_custkey % 9 = 2 THEN 'see sheet' WHEN c_custkey % 9 = 3 THEN '[1, 2]' WHEN c_custkey % 9 = 1 THEN NULL ELSE CAST(c_acctbal AS VARCHAR) END AS raw FROM customer CROSS JOIN {values_sql(FAULTY, "rule_id, rule_type, op, threshold")}),
+e AS (SELECT *, CASE WHEN rule_type = 'spatial' THEN 'dispatch:no_evaluator:spatial' WHEN rule_type = 'numeric' AND raw LIKE '[%' THEN 'engine_error:TypeError:a list is no number' WHEN rule_type = 'numeric' AND raw IS NOT NULL AND TRY_CAST(raw AS DOUBLE) IS NULL THEN concat('engine_error:ValueError:not a number: ', raw)
+ WHEN rule_type = 'ratio' AND c_custkey % 7 = 0 THEN 'engine_error:ZeroDivisionError:division by zero' END AS seed FROM r)
+SELECT c_custkey, rule_id, CASE WHEN seed IS NOT NULL THEN 'unevaluable' WHEN rule_type = 'numeric' THEN CASE WHEN raw IS NULL OR op = '~' THEN 'unevaluable' WHEN TRY_CAST(raw AS DOUBLE) >= 100 THEN 'pass' ELSE 'fail' END WHEN rule_type = 'ratio' THEN CASE WHEN c_acctbal / (c_custkey % 7) <= 900 THEN 'pass' ELSE 'fail' END WHEN raw IS NULL THEN 'fail' ELSE 'pass' END AS verdict,
+ CASE WHEN seed LIKE 'dispatch%' THEN 'ambiguous_rule' WHEN seed IS NOT NULL THEN 'engine_error' WHEN rule_type = 'numeric' AND raw IS NULL THEN 'missing_data' WHEN op = '~' THEN 'ambiguous_rule' ELSE 'none' END AS failure_mode, substring(sha256(seed), 1, 16) AS fingerprint FROM e""")
 def isolated_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A value that can't be judged makes its own row an engine error with a fingerprint; all other rows go on."""
-    k = F.col("c_custkey")
-    raw = F.when(k % 9 == 0, "n/a").when(k % 9 != 1, F.col("c_acctbal").cast("string"))
-    r = table(spark, sf_dir, "customer").select("c_custkey", raw.alias("raw")).withColumn("x", F.col("raw").try_cast("double"))
-    none = F.lit(None)
-    judged = V.numeric(F.col("x"), F.lit(">="), F.lit(100.0), none.cast("string"), none.cast("double"), none.cast("double"), F.lit(0.000001))
-    seed = F.concat_ws("|", F.lit("B1"), F.lit("numeric"), F.lit("not a number"))
-    o = V.isolated(judged, F.col("raw").isNotNull() & F.col("x").isNull(), seed)
-    return r.select("c_custkey", o["verdict"].alias("verdict"), o["failure_mode"].alias("failure_mode"), o["fingerprint"].alias("fingerprint"))
-
-
-NAMES = [(1, "Red  Widget"), (2, "blue bolt (main hall)"), (3, "large anvil, plated"), (4, "small-gizmo"), (5, "hot old gear"), (6, "no such thing at all"), (7, "old bolt - rev 2"), (8, "smallring")]
-
-
-@query(f"""WITH n AS (SELECT id, trim(regexp_replace(lower(name), '[[:space:]]+', ' ', 'g')) AS k FROM {values_sql(NAMES, "id, name")}),
-ns AS (SELECT *, trim(regexp_replace(split_part(split_part(regexp_replace(k, '\\([^)]*\\)', ' ', 'g'), ' - ', 1), ',', 1), '[[:space:]]+', ' ', 'g')) AS s FROM n),
-f AS (SELECT k, min(seq) AS seq FROM (SELECT lower(p_name) AS k, p_partkey AS seq FROM part) t GROUP BY k),
-nt AS (SELECT *, list_distinct(list_filter(string_split_regex(s, '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM ns), ft AS (SELECT *, list_distinct(list_filter(string_split_regex(k, '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM f),
-m AS (SELECT nt.id, ft.seq, CASE WHEN nt.k = ft.k THEN 1 WHEN nt.s = ft.k THEN 2 WHEN CAST(len(list_intersect(nt.t, ft.t)) AS DOUBLE) / len(list_distinct(list_concat(nt.t, ft.t))) >= 0.6 THEN 3
-  WHEN regexp_replace(nt.k, '[^a-z0-9]', '', 'g') = regexp_replace(ft.k, '[^a-z0-9]', '', 'g') THEN 4 END AS tier, CAST(len(list_intersect(nt.t, ft.t)) AS DOUBLE) / len(list_distinct(list_concat(nt.t, ft.t))) AS score FROM nt CROSS JOIN ft)
+    """A rule that can't be judged on a row makes that row an engine error, its fingerprint from the fault's kind and
+    message, so that like faults fold into one cluster and unlike ones don't; all other rows go on."""
+    c, k = F.col, F.col("c_custkey")
+    raw = F.when(k % 9 == 0, "n/a").when(k % 9 == 2, "see sheet").when(k % 9 == 3, "[1, 2]").when(k % 9 != 1, c("c_acctbal").cast("string"))
+    rules = F.array(*(F.struct(F.lit(r).alias("rule_id"), F.lit(t).alias("rule_type"), F.lit(o).cast("string").alias("op"), F.lit(v).cast("double").alias("threshold")) for r, t, o, v in FAULTY))
+    r = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", raw.alias("raw"), (k % 7).alias("parts"), F.explode(rules).alias("rule")).select("*", "rule.*")
+    none, x = F.lit(None), c("raw").try_cast("double")
+    numeric = V.numeric(x, c("op"), c("threshold"), none.cast("string"), none.cast("double"), none.cast("double"), F.lit(0.000001))
+    ratio = F.try_divide(c("c_acctbal"), c("parts"))
+    given = c("raw").isNotNull()
+    evaluators = {
+        "numeric": V.attempt(numeric, [(F.startswith("raw", F.lit("[")), "TypeError", F.lit("a list is no number")), (given & x.isNull(), "ValueError", F.concat(F.lit("not a number: "), "raw"))]),
+        "ratio": V.attempt(F.when(V.compare(c("op"), ratio, c("threshold")), V.outcome("pass")).otherwise(V.outcome("fail")), [(c("parts") == 0, "ZeroDivisionError", F.lit("division by zero"))]),
+        "presence": V.attempt(F.when(given, V.outcome("pass")).otherwise(V.outcome("fail", "not_provided")), []),
+    }
+    o = V.dispatch_attempts(c("rule_type"), evaluators)
+    return r.select("c_custkey", "rule_id", o["verdict"].alias("verdict"), F.when(c("rule_type") == "presence", "none").otherwise(o["failure_mode"]).alias("failure_mode"), o["fingerprint"].alias("fingerprint"))
+
+
+NAMES = [
+    (1, "Red  Widget"), (2, "blue bolt (main hall)"), (3, "large anvil, plated"), (4, "small-gizmo"), (5, "hot old gear"), (6, "no such thing at all"), (7, "old bolt - rev 2"), (8, "smallring"),
+    (9, "קו בניין קדמי"), (10, "גובה  הבניין (במטרים)"), (11, "שטח עיקרי — מעל הקרקע"), (12, "שטח שירות – מתחת לקרקע"), (13, "מקומות חניה לרכב פרטי ואופנוע"), (14, "תכסית-קרקע"), (15, "מרפסות"), (16, "—"), (17, "תו״ת 5"), (18, "old bolt - rev 2, north"),
+]
+#: Names of findings in another script, each beside the parts' names.
+FOREIGN = ["קו בניין קדמי", "גובה הבניין", "שטח עיקרי", "שטח שירות, מרתף", "מקומות חניה לרכב פרטי", "תכסית קרקע", "...", "()", "תו\"ת 5", "גגות", "old bolt – spare"]
+LIKE = 0.7
+
+
+def of(sql: str, value: str) -> str:
+    return sql.replace("{0}", value)
+
+
+NAME_SQL = "trim(regexp_replace(translate({0}, '“”„’‘׳״″', '\"\"\"''''''\"\"'), '[" + X.SPACE + "]+', ' ', 'g'))"
+BARE_SQL = "trim(split_part(regexp_replace(trim(regexp_replace(regexp_replace({0}, '\\([^)]*\\)', ' ', 'g'), '[" + X.SPACE + "]+', ' ', 'g')), '[" + X.SPACE + "]+[-–—][" + X.SPACE + "]+.*$', ''), ',', 1))"
+WORDS_SQL = "list_distinct(list_filter(string_split_regex({0}, '[" + X.SPACE + ",/()]+'), lambda x: x <> ''))"
+SQUASH_SQL = "nullif(regexp_replace({0}, '[" + X.SPACE + ",/().\\-–—]+', '', 'g'), '')"
+
+
+@query(f"""WITH n AS (SELECT id, {of(NAME_SQL, "lower(name)")} AS k FROM {values_sql(NAMES, "id, name")}), ns AS (SELECT *, {of(BARE_SQL, "k")} AS s FROM n),
+f AS (SELECT {of(NAME_SQL, "lower(name)")} AS k, min(seq) AS seq FROM (SELECT p_name AS name, p_partkey AS seq FROM part UNION ALL SELECT name, seq FROM {values_sql([(x, 10**9 + i) for i, x in enumerate(FOREIGN)], "name, seq")}) t GROUP BY 1), fs AS (SELECT *, {of(BARE_SQL, "k")} AS s FROM f),
+nt AS (SELECT *, {of(WORDS_SQL, "s")} AS t FROM ns), ft AS (SELECT *, {of(WORDS_SQL, "s")} AS t FROM fs),
+j AS (SELECT nt.id, ft.seq, nt.k AS a, ft.k AS b, nt.s AS c, ft.s AS d, CASE WHEN len(nt.t) = 0 OR len(ft.t) = 0 THEN 0 ELSE CAST(len(list_intersect(nt.t, ft.t)) AS DOUBLE) / len(list_distinct(list_concat(nt.t, ft.t))) END AS score FROM nt CROSS JOIN ft),
+m AS (SELECT id, seq, score, CASE WHEN a = b AND a <> '' THEN 1 WHEN c = d AND c <> '' THEN 2 WHEN score >= {LIKE} THEN 3 WHEN {of(SQUASH_SQL, "a")} = {of(SQUASH_SQL, "b")} THEN 4 END AS tier FROM j)
 SELECT n.id, b.seq AS part, CAST(b.tier AS BIGINT) AS tier FROM n LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tier, CASE tier WHEN 3 THEN -score ELSE 0 END, seq) AS rn FROM m WHERE tier IS NOT NULL) b ON b.id = n.id AND b.rn = 1""")
 def tiered_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each rule name's finding by the first tier that has one: equal, equal without qualifiers, alike in words (best
-    first), equal without punctuation.  Tiers meet on their keys, alike ones on a shared word, so nothing is crossed."""
+    first), equal without separators, in any script; an empty key matches nothing.  Tiers meet on their keys, alike ones
+    on a shared word, so nothing is crossed."""
     c = F.col
+    full = lambda k: F.nullif(c(k), F.lit(""))
     n = inline(spark, NAMES, "id int, name string").select("id", F.lower(X.normalised(c("name"))).alias("k"))
     n = n.withColumns({"s": X.without_qualifiers(c("k")), "q": X.squashed(c("k"))})
-    f = table(spark, sf_dir, "part").groupBy(F.lower(X.normalised(c("p_name"))).alias("fk")).agg(F.min("p_partkey").alias("seq"))
+    p = table(spark, sf_dir, "part").select(c("p_name").alias("name"), c("p_partkey").alias("seq")).unionByName(inline(spark, [(x, 10**9 + i) for i, x in enumerate(FOREIGN)], "name string, seq long"))
+    f = p.groupBy(F.lower(X.normalised(c("name"))).alias("fk")).agg(F.min("seq").alias("seq"))
     f = f.withColumns({"fs": X.without_qualifiers(c("fk")), "fq": X.squashed(c("fk"))})
-    hit = lambda a, b, tier: n.join(f, c(a) == c(b)).select("id", "seq", F.lit(tier).alias("tier"), F.lit(1.0).alias("score"))
+    hit = lambda a, b, tier: n.join(f, full(a) == c(b)).select("id", "seq", F.lit(tier).alias("tier"), F.lit(1.0).alias("score"))
     words = n.select("id", X.tokens(c("s")).alias("t")).select("id", F.size("t").alias("n"), F.explode("t").alias("w"))
     theirs = f.select("seq", X.tokens(c("fs")).alias("t")).select("seq", F.size("t").alias("m"), F.explode("t").alias("w"))
-    alike = words.join(theirs, "w").groupBy("id", "seq", "n", "m").agg(F.count(F.lit(1)).alias("k")).select("id", "seq", F.lit(3).alias("tier"), F.try_divide(c("k").cast("double"), c("n") + c("m") - c("k")).alias("score")).where("score >= 0.6")
+    alike = words.join(theirs, "w").groupBy("id", "seq", "n", "m").agg(F.count(F.lit(1)).alias("k")).select("id", "seq", F.lit(3).alias("tier"), F.try_divide(c("k").cast("double"), c("n") + c("m") - c("k")).alias("score")).where(c("score") >= LIKE)
     every = hit("k", "fk", 1).unionByName(hit("s", "fs", 2)).unionByName(alike).unionByName(hit("q", "fq", 4))
     best = every.groupBy("id").agg(F.min(F.struct("tier", (-c("score")).alias("s"), "seq")).alias("b"))
     return n.select("id").join(best, "id", "left").select("id", c("b.seq").alias("part"), c("b.tier").cast("long").alias("tier"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,8 +11,10 @@ from pyspark.sql import functions as F
 from gaugeline.functions import drawing as D
 from gaugeline.functions import text as X
 from gaugeline.functions import verdicts as V
+from gaugeline.operators import cache as C
 from gaugeline.operators import pages as P
 from gaugeline.plans.registry import query
+from gaugeline.sources.staging import shared_dir
 from gaugeline.sources.tables import table
 
 ALIASES = [("ECONOMY", "ECONOMY/BUDGET"), ("LARGE", "LARGE/GRAND")]
@@ -77,3 +81,24 @@ def cache_miss_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contents that a cache, filled from a third of the conversations, doesn't hold yet."""
     c = table(spark, sf_dir, "conversations").select("conv_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content"))
     return P.cache_misses(c, c.where("conv_id % 3 = 0"), "content")
+
+
+MEASURED = "key string, words long, digits long"
+
+
+@query(r"""WITH c AS (SELECT sha256(coalesce(text, '')) AS key, min(coalesce(text, '')) AS t, bool_or(conv_id % 3 = 0) AS first FROM conversations GROUP BY 1),
+m AS (SELECT key, first, CAST(len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS BIGINT) AS words, CAST(len(regexp_extract_all(t, '[0-9]')) AS BIGINT) AS digits FROM c)
+SELECT key, CASE WHEN key LIKE 'a%' AND first THEN 5 WHEN key LIKE '7%' AND first THEN 500 ELSE words END AS words, CASE WHEN first AND (key LIKE 'a%' OR key LIKE '7%') THEN 0 ELSE digits END AS digits, CASE WHEN first THEN 1 ELSE 2 END AS run, first AND (key LIKE 'a%' OR key LIKE '7%') AS overridden,
+ CASE WHEN CASE WHEN key LIKE 'a%' AND first THEN 5 WHEN key LIKE '7%' AND first THEN 500 ELSE words END <= 100 THEN 'pass' ELSE 'fail' END AS verdict FROM m""")
+def extraction_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of contents by their hash: a first run over a third of the conversations, some of whose results are then
+    overridden by hand, and a second one over all, which computes only what the store lacks; overrides change verdicts."""
+    folder = f"{shared_dir(spark)}/extractions-{uuid.uuid4().hex[:12]}"
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"), F.coalesce("text", F.lit("")).alias("payload"))
+    measure = lambda d: d.select("key", F.regexp_count("payload", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words"), F.regexp_count("payload", F.lit("[0-9]")).cast("long").alias("digits"))
+    got = C.get_or_compute(c.where("conv_id % 3 = 0"), folder, 1, measure, MEASURED)
+    by_hand = got.where("key like 'a%'").select("key", F.lit(5).cast("long").alias("words"), F.lit(0).cast("long").alias("digits"), F.lit("counted by hand").alias("note"))
+    C.override(by_hand.withColumn("words", F.lit(7).cast("long")).unionByName(got.where("key like '7%'").select("key", F.lit(500).cast("long").alias("words"), F.lit(0).cast("long").alias("digits"), F.lit(None).cast("string").alias("note"))), folder, 1, MEASURED)
+    C.override(by_hand, folder, 2, MEASURED)  # the later one wins
+    got = C.get_or_compute(c, folder, 2, measure, MEASURED)
+    return got.withColumn("verdict", F.when(F.col("words") <= 100, "pass").otherwise("fail"))

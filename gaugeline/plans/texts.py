@@ -71,13 +71,13 @@ def segments_by_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("doc_id", F.col("i").cast("long").alias("start_line"), F.coalesce(F.lead("i").over(w), last + 1).cast("long").alias("end_line"), F.format_string("f%03d", F.row_number().over(w)).alias("item"))
 
 
-@query("""WITH p AS (SELECT p_name AS name, count(*) AS parts, list_distinct(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM part GROUP BY p_name),
-q AS (SELECT DISTINCT concat(p_name, ' (', p_type, ')') AS label, list_distinct(list_filter(string_split_regex(lower(concat(p_name, ' ', p_type)), '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM part)
+@query(r"""WITH p AS (SELECT p_name AS name, count(*) AS parts, list_distinct(list_filter(string_split_regex(lower(p_name), '[\s,/()]+'), lambda x: x <> '')) AS t FROM part GROUP BY p_name),
+q AS (SELECT DISTINCT concat(p_name, ' (', p_type, ')') AS label, list_distinct(list_filter(string_split_regex(lower(concat(p_name, ' ', p_type)), '[\s,/()]+'), lambda x: x <> '')) AS t FROM part)
 SELECT name, label, CAST(parts AS BIGINT) AS parts, CAST(len(list_intersect(p.t, q.t)) AS DOUBLE) / len(list_distinct(list_concat(p.t, q.t))) AS score FROM p JOIN q ON CAST(len(list_intersect(p.t, q.t)) AS DOUBLE) / len(list_distinct(list_concat(p.t, q.t))) >= 0.5""")
 def jaccard_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_name", "p_type")
-    a = p.groupBy(F.col("p_name").alias("name")).agg(F.count(F.lit(1)).alias("parts")).withColumn("t", X.tokens(F.col("name")))
-    b = p.distinct().select(F.format_string("%s (%s)", "p_name", "p_type").alias("label"), X.tokens(F.concat_ws(" ", "p_name", "p_type")).alias("u"))
+    a = p.groupBy(F.col("p_name").alias("name")).agg(F.count(F.lit(1)).alias("parts")).withColumn("t", X.tokens(F.lower(F.col("name"))))
+    b = p.distinct().select(F.format_string("%s (%s)", "p_name", "p_type").alias("label"), X.tokens(F.lower(F.concat_ws(" ", "p_name", "p_type"))).alias("u"))
     a, b = a.select("name", "parts", "t"), b.select("label", "u")
     # common words would pair nearly all names: each set's words are put in order of rarity, and of n words only the
     # first n - ceil(least * n) + 1 are looked at, one of which any pair that is alike enough shares
@@ -110,7 +110,7 @@ def value_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", X.first_number(F.col("p_brand")).alias("num"), X.whole(F.col("p_retailprice")).alias("exact_price"), span["low"].alias("low"), span["high"].alias("high"), X.plot_number(label).alias("plot"))
 
 
-@query("""SELECT doc_id, sha256(trim(replace(regexp_replace(text, '[[:space:]]+', ' ', 'g'), 'the', 'THE'))) AS cleaned, sha256(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) AS squashed FROM documents""")
+@query(r"""SELECT doc_id, sha256(trim(replace(regexp_replace(text, '[[:space:]]+', ' ', 'g'), 'the', 'THE'))) AS cleaned, sha256(nullif(regexp_replace(text, '[""" + X.SPACE + r""",/().\-–—]+', '', 'g'), '')) AS squashed FROM documents""")
 def normalise_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.replaced(X.normalised(text), [("the", "THE")]), 256).alias("cleaned"), F.sha2(X.squashed(text), 256).alias("squashed"))

@@ -61,6 +61,11 @@ def test_strings(spark):
     assert one(spark, X.section_key(F.lit("2.10"))) == [2, 10]
     assert one(spark, X.jaccard(F.array().cast("array<string>"), F.array().cast("array<string>"))) == 0
     assert one(spark, X.without_qualifiers(F.lit("Shade trees (new) - north, east"))) == "Shade trees"
+    for dash in "-–—":
+        assert one(spark, X.without_qualifiers(F.lit(f"קו בניין {dash} קדמי"))) == "קו בניין"
+    assert one(spark, X.without_qualifiers(F.lit("well-lit yard, north"))) == "well-lit yard"
+    assert one(spark, X.squashed(F.lit("קו–בניין (קדמי).\u00a0א"))) == "קובנייןקדמיא" and one(spark, X.squashed(F.lit(" - ()"))) is None
+    assert one(spark, X.tokens(F.lit("קו בניין/קדמי,(א) קו"))) == ["קו", "בניין", "קדמי", "א"]
     assert one(spark, X.capped(F.lit("x" * 300))) == "x" * 197 + "..."
     assert one(spark, X.appended(F.lit(" "), F.lit("b"))) == "b"
     assert one(spark, X.iso_date(F.lit("3/7/2024"))).isoformat() == "2024-07-03"

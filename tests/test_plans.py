@@ -104,12 +104,50 @@ def test_one_fault_leaves_other_rows(spark):
 
     from gaugeline.functions import verdicts as V
 
-    rows = spark.createDataFrame([(1, "5"), (2, "five"), (3, None)], "id int, raw string").withColumn("x", F.col("raw").try_cast("double"))
+    rows = spark.createDataFrame([(1, "5", "n"), (2, "five", "n"), (3, None, "n"), (4, "six", "n"), (5, "[1]", "n"), (6, "[2]", "n"), (7, "5", "other"), (8, "5", "m")], "id int, raw string, kind string").withColumn("x", F.col("raw").try_cast("double"))
     judged = F.when(F.col("x").isNull(), V.outcome("unevaluable", "missing_data")).otherwise(V.outcome("pass"))
-    o = V.isolated(judged, F.col("raw").isNotNull() & F.col("x").isNull(), F.concat(F.lit("R1|"), F.col("raw")))
+    faults = [(F.startswith("raw", F.lit("[")), "TypeError", F.lit("a list")), (F.col("raw").isNotNull() & F.col("x").isNull(), "ValueError", F.concat(F.lit("not a number: "), "raw"))]
+    o = V.dispatch_attempts(F.col("kind"), {"n": V.attempt(judged, faults), "m": V.attempt(judged, [])})
     got = {r.id: tuple(r.o) for r in rows.select("id", o.alias("o")).collect()}
-    assert got[1] == ("pass", "none", "high", None) and got[3] == ("unevaluable", "missing_data", "high", None)
-    assert got[2][:3] == ("unevaluable", "engine_error", "high") and len(got[2][3]) == 16
+    assert got[1] == got[8] == ("pass", "none", "high", None) and got[3] == ("unevaluable", "missing_data", "high", None)
+    assert got[2][:3] == got[4][:3] == got[5][:3] == ("unevaluable", "engine_error", "high") and got[7][1] == "ambiguous_rule"
+    prints = [got[i][3] for i in (2, 4, 5, 7)]
+    assert len(set(prints)) == 4 and all(len(p) == 16 for p in prints) and got[5] == got[6]
+
+
+def test_three_kinds_of_fault_in_one_run(spark, sf):
+    import __spark_entry__ as entry
+
+    rows = entry.queries()["isolated_faults"](spark, sf).where("failure_mode in ('engine_error', 'ambiguous_rule') and fingerprint is not null").groupBy("rule_id", "fingerprint").count().collect()
+    by_rule = {}
+    for r in rows:
+        by_rule.setdefault(r.rule_id, set()).add(r.fingerprint)
+    assert len(by_rule["F1"]) == 3 and by_rule["F1"] == by_rule["F2"] and len(by_rule["F3"]) == len(by_rule["F4"]) == 1
+    assert len(set.union(*by_rule.values())) == 5
+
+
+def test_cache_computes_once_and_overrides_win(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from gaugeline.operators import cache as C
+
+    folder, schema, asked = f"file://{tmp_path}/c", "key string, n long", []
+
+    def compute(d):
+        asked.append(d.count())
+        return d.select("key", F.length("payload").cast("long").alias("n"))
+
+    some = spark.createDataFrame([("a", "x", 1), ("a", "x", 2), ("b", "yy", 3), (None, "z", 4)], "key string, payload string, n int")
+    more = spark.createDataFrame([("a", "x"), ("b", "yy"), ("c", "zzz")], "key string, payload string")
+    as_map = lambda d: {r.key: (r.n, r.run, r.overridden) for r in d.collect()}
+    assert as_map(C.get_or_compute(some, folder, 1, compute, schema)) == {"a": (1, 1, False), "b": (2, 1, False)}
+    assert as_map(C.get_or_compute(some, folder, 2, compute, schema)) == {"a": (1, 1, False), "b": (2, 1, False)}
+    C.override(spark.createDataFrame([("b", 9, "by hand")], f"{schema}, note string"), folder, 1, schema)
+    C.override(spark.createDataFrame([("b", None, "by hand")], f"{schema}, note string"), folder, 2, schema)
+    assert as_map(C.get_or_compute(more, folder, 3, compute, schema)) == {"a": (1, 1, False), "b": (None, 1, True), "c": (3, 3, False)}
+    assert asked == [2, 0, 1]
+    with pytest.raises(KeyError):
+        C.override(spark.createDataFrame([("nobody", 1, None)], f"{schema}, note string"), folder, 3, schema)
 
 
 def test_a_method_needs_a_handler(spark):

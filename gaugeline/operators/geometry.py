@@ -92,6 +92,12 @@ def contains(ring: Column, x: Column, y: Column) -> Column:
     return F.aggregate(edges(ring), F.lit(0), lambda s, e: s + F.coalesce(crosses(e), F.lit(0))) % 2 == 1
 
 
+def held(both, ring: str = "ring", x: str = "x", y: str = "y"):
+    """The rows of a frame whose ring contains their point.  By a generator: as a filter the test would become part of the
+    join before it, whose generated code can't bind both sides within a lambda."""
+    return both.withColumn("_held", F.explode(F.filter(F.array(contains(F.col(ring), F.col(x), F.col(y))), lambda h: h))).drop("_held")
+
+
 def closed(ring: Column, gap: float = 0.001) -> Column:
     """First and last vertex within gap of each other."""
     a, b = F.element_at(ring, 1), F.element_at(ring, -1)

@@ -119,12 +119,22 @@ def regulatory_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(gate)
 
 
-@query()
+#: Eight blocks and up to 160 plots on a drawing.
+MATCH_SQL = """WITH RECURSIVE ins AS (SELECT s_suppkey // 8 AS d, s_suppkey AS i, s_suppkey % 90 + 0.5 AS x, s_suppkey % 40 + 0.25 AS y, row_number() OVER (PARTITION BY s_suppkey // 8 ORDER BY s_suppkey) AS n FROM supplier),
+pol AS (SELECT p_partkey // 160 AS d, p_partkey AS p, p_partkey % 83 AS x0, p_partkey % 37 AS y0, p_size % 9 + 1 AS w FROM part),
+hold AS (SELECT i, p, (x > x0 AND x < x0 + w AND y > y0 AND y < y0 + 3) AS inside, (x0 + w / 2 - x) * (x0 + w / 2 - x) + (y0 + 1.5 - y) * (y0 + 1.5 - y) AS far FROM ins JOIN pol ON pol.d = ins.d),
+run AS (SELECT DISTINCT d, 0 AS n, CAST([] AS BIGINT[]) AS used FROM ins UNION ALL
+ SELECT r.d, r.n + 1, list_append(r.used, arg_min(h.p, row(NOT h.inside, CASE WHEN h.inside THEN 0 ELSE h.far END, h.p))) FROM run r JOIN ins ON ins.d = r.d AND ins.n = r.n + 1 JOIN hold h ON h.i = ins.i AND NOT list_contains(r.used, h.p) GROUP BY r.d, r.n, r.used)
+SELECT ins.d AS drawing, ins.i AS "insert", used[run.n] AS polygon, inside AS contained FROM run JOIN ins ON ins.d = run.d AND ins.n = run.n JOIN hold ON hold.i = ins.i AND hold.p = used[run.n]"""
+
+
+@query(MATCH_SQL)
 def block_polygon_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as block inserts, parts as polygons of a nation's drawing.  The order decides, so no SQL says it."""
+    """Suppliers as block inserts, parts as plots of their drawings: in the order of inserts each takes the first free plot
+    around it, else the nearest free one."""
     c, k = F.col, F.col("p_partkey")
-    inserts = table(spark, sf_dir, "supplier").select(c("s_nationkey").cast("long").alias("drawing"), c("s_suppkey").alias("insert"), (c("s_suppkey") % 90 + 0.5).alias("x"), (c("s_suppkey") % 40 + 0.25).alias("y"))
+    inserts = table(spark, sf_dir, "supplier").select(F.floor(c("s_suppkey") / 8).alias("drawing"), c("s_suppkey").alias("insert"), (c("s_suppkey") % 90 + 0.5).alias("x"), (c("s_suppkey") % 40 + 0.25).alias("y"))
     point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
     x, y, w = k % 83, k % 37, c("p_size") % 9 + 1
     ring = F.array(point(x, y), point(x + w, y), point(x + w, y + 3), point(x, y + 3))
-    return blocks_to_polygons(inserts, table(spark, sf_dir, "part").select((k % 25).alias("drawing"), k.alias("polygon"), ring.alias("ring")))
+    return blocks_to_polygons(inserts, table(spark, sf_dir, "part").select(F.floor(k / 160).alias("drawing"), k.alias("polygon"), ring.alias("ring")))

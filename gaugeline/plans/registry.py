@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("evaluation", "summaries", "fusing", "merging", "texts", "checks", "formats", "validation", "auditing", "labels", "roundtrips", "shapes")
+MODULES = ("evaluation", "summaries", "fusing", "merging", "texts", "checks", "formats", "validation", "auditing", "labels", "roundtrips", "shapes", "scans")
 _queries: dict[str, Callable] = {}
 _oracles: dict[str, str] = {}
 

@@ -101,3 +101,39 @@ def test_intersection_area_of_any_two_rings(spark):
         want = measure([("p", rings[i][1]), ("q", rings[i + 1][1])], lambda c: c.get("p", 0) > 0 and c.get("q", 0) > 0)
         assert got[i] == pytest.approx(want, abs=1e-6)
     assert got[99] is None and not got[100]
+
+
+def greedy(inserts, polygons):
+    """In the order of inserts: the first free polygon around the point, else the free one with the nearest centre."""
+    rows = []
+    for drawing in {d for d, *_ in inserts}:
+        free = sorted((p, ring) for d, p, ring in polygons if d == drawing)
+        for _, i, x, y in sorted(r for r in inserts if r[0] == drawing):
+            around = [k for k, (_, (x0, y0, x1, y1)) in enumerate(free) if x0 < x < x1 and y0 < y < y1]
+            far = [((x0 + x1) / 2 - x) ** 2 + ((y0 + y1) / 2 - y) ** 2 for _, (x0, y0, x1, y1) in free]
+            if free:
+                k = around[0] if around else far.index(min(far))
+                rows.append((drawing, i, free.pop(k)[0], bool(around)))
+    return sorted(rows)
+
+
+def test_blocks_to_polygons_is_greedy(spark):
+    from gaugeline.operators.matching import blocks_to_polygons
+
+    rng = random.Random(21)
+    inserts, polygons = [], []
+    for d in range(12):
+        spread = rng.choice([6, 30, 300])
+        for p in range(rng.randint(0, 25)):
+            x, y = rng.randrange(spread), rng.randrange(spread)
+            polygons.append((d, 100 - p, (x, y, x + rng.randint(1, 8), y + rng.randint(1, 8))))
+        same = rng.random() < 0.3
+        for i in range(rng.randint(1, 14)):
+            x, y = (spread / 2, spread / 2) if same else (rng.randrange(spread), rng.randrange(spread))
+            inserts.append((d, i, x + 0.37, y + 0.21))
+    inserts.append((99, 1, 0.0, 0.0))  # a drawing without polygons
+    ring = lambda b: [{"x": float(x), "y": float(y)} for x, y in ((b[0], b[1]), (b[2], b[1]), (b[2], b[3]), (b[0], b[3]))]
+    ins = spark.createDataFrame([(d, i, float(x), float(y)) for d, i, x, y in inserts], "drawing long, insert long, x double, y double")
+    pol = spark.createDataFrame([(d, p, ring(b)) for d, p, b in polygons], f"drawing long, polygon long, ring {RING}")
+    assert sorted(tuple(r) for r in blocks_to_polygons(ins.repartition(3), pol.repartition(3)).collect()) == greedy(inserts, polygons)
+    assert blocks_to_polygons(ins.where("1 = 0"), pol).count() == 0

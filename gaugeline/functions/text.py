@@ -198,3 +198,22 @@ def percent_delta(value: Column, base: Column) -> Column:
     good = ~F.isnan(value.cast("double")) & ~F.isnan(base.cast("double"))
     return F.when(good, F.try_divide((value - base).cast("double"), F.nullif(base.cast("double"), F.lit(0.0))) * 100)
 
+
+def layout_fields(text: Column, layouts: dict[str, dict[str, list[str]]]) -> Column:
+    """struct(layout, <field> ...) by a table of layouts, fields and patterns, whose first group is the value.
+
+    Each layout fills what fields it can, each by the first of its patterns that matches; the layout with most fields filled
+    is the document's (ties: the first), and fields that it leaves empty fall back to the other layouts, in their order.
+    Without any field the layout is null."""
+    names = list(dict.fromkeys(f for fields in layouts.values() for f in fields))
+
+    def first(patterns: list[str]) -> Column:
+        found = [F.nullif(F.trim(F.regexp_extract(text, p, 1)), F.lit("")) for p in patterns]
+        return F.coalesce(*found) if found else F.lit(None).cast("string")
+
+    filled = F.array(*(F.struct(F.lit(n).alias("layout"), F.lit(-i).alias("order"), *(first(fields.get(f, [])).alias(f) for f in names)) for i, (n, fields) in enumerate(layouts.items())))
+    some = lambda s: sum((s[f].isNotNull().cast("int") for f in names), F.lit(0))
+    # most filled first, then as given
+    sorted_ = F.array_sort(filled, lambda a, b: F.when(some(a) != some(b), some(b) - some(a)).otherwise(b["order"] - a["order"]))
+    pick = lambda s: F.struct(F.when(some(s[0]) > 0, s[0]["layout"]).alias("layout"), *(F.coalesce(*(s[i][f] for i in range(len(layouts)))).alias(f) for f in names))
+    return F.transform(F.array(sorted_), pick)[0]

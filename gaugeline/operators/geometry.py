@@ -121,6 +121,43 @@ def distance(a: Column, b: Column) -> Column:
     return F.least(one(a, b), one(b, a))
 
 
+def _side(a: Column, b: Column, p: Column) -> Column:
+    return F.signum((b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"]))
+
+
+def _crosses(e: Column, f: Column) -> Column:
+    """Whether two edges have a point in common."""
+    within = lambda g, p: p["x"].between(F.least(g["a"]["x"], g["b"]["x"]), F.greatest(g["a"]["x"], g["b"]["x"])) & p["y"].between(F.least(g["a"]["y"], g["b"]["y"]), F.greatest(g["a"]["y"], g["b"]["y"]))
+    s, t, u, v = _side(e["a"], e["b"], f["a"]), _side(e["a"], e["b"], f["b"]), _side(f["a"], f["b"], e["a"]), _side(f["a"], f["b"], e["b"])
+    on = (s == 0) & within(e, f["a"]) | (t == 0) & within(e, f["b"]) | (u == 0) & within(f, e["a"]) | (v == 0) & within(f, e["b"])
+    return (s * t < 0) & (u * v < 0) | on
+
+
+def meets(a: Column, b: Column) -> Column:
+    """Whether two rings (or lines, given as rings of two vertices) touch, cross or hold one another."""
+    cross = F.exists(edges(a), lambda e: F.exists(edges(b), lambda f: _crosses(e, f)))
+    first = lambda r: F.try_element_at(r, F.lit(1))
+    return cross | contains(a, first(b)["x"], first(b)["y"]) | contains(b, first(a)["x"], first(a)["y"])
+
+
+def gap(a: Column, b: Column) -> Column:
+    """Distance between two rings or lines wherever they lie: 0 where they meet."""
+    return F.when(meets(a, b), 0.0).otherwise(distance(a, b))
+
+
+def overhang(ring: Column, around: Column, step: float = 0.05) -> Column:
+    """How far a ring reaches out of another one: the largest distance to it of points on the ring's edges, at most step
+    apart, that lie outside.  What lies between two points adds at most step / 2."""
+
+    def along(e):
+        n = F.greatest(F.ceil(F.hypot(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]) / step), F.lit(1)).cast("int")
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((e["a"]["x"] + (e["b"]["x"] - e["a"]["x"]) * i / n).alias("x"), (e["a"]["y"] + (e["b"]["y"] - e["a"]["y"]) * i / n).alias("y")))
+
+    far = lambda p: F.when(contains(around, p["x"], p["y"]), 0.0).otherwise(F.array_min(F.transform(edges(around), lambda e: segment_distance(p["x"], p["y"], e))))
+    # the vertices alone tell for most rings; edges are walked in between for all, as the other ring may bend inwards
+    return F.array_max(F.transform(F.flatten(F.transform(edges(ring), along)), far))
+
+
 def box_overlap(a: Column, b: Column) -> Column:
     """Intersection area of two axis-aligned boxes struct<x0, y0, x1, y1>."""
     w = F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"])

@@ -56,10 +56,15 @@ def counted(rows: DataFrame, column: str, summary: DataFrame, name: str) -> Data
     return one(both, name, F.count_if(F.coalesce("n", F.lit(0)) != F.coalesce("own", F.lit(0))))
 
 
+def digests(df: DataFrame, of: dict[str, list[Column]]) -> DataFrame:
+    """One row with, for each name, a number that the table's rows have in any order, of 32 bits of each row's MD5."""
+    row = lambda columns: F.conv(F.substring(F.md5(F.concat(*columns)), 1, 8), 16, 10).cast("long")
+    return df.agg(*(F.sum(row(c)).alias(n) for n, c in of.items()))
+
+
 def digest(df: DataFrame, columns: list[Column]) -> DataFrame:
-    """(digest): a number that the rows of a table have in any order, of 32 bits of each row's MD5."""
-    row = F.conv(F.substring(F.md5(F.concat(*columns)), 1, 8), 16, 10).cast("long")
-    return df.agg(F.sum(row).alias("digest"))
+    """(digest): digests() of one list of columns."""
+    return digests(df, {"digest": columns})
 
 
 def suite(*parts: DataFrame) -> DataFrame:

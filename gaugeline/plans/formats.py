@@ -84,14 +84,15 @@ def plot_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["cx", "cy"]).where((F.col("a") < F.col("b")) & own).select("a", "b", G.box_overlap(F.col("p"), F.col("q")).alias("area")).where("area > 0.5")
 
 
-@query("""SELECT p_partkey, CASE WHEN abs(p_retailprice - 1000 - p_size) / (1000 + p_size) * 100 <= 5 THEN 'match' WHEN n > 1 THEN 'swapped' ELSE 'mismatch' END AS verdict FROM part JOIN (SELECT p_size AS s, p_brand AS b, count(*) AS n FROM part GROUP BY 1, 2) t ON s = p_size AND b = p_brand""")
+@query("""WITH v AS (SELECT p_partkey, CAST(round(p_retailprice * 100) AS BIGINT) AS cents, p_retailprice, p_size FROM part)
+SELECT p_partkey, CASE WHEN abs(p_retailprice - 1000 - p_size) / (1000 + p_size) * 100 <= 5 THEN 'match' WHEN EXISTS (SELECT 1 FROM v o WHERE o.p_partkey <> v.p_partkey AND o.cents = v.cents) THEN 'swapped' ELSE 'mismatch' END AS verdict FROM v""")
 def discrepancy_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A value off by over 5 percent is swapped where another row has the same attributes."""
-    p = table(spark, sf_dir, "part")
-    many = p.groupBy("p_size", "p_brand").agg(F.count(F.lit(1)).alias("n"))
+    """A value off by over 5 percent is swapped where another row has the same value, to less than a hundredth."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", F.round(F.col("p_retailprice") * 100).cast("long").alias("cents"))
+    near = p.groupBy("cents").agg(F.count(F.lit(1)).alias("n"))
     want = 1000 + F.col("p_size")
     off = F.try_divide(F.abs(F.col("p_retailprice") - want), want) * 100
-    return p.join(many, ["p_size", "p_brand"]).select("p_partkey", F.when(off <= 5, "match").when(F.col("n") > 1, "swapped").otherwise("mismatch").alias("verdict"))
+    return p.join(near, "cents").select("p_partkey", F.when(off <= 5, "match").when(F.col("n") > 1, "swapped").otherwise("mismatch").alias("verdict"))
 
 
 @query("""SELECT s_nationkey, min(s_acctbal) AS required, CAST(count(*) AS BIGINT) AS n, CASE WHEN 500 + 0.05 >= min(s_acctbal) THEN 'pass' ELSE 'fail' END AS setback, CASE WHEN count(*) >= 3 THEN 'pass' ELSE 'fail' END AS parking FROM supplier GROUP BY s_nationkey""")
@@ -107,16 +108,27 @@ def largest_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_by(o, ["g"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 5).drop("g")
 
 
-@query("""SELECT c_custkey, c_acctbal, CAST(NULL AS VARCHAR) AS parcel, CASE WHEN c_mktsegment = 'BUILDING' THEN 'not_applicable' END AS verdict FROM customer WHERE false UNION ALL
-SELECT c_custkey, c_acctbal, c_name, CASE WHEN c_acctbal < 0 THEN 'not_submitted' WHEN c_acctbal > 5000 THEN 'pass' ELSE 'fail' END FROM customer WHERE c_mktsegment <> 'BUILDING' UNION ALL
-SELECT * FROM (SELECT CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS VARCHAR), 'not_applicable') g(a, b, c, d)""")
+#: Rule sets and the mode that they are made for; a nation's mode is its region.
+RULE_SETS = [("S1", "AFRICA"), ("S2", "ASIA"), ("S3", "EUROPE"), ("S4", "ASIA")]
+MISSING = "NOT_IN_SUBMISSION"
+
+
+@query(f"""WITH n AS (SELECT n_nationkey, s.rule_set, r_name = s.mode AS fits FROM nation JOIN region ON r_regionkey = n_regionkey CROSS JOIN {values_sql(RULE_SETS, "rule_set, mode").replace(" AS t(", " AS s(")})
+SELECT n_nationkey, rule_set, CAST(NULL AS BIGINT) AS parcel, 'not_applicable' AS verdict FROM n WHERE NOT fits UNION ALL
+SELECT n_nationkey, rule_set, c_custkey, CASE WHEN c_acctbal < 0 THEN 'not_submitted' WHEN c_acctbal > 5000 THEN 'pass' ELSE 'fail' END FROM n JOIN customer ON c_nationkey = n_nationkey WHERE fits""")
 def regulatory_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A rule set whose mode doesn't fit gives one not_applicable row without a parcel, not one for each."""
-    c = table(spark, sf_dir, "customer")
-    bal = F.col("c_acctbal")
-    rows = c.where("c_mktsegment <> 'BUILDING'").select("c_custkey", "c_acctbal", F.col("c_name").alias("parcel"), F.when(bal < 0, "not_submitted").when(bal > 5000, "pass").otherwise("fail").alias("verdict"))
-    gate = spark.range(1).select(F.lit(None).cast("long").alias("c_custkey"), F.lit(None).cast("double").alias("c_acctbal"), F.lit(None).cast("string").alias("parcel"), F.lit("not_applicable").alias("verdict"))
-    return rows.unionByName(gate)
+    """A rule set whose mode isn't the nation's gives one not_applicable row without a parcel; a fitting one a row for each
+    parcel, not submitted where the parcel's status begins so."""
+    c = F.col
+    sets = F.array(*(F.struct(F.lit(r).alias("rule_set"), F.lit(m).alias("mode")) for r, m in RULE_SETS))
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), c("r_regionkey") == c("n_regionkey"))
+    n = n.select("n_nationkey", c("r_name").alias("own_mode"), F.explode(sets).alias("s")).select("n_nationkey", "s.rule_set", (c("own_mode") == c("s.mode")).alias("fits"))
+    gate = n.where("not fits").select("n_nationkey", "rule_set", F.lit(None).cast("long").alias("parcel"), F.lit("not_applicable").alias("verdict"))
+    status = F.when(c("c_acctbal") < 0, F.concat(F.lit(f"{MISSING}: sheet "), c("c_custkey").cast("string"))).when(c("c_acctbal") > 5000, "in order").otherwise("over the cap")
+    own = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", status.alias("status"))
+    rows = own.join(n.where("fits"), c("n_nationkey") == c("c_nationkey"))
+    verdict = F.when(F.startswith("status", F.lit(MISSING)), "not_submitted").when(c("status") == "in order", "pass").otherwise("fail")
+    return gate.unionByName(rows.select("n_nationkey", "rule_set", c("c_custkey").alias("parcel"), verdict.alias("verdict")))
 
 
 #: Eight blocks and up to 160 plots on a drawing.

@@ -36,16 +36,16 @@ def run_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.run_diff(o.where(F.year("o_orderdate") == 1995), o.where(F.year("o_orderdate") == 1996), ["o_custkey"])
 
 
-@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice, year(o_orderdate) AS y FROM orders), src AS (SELECT o_custkey, CASE WHEN max(o_totalprice) > 200000 THEN 'fail' ELSE 'pass' END AS b FROM o WHERE y = 1994 GROUP BY 1),
-rsp AS (SELECT o_custkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM o WHERE y = 1995), rev AS (SELECT o_custkey, CASE WHEN o_totalprice > 200000 THEN 'fail' ELSE 'pass' END AS a, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM o WHERE y = 1996)
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice, year(o_orderdate) AS y FROM orders), src AS (SELECT o_custkey, CASE WHEN max(o_totalprice) > 200000 THEN 'fail' ELSE 'pass' END AS b FROM o WHERE y = 1995 GROUP BY 1),
+rsp AS (SELECT o_custkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM o WHERE y = 1996), rev AS (SELECT o_custkey, CASE WHEN o_totalprice > 200000 THEN 'fail' ELSE 'pass' END AS a, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM o WHERE y = 1997)
 SELECT s.o_custkey, s.b AS before, v.a AS after, CASE WHEN v.a IS NULL THEN 'unclear' WHEN s.b = 'fail' AND v.a = 'pass' THEN 'fixed' WHEN v.a = s.b AND s.b = 'fail' AND r.o_orderstatus IS NOT NULL THEN 'needs fix' WHEN v.a = s.b THEN 'unchanged' ELSE 'needs fix' END AS status
 FROM src s LEFT JOIN rsp r ON r.o_custkey = s.o_custkey AND r.rn = 1 LEFT JOIN rev v ON v.o_custkey = s.o_custkey AND v.rn = 1""")
 def three_way_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice", F.year("o_orderdate").alias("y"))
     word = F.when(F.col("o_totalprice") > 200000, "fail").otherwise("pass")
-    src = o.where("y = 1994").groupBy("o_custkey").agg(F.when(F.max("o_totalprice") > 200000, "fail").otherwise("pass").alias("before"))
-    rsp = o.where("y = 1995").select("o_custkey", "o_orderkey", F.col("o_orderstatus").alias("answer"))
-    rev = o.where("y = 1996").select("o_custkey", "o_orderkey", word.alias("after"))
+    src = o.where("y = 1995").groupBy("o_custkey").agg(F.when(F.max("o_totalprice") > 200000, "fail").otherwise("pass").alias("before"))
+    rsp = o.where("y = 1996").select("o_custkey", "o_orderkey", F.col("o_orderstatus").alias("answer"))
+    rev = o.where("y = 1997").select("o_custkey", "o_orderkey", word.alias("after"))
     got = M.three_way(src, rsp, rev, "o_custkey", "o_orderkey")
     return got.select("o_custkey", "before", "after", M.compared(F.col("before"), F.col("after"), F.col("answer").isNotNull()).alias("status"))
 
@@ -100,13 +100,13 @@ def batch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.join(n, "l_suppkey").select("l_suppkey", "label", "best", text.alias("batches"), (F.size("s") == F.col("nb")).alias("everywhere"))
 
 
-@query("""SELECT n_nationkey, segment FROM nation CROSS JOIN (SELECT DISTINCT c_mktsegment AS segment FROM customer) s WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_mktsegment = segment AND c_acctbal > 5000)""")
+@query("""SELECT n_nationkey, segment FROM nation CROSS JOIN (SELECT DISTINCT c_mktsegment AS segment FROM customer) s WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_mktsegment = segment AND (c_nationkey + length(c_mktsegment)) % 6 <> 0)""")
 def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     # requested: every nation with every segment name there is, a short list that unfolds beside each nation
     names = F.broadcast(c.agg(F.collect_set("c_mktsegment").alias("names")))  # one row
     want = table(spark, sf_dir, "nation").select("n_nationkey").join(names).select("n_nationkey", F.explode("names").alias("segment"))
-    have = c.where("c_acctbal > 5000").select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("segment"))
+    have = c.where((F.col("c_nationkey") + F.length("c_mktsegment")) % 6 != 0).select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("segment"))
     return want.join(have, ["n_nationkey", "segment"], "left_anti")
 
 

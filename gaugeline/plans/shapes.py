@@ -110,3 +110,25 @@ def ring_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     # exploded, so that the filter doesn't measure a second time
     both = both.withColumn("shared", F.explode(F.filter(F.array(G.intersection_area(F.col("ring_a"), F.col("ring_b"))), lambda s: s > NOISE)))
     return both.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.round(F.col("shared") + NUDGE, 3).alias("shared"), F.round(F.col("shared") / F.least("area_a", "area_b") * 100 + NUDGE, 2).alias("share_pct"))
+
+
+#: A layer counts as within another that it leaves by so much at most.
+BUFFER = 0.5
+FENCE = [(0.0, 0.0), (30.0, 0.0), (30.0, 30.0), (0.0, 30.0)]
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS id, 30 - 5 - (1 + p_size % 4) + CASE p_partkey % 5 WHEN 0 THEN 0.4 WHEN 1 THEN 0.6 WHEN 2 THEN 0 ELSE -1 - p_partkey % 7 END AS x, 12 + p_partkey % 5 AS y, 1.0 + p_size % 4 AS w FROM part),
+v AS (SELECT id, x, w, greatest(x + w + 5 - 30, 0) AS over FROM p)
+SELECT id, round(over, 6) AS overhang, over <= {BUFFER} AS within_buffer, round(CASE WHEN x + w + 5 >= 32 THEN 0 ELSE 32 - (x + w + 5) END, 6) AS to_line FROM v""")
+def layer_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each turned plot lies within its fence, give or take the buffer, how far it reaches out, and how far it is
+    from a street line beyond (0 where it meets it)."""
+    k, w = F.col("p_partkey"), 1.0 + F.col("p_size") % 4
+    out = F.when(k % 5 == 0, 0.4).when(k % 5 == 1, 0.6).when(k % 5 == 2, 0.0).otherwise(-1.0 - k % 7)
+    x, y = 30 - 5 - w + out, 12 + k % 5
+    # a kite whose right corner lies at x + w + 5
+    ring = F.array(point(x - 1, y), point(x + w, y - 3), point(x + w + 5, y), point(x + w, y + 3))
+    fence, street = F.array(*(point(F.lit(a), F.lit(b)) for a, b in FENCE)), F.array(point(F.lit(32.0), F.lit(-5.0)), point(F.lit(32.0), F.lit(40.0)))
+    own = table(spark, sf_dir, "part").select(k.alias("id"), ring.alias("ring"))
+    own = own.select("id", G.overhang(F.col("ring"), fence).alias("o"), G.gap(F.col("ring"), street).alias("g"))
+    return own.select("id", F.round("o", 6).alias("overhang"), (F.round("o", 6) <= BUFFER).alias("within_buffer"), F.round("g", 6).alias("to_line"))

@@ -160,15 +160,16 @@ def version_and_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-LABEL_SQL = "concat('סע:יף ', CAST(p_partkey AS VARCHAR), 'מ א.ב ', CASE WHEN p_partkey % 3 = 0 THEN 'תכ.נית' ELSE 'תכ  נית' END, ' a:b')"
+LABEL_SQL = "concat('סע:יף ', CAST(p_partkey AS VARCHAR), 'מ ', repeat('א.ב ', p_partkey % 3), CASE p_partkey % 5 WHEN 0 THEN 'תכ.נית' WHEN 1 THEN 'תכ  נית' WHEN 2 THEN 'תכ-- נית' ELSE 'תכן' END, CASE WHEN p_partkey % 4 = 0 THEN ' § 5' ELSE '' END, ' a:b')"
 
 
 @query(rf"""SELECT p_partkey, regexp_replace({LABEL_SQL}, '([\x{{0590}}-\x{{05FF}}])[:.]([\x{{0590}}-\x{{05FF}}])', '\1\2', 'g') AS cleaned, regexp_replace(regexp_replace({LABEL_SQL}, '(\pL)([0-9])', '\1 \2', 'g'), '([0-9])(\pL)', '\1 \2', 'g') AS spaced,
- p_partkey % 3 = 0 OR true AS loose, replace(replace({LABEL_SQL}, 'א.ב', 'AB'), '§', 'סעיף') AS replaced, CAST(1 AS BIGINT) AS hits FROM part""")
+ p_partkey % 5 < 2 AS loose, replace(replace({LABEL_SQL}, 'א.ב', 'AB'), '§', 'סעיף') AS replaced, CAST(p_partkey % 3 + CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 0 END AS BIGINT) AS hits FROM part""")
 def hebrew_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels with stray marks between Hebrew letters, digits without spaces, and letters pulled apart."""
     k = F.col("p_partkey")
-    label = F.concat(F.lit("סע:יף "), k.cast("string"), F.lit("מ א.ב "), F.when(k % 3 == 0, "תכ.נית").otherwise("תכ  נית"), F.lit(" a:b"))
+    plan = F.when(k % 5 == 0, "תכ.נית").when(k % 5 == 1, "תכ  נית").when(k % 5 == 2, "תכ-- נית").otherwise("תכן")
+    label = F.concat(F.lit("סע:יף "), k.cast("string"), F.lit("מ "), F.repeat(F.lit("א.ב "), (k % 3).cast("int")), plan, F.when(k % 4 == 0, " § 5").otherwise(""), F.lit(" a:b"))
     p = table(spark, sf_dir, "part").select("p_partkey", label.alias("label"))
     pairs = [("א.ב", "AB"), ("§", "סעיף")]
     return p.select(
@@ -269,3 +270,27 @@ def protocol_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     sure = X.score([(c("n_chars") > 500, 0.4), (c("lang") == "en", 0.35), (F.contains(text, F.lit("\n")), 0.25)])
     d = table(spark, sf_dir, "documents").select("doc_id", X.first_class(text, BASES, None).alias("basis"), X.first_match(text, [p for _, p in BASES]).alias("named"), items.alias("items"), sure.alias("score"))
     return d.select("doc_id", "basis", "named", F.size("items").cast("long").alias("findings"), F.array_min("items").alias("first_item"), "score", (c("score") < 0.7).alias("low"))
+
+
+#: Protocols in an old layout (label, then value) and a new one (value, then label), with spellings of some labels.
+LAYOUTS = {
+    "old": {"block": [r"(?m)^Block: *(\d+)"], "lot": [r"(?m)^Lot: *(\d+)", r"(?m)^Plot no\. *(\d+)"], "applicant": [r"(?m)^Applicant: *(.+)$"], "request": [r"(?m)^Request: *(.+)$"]},
+    "new": {"block": [r"(\d+) +block"], "lot": [r"(\d+) +lot"], "applicant": [r"(?m)^(.+?) +\(applicant\)"], "request": [r"(?m)^(.+?) +\(request\)"]},
+}
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, o_orderkey % 5 AS kind, CAST(o_custkey AS VARCHAR) AS block, CAST(o_orderkey % 97 AS VARCHAR) AS lot, concat('Person ', o_orderpriority) AS who, concat('Build ', o_orderstatus) AS what FROM orders)
+SELECT id, CASE kind WHEN 4 THEN NULL WHEN 1 THEN 'new' ELSE 'old' END AS layout, CASE WHEN kind <> 4 THEN block END AS block, CASE WHEN kind <> 4 THEN lot END AS lot, CASE WHEN kind NOT IN (3, 4) THEN who END AS applicant, CASE WHEN kind IN (0, 1, 2) THEN what END AS request FROM o""")
+def layout_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of protocols in two layouts, of mixed ones, whose missing fields fall back to the other layout, of ones with
+    another spelling, and of texts without any."""
+    k, c = F.col("o_orderkey"), F.col
+    s = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    block, lot, who, what = c("o_custkey"), k % 97, s("Person ", c("o_orderpriority")), s("Build ", c("o_orderstatus"))
+    text = (
+        F.when(k % 5 == 0, s("Protocol\nBlock: ", block, "\nLot:  ", lot, "\nApplicant: ", who, "\nRequest: ", what, "\n"))
+        .when(k % 5 == 1, s("Protocol\n", block, " block ", lot, "  lot\n", who, " (applicant)\n", what, " (request)\n"))
+        .when(k % 5 == 2, s("Applicant: ", who, "\nRequest: ", what, "\n", block, " block ", lot, " lot\n"))
+        .when(k % 5 == 3, s("Block: ", block, "\nPlot no. ", lot, "\nApplicant: \n")).otherwise(s("Nothing said about ", block))
+    )
+    return table(spark, sf_dir, "orders").select(k.alias("id"), X.layout_fields(text, LAYOUTS).alias("f")).select("id", "f.*")

@@ -100,11 +100,11 @@ def finding_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(suite_sql("""WITH k AS (SELECT o_orderkey AS id, o_custkey + CASE WHEN o_orderkey % 333 = 0 THEN 7000000 ELSE 0 END AS clause, CASE o_orderstatus WHEN 'F' THEN 'agree' WHEN 'O' THEN 'disagree' ELSE 'cannot_determine' END AS verdict,
   CASE WHEN o_orderstatus = 'O' AND o_orderkey % 40 <> 1 OR o_orderkey % 401 = 0 THEN 'major' END AS severity, CASE WHEN o_orderstatus = 'O' AND o_orderkey % 60 <> 1 THEN o_totalprice END AS extracted, month(o_orderdate) AS page, o_orderdate FROM orders),
-  s AS (SELECT verdict AS value, count(*) FILTER (WHERE id % 1000 <> 7) AS n FROM k GROUP BY 1), h AS (SELECT sum(CAST(concat('0x', substring(md5(concat(CAST(c_custkey AS VARCHAR), c_name)), 1, 8)) AS BIGINT)) AS x FROM customer) """, [
+  s AS (SELECT verdict AS value, count(*) FILTER (WHERE id % 1000 <> 7) AS n FROM k GROUP BY 1), h AS (SELECT sum(CAST(concat('0x', substring(md5(concat(CAST(c_custkey AS VARCHAR), c_name)), 1, 8)) AS BIGINT)) AS x, sum(CAST(concat('0x', substring(md5(concat(CAST(c_custkey AS VARCHAR), CASE WHEN c_custkey % 1000 = 5 THEN 'edited' ELSE c_name END)), 1, 8)) AS BIGINT)) AS y FROM customer) """, [
     ("required_fields", "count(*) FILTER (WHERE id IS NULL OR verdict IS NULL)", "k"), ("clauses_in_findings", "count(*)", "k WHERE clause NOT IN (SELECT c_custkey FROM customer)"),
     ("pages_in_range", "count(*) FILTER (WHERE page NOT BETWEEN 1 AND 11)", "k"), ("verdicts_known", "count(*) FILTER (WHERE verdict NOT IN ('agree', 'disagree', 'cannot_determine'))", "k"),
     ("severity_iff_disagree", "count(*) FILTER (WHERE (verdict = 'disagree') <> (severity IS NOT NULL))", "k"), ("disagree_has_value", "count(*) FILTER (WHERE verdict = 'disagree' AND extracted IS NULL)", "k"),
-    ("input_digest", "CASE WHEN any_value(x) = (SELECT x FROM h) THEN 0 ELSE 1 END", "h"), ("summary_counts", "count(*) FILTER (WHERE n <> own)", "(SELECT value, n, (SELECT count(*) FROM k WHERE verdict = value) AS own FROM s) t"),
+    ("input_digest", "count(*) FILTER (WHERE x <> y)", "h"), ("summary_counts", "count(*) FILTER (WHERE n <> own)", "(SELECT value, n, (SELECT count(*) FROM k WHERE verdict = value) AS own FROM s) t"),
 ]))
 def critique_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, o, customers = F.col, table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
@@ -114,8 +114,8 @@ def critique_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((status == "O") & (key % 40 != 1) | (key % 401 == 0), "major").alias("severity"), F.when((status == "O") & (key % 60 != 1), c("o_totalprice")).alias("extracted"), F.month("o_orderdate").alias("page"),
     )
     summary = k.groupBy(c("verdict").alias("value")).agg(F.count_if(c("id") % 1000 != 7).alias("n"))
-    digest = Q.digest(customers, [c("c_custkey").cast("string"), c("c_name")])
-    same = digest.toDF("a").join(digest.toDF("b"))  # one row each
+    said = F.when(c("c_custkey") % 1000 == 5, "edited").otherwise(c("c_name"))  # what the critic says it has read
+    same = Q.digests(customers, {"a": [c("c_custkey").cast("string"), c("c_name")], "b": [c("c_custkey").cast("string"), said]})
     disagree = c("verdict") == "disagree"
     return Q.suite(
         Q.row_checks(k, {
@@ -129,11 +129,11 @@ def critique_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(suite_sql("""WITH b AS (SELECT o_orderkey AS id, o_orderstatus AS verdict, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS notes FROM orders),
   a AS (SELECT id, CASE WHEN id % 500 = 9 THEN 'X' ELSE verdict END AS verdict, CASE WHEN id % 700 = 11 THEN 'changed' ELSE notes END AS notes, CASE WHEN id % 20 = 0 THEN 'critic' WHEN id % 20 = 1 THEN 'hedged' END AS override,
     id % 20 IN (0, 1) AND id % 160 <> 0 AS applied, id % 40 + CASE WHEN id % 900 = 1 THEN 90000000 ELSE 0 END AS clause FROM b),
-  d AS (SELECT id FROM a WHERE id % 60 = 0), s AS (SELECT verdict AS value, count(*) AS n FROM a GROUP BY 1) """, [
+  d AS (SELECT id FROM a WHERE id % 60 = 0), s AS (SELECT verdict AS value, count(*) FILTER (WHERE id % 1000 <> 7) AS n FROM a GROUP BY 1) """, [
     ("required_fields", "count(*) FILTER (WHERE id IS NULL OR verdict IS NULL)", "a"), ("clauses_resolve", "count(*)", "a WHERE clause NOT IN (SELECT c_custkey FROM customer)"),
     ("disagreements_applied", "count(*)", "d WHERE id NOT IN (SELECT id FROM a WHERE override = 'critic')"), ("verdicts_known", "count(*) FILTER (WHERE verdict NOT IN ('F', 'O', 'P'))", "a"),
     ("passthrough_unchanged", "count(*)", "a JOIN b ON b.id = a.id WHERE a.override IS NULL AND (a.verdict IS DISTINCT FROM b.verdict OR a.notes IS DISTINCT FROM b.notes)"),
-    ("input_digest", "CASE WHEN count(*) > 0 THEN 0 ELSE 1 END", "b"), ("summary_counts", "count(*) FILTER (WHERE n <> own)", "(SELECT value, n, (SELECT count(*) FROM a WHERE verdict = value) AS own FROM s) t"),
+    ("input_digest", "CASE WHEN sum(CAST(concat('0x', substring(md5(concat(CAST(id AS VARCHAR), verdict)), 1, 8)) AS BIGINT)) <> sum(CAST(concat('0x', substring(md5(concat(CAST(id AS VARCHAR), CASE WHEN id % 777 = 5 THEN 'Z' ELSE verdict END)), 1, 8)) AS BIGINT)) THEN 1 ELSE 0 END", "b"), ("summary_counts", "count(*) FILTER (WHERE n <> own)", "(SELECT value, n, (SELECT count(*) FROM a WHERE verdict = value) AS own FROM s) t"),
     ("no_orphan_overrides", "count(*) FILTER (WHERE (override IS NOT NULL) <> applied)", "a"), ("hedged_is_no_pass", "count(*) FILTER (WHERE override = 'hedged' AND verdict = 'P')", "a"),
 ]))
 def fused_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +145,8 @@ def fused_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id", F.when(i % 500 == 9, "X").otherwise(c("verdict")).alias("verdict"), F.when(i % 700 == 11, "changed").otherwise(c("notes")).alias("notes"),
         F.when(i % 20 == 0, "critic").when(i % 20 == 1, "hedged").alias("override"), ((i % 20).isin(0, 1) & (i % 160 != 0)).alias("applied"), (i % 40 + F.when(i % 900 == 1, 90000000).otherwise(0)).alias("clause"),
     )
-    summary = a.groupBy(c("verdict").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    summary = a.groupBy(c("verdict").alias("value")).agg(F.count_if(i % 1000 != 7).alias("n"))
+    read = Q.digests(b, {"a": [i.cast("string"), c("verdict")], "b": [i.cast("string"), F.when(i % 777 == 5, "Z").otherwise(c("verdict"))]})
     return Q.suite(
         Q.row_checks(a, {
             "required_fields": i.isNull() | c("verdict").isNull(), "verdicts_known": ~c("verdict").isin("F", "O", "P"), "no_orphan_overrides": c("override").isNotNull() != c("applied"),
@@ -153,5 +154,5 @@ def fused_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         }),
         Q.dangling(a, "clause", customers, "c_custkey", "clauses_resolve"), Q.present(a.where("id % 60 = 0").select("id"), a.where("override = 'critic'"), "id", "disagreements_applied"),
         Q.unchanged(b, a.where("override is null"), "id", ["verdict", "notes"], "passthrough_unchanged"),
-        Q.one(Q.digest(b, [i.cast("string"), c("verdict")]), "input_digest", F.count_if(c("digest").isNull())), Q.counted(a, "verdict", summary, "summary_counts"),
+        Q.one(read, "input_digest", F.count_if(~c("a").eqNullSafe(c("b")))), Q.counted(a, "verdict", summary, "summary_counts"),
     )

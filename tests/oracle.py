@@ -46,5 +46,7 @@ def differences(df, sql: str, sf_dir: str) -> str:
     want.sort(key=key)
     if len(got) != len(want):
         return f"{len(got)} rows, oracle {len(want)}; only ours {list(set(got) - set(want))[:3]}, only oracle {list(set(want) - set(got))[:3]}"
+    if not want:
+        return "no rows on either side: a match that proves nothing"
     bad = [(a, b) for a, b in zip(got, want, strict=True) if a != b]
     return f"{len(bad)} of {len(got)} rows differ: {bad[:3]}" if bad else ""

@@ -137,3 +137,30 @@ def test_blocks_to_polygons_is_greedy(spark):
     pol = spark.createDataFrame([(d, p, ring(b)) for d, p, b in polygons], f"drawing long, polygon long, ring {RING}")
     assert sorted(tuple(r) for r in blocks_to_polygons(ins.repartition(3), pol.repartition(3)).collect()) == greedy(inserts, polygons)
     assert blocks_to_polygons(ins.where("1 = 0"), pol).count() == 0
+
+
+def test_gap_and_overhang(spark):
+    rng = random.Random(31)
+    rings = [r for _, r in some_rings(31, 40, 14)]
+    as_row = lambda r: [{"x": float(x), "y": float(y)} for x, y in r]
+    df = spark.createDataFrame([(i, as_row(rings[i]), as_row(rings[i + 1])) for i in range(39)], f"i int, p {RING}, q {RING}")
+    got = {r.i: (r.g, r.o, r.s) for r in df.select("i", G.gap(F.col("p"), F.col("q")).alias("g"), G.overhang(F.col("p"), F.col("q")).alias("o"), G.intersection_area(F.col("p"), F.col("q")).alias("s")).collect()}
+
+    def inside(ring, x, y):
+        return sum((a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for a, b in zip(ring, ring[1:] + ring[:1], strict=True)) % 2 == 1
+
+    def to_ring(ring, x, y):
+        best = math.inf
+        for a, b in zip(ring, ring[1:] + ring[:1], strict=True):
+            n = (b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2
+            t = max(0, min(1, ((x - a[0]) * (b[0] - a[0]) + (y - a[1]) * (b[1] - a[1])) / n)) if n else 0
+            best = min(best, math.hypot(x - a[0] - t * (b[0] - a[0]), y - a[1] - t * (b[1] - a[1])))
+        return best
+
+    for i in range(39):
+        p, q = rings[i], rings[i + 1]
+        dense = [(a[0] + (b[0] - a[0]) * t / 400, a[1] + (b[1] - a[1]) * t / 400) for a, b in zip(p, p[1:] + p[:1], strict=True) for t in range(400)]
+        assert got[i][1] == pytest.approx(max(0 if inside(q, *v) else to_ring(q, *v) for v in dense), abs=0.03)
+        assert (got[i][0] == 0) == (got[i][2] > 1e-9)
+        if got[i][0]:
+            assert got[i][0] == pytest.approx(min(to_ring(q, *v) for v in dense), abs=0.03)

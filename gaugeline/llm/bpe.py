@@ -214,6 +214,8 @@ def encoder(ranks: bytes, pattern: str, keep_ids: bool):
         import regex
 
         split = regex.compile(pattern)
+        # whole matches at any length of text, of a pattern with groups too
+        found = (lambda t: [m[0] for m in split.finditer(t)]) if split.groups else split.findall
         machine = Transducer(*tables)
         pieces = Pieces(machine)
 
@@ -222,7 +224,7 @@ def encoder(ranks: bytes, pattern: str, keep_ids: bool):
             count, ids_hash, text_hash, kept = 0, hashlib.sha256(), hashlib.sha256(), []
             back = codecs.getincrementaldecoder("utf-8")("surrogatepass")
             if len(text) <= TEXT_BLOCK:
-                blocks = [[pieces[p] for p in split.findall(text)]]
+                blocks = [[pieces[p] for p in found(text)]]
             else:
                 blocks = batched((pieces[m[0]] for m in split.finditer(text)), BLOCK)
             for block in blocks:

@@ -476,7 +476,7 @@ def similar_pairs(prints: DataFrame, least: float = 0.8) -> DataFrame:
 
 def hashed(prints: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, f): f, a fingerprint's MD5, is what joins carry in its place."""
-    return prints.toDF("doc_id", "fingerprint").withColumn("f", F.md5(F.col("fingerprint").cast("binary")))
+    return prints.select("doc_id", "fingerprint").withColumn("f", F.md5(F.col("fingerprint").cast("binary")))
 
 
 def similar_classes(prints: DataFrame, least: float = 0.8) -> DataFrame:

@@ -38,6 +38,24 @@ def test_word_bpe_equals_the_library(spark, docs, none, texts, library):
     assert wordbpe.encode(none, WORDS).count() == 0
 
 
+def test_groups_in_a_pattern_split_short_and_long_texts_alike(spark):
+    from gaugeline.llm import bpe
+
+    ranks, t = public_tokenizers.path("byte_bpe_50k.tiktoken"), "one two  three " * 4
+    df = spark.createDataFrame([(1, t), (2, t + "x" * (1 << 20))], "doc_id long, text string")
+    grouped = public_tokenizers.PATTERN.replace(r"\s+(?!\S)", r"(\s+)(?!\S)")
+    assert grouped != public_tokenizers.PATTERN
+    rows = lambda p: sorted(tuple(r) for r in bpe.encode(df, ranks, p).collect())
+    assert rows(grouped) == rows(public_tokenizers.PATTERN)
+
+
+def test_similar_classes_take_extra_columns(spark, docs):
+    from gaugeline.llm import editprint
+
+    prints = editprint.fingerprint(docs.select("doc_id", "text").where("doc_id < 40"))
+    assert editprint.similar_classes(prints.withColumn("f", F.lit("x")).withColumn("node", F.lit(1))).count() == prints.count()
+
+
 def test_word_bpe_random_strings(library):
     rng, own = random.Random(3), wordbpe.Encoder(wordbpe.read_tokenizer(WORDS))
     letters = [chr(c) for c in range(0x250)] + [chr(c) for c in range(0x300, 0x330)] + ["'re", "<|endoftext|>", " ", " ", "\n", "Σ", "İ", "日本", "😀"]

@@ -33,12 +33,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near copies, that of the smallest doc_id (null last).  A doc_id may be
-    null or repeated: rows are told apart by a 64-bit hash of all columns, and equal rows become one."""
-    rows = docs.select(*COLUMNS).withColumn("row", F.xxhash64(*COLUMNS, *(F.col(c).isNull() for c in COLUMNS)))
-    found = minhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), NEAR).select(F.col("doc_id").alias("row"), "component_id").distinct()
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
-    kept = staged(found.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(first).select("first.row"), "pipeline-kept")
-    return rows.dropDuplicates(["row"]).join(kept, "row", "left_semi").select(*COLUMNS)
+    null or repeated: rows are told apart by 256 bits of all columns and then numbered, and equal rows become one."""
+    parts = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in COLUMNS]
+    rows = docs.select(*COLUMNS, F.sha2(F.concat(*parts), 256).alias("tie")).dropDuplicates(["tie"])
+    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
+    found = minhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), NEAR).select(F.col("doc_id").alias("row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie", "row")).alias("first")
+    kept = staged(found.join(rows.select("row", "doc_id", "tie"), "row").groupBy("component_id").agg(first).select("first.row"), "pipeline-kept")
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,19 @@ def ranked(value: Column, order: list[str], other: int = 99) -> Column:
     return F.coalesce(F.try_element_at(place, value), F.lit(other))
 
 
+#: Bits of the lower of two numbers that are packed in one.
+LOW_BITS = 32
+
+
+def packed(high: Column, low: Column) -> Column:
+    """One long that orders as (high, low) does; low has LOW_BITS bits at most, and neither is negative."""
+    return F.shiftleft(high.cast("long"), LOW_BITS).bitwiseOR(low.cast("long"))
+
+
+def low_bits(value: Column) -> Column:
+    return value.bitwiseAND(F.lit((1 << LOW_BITS) - 1))
+
+
 def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
     """df with place, its row numbers from 1 in the order given, which should have no ties.  Rows are sorted by range
     partitions, each counting on from those before it, so no task sorts more than its range."""

@@ -106,7 +106,7 @@ SELECT c_custkey, rule_id, CASE
   WHEN rule_type = 'geometric' THEN 'unevaluable' ELSE 'requires_review' END AS verdict
 FROM c CROSS JOIN (SELECT * FROM {values_sql(TYPED, "rule_id, rule_type, parameter, expected, op")}) r""")
 def verdicts_all_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"), F.max((F.col("o_orderpriority") == "1-URGENT").cast("string")).alias("u"))
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("o_orderpriority") == "1-URGENT").alias("u")).withColumn("u", F.col("u").cast("string"))
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment").join(o, "c_custkey", "left")
     docs = F.create_map(F.lit("has_orders"), F.col("n").isNotNull())
     flags = F.map_filter(F.create_map(F.lit("segment"), F.col("c_mktsegment"), F.lit("urgent"), F.col("u")), lambda k, v: (k != "urgent") | v.isNotNull())

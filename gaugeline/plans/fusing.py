@@ -9,6 +9,7 @@ from gaugeline.functions import text as X
 from gaugeline.operators import fusion
 from gaugeline.operators import quality_checks as Q
 from gaugeline.plans.registry import query
+from gaugeline.sources.staging import staged
 from gaugeline.sources.tables import inline, table, values_sql
 
 MAPPING = [("1-URGENT", "BUILDING", "same"), ("2-HIGH", "BUILDING", "any"), ("3-MEDIUM", "MACHINERY", "plan_wide"), ("5-LOW", "AUTOMOBILE", "unbound")]
@@ -44,9 +45,11 @@ FROM f LEFT JOIN c ON c.l_partkey = f.p_partkey) t WHERE rn = 1""")
 def critic_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"), "l_orderkey", "l_linenumber", "l_suppkey")
     f = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 10).alias("want"))
-    order = F.struct((F.col("l_suppkey") % 10 != F.col("want")).cast("int"), "l_orderkey", "l_linenumber")
-    best = f.join(c, "p_partkey").groupBy("p_partkey").agg(F.min_by(F.struct("l_orderkey", "l_linenumber"), order).alias("b"))
-    return f.select("p_partkey").join(best, "p_partkey", "left").select("p_partkey", "b.l_orderkey", "b.l_linenumber")
+    # (other page, order, line) in two numbers, each the least of a hash table: lines of an order are under 2^12
+    line = F.shiftleft("l_orderkey", 12).bitwiseOR(F.col("l_linenumber").cast("long"))
+    own = F.col("l_suppkey") % 10 == F.col("want")
+    best = f.join(c, "p_partkey").groupBy("p_partkey").agg(F.min(F.when(own, line)).alias("own"), F.min(line).alias("any")).withColumn("b", F.coalesce("own", "any"))
+    return f.select("p_partkey").join(best, "p_partkey", "left").select("p_partkey", F.shiftright("b", 12).alias("l_orderkey"), F.col("b").bitwiseAND(F.lit(4095)).cast("int").alias("l_linenumber"))
 
 
 NOTES = [f"as measured, {m} on sheet 2" for m in fusion.HEDGING_MARKERS] + ["measured", None]
@@ -102,9 +105,10 @@ SELECT 'finding' AS kind, o_orderkey, final_verdict AS verdict, CASE WHEN overri
 UNION ALL SELECT 'sidecar', o_orderkey, ev, concat('beside ', verdict), CAST(engine AS BIGINT), CAST(evidence AS BIGINT) FROM fused, h WHERE sidecar""")
 def fused_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fused rows with their notes, the sidecar rows beside them, and on every row the digests of both inputs."""
-    f, c = fused_rows(spark, sf_dir), F.col
-    engine, evidence = Q.digest(f, [c("o_orderkey").cast("string"), c("verdict")]), Q.digest(f.where("evidence_id is not null"), [c("evidence_id").cast("string")])
+    f, c = staged(fused_rows(spark, sf_dir), "fused"), F.col  # fused once, read for the digests and for the rows
+    both = Q.digests(f, {"engine_digest": [c("o_orderkey").cast("string"), c("verdict")], "evidence_digest": [c("evidence_id").cast("string")]})
     notes = F.when(c("override_source").isNotNull(), X.appended(c("notes"), c("override_source"))).otherwise(c("notes"))
-    rows = f.select(F.lit("finding").alias("kind"), "o_orderkey", c("final_verdict").alias("verdict"), notes.alias("notes")).unionByName(
-        f.where("sidecar").select(F.lit("sidecar").alias("kind"), "o_orderkey", fusion.indicator_verdict(c("indicator")).alias("verdict"), F.concat(F.lit("beside "), c("verdict")).alias("notes")))
-    return rows.join(F.broadcast(engine.withColumnRenamed("digest", "engine_digest"))).join(F.broadcast(evidence.withColumnRenamed("digest", "evidence_digest")))  # one row each
+    row = lambda kind, verdict, note: F.struct(F.lit(kind).alias("kind"), "o_orderkey", verdict.alias("verdict"), note.alias("notes"))
+    beside = F.when(c("sidecar"), row("sidecar", fusion.indicator_verdict(c("indicator")), F.concat(F.lit("beside "), c("verdict"))))
+    rows = f.select(F.explode(F.filter(F.array(row("finding", c("final_verdict"), notes), beside), lambda r: r.isNotNull())).alias("r")).select("r.*")
+    return rows.join(F.broadcast(both))  # one row

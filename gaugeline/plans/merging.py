@@ -23,9 +23,9 @@ def feedback_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT c_custkey, CASE WHEN o.o_orderstatus = 'P' THEN 'requires_review' ELSE 'pass' END AS verdict, o.o_orderkey AS by_order FROM customer LEFT JOIN
  (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM orders) o ON o_custkey = c_custkey AND rn = 1""")
 def feedback_merge_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max(F.struct("o_orderkey", "o_orderstatus")).alias("o"))
-    c = table(spark, sf_dir, "customer").select("c_custkey").join(last, "c_custkey", "left")
-    return c.select("c_custkey", F.when(F.col("o.o_orderstatus") == "P", "requires_review").otherwise("pass").alias("verdict"), F.col("o.o_orderkey").alias("by_order"))
+    last = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max(F.shiftleft("o_orderkey", 1).bitwiseOR((F.col("o_orderstatus") == "P").cast("long"))).alias("o"))
+    c = table(spark, sf_dir, "customer").select("c_custkey").join(last, "c_custkey", "left")  # a number for (order, is pending): kept in a hash table
+    return c.select("c_custkey", F.when(F.col("o").bitwiseAND(F.lit(1)) == 1, "requires_review").otherwise("pass").alias("verdict"), F.shiftright("o", 1).alias("by_order"))
 
 
 @query("""WITH a AS (SELECT DISTINCT o_custkey FROM orders WHERE year(o_orderdate) = 1995 AND o_totalprice > 150000), b AS (SELECT DISTINCT o_custkey FROM orders WHERE year(o_orderdate) = 1996 AND o_totalprice > 150000)

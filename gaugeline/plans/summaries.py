@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.functions import verdicts as V
 from gaugeline.operators import rollup
-from gaugeline.operators.dedup import first_by, ranked
+from gaugeline.operators.dedup import LOW_BITS, first_by, low_bits, packed, ranked
 from gaugeline.plans.evaluation import JUDGED_SQL, judged
 from gaugeline.plans.registry import query
 from gaugeline.sources.tables import inline, table, values_sql
@@ -84,11 +84,11 @@ def cluster_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM lineitem JOIN (VALUES ('A', 'high', 0), ('R', 'medium', 1), ('N', 'low', 2)) c(flag, confidence, rank) ON c.flag = l_returnflag) t WHERE rn = 1""")
 def best_evidence_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
-    name = F.create_map(*map(F.lit, ("A", "high", "R", "medium", "N", "low")))
     rank = ranked(F.col("l_returnflag"), ["A", "R", "N"])
-    # the least (rank, line) of a key is an aggregate: combined before the shuffle, no sort of whole groups
-    best = li.groupBy("l_orderkey").agg(F.min_by(F.struct("l_linenumber", "l_returnflag"), F.struct(rank, "l_linenumber")).alias("b"))
-    return best.select("l_orderkey", "b.l_linenumber", F.coalesce(F.try_element_at(name, F.col("b.l_returnflag")), F.lit("medium")).alias("confidence"))
+    # rank and line in one number, whose least is kept in a hash table and combined before the shuffle; a struct's would be sorted for
+    best = li.groupBy("l_orderkey").agg(F.min(packed(rank, F.col("l_linenumber"))).alias("b"))
+    name = F.array(*map(F.lit, ("high", "medium", "low")))
+    return best.select("l_orderkey", low_bits(F.col("b")).cast("int").alias("l_linenumber"), F.coalesce(F.try_element_at(name, F.shiftright("b", LOW_BITS).cast("int") + 1), F.lit("medium")).alias("confidence"))
 
 
 @query("SELECT l_orderkey, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) AS pages FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) t GROUP BY l_orderkey")

@@ -13,6 +13,12 @@ def test_matches_oracle(spark, sf, name):
     assert not differences(QUERIES[name](spark, sf), ORACLES[name], sf)
 
 
+@pytest.mark.parametrize("name", ["best_evidence_argmax", "feedback_merge_last_wins", "critic_best_match", "verdicts_all_types"])
+def test_best_rows_are_found_in_hash_tables(spark, sf, name):
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_hebrew_cleanup(spark):
     from gaugeline.functions import text as X
 

@@ -172,3 +172,19 @@ def dispatch_attempts(rule_type: Column, attempts: dict[str, Column]) -> Column:
 def fingerprint(seed: Column) -> Column:
     """First 16 hex digits of SHA-256."""
     return F.substring(F.sha2(seed, 256), 1, 16)
+
+
+def by_code(rows, keys: list[str], rules: list[tuple[str, str]], per_parcel: dict[str, Column], plan_wide: dict[str, Column], plan: list[str]):
+    """(plan, keys, rule_code, verdict, failure_mode) of rules(code, scope): a per-parcel rule gives a row for each of rows by
+    its code's handler, a plan-wide one a row for each plan, with null keys, by an aggregate handler; a code without a
+    handler of its scope gives one engine error for each plan."""
+    lost = [(code, scope) for code, scope in rules if code not in (per_parcel if scope == "per_parcel" else plan_wide)]
+    made = lambda code, o: F.struct(F.lit(code).alias("rule_code"), o["verdict"].alias("verdict"), o["failure_mode"].alias("failure_mode"))
+    each = [made(code, per_parcel[code]) for code, scope in rules if scope == "per_parcel" and (code, scope) not in lost]
+    out = rows.select(*plan, *keys, F.explode(F.array(*each)).alias("r")).select(*plan, *keys, "r.*")
+    wide = [made(code, F.col(f"_{code}")) for code, scope in rules if scope != "per_parcel" and (code, scope) not in lost]
+    wide += [made(code, outcome("unevaluable", "engine_error")) for code, _ in lost]
+    asked = [(code, plan_wide[code]) for code, scope in rules if scope != "per_parcel" and code in plan_wide]
+    plans = rows.groupBy(*plan).agg(*(h.alias(f"_{code}") for code, h in asked)) if asked else rows.select(*plan).distinct()
+    nulls = [F.lit(None).cast(rows.schema[k].dataType).alias(k) for k in keys]
+    return out.unionByName(plans.select(*plan, *nulls, F.explode(F.array(*wide)).alias("r")).select(*plan, *keys, "r.*")) if wide else out

@@ -6,11 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def in_scope(scope: Column, number: Column, text: Column, kind: Column) -> Column:
-    """Whether a page belongs to a rule's scope; an unknown scope means all pages."""
+FIRST_PAGES = 5
+
+
+def team_page(number: Column, text: Column, words: str, document) -> Column:
+    """The number of the first of a document's first pages whose text has the words; a document is a window's partition."""
+    return F.min(F.when((number <= FIRST_PAGES) & F.contains(F.coalesce(text, F.lit("")), F.lit(words)), number)).over(document)
+
+
+def in_scope(scope: Column, number: Column, text: Column, team: Column) -> Column:
+    """Whether a page belongs to a rule's scope: all of them or of their text, the first, all but the cover, the first five,
+    those with text, the team's page; no scope, or an unknown one, means all pages."""
     return (
-        F.when(scope == "first", number == 1).when(scope == "except_cover", number > 1).when(scope == "first_five", number <= 5)
-        .when(scope == "with_text", F.length(F.trim(F.coalesce(text, F.lit("")))) > 0).when(scope == "team_page", F.coalesce(kind == "team", F.lit(False)))
+        F.when(scope == "first", number == 1).when(scope == "except_cover", number > 1).when(scope == "first_five", number <= FIRST_PAGES)
+        .when(scope == "with_text", F.length(F.trim(F.coalesce(text, F.lit("")))) > 0).when(scope == "team_page", F.coalesce(number == team, F.lit(False)))
         .otherwise(F.lit(True))
     )
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +29,11 @@ def latest_state(spark: SparkSession, path: str) -> DataFrame:
     return first_by(log, ["engine_run_id"], [F.col("at").desc(), (F.col("status") == "running").cast("int").asc()])
 
 
-def canonical_json(rows: DataFrame, path: str, order: list[str]) -> None:
-    """One document with sorted columns and rows: the same rows give the same bytes.  For reports, whose size is bounded."""
+def canonical_json(rows: DataFrame, path: str, order: list[str], most: int = 1_000_000) -> None:
+    """One document with sorted columns and rows: the same rows give the same bytes.  For reports: one file is one task's,
+    so a table of more than most rows is refused."""
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows for one document")
     rows.select(sorted(rows.columns)).orderBy(*order).coalesce(1).write.mode("overwrite").json(path)
 
 
@@ -43,20 +44,29 @@ def archive_then_replace(rows: DataFrame, path: str, stamp: str) -> str:
     return out
 
 
-def replace_whole(rows: DataFrame, path: str) -> None:
-    """Replace the table at path: the new one is written beside it, the old one moved away, the new one moved in.
-    A reader finds the old or the new table, or between the moves none; never a part."""
-    spark = rows.sparkSession
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """The finished versions of a table that replace_whole() writes, oldest first."""
     top = spark._jvm.org.apache.hadoop.fs.Path
     store = top(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    new, old = f"{path}.new-{uuid.uuid4().hex[:8]}", f"{path}.old-{uuid.uuid4().hex[:8]}"
-    rows.write.parquet(new)
-    had = store.exists(top(path))
-    if had:
-        store.rename(top(path), top(old))
-    store.rename(top(new), top(path))
-    if had:
-        store.delete(top(old), True)
+    names = [f.getPath().getName() for f in store.listStatus(top(path))] if store.exists(top(path)) else []
+    return sorted(n for n in names if n.startswith("v-") and store.exists(top(f"{path}/{n}/_SUCCESS")))
+
+
+def replace_whole(rows: DataFrame, path: str, keep: int = 2) -> None:
+    """Replace the table at path by a new version beside the old ones.  A version counts once it is whole, so a reader
+    finds the old or the new table, never a part or none; all but the newest `keep` go."""
+    spark = rows.sparkSession
+    have = versions(spark, path)
+    n = int(have[-1].removeprefix("v-")) + 1 if have else 1
+    rows.write.mode("overwrite").parquet(f"{path}/v-{n:09d}")
+    for old in versions(spark, path)[:-keep]:
+        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{old}")
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The newest whole version of the table at path."""
+    return spark.read.parquet(f"{path}/{versions(spark, path)[-1]}")
 
 
 def evaluate_run(rows: DataFrame, verdicts: str, log: str, run: str, at: str) -> DataFrame:

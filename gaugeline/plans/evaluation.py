@@ -203,3 +203,32 @@ def share_with_null_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = F.try_divide(F.col("small").cast("double"), F.col("total")) * 100
     verdict = F.when(share.isNull(), "not_submitted").when(F.col("unknown") > 0, "requires_review").when(share >= 20, "pass").otherwise("fail")
     return p.select("p_brand", "small", "total", "unknown", verdict.alias("verdict"), (F.try_divide(F.coalesce("v", F.lit(0)).cast("double"), F.col("w").cast("double")) * 100).alias("weighted_pct"))
+
+
+#: Rules of a plan by code and scope; the last two have no handler of their scope.
+CODES = [("UNIT_COUNT", "per_parcel"), ("MAIN_AREA", "per_parcel"), ("HEIGHT", "per_parcel"), ("SETBACKS", "per_parcel"), ("PARKING", "per_parcel"), ("SMALL_UNITS", "plan_wide"), ("PERMEABLE", "plan_wide"), ("NOISE", "per_parcel"), ("HEIGHT", "plan_wide")]
+
+
+@query("""WITH f AS (SELECT s_suppkey AS parcel, s_nationkey AS plan, s_suppkey % 60 AS units, 50 AS most_units, CASE WHEN s_suppkey % 7 > 0 THEN s_acctbal END AS area, CASE WHEN s_suppkey % 11 > 0 THEN 5000.0 END AS cap, 27.0 + s_suppkey % 5 AS high, s_suppkey % 90 AS spaces, s_suppkey % 10 AS small, 1000.0 + s_suppkey % 3 AS plot, CASE WHEN s_suppkey % 4 > 0 THEN 120.0 + s_suppkey % 70 END AS soft FROM supplier),
+g AS (SELECT plan, sum(small) * 100.0 / nullif(sum(units), 0) AS small_pct, sum(CASE WHEN soft IS NOT NULL THEN soft END) * 100.0 / sum(CASE WHEN soft IS NOT NULL THEN plot END) AS soft_pct FROM f GROUP BY plan)
+SELECT plan, parcel, 'UNIT_COUNT' AS rule_code, CASE WHEN units <= most_units THEN 'pass' ELSE 'fail' END AS verdict, CASE WHEN units <= most_units THEN 'NONE' ELSE 'OVERRUN' END AS failure_mode FROM f
+UNION ALL SELECT plan, parcel, 'MAIN_AREA', CASE WHEN cap IS NULL THEN 'not_applicable' WHEN area IS NULL THEN 'not_submitted' WHEN area <= cap THEN 'pass' WHEN area - cap <= cap * 3 / 100 THEN 'fail_borderline' ELSE 'fail' END, CASE WHEN cap IS NULL THEN 'NONE' WHEN area IS NULL THEN 'DOCUMENT_NOT_PROVIDED' WHEN area <= cap THEN 'NONE' ELSE 'OVERRUN' END FROM f
+UNION ALL SELECT plan, parcel, 'HEIGHT', CASE WHEN high <= 29 THEN 'pass' WHEN high <= 29.5 THEN 'fail_borderline' ELSE 'fail' END, CASE WHEN high <= 29 THEN 'NONE' ELSE 'OVERRUN' END FROM f UNION ALL SELECT plan, parcel, 'SETBACKS', 'requires_review', 'none' FROM f
+UNION ALL SELECT plan, parcel, 'PARKING', CASE WHEN units = 0 THEN 'not_submitted' WHEN spaces * 1.0 / units >= 1.3 THEN 'pass' ELSE 'fail' END, CASE WHEN units = 0 THEN 'DOCUMENT_NOT_PROVIDED' WHEN spaces * 1.0 / units >= 1.3 THEN 'NONE' ELSE 'UNDERRUN' END FROM f
+UNION ALL SELECT plan, NULL, 'SMALL_UNITS', CASE WHEN small_pct IS NULL THEN 'not_submitted' WHEN small_pct >= 15 THEN 'pass' ELSE 'fail' END, CASE WHEN small_pct IS NULL THEN 'DOCUMENT_NOT_PROVIDED' WHEN small_pct >= 15 THEN 'NONE' ELSE 'UNDERRUN' END FROM g
+UNION ALL SELECT plan, NULL, 'PERMEABLE', CASE WHEN soft_pct IS NULL THEN 'not_submitted' WHEN soft_pct >= 15 THEN 'pass' ELSE 'fail' END, CASE WHEN soft_pct IS NULL THEN 'DOCUMENT_NOT_PROVIDED' WHEN soft_pct >= 15 THEN 'NONE' ELSE 'UNDERRUN' END FROM g
+UNION ALL SELECT plan, NULL, 'NOISE', 'unevaluable', 'engine_error' FROM g UNION ALL SELECT plan, NULL, 'HEIGHT', 'unevaluable', 'engine_error' FROM g""")
+def rule_code_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content rules by code: some judge each parcel, some a whole plan; codes without a handler are engine errors of the plan."""
+    c, k = F.col, F.col("s_suppkey")
+    f = table(spark, sf_dir, "supplier").select(
+        k.alias("parcel"), c("s_nationkey").alias("plan"), (k % 60).alias("units"), F.when(k % 7 > 0, c("s_acctbal")).alias("area"), F.when(k % 11 > 0, 5000.0).alias("cap"), F.array(27.0 + k % 5, F.lit(9.0)).alias("heights"), (k % 90).alias("spaces"), (k % 10).alias("small"),
+        (1000.0 + k % 3).alias("plot"), F.when(k % 4 > 0, 120.0 + k % 70).alias("soft"))
+    given = c("soft").isNotNull()
+    share = lambda part, whole: F.try_divide(F.sum(part).cast("double") * 100, F.sum(whole))
+    least = lambda s, pct: F.when(s.isNull(), V.outcome("not_submitted", "DOCUMENT_NOT_PROVIDED")).when(s >= pct, V.outcome("pass", "NONE")).otherwise(V.outcome("fail", "UNDERRUN"))
+    per_parcel = {
+        "UNIT_COUNT": V.count_at_most(c("units"), F.lit(50)), "MAIN_AREA": V.at_most(c("area"), c("cap"), F.lit(3.0)), "HEIGHT": V.height(c("heights"), F.lit(29.0), F.lit(9)), "SETBACKS": V.outcome("requires_review"), "PARKING": V.parking(c("spaces"), c("units")),
+    }
+    plan_wide = {"SMALL_UNITS": least(share(c("small"), c("units")), 15), "PERMEABLE": least(share(F.when(given, c("soft")), F.when(given, c("plot"))), 15)}
+    return V.by_code(f, ["parcel"], CODES, per_parcel, plan_wide, ["plan"])

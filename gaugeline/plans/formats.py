@@ -13,18 +13,20 @@ from gaugeline.operators.matching import blocks_to_polygons
 from gaugeline.plans.registry import query
 from gaugeline.sources.tables import inline, table, values_sql
 
-SCOPES = ["all", "first", "except_cover", "first_five", "with_text", "team_page", "odd_name"]
+SCOPES = ["all", "all_text", "first", "except_cover", "first_five", "with_text", "team_page", "odd_name"]
+#: What the page that names the team says.
+TEAM = "and"
 
 
-@query("""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, text, role FROM conversations)
-SELECT s.scope, CAST(count(*) FILTER (WHERE CASE s.scope WHEN 'first' THEN n = 1 WHEN 'except_cover' THEN n > 1 WHEN 'first_five' THEN n <= 5 WHEN 'with_text' THEN length(trim(text)) > 0 WHEN 'team_page' THEN role = 'system' ELSE true END) AS BIGINT) AS pages
-FROM t CROSS JOIN (VALUES """ + ", ".join(f"('{s}')" for s in SCOPES) + ") s(scope) GROUP BY s.scope")
+@query(f"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, text FROM conversations), p AS (SELECT *, min(CASE WHEN n <= 5 AND contains(coalesce(text, ''), '{TEAM}') THEN n END) OVER (PARTITION BY conv_id) AS team FROM t)
+SELECT s.scope, CAST(count(*) FILTER (WHERE CASE s.scope WHEN 'first' THEN n = 1 WHEN 'except_cover' THEN n > 1 WHEN 'first_five' THEN n <= 5 WHEN 'with_text' THEN length(trim(text)) > 0 WHEN 'team_page' THEN n = team ELSE true END) AS BIGINT) AS pages
+FROM p CROSS JOIN (VALUES """ + ", ".join(f"('{s}')" for s in SCOPES) + ") s(scope) GROUP BY s.scope")
 def page_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     # turns of a conversation stand for pages; the scopes are given, so each is a column of one pass
     c = table(spark, sf_dir, "conversations")
-    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    c = c.select(n.alias("n"), "text", F.when(F.col("role") == "system", "team").otherwise("other").alias("kind"))
-    wide = c.agg(*(F.count_if(P.in_scope(F.lit(s), F.col("n"), F.col("text"), F.col("kind"))).alias(s) for s in SCOPES))
+    c = c.select("conv_id", "text", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("n"))
+    c = c.withColumn("team", P.team_page(F.col("n"), F.col("text"), TEAM, Window.partitionBy("conv_id")))
+    wide = c.agg(*(F.count_if(P.in_scope(F.lit(s), F.col("n"), F.col("text"), F.col("team"))).alias(s) for s in SCOPES))
     return wide.unpivot([], SCOPES, "scope", "pages")
 
 

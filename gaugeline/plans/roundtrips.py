@@ -37,7 +37,7 @@ def replaced_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
     for odd in (0, 1):
         sinks.replace_whole(c.where(f"c_custkey % 2 = {odd}"), path)
-        newest = sinks.archive_then_replace(spark.read.parquet(path), archive, f"2024-01-0{odd + 1}")
+        newest = sinks.archive_then_replace(sinks.current(spark, path), archive, f"2024-01-0{odd + 1}")
     return spark.read.parquet(newest)
 
 
@@ -55,13 +55,13 @@ def findings_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.unfolded(got).select("id", "title", F.col("case.case_id").alias("case_id"), F.explode("case.findings").alias("finding"))
 
 
-@query("""SELECT n_nationkey AS k, n_name AS name, CAST(NULL AS VARCHAR) AS extra, true AS found FROM nation WHERE n_nationkey < 20""")
+@query("""SELECT n_nationkey AS k, n_name AS name, CAST(NULL AS VARCHAR) AS extra, true AS found FROM nation""")
 def commented_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON with // comment lines, one document a file, beside an overlay that isn't there."""
     path = folder(spark, "commented")
-    n = table(spark, sf_dir, "nation").where("n_nationkey < 20")
+    n = table(spark, sf_dir, "nation")
     text = F.concat(F.lit('// a comment\n{"k": '), F.col("n_nationkey").cast("string"), F.lit(',\n  // another\n"name": "'), F.col("n_name"), F.lit('"}\n'))
-    n.select(text.alias("value"), "n_nationkey").repartition(20, "n_nationkey").write.partitionBy("n_nationkey").text(path)
+    n.select(text.alias("value"), "n_nationkey").repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
     docs = S.json_documents(spark, f"{path}/*", "k int, name string")
     none = S.overlay_or_empty(spark, f"{path}/no-such-file.json", "k int, extra string")
     return docs.select("doc.k", "doc.name").join(none, "k", "left").select("k", "name", "extra", F.col("name").isNotNull().alias("found"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeline.functions import text as X
+from gaugeline.operators.dedup import numbered
 from gaugeline.plans.registry import query
 from gaugeline.sources.tables import page_numbers, table, values_sql
 
@@ -147,8 +148,7 @@ def truncate_and_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def natural_section_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     section = F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 12).cast("string"))
     g = table(spark, sf_dir, "part").groupBy(section.alias("section")).agg(F.count(F.lit(1)).alias("n"))
-    # one row for each of the few section numbers
-    return g.select("section", F.row_number().over(Window.orderBy(X.section_key(F.col("section")), "section")).cast("long").alias("place"), "n")
+    return numbered(g.withColumn("key", X.section_key(F.col("section"))), [F.col("key"), F.col("section")]).select("section", "place", "n")
 
 
 @query("""SELECT o_orderkey, concat('rev', CAST(o_orderkey % 20 + 1 AS VARCHAR)) AS next_rev, concat('v', CAST(o_orderkey % 9 AS VARCHAR), '.1') AS canonical, CAST(o_orderdate AS DATE) AS session_date FROM orders""")

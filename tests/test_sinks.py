@@ -78,10 +78,18 @@ def test_a_run_from_open_to_close(spark, tmp_path):
 
 def test_a_table_is_replaced_whole(spark, tmp_path):
     path = f"file://{tmp_path}/t"
-    for n in (3, 5):
+    for n in (3, 5, 7):
         sinks.replace_whole(spark.range(n), path)
-        assert spark.read.parquet(path).count() == n
-    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+        assert sinks.current(spark, path).count() == n
+    (tmp_path / "t" / "v-000000009").mkdir()  # a version that was cut short
+    assert sinks.current(spark, path).count() == 7 and sinks.versions(spark, path) == ["v-000000002", "v-000000003"]
+    sinks.replace_whole(spark.range(2), path)
+    assert sinks.current(spark, path).count() == 2
+
+
+def test_a_document_is_bounded(spark, tmp_path):
+    with pytest.raises(ValueError):
+        sinks.canonical_json(spark.range(11), str(tmp_path / "d"), ["id"], most=10)
 
 
 def test_responses_find_their_columns(spark, tmp_path):

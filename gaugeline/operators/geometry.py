@@ -133,6 +133,18 @@ def _crosses(e: Column, f: Column) -> Column:
     return (s * t < 0) & (u * v < 0) | on
 
 
+def simple(ring: Column) -> Column:
+    """Whether no two edges of a ring have more in common than a vertex between neighbours."""
+    e = F.filter(edges(ring), lambda x: (x["a"]["x"] != x["b"]["x"]) | (x["a"]["y"] != x["b"]["y"]))
+    n = F.size(e)
+    back = lambda x, y: (_side(x["a"], x["b"], y["b"]) == 0) & ((x["b"]["x"] - x["a"]["x"]) * (y["b"]["x"] - y["a"]["x"]) + (x["b"]["y"] - x["a"]["y"]) * (y["b"]["y"] - y["a"]["y"]) < 0)
+    nexts = F.concat(F.slice(e, 2, F.greatest(n - 1, F.lit(0))), F.slice(e, 1, 1))
+    folds = F.exists(F.zip_with(e, nexts, back), lambda b: b)
+    apart = lambda i, j: (j > i + 1) & ~((i == 0) & (j == n - 1))
+    crossing = F.exists(F.transform(e, lambda x, i: F.exists(F.transform(e, lambda y, j: apart(i, j) & _crosses(x, y)), lambda b: b)), lambda b: b)
+    return ~(folds | crossing)
+
+
 def meets(a: Column, b: Column) -> Column:
     """Whether two rings (or lines, given as rings of two vertices) touch, cross or hold one another."""
     cross = F.exists(edges(a), lambda e: F.exists(edges(b), lambda f: _crosses(e, f)))

@@ -71,8 +71,9 @@ def cells(rings: DataFrame, side: float | None = None) -> DataFrame:
     return staged(out, "overlay-pieces")
 
 
-def strips(pieces: DataFrame, layers: list[str]) -> DataFrame:
-    """(drawing, area, n_<layer> ...): parts of the plane with how many rings of each layer cover them, from cells()."""
+def strips(pieces: DataFrame, layers: list[str], corners: bool = False) -> DataFrame:
+    """(drawing, area, n_<layer> ...[, ring]): parts of the plane with how many rings of each layer cover them (or, for rings
+    that cross themselves, how often they wind around), from cells(); with corners, each part as a ring."""
     c = F.col
     edge = lambda x0, y0, x1, y1, w: F.struct(x0.alias("ax"), y0.alias("ay"), x1.alias("bx"), y1.alias("by"), w.cast("long").alias("w"))
     box = F.array(edge(c("x0"), c("y0"), c("x1"), c("y0"), c("n")), edge(c("x0"), c("y1"), c("x1"), c("y1"), -c("n")))
@@ -89,10 +90,14 @@ def strips(pieces: DataFrame, layers: list[str]) -> DataFrame:
     cuts = edges.select(*CELL, F.explode(F.array("ax", "bx")).alias("x")).unionByName(cross).distinct()
     slabs = cuts.withColumn("to", F.lead("x").over(Window.partitionBy(*CELL).orderBy("x"))).where("to is not null")
     mid = (c("x") + c("to")) / 2
-    height = c("ay") + (c("by") - c("ay")) * (mid - c("ax")) / (c("bx") - c("ax"))
-    spans = edges.join(slabs, CELL).where("ax <= x and bx >= to").select(*CELL, "x", (c("to") - c("x")).alias("width"), "layer", "w", height.alias("y"))
+    height = lambda x: c("ay") + (c("by") - c("ay")) * (x - c("ax")) / (c("bx") - c("ax"))
+    ends = [height(c("x")).alias("l"), height(c("to")).alias("r"), "to"] if corners else []
+    spans = edges.join(slabs, CELL).where("ax <= x and bx >= to").select(*CELL, "x", (c("to") - c("x")).alias("width"), "layer", "w", height(mid).alias("y"), *ends)
     upwards = Window.partitionBy(*CELL, "x").orderBy("y", "layer", "w")
     counts = [F.sum(F.when(c("layer") == x, c("w")).otherwise(0)).over(upwards.rowsBetween(Window.unboundedPreceding, 0)).alias(f"n_{x}") for x in layers]
+    if corners:
+        at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+        counts.append(F.array(at(c("x"), c("l")), at(c("to"), c("r")), at(c("to"), F.lead("r").over(upwards)), at(c("x"), F.lead("l").over(upwards))).alias("ring"))
     return spans.select("drawing", ((F.lead("y").over(upwards) - c("y")) * c("width")).alias("area"), *counts).where("area > 0")
 
 
@@ -103,3 +108,17 @@ def covered(rings: DataFrame, areas: dict[str, Column], layers: list[str], side:
     found = strips(cells(rings, side), layers)
     weight = {n: F.when(w, F.col("area")).otherwise(0.0) if found.select(w).dtypes[0][1] == "boolean" else F.col("area") * w for n, w in areas.items()}
     return found.groupBy("drawing").agg(*(F.sum(w).alias(n) for n, w in weight.items()))
+
+
+def repaired(rings: DataFrame) -> DataFrame:
+    """(id, parts, area) for rings(id, ring) with unique ids: a simple ring as it is; of one that crosses, touches or
+    doubles itself, what it winds around, as simple rings side by side.  Rings that wind around nothing have no row.
+
+    A ring's own edges meet each other only, so the work grows with the square of a ring's vertices, not with the table."""
+    rings = staged(rings.where(F.size("ring") >= 3).select("id", "ring", G.simple(F.col("ring")).alias("simple")), "repair-rings")
+    good = rings.where("simple").where(G.area(F.col("ring")) > 0).select("id", F.array("ring").alias("parts"), G.area(F.col("ring")).alias("area"))
+    zero = F.lit(0)
+    bad = rings.where("not simple").select(F.col("id").alias("drawing"), zero.alias("level"), zero.alias("cx"), zero.alias("cy"), F.lit("r").alias("layer"), "ring", F.lit(1).cast("long").alias("n"), *(F.lit(0.0).alias(x) for x in ("x0", "y0", "x1", "y1")))
+    parts = strips(bad, ["r"], corners=True).where("n_r <> 0")
+    made = parts.groupBy(F.col("drawing").alias("id")).agg(F.sort_array(F.collect_list("ring")).alias("parts"), F.sum("area").alias("area"))
+    return good.unionByName(made.select("id", F.col("parts").cast(good.schema["parts"].dataType).alias("parts"), "area"))

@@ -132,3 +132,18 @@ def layer_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "part").select(k.alias("id"), ring.alias("ring"))
     own = own.select("id", G.overhang(F.col("ring"), fence).alias("o"), G.gap(F.col("ring"), street).alias("g"))
     return own.select("id", F.round("o", 6).alias("overhang"), (F.round("o", 6) <= BUFFER).alias("within_buffer"), F.round("g", 6).alias("to_line"))
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS id, 2.0 + p_size % 7 AS w, 2.0 + p_size % 5 AS h FROM part)
+SELECT id, id % 5 < 2 AS was_valid, round(CASE id % 5 WHEN 0 THEN w * h WHEN 1 THEN w * h / 2 WHEN 2 THEN w * h / 2 WHEN 3 THEN w * h END + {NUDGE}, 3) AS area, CASE WHEN id % 5 < 2 THEN 1 WHEN id % 5 = 3 THEN 2 ELSE 2 END AS parts FROM p WHERE id % 5 < 4""".replace("WHEN id % 5 = 3 THEN 2 ELSE 2", "WHEN id % 5 = 3 THEN 1 ELSE 2"))
+def ring_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles and triangles as they are, bow ties as their two wings, rectangles with a spike without it; lines go."""
+    k, w, h = F.col("p_partkey"), 2.0 + F.col("p_size") % 7, 2.0 + F.col("p_size") % 5
+    zero = F.lit(0.0)
+    box, three = F.array(point(zero, zero), point(w, zero), point(w, h), point(zero, h)), F.array(point(zero, zero), point(w, zero), point(zero, h))
+    tie = F.array(point(zero, zero), point(w, h), point(w, zero), point(zero, h))
+    spike = F.array(point(zero, zero), point(w, zero), point(w, h / 2), point(w + 5, h / 2), point(w, h / 2), point(w, h), point(zero, h))
+    line = F.array(point(zero, zero), point(w, h), point(w * 2, h * 2))
+    ring = F.when(k % 5 == 0, box).when(k % 5 == 1, three).when(k % 5 == 2, tie).when(k % 5 == 3, spike).otherwise(line)
+    made = overlay.repaired(table(spark, sf_dir, "part").select(k.alias("id"), ring.alias("ring")))
+    return made.select("id", (F.col("id") % 5 < 2).alias("was_valid"), F.round(F.col("area") + NUDGE, 3).alias("area"), F.size("parts").alias("parts"))

@@ -164,3 +164,42 @@ def test_gap_and_overhang(spark):
         assert (got[i][0] == 0) == (got[i][2] > 1e-9)
         if got[i][0]:
             assert got[i][0] == pytest.approx(min(to_ring(q, *v) for v in dense), abs=0.03)
+
+
+def test_repaired_rings(spark):
+    rng = random.Random(41)
+    rings = [(i, [(rng.randrange(8), rng.randrange(8)) for _ in range(rng.randint(3, 7))]) for i in range(60)]
+    rings += [(i + 100, r) for i, (_, r) in enumerate(some_rings(42, 20, 9))]
+    df = spark.createDataFrame([(i, [{"x": float(x), "y": float(y)} for x, y in r]) for i, r in rings], f"id long, ring {RING}")
+    got = {r.id: r for r in overlay.repaired(df).collect()}
+
+    def winding_area(ring):
+        """Where the ring winds around, slab by slab."""
+        e = [(a, b, 1) if a[0] < b[0] else (b, a, -1) for a, b in zip(ring, ring[1:] + ring[:1], strict=True) if a[0] != b[0]]
+        xs = {p[0] for p in ring}
+        for i, (a, b, _) in enumerate(e):
+            for c, d, _ in e[:i]:
+                s, t = (b[1] - a[1]) / (b[0] - a[0]), (d[1] - c[1]) / (d[0] - c[0])
+                if s != t:
+                    x = ((c[1] - t * c[0]) - (a[1] - s * a[0])) / (s - t)
+                    if max(a[0], c[0]) < x < min(b[0], d[0]):
+                        xs.add(x)
+        xs, total = sorted(xs), 0.0
+        for lo, hi in zip(xs, xs[1:], strict=False):
+            m = (lo + hi) / 2
+            at, n = sorted((a[1] + (b[1] - a[1]) * (m - a[0]) / (b[0] - a[0]), w) for a, b, w in e if a[0] <= lo and b[0] >= hi), 0
+            for (y, w), (z, _) in zip(at, at[1:], strict=False):
+                n += w
+                total += (z - y) * (hi - lo) * (n != 0)
+        return total
+
+    for i, ring in rings:
+        want = winding_area(ring)
+        if i >= 100:
+            assert len(got[i].parts) == 1
+        if want < 1e-9:
+            assert i not in got
+        else:
+            assert got[i].area == pytest.approx(want)
+            parts = [[(v.x, v.y) for v in p] for p in got[i].parts]
+            assert sum(abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:] + p[:1], strict=True))) / 2 for p in parts) == pytest.approx(want)

@@ -1,5 +1,6 @@
 """Sinks, optional sources and page checks."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from gaugeline.operators import pages, resolution, sinks
@@ -64,8 +65,6 @@ def test_last_wins_and_comparison(spark):
 
 
 def test_a_run_from_open_to_close(spark, tmp_path):
-    import pytest
-
     ddl = "parcel_id string, rule_id string, verdict string, failure_mode string, confidence string"
     rows = spark.createDataFrame([("p1", "r1", "pass", None, None), ("p1", "r2", "fail", None, "low"), ("p2", "r1", "pass", None, None)], ddl)
     verdicts, log = str(tmp_path / "v"), str(tmp_path / "l")

@@ -16,19 +16,23 @@ def turned(ring: Column) -> Column:
     return F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with the value worked out once, however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def edges(ring: Column) -> Column:
-    return F.zip_with(ring, turned(ring), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return once(ring, lambda r: F.zip_with(r, turned(r), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
 
 
 def signed_area(ring: Column) -> Column:
     """Shoelace area, negative for a clockwise ring; from the first vertex, so that far coordinates lose no digits."""
-    o = F.try_element_at(ring, F.lit(1))
-    cross = lambda e: (e["a"]["x"] - o["x"]) * (e["b"]["y"] - o["y"]) - (e["b"]["x"] - o["x"]) * (e["a"]["y"] - o["y"])
-    return F.aggregate(edges(ring), F.lit(0.0), lambda s, e: s + cross(e)) / 2
+    cross = lambda o, e: (e["a"]["x"] - o["x"]) * (e["b"]["y"] - o["y"]) - (e["b"]["x"] - o["x"]) * (e["a"]["y"] - o["y"])
+    return once(ring, lambda r: F.aggregate(edges(r), F.lit(0.0), lambda s, e: s + cross(F.try_element_at(r, F.lit(1)), e)) / 2)
 
 
 def anticlockwise(ring: Column) -> Column:
-    return F.when(signed_area(ring) < 0, F.reverse(ring)).otherwise(ring)
+    return once(ring, lambda r: F.when(signed_area(r) < 0, F.reverse(r)).otherwise(r))
 
 
 def half_plane(ring: Column, side) -> Column:
@@ -58,8 +62,7 @@ def clipped(ring: Column, convex: Column) -> Column:
 
 def fan(ring: Column) -> Column:
     """A ring's triangles from its first vertex, with the sign of their turn: their signed sum is the ring, convex or not."""
-    o = F.try_element_at(ring, F.lit(1))
-    made = F.transform(edges(ring), lambda e: F.array(o, e["a"], e["b"]))
+    made = once(ring, lambda r: F.transform(edges(r), lambda e: F.array(F.try_element_at(r, F.lit(1)), e["a"], e["b"])))
     return F.filter(F.transform(made, lambda t: F.struct(F.signum(signed_area(t)).alias("sign"), anticlockwise(t).alias("ring"))), lambda t: t["sign"] != 0)
 
 
@@ -67,7 +70,7 @@ def intersection_area(a: Column, b: Column) -> Column:
     """Area that two simple rings share, convex or not: triangle by triangle of their fans, each pair by its signs.
     Of null rings null; of rings without area 0."""
     pair = lambda t, u: t["sign"] * u["sign"] * area(clipped(t["ring"], u["ring"]))
-    whole = F.aggregate(fan(a), F.lit(0.0), lambda s, t: s + F.aggregate(fan(b), F.lit(0.0), lambda r, u: r + F.coalesce(pair(t, u), F.lit(0.0))))
+    whole = once(fan(b), lambda other: F.aggregate(fan(a), F.lit(0.0), lambda s, t: s + F.aggregate(other, F.lit(0.0), lambda r, u: r + F.coalesce(pair(t, u), F.lit(0.0)))))
     return F.abs(whole * F.signum(signed_area(a)) * F.signum(signed_area(b)))
 
 
@@ -83,13 +86,17 @@ def valid(ring: Column) -> Column:
 
 def contains(ring: Column, x: Column, y: Column) -> Column:
     """Ray casting; points on an edge may fall either way."""
+    return within_edges(edges(ring), x, y)
+
+
+def within_edges(sides: Column, x: Column, y: Column) -> Column:
     def crosses(e):
         a, b = e["a"], e["b"]
         spans = (a["y"] > y) != (b["y"] > y)
         at = (b["x"] - a["x"]) * F.try_divide(y - a["y"], b["y"] - a["y"]) + a["x"]
         return (spans & (x < at)).cast("int")
 
-    return F.aggregate(edges(ring), F.lit(0), lambda s, e: s + F.coalesce(crosses(e), F.lit(0))) % 2 == 1
+    return F.aggregate(sides, F.lit(0), lambda s, e: s + F.coalesce(crosses(e), F.lit(0))) % 2 == 1
 
 
 def held(both, ring: str = "ring", x: str = "x", y: str = "y"):
@@ -117,7 +124,7 @@ def segment_distance(px: Column, py: Column, e: Column) -> Column:
 
 def distance(a: Column, b: Column) -> Column:
     """Between two disjoint rings: the least vertex-to-edge distance either way."""
-    one = lambda p, q: F.array_min(F.transform(p, lambda v: F.array_min(F.transform(edges(q), lambda e: segment_distance(v["x"], v["y"], e)))))
+    one = lambda p, q: once(edges(q), lambda sides: F.array_min(F.transform(p, lambda v: F.array_min(F.transform(sides, lambda e: segment_distance(v["x"], v["y"], e))))))
     return F.least(one(a, b), one(b, a))
 
 
@@ -135,7 +142,11 @@ def _crosses(e: Column, f: Column) -> Column:
 
 def simple(ring: Column) -> Column:
     """Whether no two edges of a ring have more in common than a vertex between neighbours."""
-    e = F.filter(edges(ring), lambda x: (x["a"]["x"] != x["b"]["x"]) | (x["a"]["y"] != x["b"]["y"]))
+    own = F.filter(edges(ring), lambda x: (x["a"]["x"] != x["b"]["x"]) | (x["a"]["y"] != x["b"]["y"]))
+    return once(own, _apart)
+
+
+def _apart(e: Column) -> Column:
     n = F.size(e)
     back = lambda x, y: (_side(x["a"], x["b"], y["b"]) == 0) & ((x["b"]["x"] - x["a"]["x"]) * (y["b"]["x"] - y["a"]["x"]) + (x["b"]["y"] - x["a"]["y"]) * (y["b"]["y"] - y["a"]["y"]) < 0)
     nexts = F.concat(F.slice(e, 2, F.greatest(n - 1, F.lit(0))), F.slice(e, 1, 1))
@@ -147,7 +158,7 @@ def simple(ring: Column) -> Column:
 
 def meets(a: Column, b: Column) -> Column:
     """Whether two rings (or lines, given as rings of two vertices) touch, cross or hold one another."""
-    cross = F.exists(edges(a), lambda e: F.exists(edges(b), lambda f: _crosses(e, f)))
+    cross = once(edges(b), lambda other: F.exists(edges(a), lambda e: F.exists(other, lambda f: _crosses(e, f))))
     first = lambda r: F.try_element_at(r, F.lit(1))
     return cross | contains(a, first(b)["x"], first(b)["y"]) | contains(b, first(a)["x"], first(a)["y"])
 
@@ -165,9 +176,10 @@ def overhang(ring: Column, around: Column, step: float = 0.05) -> Column:
         n = F.greatest(F.ceil(F.hypot(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]) / step), F.lit(1)).cast("int")
         return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((e["a"]["x"] + (e["b"]["x"] - e["a"]["x"]) * i / n).alias("x"), (e["a"]["y"] + (e["b"]["y"] - e["a"]["y"]) * i / n).alias("y")))
 
-    far = lambda p: F.when(contains(around, p["x"], p["y"]), 0.0).otherwise(F.array_min(F.transform(edges(around), lambda e: segment_distance(p["x"], p["y"], e))))
-    # the vertices alone tell for most rings; edges are walked in between for all, as the other ring may bend inwards
-    return F.array_max(F.transform(F.flatten(F.transform(edges(ring), along)), far))
+    far = lambda sides, p: F.when(within_edges(sides, p["x"], p["y"]), 0.0).otherwise(F.array_min(F.transform(sides, lambda e: segment_distance(p["x"], p["y"], e))))
+    # between the vertices too, as the other ring may bend inwards
+    points = F.flatten(F.transform(edges(ring), along))
+    return once(edges(around), lambda sides: F.array_max(F.transform(points, lambda p: far(sides, p))))
 
 
 def box_overlap(a: Column, b: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline.llm import bpe, minhash, mixing, quality, suffix
-from gaugeline.llm.common import staged
+from gaugeline.llm.common import small_side, staged
 from gaugeline.llm.queries import RANKS, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -33,14 +33,25 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near copies, that of the smallest doc_id (null last).  A doc_id may be
-    null or repeated: rows are told apart by 256 bits of all columns and then numbered, and equal rows become one."""
-    parts = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in COLUMNS]
-    rows = docs.select(*COLUMNS, F.sha2(F.concat(*parts), 256).alias("tie")).dropDuplicates(["tie"])
-    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
-    found = minhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), NEAR).select(F.col("doc_id").alias("row"), "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie", "row")).alias("first")
-    kept = staged(found.join(rows.select("row", "doc_id", "tie"), "row").groupBy("component_id").agg(first).select("first.row"), "pipeline-kept")
-    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
+    null or repeated: rows are told apart by 128 bits of all columns, and equal rows become one."""
+    rows = identified(docs.select(*COLUMNS))
+    found = minhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), NEAR).select(F.col("doc_id").alias("row"), "component_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
+    kept = staged(found.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(first).select("first.row"), "pipeline-kept")
+    return rows.dropDuplicates(["row"]).join(kept, "row", "left_semi").select(*COLUMNS)
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """docs with row, a 64-bit hash of their columns; where different rows share one, told by a second hash, all but the
+    first of them get another.  At 10^10 rows these are a few; they are counted before they are broadcast."""
+    nulls = [F.col(c).isNull() for c in COLUMNS]
+    rows = docs.withColumns({"row": F.xxhash64(*COLUMNS, *nulls), "other": F.xxhash64(F.lit("other"), *COLUMNS, *nulls)})
+    shared = rows.groupBy("row").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low <> high").select("row", "low")
+    shared = staged(shared, "pipeline-shared")
+    if not shared.limit(1).count():
+        return rows.drop("other")
+    rows = rows.join(small_side(shared), "row", "left")
+    return rows.withColumn("row", F.when(F.col("other") != F.col("low"), F.xxhash64("row", "other")).otherwise(F.col("row"))).drop("other", "low")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -208,3 +208,21 @@ def test_intervals_drop_rows_before_the_last_plane(monkeypatch):
     exact = rows @ rows[0]
     assert set(np.argsort(-exact)[:5]) <= set(r.tolist()) and (exact[r] == s).all()
     assert looked and looked[-1][1] < 300
+
+
+def test_rows_whose_hashes_clash_stay_apart(spark, monkeypatch):
+    import corpus_pipeline
+
+    class Clashing:
+        """pyspark.sql.functions with one first hash for all rows."""
+
+        def __getattr__(self, name):
+            return getattr(F, name)
+
+        def xxhash64(self, *columns):
+            return F.lit(7).cast("long") if len(columns) == 10 else F.xxhash64(*columns)
+
+    monkeypatch.setattr(corpus_pipeline, "F", Clashing())
+    docs = spark.createDataFrame([(i // 2, f"text {i // 2}", "en", "s", 6) for i in range(8)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = corpus_pipeline.identified(docs).collect()
+    assert len(rows) == 8 and len({r.row for r in rows}) == 4 and len({(r.row, r.text) for r in rows}) == 4

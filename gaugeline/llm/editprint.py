@@ -3,7 +3,8 @@
 A random walk reads a text's code points: at step j it emits the current character
 and moves on or stays by a bit drawn from (j mod PERIOD, character), the same for every text.
 After an edit two walks fall back into step, so edit distance turns into Hamming
-distance of the emitted strings.  The walk is sampled at steps drawn once for all
+distance of the emitted strings.  That takes a time with a heavy tail; and walks that drift apart by a whole period
+lock there.  A longer period makes that rarer, but segments of a long text then take longer to join.  The walk is sampled at steps drawn once for all
 texts, at a density 2^-level that halves as texts double, and each sample keeps a
 four-bit hash of the emitted character.  A finer level's samples contain a coarser
 one's, so texts of different lengths compare at the coarser level.
@@ -40,7 +41,7 @@ TARGET = 128
 #: Characters walked at a time, both texts of each row.
 CHUNK_CHARS = 1 << 20
 #: Phases after which the walk's bits repeat, kinds of characters it tells apart, characters of a segment.
-PERIOD, CLASSES, SEGMENT = 64, 1 << 10, 2048
+PERIOD, CLASSES, SEGMENT = 256, 1 << 10, 8192
 #: Chance that two texts of just the likeness asked for share no band.
 MISS = 1e-4
 #: A digit of two unlike texts of one language is equal about once in so many times: by chance, or for a common character.
@@ -59,10 +60,12 @@ class Walk:
         some = table(71, CLASSES * -(-PERIOD // 32)).reshape(CLASSES, -1, 1)
         bits = ((some >> (np.arange(32, dtype=np.uint64) + U(17))) & U(1)).reshape(CLASSES, -1)[:, :PERIOD].copy()
         bits[:, 0] |= U(1) - bits.max(1)
-        stay = np.zeros((CLASSES, PERIOD), np.uint8)
-        for phase in range(PERIOD):
-            stay[:, phase] = np.argmax(np.roll(bits, -phase, axis=1), axis=1) + 1
-        self.stay = stay.ravel()
+        moves, stay = bits.T == 1, np.zeros((PERIOD + 1, CLASSES), np.uint16)
+        for _ in range(2):  # backwards, twice round: a stay may run past the period's end
+            for phase in range(PERIOD - 1, -1, -1):
+                stay[phase] = np.where(moves[phase], 1, stay[phase + 1] + 1)
+            stay[PERIOD] = stay[0]
+        self.stay = np.ascontiguousarray(stay[:PERIOD].T).ravel()
         self.digit = np.zeros(0, np.uint64)
         self.depth = np.zeros(0, np.int8)
         self.steps: dict[int, np.ndarray] = {}
@@ -95,7 +98,7 @@ def stays(x: np.ndarray, off: np.ndarray, walk: Walk) -> np.ndarray:
     Texts are cut into segments that walk side by side, each first from phase 0; walks
     from different phases soon meet, so a second pass from the true phase of the segment
     before ends where it meets the first."""
-    d, at = np.zeros(len(x), np.uint8), np.zeros(len(x), np.uint8)
+    d, at = np.zeros(len(x), np.uint16), np.zeros(len(x), np.uint16)
     segs = np.maximum(1, -(-np.diff(off) // SEGMENT))
     text = np.repeat(np.arange(len(segs)), segs)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(segs) - segs, segs)

@@ -183,7 +183,7 @@ def test_walk_in_segments_equals_the_walk_step_by_step():
 
     walk = editprint.Walk()
     rng = np.random.default_rng(2)
-    x, off = rng.integers(0, editprint.CLASSES, 9000), np.array([0, 0, 10, 5000, 9000])
+    x, off = rng.integers(0, editprint.CLASSES, 60_000), np.array([0, 0, 10, 30_000, 60_000])
     want = []
     for a, b in zip(off[:-1], off[1:], strict=True):
         t = np.int64(0)
@@ -193,6 +193,32 @@ def test_walk_in_segments_equals_the_walk_step_by_step():
     assert editprint.stays(x, off, walk).tolist() == want
 
 
+def test_stays_run_to_the_next_bit_that_moves():
+    """Every stay is one longer than that of the phase after it, unless the walk moves on at once."""
+    stay = editprint.Walk().stay.reshape(editprint.CLASSES, editprint.PERIOD).astype(int)
+    after = stay[:, [*range(1, editprint.PERIOD), 0]]
+    assert stay.min() == 1 and ((stay == 1) | (stay == after + 1)).all()
+    assert 1.9 < stay.mean() < 2.1
+
+
+def test_few_words_replaced_in_a_long_text_leave_it_near():
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnoprstu") for _ in range(rng.randrange(2, 10))) for _ in range(800)]
+    texts = []
+    for _ in range(60):
+        text = [rng.choice(words) for _ in range(3000)]
+        other = list(text)
+        for i in rng.sample(range(3000), 6):
+            other[i] = rng.choice(words)
+        texts += [" ".join(text), " ".join(other)]
+    walk = editprint.Walk()
+    prints = editprint.fingerprints(texts, walk)
+    near = [editprint.likeness(a, b, walk) for a, b in zip(prints[::2], prints[1::2], strict=True)]
+    unlike = [editprint.likeness(a, b, walk) for a, b in zip(prints[::2], prints[3::2], strict=False)]
+    assert sum(x >= 0.8 for x in near) > 0.65 * len(near)
+    assert max(unlike) < sorted(near)[len(near) // 10]
+
+
 def test_shifted_text_stays_near(spark):
     rng = random.Random(3)
     text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(20_000))

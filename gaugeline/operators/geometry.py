@@ -140,6 +140,14 @@ def _crosses(e: Column, f: Column) -> Column:
     return (s * t < 0) & (u * v < 0) | on
 
 
+def convex(sides: Column) -> Column:
+    """Whether a ring, given by its edges, lies on one side of each of them and visits no vertex twice."""
+    own = F.filter(sides, lambda e: (e["a"]["x"] != e["b"]["x"]) | (e["a"]["y"] != e["b"]["y"]))
+    turns = lambda e: F.flatten(F.transform(e, lambda f: F.transform(e, lambda g: _side(f["a"], f["b"], g["a"]))))
+    one_side = lambda e: once(turns(e), lambda t: F.forall(t, lambda v: v >= 0) | F.forall(t, lambda v: v <= 0))
+    return once(own, lambda e: one_side(e) & (F.size(F.array_distinct(F.transform(e, lambda f: f["a"]))) == F.size(e)))
+
+
 def simple(ring: Column) -> Column:
     """Whether no two edges of a ring have more in common than a vertex between neighbours."""
     own = F.filter(edges(ring), lambda x: (x["a"]["x"] != x["b"]["x"]) | (x["a"]["y"] != x["b"]["y"]))
@@ -169,17 +177,17 @@ def gap(a: Column, b: Column) -> Column:
 
 
 def overhang(ring: Column, around: Column, step: float = 0.05) -> Column:
-    """How far a ring reaches out of another one: the largest distance to it of points on the ring's edges, at most step
-    apart, that lie outside.  What lies between two points adds at most step / 2."""
+    """How far a ring reaches out of another one: exact where the other is convex; else the largest distance to it of points
+    on the ring's edges, at most step apart, that lie outside: what lies between two points adds at most step / 2."""
 
     def along(e):
         n = F.greatest(F.ceil(F.hypot(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]) / step), F.lit(1)).cast("int")
         return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((e["a"]["x"] + (e["b"]["x"] - e["a"]["x"]) * i / n).alias("x"), (e["a"]["y"] + (e["b"]["y"] - e["a"]["y"]) * i / n).alias("y")))
 
     far = lambda sides, p: F.when(within_edges(sides, p["x"], p["y"]), 0.0).otherwise(F.array_min(F.transform(sides, lambda e: segment_distance(p["x"], p["y"], e))))
-    # between the vertices too, as the other ring may bend inwards
-    points = F.flatten(F.transform(edges(ring), along))
-    return once(edges(around), lambda sides: F.array_max(F.transform(points, lambda p: far(sides, p))))
+    # the distance to a convex ring is largest at a vertex; another ring may bend inwards, so points between them count too
+    points = lambda sides: F.when(convex(sides), ring.cast(RING)).otherwise(F.flatten(F.transform(edges(ring), along)).cast(RING))
+    return once(edges(around), lambda sides: F.array_max(F.transform(points(sides), lambda p: far(sides, p))))
 
 
 def box_overlap(a: Column, b: Column) -> Column:

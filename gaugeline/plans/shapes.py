@@ -9,7 +9,7 @@ from gaugeline.functions.text import percent_delta
 from gaugeline.operators import geometry as G
 from gaugeline.operators import overlay
 from gaugeline.plans.registry import query
-from gaugeline.sources.tables import table
+from gaugeline.sources.tables import spread, table
 
 #: Up to this area (of square metres) gaps and overlaps are noise of the drawing; areas that equal it, but for rounding, too.
 NOISE = 0.500001
@@ -129,7 +129,7 @@ def layer_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a kite whose right corner lies at x + w + 5
     ring = F.array(point(x - 1, y), point(x + w, y - 3), point(x + w + 5, y), point(x + w, y + 3))
     fence, street = F.array(*(point(F.lit(a), F.lit(b)) for a, b in FENCE)), F.array(point(F.lit(32.0), F.lit(-5.0)), point(F.lit(32.0), F.lit(40.0)))
-    own = table(spark, sf_dir, "part").select(k.alias("id"), ring.alias("ring"))
+    own = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select(k.alias("id"), ring.alias("ring"))
     own = own.select("id", G.overhang(F.col("ring"), fence).alias("o"), G.gap(F.col("ring"), street).alias("g"))
     return own.select("id", F.round("o", 6).alias("overhang"), (F.round("o", 6) <= BUFFER).alias("within_buffer"), F.round("g", 6).alias("to_line"))
 

@@ -15,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a task that makes or measures shapes.
+SHAPES = 10_000
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt out by a key that hardly repeats, SHAPES rows a task.  A narrow table is a few row groups however many rows
+    it has, so that all work on a row would stay in as few tasks."""
+    return df.repartition(max(1, -(-df.count() // SHAPES)), key)
+
+
 def inline(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     """A small reference table (rules, mappings, enumerations) given as rows."""
     return spark.createDataFrame(rows, ddl)

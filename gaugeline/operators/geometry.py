@@ -54,24 +54,45 @@ def within_box(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) ->
     return F.aggregate(sides, ring.cast(RING), lambda part, h: half_plane(part, lambda x, y: h["ux"] * x + h["uy"] * y + h["c"]).cast(RING))
 
 
-def clipped(ring: Column, convex: Column) -> Column:
-    """The part of a ring within a convex anticlockwise one, one border after the other."""
-    inside = lambda e: lambda x, y: (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) - (e["b"]["y"] - e["a"]["y"]) * (x - e["a"]["x"])
-    return F.aggregate(edges(convex), ring.cast(RING), lambda part, e: half_plane(part, inside(e)).cast(RING))
+def _rising(ring: Column, origin: Column) -> Column:
+    """A ring's edges from left to right about an origin: ends, slope m, and w = 1 where the ring runs so, else -1.  Upright
+    edges lie over nothing and are left out; so are edges without numbers."""
 
+    def one(e):
+        x0, y0, x1, y1 = (e[p][c] - origin[c] for p, c in (("a", "x"), ("a", "y"), ("b", "x"), ("b", "y")))
+        made = lambda x0, y0, x1, y1, w: F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), F.try_divide(y1 - y0, x1 - x0).alias("m"), F.lit(w).alias("w"))
+        return F.when(e["a"]["x"] < e["b"]["x"], made(x0, y0, x1, y1, 1.0)).when(e["a"]["x"] > e["b"]["x"], made(x1, y1, x0, y0, -1.0))
 
-def fan(ring: Column) -> Column:
-    """A ring's triangles from its first vertex, with the sign of their turn: their signed sum is the ring, convex or not."""
-    made = once(ring, lambda r: F.transform(edges(r), lambda e: F.array(F.try_element_at(r, F.lit(1)), e["a"], e["b"])))
-    return F.filter(F.transform(made, lambda t: F.struct(F.signum(signed_area(t)).alias("sign"), anticlockwise(t).alias("ring"))), lambda t: t["sign"] != 0)
+    return F.filter(F.transform(edges(ring), one), lambda e: e["m"].isNotNull())
+
+
+def _under_both(e: Column, f: Column) -> Column:
+    """Integral of the lower one of two rising edges where both have x, 0 where they don't meet in x."""
+    height = lambda g, x: g["y0"] + g["m"] * (x - g["x0"])
+    ends = F.struct(F.greatest(e["x0"], f["x0"]).alias("lo"), F.least(e["x1"], f["x1"]).alias("hi"))
+
+    def over(s):
+        f0, f1 = height(f, s["lo"]), height(f, s["hi"])
+        d = F.struct((s["hi"] - s["lo"]).alias("w"), (f0 + f1).alias("f"), (height(e, s["lo"]) - f0).alias("a"), (height(e, s["hi"]) - f1).alias("b"))
+        # how far e runs below f: everywhere, nowhere, or on one side of their crossing
+        low = lambda d: F.least(d["a"], d["b"])
+        below = lambda d: F.when((d["a"] <= 0) & (d["b"] <= 0), d["a"] + d["b"]).when((d["a"] >= 0) & (d["b"] >= 0), 0.0).otherwise(-low(d) * low(d) / (F.abs(d["a"]) + F.abs(d["b"])))
+        return once(d, lambda d: d["w"] * (d["f"] + below(d)) / 2)
+
+    return once(ends, lambda s: F.when(s["lo"] < s["hi"], over(s)).otherwise(0.0))
 
 
 def intersection_area(a: Column, b: Column) -> Column:
-    """Area that two simple rings share, convex or not: triangle by triangle of their fans, each pair by its signs.
+    """Area that two simple rings share, convex or not: what lies under an edge of each, pair by pair, by the edges' directions.
     Of null rings null; of rings without area 0."""
-    pair = lambda t, u: t["sign"] * u["sign"] * area(clipped(t["ring"], u["ring"]))
-    whole = once(fan(b), lambda other: F.aggregate(fan(a), F.lit(0.0), lambda s, t: s + F.aggregate(other, F.lit(0.0), lambda r, u: r + F.coalesce(pair(t, u), F.lit(0.0)))))
-    return F.abs(whole * F.signum(signed_area(a)) * F.signum(signed_area(b)))
+    first = lambda r: F.try_element_at(r, F.lit(1))
+
+    def whole(origin):
+        total = lambda others: F.aggregate(_rising(a, origin), F.lit(0.0), lambda s, e: s + e["w"] * F.aggregate(others, F.lit(0.0), lambda r, f: r + f["w"] * _under_both(e, f)))
+        return once(_rising(b, origin), total)
+
+    area_of = F.abs(once(first(a), whole) * F.signum(signed_area(a)) * F.signum(signed_area(b)))
+    return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(area_of, F.lit(0.0)))
 
 
 def area(ring: Column) -> Column:

@@ -51,7 +51,7 @@ def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     turned = F.array(*(point(cx + i * 0.8 * w - j * 0.6 * h, cy + i * 0.6 * w + j * 0.8 * h) for i, j in ((1, -1), (1, 1), (-1, 1), (-1, -1))))
     triangle = F.array(point(cx - w, cy - h), point(cx + 0.25 * w, cy + h), point(cx + w, cy - 0.5 * h))
     dart = F.array(point(cx - w, cy - h), point(cx + w, cy - 0.75 * h), point(cx + 0.125 * w, cy + h), point(cx - 0.25 * w, cy + 0.125 * h))
-    return table(spark, sf_dir, "part").select(k.alias("id"), F.floor(k / 12).alias("drawing"), F.when(k % 3 == 0, turned).when(k % 3 == 1, triangle).otherwise(dart).alias("ring"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select(k.alias("id"), F.floor(k / 12).alias("drawing"), F.when(k % 3 == 0, turned).when(k % 3 == 1, triangle).otherwise(dart).alias("ring"))
 
 
 def rounded(*names: str) -> list[Column]:
@@ -106,7 +106,8 @@ def ring_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = g.select("drawing", "cx", "cy", *(F.col(c).alias(f"{c}_b") for c in ("id", "ring", "area", "x0", "y0", "x1", "y1")))
     meet = "id_a < id_b and x0_a < x1_b and x0_b < x1_a and y0_a < y1_b and y0_b < y1_a"
     first = (at(F.greatest("x0_a", "x0_b")) == F.col("cx")) & (at(F.greatest("y0_a", "y0_b")) == F.col("cy"))
-    both = a.join(b, ["drawing", "cx", "cy"]).where(meet).where(first)
+    # merged: sizes guessed from the narrow table would have the rings broadcast
+    both = a.join(b.hint("merge"), ["drawing", "cx", "cy"]).where(meet).where(first)
     # exploded, so that the filter doesn't measure a second time
     both = both.withColumn("shared", F.explode(F.filter(F.array(G.intersection_area(F.col("ring_a"), F.col("ring_b"))), lambda s: s > NOISE)))
     return both.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.round(F.col("shared") + NUDGE, 3).alias("shared"), F.round(F.col("shared") / F.least("area_a", "area_b") * 100 + NUDGE, 2).alias("share_pct"))

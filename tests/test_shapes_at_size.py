@@ -49,3 +49,23 @@ def test_layer_containment_is_spread(spark, wide):
 
     n, most = tasks(entry.queries()["layer_containment"](spark, wide))
     assert n == 3 and most < 10_000
+
+
+def joins(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ring_overlaps_broadcasts_no_rings(spark, wide):
+    import __spark_entry__ as entry
+
+    df = entry.queries()["ring_overlaps"](spark, wide)
+    assert "BroadcastHashJoin" not in joins(df) and "BroadcastExchange" not in joins(df)
+
+
+def test_shared_area_far_from_the_origin(spark):
+    at = lambda ring: [(x + 180_000.0, y + 650_000.0) for x, y in ring]
+    box, dart = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)], [(1.0, 1.0), (5.0, 2.0), (1.0, 3.0), (2.0, 2.0)]
+    over, apart = [(0.0, 3.0), (4.0, 3.0), (4.0, 9.0), (0.0, 9.0)], [(0.0, 5.0), (4.0, 5.0), (2.0, 9.0)]
+    rows = [(0, at(box), at(box[::-1])), (1, at(box), at(over)), (2, at(box), at(apart)), (3, at(box), at(dart)), (4, at([*box, box[0]]), at(dart[::-1]))]
+    got = {r.i: r.s for r in spark.createDataFrame(rows, f"i int, p {RING}, q {RING}").select("i", G.intersection_area(F.col("p"), F.col("q")).alias("s")).collect()}
+    assert [got[i] for i in range(5)] == pytest.approx([16.0, 4.0, 0.0, 2.75, 2.75], abs=1e-9)

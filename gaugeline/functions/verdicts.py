@@ -30,8 +30,8 @@ def tolerance(pct: Column) -> Column:
 
 
 def in_band(actual: Column, edge: Column, pct: Column) -> Column:
-    """Within pct percent of the edge; at an edge of zero only equality."""
-    return F.when(edge == 0, actual == 0).otherwise(F.try_divide(F.abs(actual - edge), F.abs(edge)) * 100 <= pct)
+    """Within pct percent of the edge; at an edge of zero only equality.  A negative pct is no band at all."""
+    return F.when(edge == 0, (actual == 0) & (pct >= 0)).otherwise(F.try_divide(F.abs(actual - edge), F.abs(edge)) * 100 <= pct)
 
 
 def decorate(passed: Column, near: Column) -> Column:

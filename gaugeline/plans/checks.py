@@ -9,7 +9,7 @@ from gaugeline.operators import geometry as G
 from gaugeline.operators import quality_checks as Q
 from gaugeline.operators.tree import ancestor_chains, with_parents
 from gaugeline.plans.registry import query
-from gaugeline.sources.tables import table
+from gaugeline.sources.tables import spread, table
 from gaugeline.streaming import jobs
 
 
@@ -78,7 +78,7 @@ def polygon_area_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     loop = F.when(k % 5 == 0, F.concat(ring, F.array(point(zero, F.lit(0.0005))))).otherwise(ring)
     flat = F.when(k % 11 == 0, F.array(point(zero, zero), point(w, zero), point(w * 2, zero))).otherwise(ring)
     other = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in [(100.0, 0.0), (101.0, 0.0), (101.0, 1.0), (100.0, 1.0)]))
-    p = table(spark, sf_dir, "part").select("p_partkey", ring.alias("ring"), loop.alias("loop"), flat.alias("flat"), w.alias("w"))
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", ring.alias("ring"), loop.alias("loop"), flat.alias("flat"), w.alias("w"))
     r = F.col("ring")
     return p.select(
         "p_partkey", G.area(r).alias("area"), G.contains(r, F.lit(10.5), F.lit(0.5)).alias("has_point"), G.closed(F.col("loop")).alias("closed"), G.distance(r, other).alias("distance"),

@@ -69,3 +69,11 @@ def test_shared_area_far_from_the_origin(spark):
     rows = [(0, at(box), at(box[::-1])), (1, at(box), at(over)), (2, at(box), at(apart)), (3, at(box), at(dart)), (4, at([*box, box[0]]), at(dart[::-1]))]
     got = {r.i: r.s for r in spark.createDataFrame(rows, f"i int, p {RING}, q {RING}").select("i", G.intersection_area(F.col("p"), F.col("q")).alias("s")).collect()}
     assert [got[i] for i in range(5)] == pytest.approx([16.0, 4.0, 0.0, 2.75, 2.75], abs=1e-9)
+
+
+@pytest.mark.parametrize("name", ["polygon_area_contains"])
+def test_rows_of_one_row_group_are_spread(spark, wide, name):
+    import __spark_entry__ as entry
+
+    n, most = tasks(entry.queries()[name](spark, wide))
+    assert n == 3 and most < 10_000

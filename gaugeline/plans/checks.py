@@ -103,7 +103,7 @@ def drawing_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     ring = F.array(point(x0, y0), point(x0 + bw, y0), point(x0 + bw, y0 + bh), point(x0, y0 + bh))
     sides = [F.array(point(x, F.lit(0.0)), point(x, F.lit(20.0))) for x in (F.lit(0.0), pw)]
     plot = F.array(point(F.lit(0.0), F.lit(0.0)), point(pw, F.lit(0.0)), point(pw, F.lit(20.0)), point(F.lit(0.0), F.lit(20.0)))
-    d = table(spark, sf_dir, "part").select("p_partkey", "p_brand", ring.alias("ring"), plot.alias("plot"), F.array(*sides).alias("sides"), F.when(k % 5 != 0, 10.0 + size % 6).alias("cap"), F.when(k % 4 != 0, 2.0 + k % 4).alias("setback"))
+    d = spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"), "p_partkey").select("p_partkey", "p_brand", ring.alias("ring"), plot.alias("plot"), F.array(*sides).alias("sides"), F.when(k % 5 != 0, 10.0 + size % 6).alias("cap"), F.when(k % 4 != 0, 2.0 + k % 4).alias("setback"))
     box = lambda r: F.struct(F.element_at(r, 1)["x"].alias("x0"), F.element_at(r, 1)["y"].alias("y0"), F.element_at(r, 3)["x"].alias("x1"), F.element_at(r, 3)["y"].alias("y1"))
     public = F.struct(F.lit(8.0).alias("x0"), F.lit(9.0).alias("y0"), F.lit(30.0).alias("x1"), F.lit(30.0).alias("y1"))
     d = d.select("p_partkey", "p_brand", "cap", "setback", G.area(c("ring")).alias("area"), G.area(c("plot")).alias("plot"), F.array_min(F.transform("sides", lambda s: G.distance(c("ring"), s))).alias("gap"), G.box_overlap(box(c("ring")), public).alias("shared"))

@@ -77,3 +77,10 @@ def test_rows_of_one_row_group_are_spread(spark, wide, name):
 
     n, most = tasks(entry.queries()[name](spark, wide))
     assert n == 3 and most < 10_000
+
+
+@pytest.mark.parametrize("name", ["drawing_geometry"])
+def test_groups_are_measured_after_rows_are_spread(spark, wide, name):
+    import __spark_entry__ as entry
+
+    assert "hashpartitioning(p_partkey" in joins(entry.queries()[name](spark, wide))

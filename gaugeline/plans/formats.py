@@ -11,7 +11,7 @@ from gaugeline.operators import pages as P
 from gaugeline.operators.dedup import first_by
 from gaugeline.operators.matching import blocks_to_polygons
 from gaugeline.plans.registry import query
-from gaugeline.sources.tables import inline, table, values_sql
+from gaugeline.sources.tables import inline, spread, table, values_sql
 
 SCOPES = ["all", "all_text", "first", "except_cover", "first_five", "with_text", "team_page", "odd_name"]
 #: What the page that names the team says.
@@ -76,14 +76,15 @@ def plot_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     x, y = k % 500 * 20, F.floor(k / 500) * 4
     box = F.struct(x.cast("double").alias("x0"), y.cast("double").alias("y0"), (x + F.col("p_size")).cast("double").alias("x1"), (y + 5).cast("double").alias("y1"))
-    p = table(spark, sf_dir, "part").select(k.alias("id"), box.alias("box"))
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select(k.alias("id"), box.alias("box"))
     # boxes meet in the grid cells they cover; a pair counts in the cell of its overlap's lower left corner
     cell = 10.0
     at = lambda c: F.floor(c / cell)
     g = p.withColumn("cx", F.explode(F.sequence(at(F.col("box.x0")), at(F.col("box.x1"))))).withColumn("cy", F.explode(F.sequence(at(F.col("box.y0")), at(F.col("box.y1")))))
     a, b = g.select(F.col("id").alias("a"), F.col("box").alias("p"), "cx", "cy"), g.select(F.col("id").alias("b"), F.col("box").alias("q"), "cx", "cy")
     own = (at(F.greatest("p.x0", "q.x0")) == F.col("cx")) & (at(F.greatest("p.y0", "q.y0")) == F.col("cy"))
-    return a.join(b, ["cx", "cy"]).where((F.col("a") < F.col("b")) & own).select("a", "b", G.box_overlap(F.col("p"), F.col("q")).alias("area")).where("area > 0.5")
+    # merged: sizes guessed from the narrow table would have the boxes broadcast
+    return a.join(b.hint("merge"), ["cx", "cy"]).where((F.col("a") < F.col("b")) & own).select("a", "b", G.box_overlap(F.col("p"), F.col("q")).alias("area")).where("area > 0.5")
 
 
 @query("""WITH v AS (SELECT p_partkey, CAST(round(p_retailprice * 100) AS BIGINT) AS cents, p_retailprice, p_size FROM part)

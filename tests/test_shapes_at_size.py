@@ -84,3 +84,10 @@ def test_groups_are_measured_after_rows_are_spread(spark, wide, name):
     import __spark_entry__ as entry
 
     assert "hashpartitioning(p_partkey" in joins(entry.queries()[name](spark, wide))
+
+
+def test_plot_overlaps_broadcasts_no_boxes(spark, wide):
+    import __spark_entry__ as entry
+
+    plan = joins(entry.queries()["plot_overlaps"](spark, wide))
+    assert "BroadcastHashJoin" not in plan and "hashpartitioning(p_partkey" in plan

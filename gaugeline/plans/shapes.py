@@ -44,14 +44,21 @@ def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
-def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, drawing, ring)"""
+def ring() -> Column:
+    """The ring of a part, by p_partkey and p_size."""
     k = F.col("p_partkey")
     cx, cy, w, h = k * 7 % 23, k * 5 % 17, 1.0 + F.col("p_size") % 5, 1.0 + F.col("p_size") % 4
     turned = F.array(*(point(cx + i * 0.8 * w - j * 0.6 * h, cy + i * 0.6 * w + j * 0.8 * h) for i, j in ((1, -1), (1, 1), (-1, 1), (-1, -1))))
     triangle = F.array(point(cx - w, cy - h), point(cx + 0.25 * w, cy + h), point(cx + w, cy - 0.5 * h))
     dart = F.array(point(cx - w, cy - h), point(cx + w, cy - 0.75 * h), point(cx + 0.125 * w, cy + h), point(cx - 0.25 * w, cy + 0.125 * h))
-    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select(k.alias("id"), F.floor(k / 12).alias("drawing"), F.when(k % 3 == 0, turned).when(k % 3 == 1, triangle).otherwise(dart).alias("ring"))
+    return F.when(k % 3 == 0, turned).when(k % 3 == 1, triangle).otherwise(dart)
+
+
+def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, drawing, ring)"""
+    k = F.col("p_partkey")
+    own = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
+    return own.select(k.alias("id"), F.floor(k / 12).alias("drawing"), ring().alias("ring"))
 
 
 def rounded(*names: str) -> list[Column]:

@@ -22,9 +22,10 @@ def pairs(spark: SparkSession, path: str) -> DataFrame:
     lines = numbered(lines, [F.col("drawing"), F.col("block"), F.col("at")])
     first = lines.groupBy("drawing").agg(F.min("place").alias("first"))
     lines = lines.join(first, "drawing").select("drawing", F.floor((F.col("place") - F.col("first")) / 2).alias("pair"), ((F.col("place") - F.col("first")) % 2 == 0).alias("is_code"), F.trim("value").alias("value"), "place")
-    code = lines.where("is_code").select("drawing", "pair", "place", F.col("value").try_cast("int").alias("code"))
-    value = lines.where("not is_code").select("drawing", "pair", "value")
-    return code.join(value, ["drawing", "pair"]).select("drawing", "place", "code", "value")
+    # the two lines of a pair come together; a last line without a value goes
+    of = lambda own, c: F.max(F.when(own, F.col(c)))
+    both = lines.groupBy("drawing", "pair").agg(of(F.col("is_code"), "place").alias("place"), of(F.col("is_code"), "value").alias("code"), of(~F.col("is_code"), "value").alias("value"), F.count(F.lit(1)).alias("n"))
+    return both.where("n = 2").select("drawing", "place", F.col("code").try_cast("int").alias("code"), "value")
 
 
 def entities(spark: SparkSession, path: str) -> DataFrame:

@@ -91,3 +91,21 @@ def test_plot_overlaps_broadcasts_no_boxes(spark, wide):
 
     plan = joins(entry.queries()["plot_overlaps"](spark, wide))
     assert "BroadcastHashJoin" not in plan and "hashpartitioning(p_partkey" in plan
+
+
+def test_parts_on_drawings_meet_their_rings_without_a_join(spark, wide):
+    from gaugeline.plans import scans
+
+    df = scans.placed(spark, wide)
+    n, most = tasks(df)
+    assert "Join" not in joins(df) and n == 3 and most < 10_000
+
+
+def test_pairs_of_a_drawing_come_without_a_join(spark, tmp_path):
+    from gaugeline.sources import drawings as D
+
+    (tmp_path / "drawing=1").mkdir()
+    (tmp_path / "drawing=1/a.txt").write_text("  0\nLINE\n  8\n\n 10\n1.5\n  0\n")
+    df = D.pairs(spark, str(tmp_path))
+    assert [tuple(r)[1:] for r in df.orderBy("place").collect()] == [(1, 0, "LINE"), (3, 8, ""), (5, 10, "1.5")]
+    assert "SortMergeJoin [drawing" not in joins(df)

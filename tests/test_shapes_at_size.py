@@ -109,3 +109,10 @@ def test_pairs_of_a_drawing_come_without_a_join(spark, tmp_path):
     df = D.pairs(spark, str(tmp_path))
     assert [tuple(r)[1:] for r in df.orderBy("place").collect()] == [(1, 0, "LINE"), (3, 8, ""), (5, 10, "1.5")]
     assert "SortMergeJoin [drawing" not in joins(df)
+
+
+def test_rings_of_drawings_are_spread(spark, wide):
+    from gaugeline.plans import shapes
+
+    n, most = tasks(shapes.rings(spark, wide))
+    assert n == 3 and most < 10_000

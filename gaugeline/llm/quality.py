@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bytehash import U, Hasher, chunks, column_bytes, mix, runs, white
-from .sampling import fit_in_task, labelled_sample, scored
+from .sampling import fit_in_task, labelled_sample, scored, sent_texts
 
 MAX_DOCS, MAX_BYTES = 3000, 100_000
 BUCKETS, DIM, EPOCHS, BATCH, RATE = 1 << 16, 8, 5, 64, 0.08
@@ -156,7 +156,7 @@ def scorer(model: bytes):
         h = Hasher()
         with np.errstate(over="ignore"):
             for b in batches:
-                data, off = column_bytes(b.column("text"))
+                data, off = column_bytes(sent_texts(b))
                 out = np.zeros(len(off) - 1)
                 for i, j in chunks(off):
                     total, n = np.zeros(j - i), np.zeros(j - i)

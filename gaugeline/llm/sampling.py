@@ -45,10 +45,17 @@ def fit_in_task(sample: DataFrame, fit: Callable[[list[bytes], list[int]], bytes
     return bytes(got[0]) if got else fit([], [])
 
 
+def sent_texts(batch: pa.RecordBatch) -> pa.Array:
+    """The texts of a batch that scored sends."""
+    return batch.column("text") if "text" in batch.schema.names else batch.column("row").field("text")
+
+
 def scored(docs: DataFrame, scorer: Callable) -> DataFrame:
-    """docs with the score that scorer, a mapInArrow function of (row, text), returns beside each row; a column of
-    docs named score is replaced.  Columns travel in a struct, so none clashes."""
+    """docs with the score that scorer, a mapInArrow function of (row[, text]), returns beside each row; a column of
+    docs named score is replaced.  Columns travel in a struct, so none clashes; a text that is no string is sent as one
+    beside it, others travel once."""
     rest = [c for c in docs.columns if c != "score"]
-    rows = docs.select(F.struct(*rest).alias("row"), F.col("text").cast("string").alias("text"))
+    other = [] if docs.schema["text"].dataType == T.StringType() else [F.col("text").cast("string").alias("text")]
+    rows = docs.select(F.struct(*rest).alias("row"), *other)
     made = rows.mapInArrow(scorer, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
     return made.select("row.*", "score")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 
 from .bytehash import U, Hasher, chunks, column_bytes, mix, runs
 from .quality import calibrated
-from .sampling import fit_in_task, labelled_sample, scored
+from .sampling import fit_in_task, labelled_sample, scored, sent_texts
 
 MAX_DOCS, UNLABELLED, MAX_BYTES = 6000, 2000, 100_000
 BITS = 22
@@ -271,7 +271,7 @@ def scorer(model: bytes):
         h = Hasher()
         with np.errstate(over="ignore"):
             for b in batches:
-                data, off = column_bytes(b.column("text"))
+                data, off = column_bytes(sent_texts(b))
                 z = np.full(len(off) - 1, bias)
                 for i, j in chunks(off):
                     keys = []

@@ -18,6 +18,8 @@ from gaugeline.sources.staging import staged
 #: Pieces of a cell, other than full ones, beyond which it is quartered; how often at most; cells a ring may be cut into at once.
 CROWD, DEEPEST, AT_ONCE = 24, 12, 64
 CELL = ["drawing", "level", "cx", "cy"]
+#: Edges of a task that compares them, by cells; a cell's edges make a few hundred strips, so the rows sorted are many times as many.
+EDGES = 20_000
 
 
 def in_cells(pieces: DataFrame, side: Column) -> DataFrame:
@@ -82,17 +84,20 @@ def strips(pieces: DataFrame, layers: list[str], corners: bool = False) -> DataF
     edges = pieces.select(*CELL, "layer", F.explode(F.filter(F.when(c("ring").isNull(), box).otherwise(own), lambda e: e.isNotNull())).alias("e")).select(*CELL, "layer", "e.*")
     edges = edges.groupBy(*CELL, "layer", "ax", "ay", "bx", "by").agg(F.sum("w").alias("w")).where("w <> 0")  # edges that run both ways cancel
     edges = staged(edges, "overlay-edges")
+    # all that follows stays within a cell, so cells are dealt out once and merged: the tasks grow in number, not in rows
+    tasks = max(1, -(-edges.count() // EDGES))
+    edges = edges.repartition(tasks, *CELL)
     p, q = edges.select(*CELL, *(c(x).alias(f"p{x}") for x in ("ax", "ay", "bx", "by"))), edges.select(*CELL, *(c(x).alias(f"q{x}") for x in ("ax", "ay", "bx", "by")))
     slope = lambda s: (c(f"{s}by") - c(f"{s}ay")) / (c(f"{s}bx") - c(f"{s}ax"))
     at = F.try_divide((c("qay") - slope("q") * c("qax")) - (c("pay") - slope("p") * c("pax")), slope("p") - slope("q"))
     meet = (c("pax") < c("qbx")) & (c("qax") < c("pbx")) & (F.struct("pax", "pay", "pbx", "pby") < F.struct("qax", "qay", "qbx", "qby"))
-    cross = p.join(q, CELL).where(meet).select(*CELL, at.alias("x"), F.greatest("pax", "qax").alias("lo"), F.least("pbx", "qbx").alias("hi")).where("x > lo and x < hi").select(*CELL, "x")
-    cuts = edges.select(*CELL, F.explode(F.array("ax", "bx")).alias("x")).unionByName(cross).distinct()
+    cross = p.join(q.hint("merge"), CELL).where(meet).select(*CELL, at.alias("x"), F.greatest("pax", "qax").alias("lo"), F.least("pbx", "qbx").alias("hi")).where("x > lo and x < hi").select(*CELL, "x")
+    cuts = edges.select(*CELL, F.explode(F.array("ax", "bx")).alias("x")).unionByName(cross).repartition(tasks, *CELL).distinct()
     slabs = cuts.withColumn("to", F.lead("x").over(Window.partitionBy(*CELL).orderBy("x"))).where("to is not null")
     mid = (c("x") + c("to")) / 2
     height = lambda x: c("ay") + (c("by") - c("ay")) * (x - c("ax")) / (c("bx") - c("ax"))
     ends = [height(c("x")).alias("l"), height(c("to")).alias("r"), "to"] if corners else []
-    spans = edges.join(slabs, CELL).where("ax <= x and bx >= to").select(*CELL, "x", (c("to") - c("x")).alias("width"), "layer", "w", height(mid).alias("y"), *ends)
+    spans = edges.join(slabs.hint("merge"), CELL).where("ax <= x and bx >= to").select(*CELL, "x", (c("to") - c("x")).alias("width"), "layer", "w", height(mid).alias("y"), *ends)
     upwards = Window.partitionBy(*CELL, "x").orderBy("y", "layer", "w")
     counts = [F.sum(F.when(c("layer") == x, c("w")).otherwise(0)).over(upwards.rowsBetween(Window.unboundedPreceding, 0)).alias(f"n_{x}") for x in layers]
     if corners:

@@ -116,3 +116,16 @@ def test_rings_of_drawings_are_spread(spark, wide):
 
     n, most = tasks(shapes.rings(spark, wide))
     assert n == 3 and most < 10_000
+
+
+def test_edges_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
+    from gaugeline.operators import overlay
+
+    monkeypatch.setattr(overlay, "EDGES", 50, raising=False)
+    k = F.col("id").cast("double")
+    box = F.array(*(F.struct((k * 3 + x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (5.0, 0.5), (4.0, 4.0), (1.0, 5.0))))
+    rings = spark.range(200).select(F.floor(F.col("id") / 2).alias("drawing"), F.lit("p").alias("layer"), box.alias("ring"))
+    strips = overlay.strips(overlay.cells(rings), ["p"])
+    n, _ = tasks(strips)
+    assert n >= 200 * 4 // 50  # 4 by the session's number of partitions
+    assert strips.agg(F.sum(F.col("area") * F.col("n_p"))).first()[0] == pytest.approx(200 * 17.0)

@@ -1,10 +1,12 @@
 """Oracles of the operators' queries, and the pipeline stage by stage."""
 
+import random
+
 import pytest
 from oracle import differences
 
 import corpus_pipeline
-from gaugeline.llm import queries
+from gaugeline.llm import queries, suffix
 
 ORACLES = queries.oracle_sql()
 
@@ -51,3 +53,28 @@ def test_passages_of_short_words_are_cut(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     got = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
     assert got == {0: "one  uno", 1: "two\n\tdue"} | {i: texts[i] for i in (2, 3, 4)}
+
+
+def test_planted_passages_of_400_bytes_are_cut_and_clean_texts_left(spark, tmp_path):
+    """Passages of over 50 words: op4 cuts those of 400 bytes, as its contract says, and leaves the shorter ones, which
+    go with words=51.  n_bytes is the input's length: it differs from n_chars by the letters, not by what was cut."""
+    rng = random.Random(8)
+    prose = lambda n, size, letters: " ".join("".join(rng.choice(letters) for _ in range(size)) for _ in range(n))
+    texts = []
+    for letters in ("abcdefghij", "abcdéüñßhi"):
+        long, short = prose(70, 7, letters), prose(55, 4, letters)
+        assert len(long.encode()) >= 400 > len(short.encode()) + 2
+        # the line feeds at a passage's ends repeat with it, the letters next to them don't
+        texts += [(k, prose(40, 7, letters) + f"{i}\n", p, f"\n{i}" + prose(40, 7, letters)) for k, p, n in (("long", long, 4), ("short", short, 3), ("none", "", 2)) for i in range(n)]
+    rows = [(i, a + p + b, "en", "s", len(a + p + b)) for i, (_, a, p, b) in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = queries.table(spark, str(tmp_path), "documents")
+    got = {r.doc_id: r for r in queries.queries()["op4_suffix_repeats"](spark, str(tmp_path)).collect()}
+    words = {r.doc_id: r.kept_text for r in suffix.remove_repeats(docs.select("doc_id", "text"), 400, words=51).collect()}
+    for i, text, _, _, chars in rows:
+        kind, a, p, b = texts[i]
+        r, cut = got[i], kind == "long"
+        assert (r.n_bytes, r.n_removed, r.n_spans) == (len(text.encode()), cut * (len(p.encode()) + 2), cut)
+        assert r.text == (a[:-1] + b[1:] if cut else text)
+        assert (r.n_bytes == chars) == (i < len(rows) / 2)
+        assert (p not in words[i]) if p else words[i] == text

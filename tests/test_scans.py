@@ -70,6 +70,27 @@ def test_drawings_in_small_splits(spark, tmp_path):
     assert len(edge) == 1 and edge[0].area == pytest.approx(16) and D.boundary(one, "nothing").count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 11, 64])
+def test_entities_across_splits(spark, tmp_path, monkeypatch, size):
+    monkeypatch.setattr(D, "staged", lambda df, _: spark.createDataFrame(df.collect(), df.schema))
+    own = poly("outline", True, (0, 0), (4, 0), (4, 4)) + "  0\nPOLYLINE\n  8\n0\n" + "".join(f"  0\nVERTEX\n 10\n{x}\n 20\n0\n" for x in range(4)) + "  0\nSEQEND\n  0\nINSERT\n  2\n\n 70\n0\n"
+    (tmp_path / "a.dxf").write_text("999\n0\n  0\nSECTION\n  2\nENTITIES\n" + own + "  0\nENDSEC\n  0\nSECTION\n  2\nENTITIES\n  0\nLINE\n  0\nENDSEC\n  0\nSECTION\n  2\nENTITIES\n  0\nCIRCLE\n 10\n")
+    (tmp_path / "b.dxf").write_text("  0\nSECTION\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    whole = [sorted(map(tuple, read(spark, str(tmp_path)).collect())) for read in (D.entities, D.pairs)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    split = [sorted(map(tuple, read(spark, str(tmp_path)).collect())) for read in (D.entities, D.pairs)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert split == whole and [(r[1:5], [tuple(p) for p in r[5]][:2]) for r in whole[0]] == [
+        ((2, 1, "LWPOLYLINE", "outline"), [(7, 0, "LWPOLYLINE"), (9, 8, "outline")]), ((3, 1, "POLYLINE", "0"), [(25, 0, "POLYLINE"), (27, 8, "0")]), ((4, 1, "INSERT", None), [(55, 0, "INSERT"), (57, 2, "")]), ((7, 6, "LINE", None), [(67, 0, "LINE")])]
+
+
+def test_group_codes_are_read_as_by_a_cast(spark):
+    texts = ["0", " 70 ", "00", "+5", "-1", "2147483647", "2147483648", "5.0", "1e1", "", "+", "x", "0x1", "1_0", "\t8", "\u0663"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.col("t").try_cast("int").alias("n")).collect()
+    assert [(r.t, r.n) for r in got] == [(t, D.group_code(t)) for t in texts]
+
+
 def shp(*bodies):
     out = b"".join(struct.pack(">ii", n, len(b) // 2) + b for n, b in enumerate(bodies, 1))
     return struct.pack(">7i", 9994, 0, 0, 0, 0, 0, 50 + len(out) // 2) + struct.pack("<2i8d", 1000, 5, *[0.0] * 8) + out

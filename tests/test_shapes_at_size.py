@@ -129,3 +129,35 @@ def test_edges_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
     n, _ = tasks(strips)
     assert n >= 200 * 4 // 50  # 4 by the session's number of partitions
     assert strips.agg(F.sum(F.col("area") * F.col("n_p"))).first()[0] == pytest.approx(200 * 17.0)
+
+
+def sent(spark):
+    """Rows of all shuffles so far."""
+    none = spark._jvm.java.util.ArrayList
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(none(), False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_lines_of_drawings_are_not_sent(spark, tmp_path):
+    from gaugeline.sources import drawings as D
+
+    own = "".join(f"  0\nLINE\n  8\nfront\n 10\n{i}\n 20\n2\n" for i in range(500))
+    for i in range(3):
+        (tmp_path / f"{i}.dxf").write_text(f"  0\nSECTION\n  2\nENTITIES\n{own}  0\nENDSEC\n")
+    before = sent(spark)
+    assert len(D.entities(spark, str(tmp_path)).collect()) == 1500
+    assert sent(spark) - before < 100
+
+
+def test_drawings_are_dealt_to_tasks_by_their_parts(spark, wide, monkeypatch, tmp_path):
+    from gaugeline.plans import scans
+    from gaugeline.sources import tables
+
+    monkeypatch.setattr(tables, "SHAPES", 1000)
+    monkeypatch.setattr(scans, "shared_dir", lambda _: str(tmp_path))
+    monkeypatch.setattr(scans.D, "entities", lambda s, _: s.range(1))
+    scans.drawn(spark, wide)
+    files = [f.name for f in tmp_path.glob("drawings-*/drawing=*/part-*")]
+    assert len(files) == 250 and len({f[:10] for f in files}) > 20
+    lines = next(iter(tmp_path.glob("drawings-*/drawing=7/part-*"))).read_text().splitlines()
+    assert lines[:4] == ["  0", "SECTION", "  2", "BLOCKS"] and lines[-4:] == ["  0", "ENDSEC", "  0", "EOF"] and [x for x in lines if x[:1] == "7" and len(x) == 3 and x.isdigit()] == [str(k) for k in range(700, 800) if k % 10 < 9]

@@ -161,3 +161,11 @@ def test_drawings_are_dealt_to_tasks_by_their_parts(spark, wide, monkeypatch, tm
     assert len(files) == 250 and len({f[:10] for f in files}) > 20
     lines = next(iter(tmp_path.glob("drawings-*/drawing=7/part-*"))).read_text().splitlines()
     assert lines[:4] == ["  0", "SECTION", "  2", "BLOCKS"] and lines[-4:] == ["  0", "ENDSEC", "  0", "EOF"] and [x for x in lines if x[:1] == "7" and len(x) == 3 and x.isdigit()] == [str(k) for k in range(700, 800) if k % 10 < 9]
+
+
+def test_boundaries_are_found_without_sending_lines(spark, wide):
+    import __spark_entry__ as entry
+
+    before = sent(spark)
+    assert entry.queries()["drawing_boundary"](spark, wide).count() == 250
+    assert sent(spark) - before < 6 * 25_000  # parts are dealt out a few times; they have over 60 lines each

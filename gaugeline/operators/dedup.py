@@ -47,17 +47,3 @@ def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
     starts = F.broadcast(counts.select("_part", F.coalesce(before, F.lit(0)).alias("_start")))
     within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     return rows.withColumn("_part", part).join(starts, "_part").withColumn("place", F.col("_start") + within + 1).drop("_at", "_part", "_start")
-
-
-def running_counts(df: DataFrame, order: list[Column], flags: dict[str, Column]) -> DataFrame:
-    """numbered(), and for each of flags how many rows up to and with this one have it."""
-    marked = df.withColumns({n: f.cast("long") for n, f in flags.items()})
-    rows = staged(marked.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "running")
-    rows = rows.withColumn("_part", F.shiftrightunsigned("_at", 33))
-    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), *(F.sum(n).alias(f"_{n}") for n in flags))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    starts = F.broadcast(counts.select("_part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ["_n", *(f"_{n}" for n in flags)])))
-    upto = Window.partitionBy("_part").orderBy("_at")  # of one range partition
-    within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    own = rows.withColumns({n: F.sum(n).over(upto) for n in flags}).join(starts, "_part")
-    return own.withColumns({"place": F.col("_n") + within + 1, **{n: F.col(n) + F.col(f"_{n}") for n in flags}}).drop("_at", "_part", "_n", *(f"_{n}" for n in flags))
